@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, mixing
+from . import bpe, dedup, mixing, pages, quality, secrets, toxicity
+from .common import crc_mod
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,43 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; fitted where crc32 of the id leaves no 2 modulo 4."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    stats = quality.measured(docs)
+    trees = quality.fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    return quality.scores(stats, trees).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document; fitted where crc32 of the id leaves no 0 modulo 5."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    return toxicity.scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digests of the spans."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return secrets.find_secrets(docs).select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"),
+    )
+
+
+def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return pages.main_texts(rows, out_col="text").withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -38,7 +76,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op7_mixing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_quality, op4_secrets, op5_pages, op6_toxicity, op7_mixing)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
