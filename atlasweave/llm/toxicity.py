@@ -21,13 +21,13 @@ from .common import crc_mod, map_arrow, slices, staged, utf8
 #: Labelled texts learned from, at most: those of least hash.
 MAX_LABELS = 20_000
 BITS = 21
-LENGTHS = (3, 4, 5, 6)
+LENGTHS = (4, 6, 8)
 #: Features kept, of those in LEAST texts or more: the ones whose ratios are surest.
 FEATURES, LEAST = 1 << 14, 4
 ROUNDS, RIDGE = 150, 1.0
 
 
-def ngrams(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def ngrams(column: pa.Array, wanted: np.ndarray | None = None, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) pairs, each once, in order; only buckets that wanted has, if given."""
     buf, offsets = utf8(column)
     n = int(offsets[-1])
@@ -44,11 +44,11 @@ def ngrams(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarr
     h = line[: n + len(size)].astype(np.uint64)
     inner = np.zeros(n + len(size), bool)  # a space inside the n-gram
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(1, max(LENGTHS)):
+    for k in range(1, max(lengths)):
         if k > 1:
             inner |= gap[k - 1 : n + len(size) + k - 1]
         h = h * np.uint64(0x100000001B3) + line[k : n + len(size) + k].astype(np.uint64) + np.uint64(1)
-        if k + 1 in LENGTHS:
+        if k + 1 in lengths:
             good = np.flatnonzero(~inner)
             bucket = ((h[good] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
             if wanted is not None:
