@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, dedup, mixing, pages, quality, secrets, toxicity
+from . import ann, bpe, dedup, mixing, ngram_join, pages, quality, secrets, toxicity
 from .common import crc_mod
 
 
@@ -80,8 +80,14 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 3-word sets with a similarity of 0.9 or more."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return ngram_join.components(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_quality, op4_secrets, op5_pages, op6_toxicity, op7_mixing, op8_nearest)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_quality, op4_secrets, op5_pages, op6_toxicity, op7_mixing, op8_nearest, op9_ngram_join)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
