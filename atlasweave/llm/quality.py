@@ -188,10 +188,15 @@ def _measured(df: DataFrame, text_col: str, trees: Trees | None, keep_text: bool
     return map_arrow(df, run, T.StructType([*kept, field]))
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labels: int = MAX_LABELS) -> Trees:
-    """Grow trees on measured rows that labels names, all but those whose crc32 of the id leaves 2 modulo 4."""
+def label_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labels: int = MAX_LABELS) -> DataFrame:
+    """(__id, __y): the labels learned from, all but those whose crc32 of the id leaves 2 modulo 4, max_labels at most."""
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(id_col, 4) != 2)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y"))
-    sample = usable.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_labels)  # bounded, so it may be broadcast
+    return usable.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_labels)
+
+
+def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labels: int = MAX_LABELS) -> Trees:
+    """Grow trees on the measured rows that the sample of labels names."""
+    sample = label_sample(labels, id_col, label_col, max_labels)  # bounded, so it may be broadcast
     rows = stats.join(F.broadcast(sample), stats[id_col] == F.col("__id")).select("statistics", "__y").limit(2 * max_labels).toArrow()
     x = rows.column("statistics").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     order = np.lexsort(x.T)  # the rows' order differs from run to run
