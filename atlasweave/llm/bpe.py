@@ -261,11 +261,10 @@ def _encoder(tokens: list[bytes]) -> Encoder:
 def encode(df: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """Add out_col, the ids of the whole text, by the rank file at vocabulary; no special tokens, null counts as empty.
 
-    An empty text gives an empty array. Other columns pass; out_col must be a new name. No shuffle: each batch is
+    An empty text gives an empty array. Other columns pass; one that is named like out_col gives way. No shuffle: each batch is
     encoded where it is read, a few MB at a time, so long texts need no more than their own size.
     """
-    if out_col in df.columns:
-        raise ValueError(f"column {out_col} exists")
+    df = df.drop(out_col)
     held = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +279,8 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", out_col: str
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """Add out_col, the bytes of the ids; a null array gives null, an id outside the vocabulary fails the job."""
-    if out_col in df.columns:
-        raise ValueError(f"column {out_col} exists")
+    """Add out_col, the bytes of the ids; a null array gives null, an id outside the vocabulary fails the job. A column named like it gives way."""
+    df = df.drop(out_col)
     held = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

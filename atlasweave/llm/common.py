@@ -40,6 +40,14 @@ def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) ->
     return df.mapInArrow(function, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo modulus; null for a null id."""
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")) % modulus

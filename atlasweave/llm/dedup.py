@@ -104,21 +104,21 @@ def _runs(df: DataFrame, id_col: str, text_col: str, keep_only: bool) -> DataFra
         if pending:
             yield from close(edge=True).combine_chunks().to_batches()
 
-    clash = {_KEY, *_RUN.names} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist")
     sorted_rows = _keyed(df, text_col).repartitionByRange(F.col(_KEY), F.col(id_col)).sortWithinPartitions(_KEY, id_col)
     return staged(map_arrow(sorted_rows, run, schema), "content-sort")
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_only: bool = False) -> DataFrame:
-    """One row per input row (or, with keep_only, per group): keep_id, group_size, kept and text_sha256 beside its columns.
+    """One row per input row: keep_id, group_size, kept and text_sha256 beside its columns; with keep_only, rows of df that stay.
 
     Equal means identical after lower-casing A-Z; null counts as empty. The largest id of a group stays; null ids yield
-    to any other, and of rows alike in id and text one stays. Every other column passes, the text only with keep_only.
-    An empty table gives an empty result.
+    to any other, and of rows alike in id and text one stays. Every other column passes, but for the text and columns named like
+    those made here (with keep_only, all columns pass). An empty table gives an empty result.
     """
-    runs = _runs(df, id_col, text_col, keep_only)
+    made = ("keep_id", "group_size", "kept", "text_sha256")
+    names = df.columns
+    id_at, text_at = (f"c{names.index(c)}" for c in (id_col, text_col))
+    runs = _runs(df.toDF(*[f"c{k}" for k in range(len(names))]), id_at, text_at, keep_only)
     same = Window.partitionBy("__edge_text")
     edges = (
         runs.filter(F.col("__edge_text").isNotNull())
@@ -127,17 +127,18 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Two rows of four numbers for each partition at most: small whatever the input, so it may be broadcast.
     joined = runs.join(F.broadcast(edges), ["__part", "__run"], "left")
     keep = F.when(F.col("__edge"), F.col("__all_max")).otherwise(F.col("__max"))
-    holds = F.col("__last") & F.when(F.col("__edge"), F.when(keep.isNull(), F.col("__end") == F.struct("__part", "__run")).otherwise(F.col(id_col) == keep)).otherwise(True)
-    out = joined.select(
-        *[c for c in df.columns if keep_only or c != text_col],
+    holds = F.col("__last") & F.when(F.col("__edge"), F.when(keep.isNull(), F.col("__end") == F.struct("__part", "__run")).otherwise(F.col(id_at) == keep)).otherwise(True)
+    if keep_only:
+        return joined.filter(F.coalesce(holds, F.lit(False))).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
+    return joined.select(
+        *[F.col(f"c{k}").alias(c) for k, c in enumerate(names) if c != text_col and c.lower() not in made],
         keep.alias("keep_id"),
         F.when(F.col("__edge"), F.col("__all_size")).otherwise(F.col("__size")).alias("group_size"),
         F.coalesce(holds, F.lit(False)).alias("kept"),
         "text_sha256",
     )
-    return out.filter("kept") if keep_only else out
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each group of equal texts, the one of the largest id."""
-    return exact_duplicates(df, id_col, text_col, keep_only=True).select(df.columns)
+    return exact_duplicates(df, id_col, text_col, keep_only=True)

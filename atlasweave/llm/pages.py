@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices, staged
+from .common import fresh, map_arrow, slices, staged
 
 #: A subtree is a template's if it occurs beside so many main texts of its host.
 RECURS = 5
@@ -229,14 +229,14 @@ def _template_hashes(subtrees: DataFrame, recurs: int) -> DataFrame:
 
 
 def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "main_text", recurs: int = RECURS, few: int = FEW_HASHES) -> DataFrame:
-    """df without its html, with out_col: the page's main text, empty for a null or empty page or one without an article.
+    """df without its html, with out_col (a column of that name gives way): the page's main text, empty for a null or empty page or one without an article.
 
     Blocks keep the page's order and are joined by two line feeds; white space in a block becomes one space. A null url
     counts as a host of its own. Pages without article or main element give what their body holds besides templates.
     """
+    df = df.drop(out_col) if out_col != html_col else df
     kept = [f for f in df.schema.fields if f.name != html_col]
-    if out_col in [f.name for f in kept]:
-        raise ValueError(f"column {out_col} exists")
+    own_col, page_col = fresh(df, "templates"), fresh(df, "page")
     names = [f.name for f in kept]
     hashes = staged(_template_hashes(_subtrees(df, url_col, html_col), recurs), "templates")
     spark, small = df.sparkSession, hashes.limit(few + 1).count() <= few
@@ -245,7 +245,7 @@ def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html", out_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, html_col):
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
-            own = [None] * batch.num_rows if held is not None else get("__templates")
+            own = [None] * batch.num_rows if held is not None else get(own_col)
             texts = []
             for url, source, mine in zip(get(url_col), get(html_col), own, strict=True):
                 templates = held.value if held is not None else frozenset(x & (1 << 64) - 1 for x in mine or ())
@@ -258,13 +258,13 @@ def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html", out_
     # A subtree of a large host may be on a third of all pages: the hashes are repeated so that its rows spread out.
     salted = hashes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     found = _subtrees(df, url_col, html_col).withColumn("salt", F.pmod("page", F.lit(_SALTS)).cast("int")).join(salted, ["subtree", "salt"])
-    per_page = found.groupBy("page").agg(F.collect_set("subtree").alias("__templates"))
+    per_page = found.groupBy("page").agg(F.collect_set("subtree").alias(own_col)).withColumnRenamed("page", page_col)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, html_col):
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
             pages = [xxhash.xxh64_intdigest((s or "").encode("utf-8", "surrogatepass"), seed=_host_hash(u)) for u, s in zip(get(url_col), get(html_col), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(pages, np.uint64).view(np.int64))], [*batch.schema.names, "page"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(pages, np.uint64).view(np.int64))], [*batch.schema.names, page_col])
 
-    keyed = map_arrow(df, key, T.StructType([*df.schema.fields, T.StructField("page", T.LongType())]))
-    return map_arrow(keyed.join(per_page, "page", "left"), run, schema)
+    keyed = map_arrow(df, key, T.StructType([*df.schema.fields, T.StructField(page_col, T.LongType())]))
+    return map_arrow(keyed.join(per_page, page_col, "left"), run, schema)

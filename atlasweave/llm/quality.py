@@ -170,11 +170,11 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df without its text, with statistics: FEATURES numbers of each whole text; staged."""
-    return staged(_measured(df, text_col, None, False), "statistics")
+    """df without its text, with statistics (in place of a column of that name): FEATURES numbers of each whole text; staged."""
+    return staged(_measured(df.drop("statistics"), text_col, None, "statistics", False), "statistics")
 
 
-def _measured(df: DataFrame, text_col: str, trees: Trees | None, keep_text: bool) -> DataFrame:
+def _measured(df: DataFrame, text_col: str, trees: Trees | None, out_col: str, keep_text: bool) -> DataFrame:
     kept = [f for f in df.schema.fields if keep_text or f.name != text_col]
     names = [f.name for f in kept]
 
@@ -182,9 +182,9 @@ def _measured(df: DataFrame, text_col: str, trees: Trees | None, keep_text: bool
         for batch in slices(batches, text_col):
             x = statistics(batch.column(batch.schema.get_field_index(text_col)))
             made = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float32())) if trees is None else pa.array(trees.score(x))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], made], [*names, "statistics" if trees is None else "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], made], [*names, out_col])
 
-    field = T.StructField("statistics", T.ArrayType(T.FloatType())) if trees is None else T.StructField("score", T.DoubleType())
+    field = T.StructField(out_col, T.ArrayType(T.FloatType()) if trees is None else T.DoubleType())
     return map_arrow(df, run, T.StructType([*kept, field]))
 
 
@@ -197,14 +197,15 @@ def label_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qu
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labels: int = MAX_LABELS) -> Trees:
     """Grow trees on the measured rows that the sample of labels names."""
     sample = label_sample(labels, id_col, label_col, max_labels)  # bounded, so it may be broadcast
-    rows = stats.join(F.broadcast(sample), stats[id_col] == F.col("__id")).select("statistics", "__y").limit(2 * max_labels).toArrow()
+    rows = stats.select(F.col(id_col).alias("__doc"), "statistics").join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("statistics", "__y").limit(2 * max_labels).toArrow()
     x = rows.column("statistics").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     order = np.lexsort(x.T)  # the rows' order differs from run to run
     return grow(x[order], rows.column("__y").to_numpy().astype(float)[order])
 
 
 def scores(stats: DataFrame, trees: Trees) -> DataFrame:
-    """Measured rows with score, the chance of label 1, in place of statistics."""
+    """Measured rows with score, the chance of label 1, in place of statistics and of a column of that name."""
+    stats = stats.drop("score")
     names = [c for c in stats.columns if c != "statistics"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +217,6 @@ def scores(stats: DataFrame, trees: Trees) -> DataFrame:
     return map_arrow(stats, run, T.StructType([*[f for f in stats.schema.fields if f.name in names], T.StructField("score", T.DoubleType())]))
 
 
-def scored(df: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """df, texts included, with score; null and empty texts are scored like any other."""
-    return _measured(df, text_col, trees, True)
+def scored(df: DataFrame, trees: Trees, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """df, texts included, with out_col, which displaces a column of that name; null and empty texts are scored like any other."""
+    return _measured(df.drop(out_col), text_col, trees, out_col, True)

@@ -136,12 +136,10 @@ def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df without its text, with base and spans: arrays of (start, kind, end) by start, kind as numbered in KINDS.
 
     Positions count code points, ends are exclusive. Null counts as empty, an empty text has none; columns named base,
-    candidates or spans are refused. Strata are few (encodings times classes of length), so their thresholds are plain
+    candidates or spans give way. Strata are few (encodings times classes of length), so their thresholds are plain
     numbers in the plan.
     """
-    if {"base", "candidates", "spans"} & set(df.columns):
-        raise ValueError("columns base, candidates and spans are made here")
-    scanned = staged(_scan(df, text_col), "secrets")
+    scanned = staged(_scan(df.drop("base", "candidates", "spans"), text_col), "secrets")
     each = scanned.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin").count()
     upto = Window.partitionBy("stratum").orderBy("bin")
     whole = Window.partitionBy("stratum")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, dedup, ngram_join, quality as classifier
+from .common import fresh
 from .mixing import mix
 
 #: Documents scored lower are rejected.
@@ -19,7 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sample = classifier.label_sample(labels).select(F.col("__id").alias("doc_id")).distinct()  # bounded, so it may be broadcast
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")
     trees = classifier.fit(classifier.measured(labelled), labels)
-    return classifier.scored(docs, trees).filter(F.col("score") >= LEAST_QUALITY).drop("score")
+    score = fresh(docs, "score")
+    return classifier.scored(docs, trees, out_col=score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

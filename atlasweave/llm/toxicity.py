@@ -139,7 +139,8 @@ def _regress(index: np.ndarray, offsets: np.ndarray, y: np.ndarray, ratios: np.n
 
 
 def scored(df: DataFrame, model: Linear, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """df with score, the chance of label 1, by its whole text; null and empty texts get the bias alone."""
+    """df with score (in place of a column of that name), the chance of label 1, by its whole text; null and empty texts get the bias alone."""
+    df = df.drop("score")
     kept = [f for f in df.schema.fields if keep_text or f.name != text_col]
     names = [f.name for f in kept]
     held = df.sparkSession.sparkContext.broadcast(model)
