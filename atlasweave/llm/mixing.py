@@ -22,6 +22,7 @@ SHARDS = 16
 REPEATS = 3
 #: Sources up to this number are broadcast; beyond it the join shuffles and splits hot sources.
 FEW_SOURCES = 20_000
+_PLAN = ("passes", "cut1", "cut2", "limit", "extra", "offsets")
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -103,36 +104,54 @@ def plan(sizes: DataFrame, seed: int = 0, shards: int = SHARDS) -> DataFrame:
     ranked = ranked.withColumn("rest", F.when(F.col("passes") < REPEATS, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0))
     ranked = staged(ranked.select("source", "place", "source_size", "target", "passes", "rest"), "sources")
 
-    def cut(parts: DataFrame, rest: DataFrame, shift: int) -> DataFrame:
-        """Of each source, the part of the order that the rest falls in, and what of it is left for inside that part."""
-        run = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        filled = parts.join(rest, "place").withColumn("upto", F.sum("words").over(run))
-        found = filled.groupBy("place").agg(F.sum(F.when(F.col("upto") <= F.col("rest"), F.col("words"))).alias("used"), F.min(F.when(F.col("upto") > F.col("rest"), F.col("part"))).alias("at"))
-        begin = F.when(F.col("at").isNull(), F.lit(1 << (shift + 8)).cast("long")).otherwise(F.col("at") * F.lit(1 << shift).cast("long"))
-        return rest.join(found, "place").select("place", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"), F.col("at").isNull().alias("all"), (F.col("base") + begin).alias("base"))
-
-    rest = ranked.select("place", "rest", F.lit(0).cast("long").alias("base"))
-    named = ranked.select("source", "place")
-    found = staged(cut(_beside(per_block, named).select("place", F.col("block").alias("part"), "words"), rest, 24), "cut")
-    cuts = found.filter("all").select("place", F.col("base").alias("cut"), "rest")
-    for shift in (16, 8, 0):
-        rest = found.filter(~F.col("all")).select("place", "rest", "base")
-        inside = _beside(sizes, named.join(rest, "place")).filter((F.col("ord") >= F.col("base")) & (F.col("ord") < F.col("base") + F.lit(1 << (shift + 8)).cast("long")))
-        parts = inside.groupBy("place", F.shiftright(F.col("ord") - F.col("base"), shift).alias("part")).agg(F.sum("size").alias("words"))
-        found = staged(cut(parts, rest, shift), "cut")
-        cuts = cuts.unionByName(found.filter("all").select("place", F.col("base").alias("cut"), "rest"))
-    cuts = staged(cuts.unionByName(found.filter(~F.col("all")).select("place", F.col("base").alias("cut"), "rest")), "cut")
-    # What is left is less than the document at the cut: one more document, the nearest in size, closes the gap.
-    gap = F.abs(F.col("size") - F.col("rest"))
-    beyond = _beside(sizes, named.join(cuts, "place")).filter((F.col("ord") >= F.col("cut")) & (F.col("size") > 0) & (gap < F.col("rest")))
+    few = ranked.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    placed = _beside(sizes, ranked.select("source", "place")).drop("source")
+    first = _fill(placed, ranked.select("place", "rest"), few).withColumnRenamed("cut", "cut1").withColumnRenamed("rest", "rest1")
+    # The document at the cut may be long: the order goes on with documents no longer than what is left, then one more
+    # document, the nearest in size, closes the gap.
+    shorter = _with(placed, first, few).filter((F.col("ord") >= F.col("cut1")) & (F.col("size") <= F.col("rest1"))).select("place", "size", "ord")
+    second = _fill(shorter, first.select("place", F.col("rest1").alias("rest")), few).withColumnRenamed("cut", "cut2").withColumnRenamed("rest", "rest2")
+    cuts = staged(first.join(second, "place"), "cuts")
+    gap = F.abs(F.col("size") - F.col("rest2"))
+    taken = (F.col("ord") < F.col("cut1")) | (F.col("ord") < F.col("cut2")) & (F.col("size") <= F.col("rest1"))
+    beyond = _with(placed, cuts, few).filter(~taken & (F.col("size") > 0) & (gap < F.col("rest2")))
     extra = beyond.groupBy("place").agg(F.min(F.struct(gap.alias("gap"), "ord"))["ord"].alias("extra"))
-    ranked = ranked.drop("rest").join(cuts.select("place", "cut"), "place", "left").join(extra, "place", "left").withColumn("cut", F.coalesce("cut", F.lit(0).cast("long")))
-    last = F.least(F.ceil(F.col("cut") / float(1 << 24)), F.lit(BLOCKS)).cast("long")
+    ranked = ranked.drop("rest").join(cuts.select("place", "cut1", "cut2", F.col("rest1").alias("limit")), "place").join(extra, "place", "left")
+    last = F.least(F.ceil(F.greatest("cut1", "cut2") / float(1 << 24)), F.lit(BLOCKS)).cast("long")
     ranked = staged(ranked.withColumn("quota", F.col("passes") * BLOCKS + last), "quotas")
     offsets = _split_tree(ranked.select("place", "quota"), seed, shards)
     return staged(ranked.join(offsets, "place"), "mix-plan")
 
 
+def _with(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    """rows with the columns of their source's place."""
+    return rows.join(F.broadcast(table) if few else table, "place")
+
+
+def _fill(rows: DataFrame, rest: DataFrame, few: bool) -> DataFrame:
+    """(place, cut, rest): how far in the order a source's rows fit into its rest, and what is left then; staged.
+
+    rows has (place, size, ord). The cut is found by 8 bits of the order at a time, from sums over parts of it.
+    """
+    rest = rest.withColumn("base", F.lit(0).cast("long"))
+    done = None
+    run = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for shift in (24, 16, 8, 0):
+        width = F.lit(1 << (shift + 8)).cast("long")
+        inside = _with(rows, rest.select("place", "base"), few).filter((F.col("ord") >= F.col("base")) & (F.col("ord") < F.col("base") + width))
+        parts = inside.groupBy("place", F.shiftright(F.col("ord") - F.col("base"), shift).alias("part")).agg(F.sum("size").alias("words"))
+        filled = parts.join(rest, "place").withColumn("upto", F.sum("words").over(run))
+        fits = F.sum(F.when(F.col("upto") <= F.col("rest"), F.col("words"))).alias("used")
+        found = filled.groupBy("place").agg(fits, F.min(F.when(F.col("upto") > F.col("rest"), F.col("part"))).alias("at"))
+        begin = F.when(F.col("at").isNull(), width).otherwise(F.col("at") * F.lit(1 << shift).cast("long"))
+        step = staged(rest.join(found, "place", "left").select("place", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"), F.col("at").isNull().alias("all"), (F.col("base") + begin).alias("base")), "cut")
+        ends = step if not shift else step.filter("all")
+        ends = ends.select("place", F.col("base").alias("cut"), "rest")
+        done = ends if done is None else done.unionByName(ends)
+        rest = step.filter(~F.col("all")).select("place", "rest", "base")
+    return staged(done, "filled")
+
+
 def _beside(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     """rows with the columns of their source: broadcast while sources are few, else a shuffled join that splits hot sources."""
     other = per_source.withColumnRenamed("source", "__source")
@@ -147,7 +166,8 @@ def measured(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 
 def _draws(seed: int) -> tuple[Column, Column]:
     """The copies of a row and their number: an array of (pass, shard, place in the shard); pass p of block b is draw p * BLOCKS + b."""
-    copies = F.col("passes") + ((F.col("ord") < F.col("cut")) | F.coalesce(F.col("ord") == F.col("extra"), F.lit(False))).cast("long")
+    last = (F.col("ord") < F.col("cut1")) | (F.col("ord") < F.col("cut2")) & (F.col("size") <= F.col("limit")) | F.coalesce(F.col("ord") == F.col("extra"), F.lit(False))
+    copies = F.col("passes") + ((F.col("passes") < REPEATS) & last).cast("long")
     return F.expr(
         f"transform(if(size > 0 and __copies > 0, sequence(0L, __copies - 1), cast(array() as array<bigint>)), p -> named_struct('pass', p, "
         f"'shard', size(filter(offsets, o -> o <= p * {BLOCKS} + shiftright(ord, 24))) - 1, 'shuffle', xxhash64({seed}L, ord, p)))"
@@ -157,8 +177,8 @@ def _draws(seed: int) -> tuple[Column, Column]:
 def mix_sizes(sizes: DataFrame, seed: int = 0, shards: int = SHARDS) -> DataFrame:
     """Rows of measured() with source_size, target and draws, the array of the copies that the mix takes."""
     draws, copies = _draws(seed)
-    found = _beside(sizes, plan(sizes, seed, shards).select("source", "source_size", "target", "passes", "cut", "extra", "offsets"))
-    return found.withColumn("__copies", copies).withColumn("draws", draws).drop("__copies", "passes", "cut", "extra", "offsets")
+    found = _beside(sizes, plan(sizes, seed, shards).select("source", "source_size", "target", *_PLAN))
+    return found.withColumn("__copies", copies).withColumn("draws", draws).drop("__copies", *_PLAN)
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, shards: int = SHARDS) -> DataFrame:
@@ -168,7 +188,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     The order depends on id, text and seed alone, so reruns agree; rows alike in both are taken together.
     """
     sizes = measured(df, id_col, text_col, source_col, seed)
-    table = plan(sizes, seed, shards).select("source", "source_size", "target", "passes", "cut", "extra", "offsets")
+    table = plan(sizes, seed, shards).select("source", "source_size", "target", *_PLAN)
     rows = df.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _order(id_col, text_col, seed).alias("ord"))
     draws, copies = _draws(seed)
     taken = _beside(rows, table).withColumn("__copies", copies).select("row", F.explode(draws).alias("draw"))
