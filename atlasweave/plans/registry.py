@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import directory, maps, resolution
+from . import directory, maps, outputs, resolution
 
-_PARTS = (resolution, directory, maps)
+_PARTS = (resolution, directory, maps, outputs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
