@@ -23,7 +23,7 @@ from .common import map_arrow, mix, same_spans, slices, span_hash, utf8
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Merged pre-tokens kept by a worker in each of two generations.
-CACHE = 350_000
+CACHE = 200_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -269,7 +269,7 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", out_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 2_000_000):
             ids, offsets = encoder.encode_batch(batch.column(batch.schema.get_field_index(text_col)))
             column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out_col])
