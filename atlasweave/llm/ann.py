@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, staged
+from .common import hash_sample, map_arrow, staged
 
 #: Vectors that the centroids are fitted on, at most: those of least hash.
 SAMPLE = 8192
@@ -148,8 +148,9 @@ def index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") ->
     sizes = df.filter(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = sizes[0]["dim"] if sizes else 1
     rows = df.filter(F.col(id_col).isNotNull() & usable(vec_col, dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    sample = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
-    model = fit(_matrix(sample, dim) if len(sample) else np.zeros((0, dim)), dim)
+    sample = hash_sample(rows, "id", SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
+    x = _matrix(sample, dim) if len(sample) else np.zeros((0, dim))
+    model = fit(x[np.lexsort(x.T)], dim)  # rows come in any order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,7 +31,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut and lost executors cost no recomputation."""
     path = stage_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stage_path = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing will read again."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
@@ -40,6 +49,13 @@ def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) ->
     return df.mapInArrow(function, schema)
 
 
+def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """All rows of df, or if there are more than bound, about bound of them by least hash of a key: no task sees them all."""
+    n = df.count()
+    share = int(0.97 * bound / max(n, 1) * (1 << 31))
+    return (df if n <= bound else df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < share)).limit(bound)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores after it, so that df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +17,9 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
         found = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         found = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return staged(found.filter("u <> v").distinct(), "star")
+    out = staged(found.filter("u <> v").distinct(), "star")
+    discard(least)
+    return out
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -25,7 +27,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     while True:
-        edges = _star(_star(edges, True), False)
+        large = _star(edges, True)
+        small = _star(large, False)
+        discard(edges, large)
+        edges = small
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
         if now == before or not now["n"]:
             break

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .common import staged
 
-#: Ranges of the random order, 8 bits each: blocks, then parts of the block that the cut falls in.
+#: Equal ranges of a source's random order, which are what shards draw.
 BLOCKS = 256
 #: Output shards, a power of two.
 SHARDS = 16
@@ -84,9 +84,7 @@ def plan(sizes: DataFrame, seed: int = 0, shards: int = SHARDS) -> DataFrame:
     none above REPEATS times its size, the excess shared again by weight: the level at which the weights' shares, each
     held under its cap, use up all words.
     """
-    block = F.shiftright("ord", 24)
-    per_block = sizes.groupBy("source", block.alias("block")).agg(F.sum("size").alias("words"))
-    sources = per_block.groupBy("source").agg(F.sum("words").alias("source_size"))
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     every = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sources.withColumn("place", F.row_number().over(every).cast("long")).withColumn("weight", ((F.col("place") - 1) % 3 + 1).cast("double"))
     cap = F.col("source_size") * float(REPEATS)
@@ -131,13 +129,13 @@ def _with(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
 def _fill(rows: DataFrame, rest: DataFrame, few: bool) -> DataFrame:
     """(place, cut, rest): how far in the order a source's rows fit into its rest, and what is left then; staged.
 
-    rows has (place, size, ord). The cut is found by 8 bits of the order at a time, from sums over parts of it.
+    rows has (place, size, ord). The cut is found by 16 bits of the order at a time, from sums over parts of it.
     """
     rest = rest.withColumn("base", F.lit(0).cast("long"))
     done = None
     run = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for shift in (24, 16, 8, 0):
-        width = F.lit(1 << (shift + 8)).cast("long")
+    for shift in (16, 0):
+        width = F.lit(1 << (shift + 16)).cast("long")
         inside = _with(rows, rest.select("place", "base"), few).filter((F.col("ord") >= F.col("base")) & (F.col("ord") < F.col("base") + width))
         parts = inside.groupBy("place", F.shiftright(F.col("ord") - F.col("base"), shift).alias("part")).agg(F.sum("size").alias("words"))
         filled = parts.join(rest, "place").withColumn("upto", F.sum("words").over(run))

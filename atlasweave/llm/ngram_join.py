@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, mix, slices, span_hash, staged, utf8, words
+from .common import discard, map_arrow, mix, slices, span_hash, staged, utf8, words
 from .components import connected_components
 
 #: Groups of the count vectors that the trees index.
@@ -180,11 +180,11 @@ def likely_pairs(n: np.ndarray, counts: np.ndarray, num: int, den: int) -> list[
     return out
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, h1, h2, signatures) of each row, staged: h1 and h2 name the set."""
+def _sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, n_shingles, h1, h2) of each row, staged: h1 and h2 name the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 2_000_000):
+        for batch in slices(batches, "text", 2_000_000):
             h, offsets = shingles(batch.column(1), width)
             some = np.diff(offsets) > 0
             names = []
@@ -193,17 +193,31 @@ def _sets(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den:
                 if some.any():
                     total[some] = np.add.reduceat(mix(h ^ np.uint64(seed * 0xD1342543DE82EF95 & (1 << 64) - 1)), offsets[:-1][some])
                 names.append(pa.array(total.view(np.int64)))
-            sig, at = signatures(h, offsets, num, den)
-            listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sig.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), *names, listed], ["id", "n_shingles", "h1", "h2", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), *names], ["id", "n_shingles", "h1", "h2"])
+
+    return staged(map_arrow(_texts(df, id_col, text_col), run, "id long, n_shingles long, h1 long, h2 long"), "sets")
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def _signed(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(sig, id) of each row (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2_000_000):
+            sig, at = signatures(*shingles(batch.column(1), width), num, den)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(at))
+            for i in range(0, len(sig), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + 100_000].view(np.int64)), pa.array(ids[i : i + 100_000])], ["sig", "id"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return staged(map_arrow(rows, run, "id long, n_shingles long, h1 long, h2 long, signatures array<long>"), "sets")
+    return map_arrow(rows, run, "sig long, id long")
 
 
-def _buckets(points: DataFrame) -> DataFrame:
+def _buckets(signed: DataFrame) -> DataFrame:
     """(sig, members, large): points that share a signature, in chunks; large where a bucket has several chunks."""
-    rows = points.select(F.explode("signatures").alias("sig"), "id").repartition("sig").sortWithinPartitions("sig", "id")
+    rows = signed.repartition("sig").sortWithinPartitions("sig", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_sig, held = None, np.zeros(0, np.int64)  # the chunk that the last rows began
@@ -245,7 +259,7 @@ def _buckets(points: DataFrame) -> DataFrame:
 
 def _point_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, n, counts, members) of the wanted ids, from their texts; staged."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
+    rows = _texts(df, id_col, text_col).join(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
@@ -342,21 +356,23 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Null and empty texts have no n-grams and link with nothing; a text of fewer words than width is one n-gram. Rows of
     one id but different texts are separate; a null id has a null component unless its text is that of another row.
     """
-    sets = _sets(df, id_col, text_col, width, num, den)
+    sets = _sets(df, id_col, text_col, width)
     names = ["h1", "h2", "n_shingles"]
-    same = sets.filter("n_shingles > 0").groupBy(*names)
-    points = same.agg(F.min("id").alias("id"), F.first("signatures").alias("signatures")).filter("id is not null")
-    buckets = _buckets(points)
+    groups = staged(sets.filter("n_shingles > 0").groupBy(*names).agg(F.min("id").alias("least")), "groups")
+    # A set's point is its least id; texts of the other ids are left out by a list that Spark broadcasts while it is short.
+    copies = staged(sets.filter("n_shingles > 0 AND id IS NOT NULL").join(groups, names).filter("id <> least").select("id").distinct().join(groups.select(F.col("least").alias("id")), "id", "left_anti"), "copies")
+    buckets = _buckets(_signed(_texts(df, id_col, text_col).filter("id IS NOT NULL").join(copies, "id", "left_anti"), width, num, den))
     wanted = staged(buckets.select(F.explode("members").alias("id")).distinct(), "wanted")
     point_sets = _point_sets(df, wanted, id_col, text_col, width)
     tried = _forest_pairs(buckets, point_sets, num, den)
     links = _verified(tried, point_sets, num, den)
     labels = staged(connected_components(links), "labels")
-    more = _verified(_cross_pairs(buckets, point_sets, labels, tried, num, den), point_sets, num, den)
+    cross = _cross_pairs(buckets, point_sets, labels, tried, num, den)
+    more = _verified(cross, point_sets, num, den)
     if not more.isEmpty():
         labels = staged(connected_components(links.unionByName(more)), "labels")
-    groups = sets.filter("n_shingles > 0").groupBy(*names).agg(F.min("id").alias("least"))
     named = staged(groups.join(labels, groups["least"] == labels["id"], "left").select(*names, F.coalesce("component", "least").alias("component")), "named")
+    discard(copies, buckets, wanted, point_sets, tried, links, cross, more, groups)
     rows = sets.select("id", *names)
     # Staged on both sides, so that Spark can split the rows of a very large group of copies.
     return rows.join(named, names, "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, map_arrow, slices, span_hash, staged, utf8, words
+from .common import crc_mod, hash_sample, map_arrow, slices, span_hash, staged, utf8, words
 
 #: Labelled rows that the trees are grown on, at most: those of least hash.
 MAX_LABELS = 30_000
@@ -191,7 +191,7 @@ def _measured(df: DataFrame, text_col: str, trees: Trees | None, out_col: str, k
 def label_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labels: int = MAX_LABELS) -> DataFrame:
     """(__id, __y): the labels learned from, all but those whose crc32 of the id leaves 2 modulo 4, max_labels at most."""
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(id_col, 4) != 2)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y"))
-    return usable.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_labels)
+    return hash_sample(usable, "__id", max_labels)
 
 
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labels: int = MAX_LABELS) -> Trees:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, map_arrow, slices, staged, utf8
+from .common import crc_mod, hash_sample, map_arrow, slices, staged, utf8
 
 #: Labelled texts learned from, at most: those of least hash.
 MAX_LABELS = 20_000
@@ -77,7 +77,7 @@ class Linear:
 def _counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int32)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1_000_000):  # all n-grams of a slice are held at once
             text, bucket = ngrams(batch.column(batch.schema.get_field_index("text")))
             y = batch.column(batch.schema.get_field_index("y")).to_numpy()
             for k in (0, 1):
@@ -93,7 +93,7 @@ def _counts(sample: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS) -> Linear:
     """Learn from labelled rows, all but those whose crc32 of the id leaves 0 modulo 5. With no or one class: a constant."""
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(id_col, 5) != 0)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
-    chosen = usable.orderBy(F.xxhash64("__id"), "__id", "y").limit(max_labels)  # bounded, so it may be broadcast
+    chosen = hash_sample(usable, "__id", max_labels)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
     sample = staged(rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("text", "y"), "toxic-sample")
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
@@ -109,14 +109,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratios[kept.column("bucket").to_numpy()] = kept.column("ratio").to_numpy()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            text, bucket = ngrams(batch.column(batch.schema.get_field_index("text")), ratios != 0)
+        wanted = ratios != 0
+        for batch in slices(batches, "text", 2_000_000):
+            text, bucket = ngrams(batch.column(batch.schema.get_field_index("text")), wanted)
             ends = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], ["y", "x"])
 
-    table = map_arrow(sample, features, "y int, x array<int>").orderBy(F.xxhash64("x"), "y").toArrow()
+    table = map_arrow(sample, features, "y int, x array<int>").toArrow()
     x = table.column("x").combine_chunks()
-    return _regress(x.flatten().to_numpy(zero_copy_only=False), np.asarray(x.offsets), table.column("y").to_numpy().astype(float), ratios, prior)
+    flat, ends, y = x.flatten().to_numpy(zero_copy_only=False), np.asarray(x.offsets), table.column("y").to_numpy()
+    rows = sorted((flat[a:b].tobytes(), int(k)) for a, b, k in zip(ends[:-1], ends[1:], y, strict=True))  # they come in any order
+    sizes = [len(x) // 4 for x, _ in rows]
+    return _regress(np.frombuffer(b"".join(x for x, _ in rows), np.int32), np.cumsum([0, *sizes]), np.array([k for _, k in rows], float), ratios, prior)
 
 
 def _regress(index: np.ndarray, offsets: np.ndarray, y: np.ndarray, ratios: np.ndarray, prior: float) -> Linear:
@@ -146,7 +150,7 @@ def scored(df: DataFrame, model: Linear, text_col: str = "text", keep_text: bool
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 2_000_000):
             score = held.value.score(batch.column(batch.schema.get_field_index(text_col)))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(score)], [*names, "score"])
 
