@@ -131,10 +131,13 @@ def parse(source: str) -> Node:
 
 
 def _walk(node: Node) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, Node):
-            yield child
-            yield from _walk(child)
+    """All nodes below, in no order; like the walks below without recursion, as pages nest as deep as they like."""
+    waiting = [node]
+    while waiting:
+        for child in waiting.pop().children:
+            if isinstance(child, Node):
+                yield child
+                waiting.append(child)
 
 
 def _subtree(source: str, node: Node) -> int:
@@ -145,17 +148,16 @@ def _mains(node: Node) -> list[Node]:
     """The outermost articles, else main elements."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
 
-    def look(x: Node) -> None:
-        for child in x.children:
-            if isinstance(child, Node) and not (child.dropped and not child.main):
-                if child.tag == "article" and not child.dropped:
-                    found["article"].append(child)
-                else:
-                    if child.tag == "main":
-                        found["main"].append(child)
-                    look(child)
-
-    look(node)
+    waiting = node.children[::-1]
+    while waiting:
+        child = waiting.pop()
+        if isinstance(child, Node) and not (child.dropped and not child.main):
+            if child.tag == "article" and not child.dropped:
+                found["article"].append(child)
+            else:
+                if child.tag == "main":
+                    found["main"].append(child)
+                waiting += reversed(child.children)
     return found["article"] or found["main"]
 
 
@@ -170,8 +172,13 @@ def main_text(source: str, root: Node, templates: set[int] | frozenset[int], sal
         if text:
             blocks.append(text)
 
-    def visit(node: Node) -> None:
-        for child in node.children:
+    for start in _mains(root) or [root]:
+        waiting: list[Node | str | None] = start.children[::-1]  # None: a block ends
+        while waiting:
+            child = waiting.pop()
+            if child is None:
+                flush()
+                continue
             if isinstance(child, str):
                 parts.append(child)
                 continue
@@ -181,16 +188,11 @@ def main_text(source: str, root: Node, templates: set[int] | frozenset[int], sal
             if child.tag == "br":
                 parts.append(" ")
                 continue
-            block = child.tag in _BLOCK
-            if block:
+            if child.tag in _BLOCK:
                 flush()
+                waiting.append(None)
             if not (templates and child.tag in _COUNTED and not child.main and _subtree(source, child) ^ salt in templates):
-                visit(child)
-            if block:
-                flush()
-
-    for start in _mains(root) or [root]:
-        visit(start)
+                waiting += reversed(child.children)
         flush()
     return "\n\n".join(blocks)
 

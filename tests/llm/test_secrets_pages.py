@@ -59,6 +59,13 @@ def test_main_text():
     assert text_of("<article><p>yes</p><section class='comment-list'><p>no</p></section></article>") == "yes"
 
 
+def test_deeply_nested_pages(spark):
+    deep = "<div>" * 3000 + "<p>x</p>" + "</div>" * 3000
+    assert text_of(deep) == "x" and text_of(f"<article>a{deep}b</article>") == "a\n\nx\n\nb"
+    df = spark.createDataFrame([(1, "http://a.b/", deep)], "page_id long, url string, html string")
+    assert pages.main_texts(df).first().main_text == "x"
+
+
 def test_templates_by_host_and_copies_kept(spark):
     box = "<div><p>Join our club today</p></div>"
     rows = [(k, f"http://Site.example/{k}", page("", f"<p>story {k}</p>{box}")) for k in range(30)]
