@@ -11,7 +11,8 @@ only by sets with more than z empty ranges: their partners have as many.) Equal
 
 Buckets give a spanning forest of likely pairs first; the links found join points to components, and only buckets whose
 points are still apart are searched in full, points outside the bucket's largest component against all others, in
-bounded slices. So a large group of near copies is never expanded into all its pairs.
+bounded slices. So a large group of near copies is never expanded into all its pairs. As a pair may meet in many buckets,
+that search bounds what the tree has found once more, by counts in more groups, before it gives a pair.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from .common import discard, map_arrow, mix, slices, span_hash, staged, utf8, words
 from .components import connected_components
 
-#: Groups of the count vectors that the trees index.
-GROUPS = 64
+#: Groups of the count vectors that the trees index, and those of the finer vectors that bound what a tree has found again.
+GROUPS, FINE = 64, 1024
 #: Points in a chunk of a bucket; buckets up to SMALL give all their pairs at once.
 CHUNK, SMALL, LEAF = 256, 3, 8
 _SIZES = 1.4  # ratio of the ends of a size class
@@ -258,23 +259,38 @@ def _buckets(signed: DataFrame) -> DataFrame:
 
 
 def _point_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, counts, members) of the wanted ids, from their texts; staged."""
+    """(id, n, counts, fine, members) of the wanted ids, from their texts; staged."""
     rows = _texts(df, id_col, text_col).join(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
             h, offsets = shingles(batch.column(1), width)
-            n = np.diff(offsets)
-            owner = np.repeat(np.arange(len(n)), n)
-            counts = np.bincount(owner * GROUPS + (h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(n) * GROUPS).astype("<u4").reshape(-1, GROUPS)
-            sets = [h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array(sets, pa.binary())], ["id", "n", "counts", "members"])
-
-    return staged(map_arrow(rows, run, "id long, n long, counts binary, members binary"), "points")
-
-
-def _counts_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+            counts, fine, sets = [], [], []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                own = np.bincount((h[a:b] & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
+                counts.append(_packed(own.reshape(-1, GROUPS).sum(axis=0)))
+                fine.append(_packed(own))
+                sets.append(h[a:b].tobytes())
+            made = [pa.array(x, pa.binary()) for x in (counts, fine, sets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), *made], ["id", "n", "counts", "fine", "members"])
+
+    return staged(map_arrow(rows, run, "id long, n long, counts binary, fine binary, members binary"), "points")
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the greatest needs: one in almost every set."""
+    most = counts.max()
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(column: pa.Array, groups: int) -> np.ndarray:
+    rows = column.to_pylist()
+    width = np.array([len(x) for x in rows], np.int64) // groups
+    out = np.empty((len(rows), groups), np.int64)
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        out[own] = np.frombuffer(b"".join([rows[k] for k in own]), f"<u{w}").reshape(-1, groups)
+    return out
 
 
 def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -292,7 +308,7 @@ def _forest_pairs(buckets: DataFrame, points: DataFrame, num: int, den: int) ->
             found = []
             for k in range(batch.num_rows):
                 p = batch.column(0)[k].values
-                ids, n, counts = p.field("id").to_numpy(), p.field("n").to_numpy(), _counts_of(p.field("counts"))
+                ids, n, counts = p.field("id").to_numpy(), p.field("n").to_numpy(), _unpacked(p.field("counts"), GROUPS)
                 found += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in likely_pairs(n, counts, num, den) if ids[i] != ids[j]]
             yield _pair_batch(found)
 
@@ -330,8 +346,8 @@ def _cross_pairs(buckets: DataFrame, points: DataFrame, labels: DataFrame, tried
     keep = ("group", "id", "component")
     targets = apart.select(*keep, F.pmod("h", F.col("chunks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(False).alias("asks"))
     asks = apart.filter("component <> main").select(*keep, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.pmod("h", F.col("parts")).alias("j"), F.lit(True).alias("asks"))
-    rows = targets.unionByName(asks.select(targets.columns)).join(points.select("id", "n", "counts"), "id")
-    groups = rows.groupBy("group", "i", "j").agg(F.collect_list(F.struct("id", "n", "counts", "component", "asks")).alias("p"))
+    rows = targets.unionByName(asks.select(targets.columns)).join(points.select("id", "n", "fine"), "id")
+    groups = rows.groupBy("group", "i", "j").agg(F.collect_list(F.struct("id", "n", "fine", "component", "asks")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,12 +355,15 @@ def _cross_pairs(buckets: DataFrame, points: DataFrame, labels: DataFrame, tried
             for k in range(batch.num_rows):
                 p = batch.column(0)[k].values
                 ids, n, part = (p.field(c).to_numpy() for c in ("id", "n", "component"))
-                asking, counts = p.field("asks").to_numpy(zero_copy_only=False), _counts_of(p.field("counts"))
+                asking, fine = p.field("asks").to_numpy(zero_copy_only=False), _unpacked(p.field("fine"), FINE)
+                counts = fine.reshape(len(fine), -1, GROUPS).sum(axis=1)
                 there = np.flatnonzero(~asking)
                 tree = CountTree(n[there], counts[there])
                 for q in np.flatnonzero(asking):
                     near = there[tree.near(n[q], counts[q], num, den)[0]]
-                    found |= {(int(min(ids[q], ids[t])), int(max(ids[q], ids[t]))) for t in near[part[near] != part[q]]}
+                    near = near[part[near] != part[q]]
+                    near = near[np.minimum(fine[near], fine[q]).sum(axis=1) * (den + num) >= num * (n[near] + n[q])]
+                    found |= {(int(min(ids[q], ids[t])), int(max(ids[q], ids[t]))) for t in near}
             yield _pair_batch(sorted(found))
 
     return staged(map_arrow(groups.select("p"), run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "cross")

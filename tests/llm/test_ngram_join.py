@@ -103,6 +103,14 @@ def test_tree_finds_what_the_bound_allows():
         assert (bound == every[at]).all()
 
 
+def test_counts_of_any_size_pack():
+    counts = [np.arange(ngram_join.GROUPS) * k for k in (0, 1, 4, 5, 1040, 1041, 100_000)]
+    packed = pa.array([ngram_join._packed(c) for c in counts], pa.binary())
+    assert [len(x) // ngram_join.GROUPS for x in packed.to_pylist()] == [1, 1, 1, 2, 2, 4, 4]
+    assert (ngram_join._unpacked(packed, ngram_join.GROUPS) == np.array(counts)).all()
+    assert ngram_join._unpacked(packed[:0], ngram_join.GROUPS).shape == (0, ngram_join.GROUPS)
+
+
 def test_words_of_odd_texts():
     h, offsets = ngram_join.shingles(pa.array(["a b c", None, "", "a  b\tc", "A\x0bB\x0cC", "a", "c b a", "x\xa0y z w"]), 3)
     assert np.diff(offsets).tolist() == [1, 0, 0, 1, 1, 1, 1, 1]
