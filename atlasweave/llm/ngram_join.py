@@ -323,9 +323,8 @@ def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
+            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), batch.column(3), strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y)]))  # sets are read in place
                 same = int((both[1:] == both[:-1]).sum())
                 if den * same >= num * (len(both) - same):
                     found.append((a, b))
