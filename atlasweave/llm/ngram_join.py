@@ -31,7 +31,7 @@ from .common import discard, map_arrow, mix, slices, span_hash, staged, utf8, wo
 from .components import connected_components
 
 #: Groups of the count vectors that the trees index, and those of the finer vectors that bound what a tree has found again.
-GROUPS, FINE = 64, 1024
+GROUPS, FINE = 64, 256
 #: Points in a chunk of a bucket; buckets up to SMALL give all their pairs at once.
 CHUNK, SMALL, LEAF = 256, 3, 8
 _SIZES = 1.4  # ratio of the ends of a size class
