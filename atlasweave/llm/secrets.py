@@ -4,7 +4,8 @@ Each candidate run gets an encoding by the characters it uses. Under the hypothe
 a chi-squared test of a uniform alphabet, a runs test and a lag-one serial correlation test give p-values, joined by
 Bonferroni's rule. Over the whole corpus, within each encoding and class of length, the Benjamini-Hochberg procedure
 decides which candidates are no random strings; the others are reported. An encoding has a least length, below which the
-tests could not tell text from secrets.
+tests could not tell text from secrets. A run that no encoding holds, as it mixes + or / with - or _, is tested in parts;
+parts overlap where one reading of the run takes in more than another, and so may the spans reported of it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("passw", "secret", "token", "api")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+#: Readings of a run that no encoding holds: maximal parts in base64, in base64url, and between any of the four marks.
+_PARTS = tuple(re.compile(x) for x in (r"[A-Za-z0-9+/]+", r"[A-Za-z0-9_-]+", r"[A-Za-z0-9]+"))
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings from the narrowest: name, alphabet in order, least length.
 ENCODINGS = (
@@ -91,21 +94,31 @@ def battery(symbols: list[int], size: int) -> float:
     return min(1.0, 3 * min(uniform, turns, serial))
 
 
+def _candidate(run: str, start: int) -> tuple[int, int, int, int] | None:
+    """What candidates gives of a run in one encoding; None if it is too short for it."""
+    used = set(run)
+    for k, index, least in _SETS:
+        if used <= index.keys():
+            if len(run) < least:
+                return None
+            p = battery([index[c] for c in run], len(index))
+            return start, start + len(run), k * 4 + sum(len(run) >= x for x in LENGTHS), min(int(p * _BINS), _BINS - 1)
+    return None
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, stratum, bin of the p-value) of runs outside the fixed patterns; the stratum names encoding and length."""
     out = []
     for m in _RUN.finditer(text):
-        run, start, end = m[0], m.start(), m.end()
-        if any(s <= start and end <= e for s, _, e in base):
-            continue
-        used = set(run)
-        for k, index, least in _SETS:
-            if used <= index.keys():
-                if len(run) >= least:
-                    length = sum(len(run) >= x for x in LENGTHS)
-                    p = battery([index[c] for c in run], len(index))
-                    out.append((start, end, k * 4 + length, min(int(p * _BINS), _BINS - 1)))
-                break
+        run, at = m[0], m.start()
+        mixed = ("+" in run or "/" in run) and ("-" in run or "_" in run)
+        parts = sorted({x.span() for part in _PARTS for x in part.finditer(run)}) if mixed else [(0, len(run))]
+        for start, end in parts:
+            if any(s <= at + start and at + end <= e for s, _, e in base):
+                continue
+            found = _candidate(run[start:end], at + start)
+            if found:
+                out.append(found)
     return out
 
 

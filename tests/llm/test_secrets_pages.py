@@ -43,6 +43,25 @@ def test_random_strings_found_and_words_left(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_random_strings_in_runs_of_mixed_marks(spark):
+    rng = random.Random(3)
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    frames = ["com/reset-link/{}", "user_id/{}", "{}-x+y", "a_b/{}/c_d"]
+    keys = ["".join(rng.choices(plain, k=40)) for _ in range(100)]
+    wide = ["".join(rng.choices(plain + "+/", k=60)) for _ in range(100)]
+    rows = [(k, f"see {frames[k % 4].format(key)} here") for k, key in enumerate(keys)] + [(100 + k, f"see my_{key} here") for k, key in enumerate(wide)]
+    dull = ["path/to/some_ordinary-file/name_of/things", "ThisIsAnOrdinaryCamelCaseIdentifierName/and_more"]
+    rows += [(200 + k, f"see {t} here") for k, t in enumerate(dull)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    covered = lambda k, key: any(a <= rows[k][1].index(key) and rows[k][1].index(key) + len(key) <= b for a, b in got[k])
+    assert sum(covered(k, key) for k, key in enumerate(keys)) >= 90
+    assert sum(covered(100 + k, key) for k, key in enumerate(wide)) >= 90
+    assert not any(got[200 + k] for k in range(len(dull)))
+    key = keys[0]
+    assert (15, 55) in [(a, b) for a, b, *_ in secrets.candidates(f"com/reset-link/{key}", [])]
+    assert not secrets.candidates(f"com/reset-link/{key}", [(0, 0, 55)])
+
+
 def page(body, article):
     return f"<html><head><title>t &amp; x</title><script>var a='</p>';</script></head><body>{body}<article>{article}</article><footer>&copy; me</footer></body>"
 
