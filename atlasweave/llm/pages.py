@@ -1,8 +1,10 @@
 """Main text of web pages by removal of site templates.
 
 Every container subtree of a page is hashed; Spark counts, for each host, the distinct main texts beside which a
-subtree occurs, and subtrees that recur beside many are deleted, as are elements whose tag, role or class says that they
-are no article. Counting main texts instead of pages keeps copies of one page from making its content a template.
+subtree occurs, and subtrees that recur beside many, and beside a share of all of the host, are deleted, as are elements
+whose tag, role or class says that they are no article. Counting main texts instead of pages keeps copies of one page
+from making its content a template; the share keeps what a few articles of a large host quote. Lists, tables and figures
+inside an article are its text like paragraphs, and never deleted for recurring.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .common import fresh, map_arrow, slices, staged
 
 #: A subtree is a template's if it occurs beside so many main texts of its host.
 RECURS = 5
+#: ... and beside this share of the host's distinct main texts.
+SHARE = 0.2
 #: Template hashes up to this number (8 bytes each) are broadcast; beyond it they are joined to the pages by a shuffle.
 FEW_HASHES = 250_000
 _SALTS = 32
@@ -34,6 +38,7 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _DROP = set("nav header footer aside form script style noscript template iframe textarea title head svg button select dialog menu object canvas".split())
 _COUNTED = set("nav ul ol dl div section header footer aside form table script style figure".split())
+_PASSAGES = {"ul", "ol", "dl", "table", "figure"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "blockquote", "aside", "nav"}
 _CHROME = re.compile(
@@ -173,6 +178,7 @@ def main_text(source: str, root: Node, templates: set[int] | frozenset[int], sal
             blocks.append(text)
 
     for start in _mains(root) or [root]:
+        counted = _COUNTED if start is root else _COUNTED - _PASSAGES
         waiting: list[Node | str | None] = start.children[::-1]  # None: a block ends
         while waiting:
             child = waiting.pop()
@@ -191,7 +197,7 @@ def main_text(source: str, root: Node, templates: set[int] | frozenset[int], sal
             if child.tag in _BLOCK:
                 flush()
                 waiting.append(None)
-            if not (templates and child.tag in _COUNTED and not child.main and _subtree(source, child) ^ salt in templates):
+            if not (templates and child.tag in counted and not child.main and _subtree(source, child) ^ salt in templates):
                 waiting += reversed(child.children)
         flush()
     return "\n\n".join(blocks)
@@ -208,29 +214,37 @@ def _host_hash(url: str | None) -> int:
 
 
 def _subtrees(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(page, subtree, main) hashes, each subtree once a page; a subtree's hash is tied to its host's."""
+    """(page, host, subtree, main) hashes, each subtree once a page; a subtree's hash is tied to its host's.
+
+    The page itself is counted as a subtree with the host's hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, html_col):
-            rows: list[tuple[int, int, int]] = []
+            rows: list[tuple[int, int, int, int]] = []
             for url, source in zip(batch.column(batch.schema.get_field_index(url_col)).to_pylist(), batch.column(batch.schema.get_field_index(html_col)).to_pylist(), strict=True):
                 source = source or ""
                 root, salt = parse(source), _host_hash(url)
                 main = xxhash.xxh64_intdigest(main_text(source, root, frozenset()))
                 page = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass"), seed=salt)
                 found = {_subtree(source, node) ^ salt for node in _walk(root) if node.tag in _COUNTED and not node.main}
-                rows += [(page, x, main) for x in found]
-            table = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(3)], ["page", "subtree", "main"])
+                rows += [(page, salt, x, main) for x in found | {salt}]
+            table = np.array(rows, np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(4)], ["page", "host", "subtree", "main"])
 
-    return map_arrow(df.select(url_col, html_col), run, "page long, subtree long, main long")
+    return map_arrow(df.select(url_col, html_col), run, "page long, host long, subtree long, main long")
 
 
-def _template_hashes(subtrees: DataFrame, recurs: int) -> DataFrame:
-    return subtrees.groupBy("subtree", "main").count().groupBy("subtree").count().filter(F.col("count") >= recurs).select("subtree")
+def _template_hashes(subtrees: DataFrame, recurs: int, share: float) -> DataFrame:
+    """Subtrees beside at least recurs distinct main texts and a share of those of their host."""
+    each = subtrees.groupBy("host", "subtree", "main").count().groupBy("host", "subtree").count()
+    counts = staged(each.filter((F.col("count") >= recurs) | (F.col("subtree") == F.col("host"))), "recurring")
+    hosts = counts.filter("subtree = host").select("host", F.col("count").alias("mains"))
+    found = counts.filter(F.col("subtree") != F.col("host")).join(hosts, "host")
+    return found.filter((F.col("count") >= recurs) & (F.col("count") >= share * F.col("mains"))).select("subtree")
 
 
-def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "main_text", recurs: int = RECURS, few: int = FEW_HASHES) -> DataFrame:
+def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "main_text", recurs: int = RECURS, few: int = FEW_HASHES, share: float = SHARE) -> DataFrame:
     """df without its html, with out_col (a column of that name gives way): the page's main text, empty for a null or empty page or one without an article.
 
     Blocks keep the page's order and are joined by two line feeds; white space in a block becomes one space. A null url
@@ -240,7 +254,7 @@ def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html", out_
     kept = [f for f in df.schema.fields if f.name != html_col]
     own_col, page_col = fresh(df, "templates"), fresh(df, "page")
     names = [f.name for f in kept]
-    hashes = staged(_template_hashes(_subtrees(df, url_col, html_col), recurs), "templates")
+    hashes = staged(_template_hashes(_subtrees(df, url_col, html_col), recurs, share), "templates")
     spark, small = df.sparkSession, hashes.limit(few + 1).count() <= few
     held = spark.sparkContext.broadcast(frozenset(r[0] & (1 << 64) - 1 for r in hashes.toLocalIterator())) if small else None
 
@@ -259,7 +273,7 @@ def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html", out_
         return map_arrow(df, run, schema)
     # A subtree of a large host may be on a third of all pages: the hashes are repeated so that its rows spread out.
     salted = hashes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    found = _subtrees(df, url_col, html_col).withColumn("salt", F.pmod("page", F.lit(_SALTS)).cast("int")).join(salted, ["subtree", "salt"])
+    found = _subtrees(df, url_col, html_col).drop("host").withColumn("salt", F.pmod("page", F.lit(_SALTS)).cast("int")).join(salted, ["subtree", "salt"])
     per_page = found.groupBy("page").agg(F.collect_set("subtree").alias(own_col)).withColumnRenamed("page", page_col)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,3 +97,14 @@ def test_templates_by_host_and_copies_kept(spark):
         assert {got[100 + k] for k in range(30)} == {"same\n\nJoin our club today"}
         assert (got[200], got[201], got[202]) == ("x", "", "")
     assert pages.main_texts(df.limit(0)).count() == 0
+
+
+def test_quoted_passages_of_articles_kept(spark):
+    quote, box, points = "<div><p>quoted by five</p></div>", "<div><p>Join our club today</p></div>", "<ul><li>point one</li></ul>"
+    rows = [(k, f"http://site.example/{k}", page("", f"<p>story {k}</p>{quote if k < 5 else ''}{points}{box}")) for k in range(40)]
+    rows += [(100 + k, f"http://lists.example/{k}", f"<body><p>story {k}</p>{points}</body>") for k in range(20)]  # no article
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for few in (100, 0):
+        got = {r.page_id: r.main_text for r in pages.main_texts(df, few=few).collect()}
+        assert [got[k] for k in range(40)] == [f"story {k}" + ("\n\nquoted by five" if k < 5 else "") + "\n\npoint one" for k in range(40)]
+        assert [got[100 + k] for k in range(20)] == [f"story {k}" for k in range(20)]
