@@ -59,8 +59,14 @@ def fill_coordinates(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return out.withColumns({"lat": F.coalesce("lat", "at.lat"), "lng": F.coalesce("lng", "at.lng")}).drop("__place", "place", "at")
 
 
-def members(rows: DataFrame, key: str, limit: int = 100) -> DataFrame:
-    """Of each key, how many rows it has and the names of the first, by id, up to limit for display."""
+def member_rows(rows: DataFrame, key: str) -> DataFrame:
+    """(key, position, id, name) of all members of each key, numbered from 1 by id."""
+    position = F.row_number().over(Window.partitionBy(key).orderBy("id", "name")).cast("long")
+    return rows.select(key, position.alias("position"), "id", "name")
+
+
+def members(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Of each key, how many rows it has and the names of the first, by id, up to limit for display; member_rows has all."""
     numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("id")))
     names = F.array_sort(F.collect_list(F.when(F.col("__n") <= limit, F.struct("id", "name"))))
     return numbered.groupBy(key).agg(F.count("*").alias("size"), F.transform(names, lambda x: x["name"]).alias("names"))

@@ -18,9 +18,18 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.union_all(counts).select("name", "rows")
 
 
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return output.members(rows, "key", limit=5).select("key", "size", F.array_join("names", ",").alias("names"))
+    """A preview: the size of each group and its first five names."""
+    return output.members(_members(spark, sf_dir), "key", limit=5).select("key", "size", F.array_join("names", ",").alias("names"))
+
+
+def member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members of each group, in order."""
+    return output.member_rows(_members(spark, sf_dir), "key")
 
 
 def geocode_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +79,12 @@ def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.snapshot(spark, tables, f"{base.rstrip('/')}/snapshot", "1").select("name", "rows")
 
 
-QUERIES = {f.__name__: f for f in (manifest, members, geocode_fill, migrate_columns, error_class, coordinate_extract, line_kinds, region_props, snapshot_files)}
+QUERIES = {f.__name__: f for f in (manifest, members, member_rows, geocode_fill, migrate_columns, error_class, coordinate_extract, line_kinds, region_props, snapshot_files)}
 _PLACE = "concat_ws(', ', nullif(trim(address), ''), nullif(trim(city), ''), nullif(trim(state), ''), coalesce(nullif(trim(country), ''), 'USA'))"
 ORACLES = {
     "manifest": f"SELECT 'records' AS name, count(*) AS rows FROM ({REC}) UNION ALL SELECT 'points', count(*) FROM ({GEO_DUCK}) UNION ALL SELECT 'nations', count(*) FROM nation",
     "members": """SELECT s_nationkey AS key, count(*) AS size, array_to_string(list(s_name ORDER BY s_suppkey)[1:5], ',') AS names FROM supplier GROUP BY 1""",
+    "member_rows": "SELECT s_nationkey AS key, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_name) AS position, s_suppkey AS id, s_name AS name FROM supplier",
     "geocode_fill": f"""WITH r AS (SELECT ord, address, city, state, country, TRY_CAST(lat AS DOUBLE) AS la, TRY_CAST(lng AS DOUBLE) AS ln FROM ({REC})),
         k AS (SELECT {_PLACE} AS place, min(CAST(ord % 90 AS DOUBLE)) AS kla FROM r WHERE ord % 14 = 0 GROUP BY 1)
         SELECT ord, coalesce(la, kla) AS lat, CASE WHEN la IS NULL AND kla IS NOT NULL THEN -1.5 ELSE ln END AS lng FROM r LEFT JOIN k ON la IS NULL AND {_PLACE} = place""",

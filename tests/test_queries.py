@@ -44,6 +44,14 @@ def test_query(spark, duck, name):
     assert sorted(map(key, got)) == sorted(map(key, want))
 
 
+def test_all_members_in_order(spark):
+    from atlasweave.operators import output
+
+    rows = spark.createDataFrame([(k % 2, k, f"n{k}") for k in range(301)], "key int, id int, name string")
+    got = [(r.key, r.position, r.id, r.name) for r in output.member_rows(rows, "key").orderBy("key", "position").collect()]
+    assert got == [(k % 2, k // 2 + 1, k, f"n{k}") for k in sorted(range(301), key=lambda k: (k % 2, k))]
+
+
 def test_lookups_broadcast_and_filters_reach_the_scan(spark):
     plan = registry.queries()["parent_lookup"](spark, SF)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan
