@@ -11,6 +11,11 @@ def _ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def numbered(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """All rows with their position among those of their key, from 1."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
 def latest(df: DataFrame, keys: list[str], time_col: str, tie: str) -> DataFrame:
     """Upsert: the row of each key that was written last."""
     return _ranked(df, keys, [F.desc(time_col), F.desc(tie)])

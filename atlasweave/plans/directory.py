@@ -130,11 +130,17 @@ def profile_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def goals_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open ones first, then the newest."""
+    """The head of the list over a tenth of the users: open ones first, then the newest. goals_order has all."""
     a = act(spark, sf_dir).filter("user_id % 10 = 0").withColumn("done", F.col("place_id") % 2)
     return a.orderBy("done", F.desc("ts"), "event_id").limit(100).select("event_id", "user_id", "done")
 
 
+def goals_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All goals of every user, numbered: open ones first, then the newest."""
+    a = act(spark, sf_dir).withColumn("done", F.col("place_id") % 2)
+    return activity.numbered(a, ["user_id"], F.asc("done"), F.desc("ts"), F.asc("event_id")).select("event_id", "user_id", "done", "position")
+
+
 def visit_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.latest(act(spark, sf_dir), ["user_id", "place_id"], "ts", "event_id").select("user_id", "place_id", "event_id")
 
@@ -206,7 +212,7 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     parent_lookup, fuzzy_lookup, fuzzy_lookup_fixed, canonical_group, state_backfill, seat_enrich, stats_by_level, distinct_pairs, coverage_pct, topn_states, missing_coordinates, group_counts, hierarchy_tree,
-    visit_join, journal_left_join, profile_join, goals_sort, visit_upsert, saved_insert_ignore, owner_delete, cascade_delete, default_row, owner_update, plain_insert,
+    visit_join, journal_left_join, profile_join, goals_sort, goals_order, visit_upsert, saved_insert_ignore, owner_delete, cascade_delete, default_row, owner_update, plain_insert,
     links, title_extract, carry_forward, first_strategy, script_json, table_scan,
 )}
 
@@ -245,6 +251,8 @@ ORACLES = {
     "profile_join": f"""WITH u AS (SELECT user_id, min(place_id) AS a, max(place_id) AS b FROM ({ACT}) GROUP BY 1), p AS ({REC})
         SELECT user_id, x.name AS first_name, y.name AS last_name FROM u LEFT JOIN p x ON a = x.ord LEFT JOIN p y ON b = y.ord""",
     "goals_sort": f"SELECT event_id, user_id, place_id % 2 AS done FROM ({ACT}) WHERE user_id % 10 = 0 ORDER BY done, ts DESC, event_id LIMIT 100",
+    "goals_order": f"""SELECT event_id, user_id, place_id % 2 AS done, row_number() OVER (PARTITION BY user_id ORDER BY place_id % 2 NULLS FIRST, ts DESC NULLS LAST, event_id NULLS FIRST) AS position
+        FROM ({ACT})""",
     "visit_upsert": _PICK("DESC"),
     "saved_insert_ignore": _PICK("ASC"),
     "owner_delete": f"WITH a AS ({ACT}) SELECT event_id, user_id FROM a WHERE NOT EXISTS (SELECT 1 FROM a d WHERE d.event_type = 'click' AND d.user_id = a.user_id AND d.place_id = a.place_id)",

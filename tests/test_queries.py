@@ -52,6 +52,15 @@ def test_all_members_in_order(spark):
     assert got == [(k % 2, k // 2 + 1, k, f"n{k}") for k in sorted(range(301), key=lambda k: (k % 2, k))]
 
 
+def test_all_goals_of_all_users(spark):
+    from atlasweave.plans.carriers import act
+
+    rows = registry.queries()["goals_order"](spark, SF).collect()
+    assert len(rows) == act(spark, SF).count() > 100
+    assert {r.user_id for r in rows} == {r.user_id for r in act(spark, SF).select("user_id").distinct().collect()}
+    assert len({(r.user_id, r.position) for r in rows}) == len(rows)
+
+
 def test_lookups_broadcast_and_filters_reach_the_scan(spark):
     plan = registry.queries()["parent_lookup"](spark, SF)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan
