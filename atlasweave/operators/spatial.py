@@ -107,6 +107,20 @@ def nearest_of(points: DataFrame, sites: DataFrame) -> DataFrame:
     return points.join(s, "part").groupBy("id").agg(F.min_by("key", F.struct(km, F.col("ord"))).alias("nearest"), F.round(F.min(km), 6).alias("km"))
 
 
+def redistribute(rows: DataFrame) -> DataFrame:
+    """rows (id, grp, jurisdiction, lat, lng, ...) with the rows of catch-all groups moved to the nearest real group.
+
+    A catch-all is named as a jurisdiction that has other groups; a group is of the jurisdiction of its row of the least id,
+    and centroids are those before any row moves. Other groups stay; a group that is dissolved itself takes no rows.
+    """
+    first = F.min_by(F.coalesce("jurisdiction", F.lit("")), "id").alias("part")
+    groups = rows.groupBy(F.col("grp").alias("key")).agg(first, F.min("id").alias("ord"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
+    real = groups.filter("key <> part")
+    sites = real.join(real.select(F.col("part").alias("key")).distinct(), "key", "left_anti")
+    moved = nearest_of(rows.select("id", F.col("grp").alias("part"), "lat", "lng"), sites).select("id", "nearest")
+    return rows.join(moved, "id", "left").withColumn("grp", F.coalesce("nearest", "grp")).drop("nearest").select(rows.columns)
+
+
 def closest(points: DataFrame, lat: float, lng: float, k: int = 10, words: Column | None = None) -> DataFrame:
     """The k points nearest to a place in miles, of those that words selects, or of all if it selects none; filtered tells which."""
     miles = haversine(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"), MILES)

@@ -53,6 +53,13 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_of(points.withColumn("part", F.lit(1)), sites)
 
 
+def redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without a diocese come to the nearest diocese of their jurisdiction, where it has any."""
+    r = rec(spark, sf_dir).filter("lat <> '' AND lng <> ''")
+    grp = F.coalesce(F.nullif("diocese", F.lit("")), "jurisdiction").alias("grp")
+    return spatial.redistribute(r.select(F.col("ord").alias("id"), grp, "jurisdiction", F.col("lat").cast("double"), F.col("lng").cast("double"))).select("id", "grp")
+
+
 def knn_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.closest(geo(spark, sf_dir), 45.0, -95.0).select("id", F.round("miles", 6).alias("miles"), "filtered")
 
@@ -105,7 +112,7 @@ def map_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k").drop("k")
 
 
-QUERIES = {f.__name__: f for f in (nn_distance, eps_percentile, dbscan_clusters, cluster_summary, representatives, nearest_centroid, knn_top10, knn_fallback, voronoi_dominance_grid, convex_hull_vertices, buffer_hull, concave_hull, voronoi_cells, geojson_points, map_meta)}
+QUERIES = {f.__name__: f for f in (nn_distance, eps_percentile, dbscan_clusters, cluster_summary, representatives, nearest_centroid, redistribute, knn_top10, knn_fallback, voronoi_dominance_grid, convex_hull_vertices, buffer_hull, concave_hull, voronoi_cells, geojson_points, map_meta)}
 
 _MILES = f"SELECT *, {_DIST('CAST(45 AS DOUBLE)', 'CAST(-95 AS DOUBLE)', 'lat', 'lng', MILES)} AS m FROM ({GEO_DUCK})"
 _SUMMARY = f"""{_COMP}, rows AS (SELECT pts.*, cluster FROM pts JOIN comp USING (id)), c AS (SELECT cluster, min(grp) AS grp, avg(lat) AS clat, avg(lng) AS clng, count(*) AS n FROM rows GROUP BY 1)"""
@@ -119,6 +126,10 @@ ORACLES = {
         UNION ALL SELECT 'p-' || id, grp, round(lat, 6), round(lng, 6) FROM pts WHERE id NOT IN (SELECT id FROM comp)""",
     "nearest_centroid": f"""WITH pts AS ({GEO_DUCK}), s AS (SELECT grp AS key, avg(lat) AS slat, avg(lng) AS slng FROM pts GROUP BY 1), d AS (SELECT id, key, {_DIST("lat", "lng", "slat", "slng")} AS km FROM pts, s)
         SELECT id, arg_min(key, (km, key)) AS nearest, round(min(km), 6) AS km FROM d GROUP BY id""",
+    "redistribute": f"""WITH r AS (SELECT ord AS id, coalesce(nullif(diocese, ''), jurisdiction) AS grp, jurisdiction, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng FROM ({REC}) WHERE lat <> '' AND lng <> ''),
+        g AS (SELECT grp AS key, arg_min(jurisdiction, id) AS j, min(id) AS o, avg(lat) AS slat, avg(lng) AS slng FROM r GROUP BY 1), s AS (SELECT * FROM g WHERE key <> j AND key NOT IN (SELECT j FROM g WHERE key <> j)),
+        d AS (SELECT id, arg_min(key, ({_DIST("lat", "lng", "slat", "slng")}, o)) AS nearest FROM r JOIN s ON grp = j GROUP BY id)
+        SELECT id, coalesce(nearest, grp) AS grp FROM r LEFT JOIN d USING (id)""",
     "knn_top10": f"SELECT id, round(m, 6) AS miles, false AS filtered FROM ({_MILES}) ORDER BY m, id LIMIT 10",
     "knn_fallback": f"""WITH q AS ({_MILES}) SELECT * FROM (SELECT 'hit' AS ask, id, round(m, 6) AS miles, true AS filtered FROM q WHERE 'Group ' || grp ILIKE '%GROUP 3%' ORDER BY m, id LIMIT 10)
         UNION ALL SELECT * FROM (SELECT 'miss', id, round(m, 6), false FROM q ORDER BY m, id LIMIT 10)""",

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import er
+from ..operators import cleaning, er
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -62,5 +62,8 @@ def duration(seconds: Column) -> Column:
 
 
 def directory_pipeline() -> Pipeline:
-    """Clean keys, merge by name, merge by place: records in, resolved records out."""
-    return Pipeline({"by_name": er.by_name, "by_place": er.by_place, "serve": lambda df: df})
+    """Clean records, merge by name, merge by place: records in, resolved records out.
+
+    Enrichment, redistribution, clusters, outlines and snapshots take more tables than one, and are no stages here.
+    """
+    return Pipeline({"clean": cleaning.clean_record, "by_name": er.by_name, "by_place": er.by_place, "serve": lambda df: df})

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlasweave.operators import output
-from atlasweave.plans.pipeline import Pipeline, duration
+from atlasweave.plans.pipeline import Pipeline, directory_pipeline, duration
 from atlasweave.sources import files
 from atlasweave.streaming import visits
 
@@ -36,6 +36,18 @@ def test_run_and_report(spark):
     assert took == ["250ms", "12.3s", "2m 5s"]
 
 
+def test_records_are_cleaned_before_they_merge(spark):
+    raw = [(1, "\"St.  Mark\"", "", "Palm  Coast, Florida", "", "3125550147", "WWW.Foo.ORG/", "41.881832199", "-87.5", "oca"), (2, "St. Mark (www)", None, "Palm Coast", "fl", "", "", "91", "x", "goarch")]
+    df = spark.createDataFrame(raw, "ord long, name string, jurisdiction string, city string, state string, phone string, website string, lat string, lng string, source string")
+    p = directory_pipeline()
+    clean = {r.ord: r for r in p.run(df, ["clean"]).collect()}
+    assert [clean[1][c] for c in ("name", "jurisdiction", "city", "state", "country", "phone", "website", "lat", "lng", "zip", "clergy")] == [
+        "St. Mark", "Orthodox Church in America (OCA)", "Palm Coast", "FL", "USA", "(312) 555-0147", "https://www.foo.org", "41.8818322", "-87.5", "", ""]
+    assert (clean[2].name, clean[2].state, clean[2].lat, clean[2].lng) == ("St. Mark", "FL", "", "")
+    rows = p.run(df, p.choose()).collect()
+    assert [(r.name, r.city, r.phone) for r in rows] == [("St. Mark", "Palm Coast", "(312) 555-0147")]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"parish": "A", "lat": 1.5, "detailUrl": "/x", "extra": 3}, {"name": "B", "source": "oca"}]')
     rows = files.read_json(spark, str(tmp_path / "a.json"), "goarch", 0).orderBy("name").collect()

@@ -52,6 +52,14 @@ def test_closest_falls_back(spark):
     assert [r.filtered for r in rows] == [False] * 3
 
 
+def test_orphans_come_to_the_nearest_group_of_their_jurisdiction(spark):
+    rows = [(1, "A east", "A", 10.0, 20.0), (2, "A west", "A", 10.0, 0.0), (3, "A", "A", 10.0, 19.0), (4, "A", "A", 10.0, 1.0), (5, "A", "A", 10.0, 10.0)]
+    rows += [(6, "B near", "B", 10.0, 18.9), (7, "C", "C", 10.0, 18.0), (8, "B near", "A", 10.0, 19.0), (9, "none", None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, grp string, jurisdiction string, lat double, lng double")
+    got = {r.id: r.grp for r in spatial.redistribute(df).collect()}
+    assert got == {1: "A east", 2: "A west", 3: "A east", 4: "A west", 5: "A east", 6: "B near", 7: "C", 8: "B near", 9: "none"}
+
+
 def inside(ring, p):
     return all((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) >= -1e-9 for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
 
