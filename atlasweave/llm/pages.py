@@ -1,10 +1,15 @@
 """Main text of web pages by removal of site templates.
 
-Every container subtree of a page is hashed; Spark counts, for each host, the distinct main texts beside which a
-subtree occurs, and subtrees that recur beside many, and beside a share of all of the host, are deleted, as are elements
-whose tag, role or class says that they are no article. Counting main texts instead of pages keeps copies of one page
-from making its content a template; the share keeps what a few articles of a large host quote. Lists, tables and figures
-inside an article are its text like paragraphs, and never deleted for recurring.
+Each element of a page is hashed twice from its leaves up: by content (tags and text) and by shape (tags and classes, runs
+of like children taken as one), so that a menu, footer or advert whose words change is still the same shape. Spark counts,
+for each host, the distinct main texts beside which a container occurs; containers that recur beside many, and beside a
+share of all of the host, are deleted, first of all from the page's root down: by content wherever they are, by shape only
+outside the element that holds the main text. Then elements go whose tag, role or class says that they are no article, which
+is all that can be told on hosts with few pages; last, where a page has articles or a main element, what is outside them.
+
+Counting main texts instead of pages keeps copies of one page from making its content a template; the share keeps what a
+few articles of a large host quote. Lists, tables and figures inside an article are its text like paragraphs, and never
+deleted for recurring.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _DROP = set("nav header footer aside form script style noscript template iframe textarea title head svg button select dialog menu object canvas".split())
 _COUNTED = set("nav ul ol dl div section header footer aside form table script style figure".split())
+_NO_TEXT = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "head", "svg", "button", "select", "xmp"}
 _PASSAGES = {"ul", "ol", "dl", "table", "figure"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "blockquote", "aside", "nav"}
@@ -49,14 +55,24 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 
 
 class Node:
-    """An element: its children are texts and nodes; start and end are places in the source."""
+    """An element: its children are texts and nodes; form is its tag and classes; content, shape and size (of the text) are
+    measured once the tree is whole."""
 
-    __slots__ = ("tag", "dropped", "children", "start", "end", "main")
+    __slots__ = ("tag", "form", "dropped", "children", "main", "content", "shape", "size")
 
-    def __init__(self, tag: str, dropped: bool, start: int):
-        self.tag, self.dropped, self.start, self.end = tag, dropped, start, -1
+    def __init__(self, tag: str, form: str, dropped: bool):
+        self.tag, self.form, self.dropped = tag, form, dropped
         self.children: list[Node | str] = []
         self.main = tag in ("article", "main") and not dropped
+        self.content = self.shape = self.size = 0
+
+
+def _form(tag: str, attributes: str) -> str:
+    """The tag with its classes in order, without digits, which number posts and the like."""
+    if "class" not in attributes.lower():
+        return tag
+    words = [w for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() == "class" for w in next((v for v in values if v), "").lower().split()]
+    return ".".join([tag, *sorted({re.sub(r"\d+", "", w) for w in words})])
 
 
 def _chrome(tag: str, attributes: str) -> bool:
@@ -76,21 +92,17 @@ def _chrome(tag: str, attributes: str) -> bool:
 
 def parse(source: str) -> Node:
     """The tree of a page; unclosed and stray tags are taken as browsers take the common cases."""
-    root = Node("#root", False, 0)
+    root = Node("#root", "#root", False)
     stack, at = [root], 0
 
-    def close(depth: int, end: int) -> None:
-        for node in reversed(stack[depth:]):
-            node.end = end
-            if node.main:
-                stack[depth - 1].main = stack[depth - 1].main or node.main
+    def close(depth: int) -> None:
         for k in range(len(stack) - 1, depth - 1, -1):
             stack[k - 1].main = stack[k - 1].main or stack[k].main
         del stack[depth:]
 
-    position, end_of = 0, len(source)
+    position, end_of, last = 0, len(source), source.rfind(">")
     while position < end_of:
-        m = _TAG.search(source, position)
+        m = _TAG.search(source, position) if position <= last or source.find("<!--", position) >= 0 else None
         if m is None:
             break
         if m.start() > at:
@@ -102,7 +114,7 @@ def parse(source: str) -> Node:
         if m[1] or m[4]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
-                    close(depth, at)
+                    close(depth)
                     break
             continue
         attributes = m[3] if m[2] else m[6]
@@ -111,27 +123,28 @@ def parse(source: str) -> Node:
             for depth in range(len(stack) - 1, 0, -1):
                 name = stack[depth].tag
                 if name == "p" and tag in _BLOCK or name in ends:
-                    close(depth, m.start())
+                    close(depth)
                     if name == "p" and ends:
                         continue
                     break
                 if name in _HOLDS or name in ("td", "th", "li") and tag not in _CLOSES:
                     break
-        node = Node(tag, _chrome(tag, attributes), m.start())
+        node = Node(tag, _form(tag, attributes), _chrome(tag, attributes))
         stack[-1].children.append(node)
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
-            node.end = at
-        elif tag in _RAW:
+            continue
+        if tag in _RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
             inner = stop.start() if stop else end_of
             finish = source.find(">", inner) + 1 if stop else end_of
-            node.end = at = position = finish or end_of
+            at = position = finish or end_of
         else:
             stack.append(node)
     rest = _OPEN_END.sub("", source[at:])
     if rest:
         stack[-1].children.append(rest)
-    close(1, end_of)
+    close(1)
+    _measure(root)
     return root
 
 
@@ -145,8 +158,29 @@ def _walk(node: Node) -> Iterator[Node]:
                 waiting.append(child)
 
 
-def _subtree(source: str, node: Node) -> int:
-    return xxhash.xxh64_intdigest(" ".join(source[node.start : node.end].split()).encode("utf-8", "surrogatepass"))
+def _measure(root: Node) -> None:
+    """Content, shape and size of every node, each from those of its children, so in time linear in the page."""
+    for node in reversed([root, *_walk(root)]):  # children before their parents
+        content, shape, size = [node.tag], [node.form], 0
+        for child in node.children:
+            if isinstance(child, str):
+                words = child.split()
+                if not words:
+                    continue
+                content.append(" ".join(words))
+                size += sum(map(len, words))
+                mark = "#"
+            elif child.tag in _NO_TEXT:
+                continue
+            else:
+                content.append(f"{child.content:x}")
+                size += child.size
+                mark = f"{child.shape:x}" if child.tag in _BLOCK or child.tag == "a" else "#" if child.size else ""
+            if mark and shape[-1] != mark:
+                shape.append(mark)
+        node.content = xxhash.xxh64_intdigest("\0".join(content).encode("utf-8", "surrogatepass"))
+        node.shape = xxhash.xxh64_intdigest("\0".join(shape).encode("utf-8", "surrogatepass"), seed=2)
+        node.size = size
 
 
 def _mains(node: Node) -> list[Node]:
@@ -166,8 +200,43 @@ def _mains(node: Node) -> list[Node]:
     return found["article"] or found["main"]
 
 
+def _holders(root: Node) -> list[Node]:
+    """What holds the main text: articles or main elements, else the smallest element with half of the page's text or more."""
+    found = _mains(root)
+    if found:
+        return found
+    at = root
+    while True:
+        inner = next((c for c in at.children if isinstance(c, Node) and c.size * 2 >= root.size > 0 and not c.dropped), None)
+        if inner is None:
+            return [at]
+        at = inner
+
+
+def _outside(root: Node, holders: list[Node]) -> set[int]:
+    """Containers (by id) that neither hold nor are in the main text: those that may go for their shape."""
+    above, waiting, order = {id(h) for h in holders}, [root], []
+    within = set(above)
+    while waiting:
+        node = waiting.pop()
+        if id(node) not in within:
+            order.append(node)
+            waiting += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(order):
+        if any(isinstance(c, Node) and id(c) in above for c in node.children):
+            above.add(id(node))
+    return {id(node) for node in order if id(node) not in above and node.tag in _COUNTED}
+
+
+def _recurs(node: Node, inside: bool, outside: set[int], templates: set[int] | frozenset[int], salt: int) -> bool:
+    """Whether a container is a template's; inside an article its lists, tables and figures are not."""
+    if node.tag not in _COUNTED or node.main or not templates:
+        return False
+    return not (inside and node.tag in _PASSAGES) and node.content ^ salt in templates or id(node) in outside and node.shape ^ salt in templates
+
+
 def main_text(source: str, root: Node, templates: set[int] | frozenset[int], salt: int = 0) -> str:
-    """Blocks of the main element joined by empty lines, without dropped elements and template subtrees."""
+    """Blocks of the main element joined by empty lines, without template subtrees and dropped elements."""
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -177,8 +246,9 @@ def main_text(source: str, root: Node, templates: set[int] | frozenset[int], sal
         if text:
             blocks.append(text)
 
-    for start in _mains(root) or [root]:
-        counted = _COUNTED if start is root else _COUNTED - _PASSAGES
+    mains = _mains(root)
+    outside = _outside(root, _holders(root)) if templates else set()
+    for start in mains or [root]:
         waiting: list[Node | str | None] = start.children[::-1]  # None: a block ends
         while waiting:
             child = waiting.pop()
@@ -188,21 +258,40 @@ def main_text(source: str, root: Node, templates: set[int] | frozenset[int], sal
             if isinstance(child, str):
                 parts.append(child)
                 continue
-            if child.dropped and not child.main:
+            gone = _recurs(child, start is not root, outside, templates, salt) or child.dropped and not child.main
+            if gone or child.tag == "br":
                 parts.append(" ") if child.tag not in _BLOCK else flush()
                 continue
-            if child.tag == "br":
-                parts.append(" ")
-                continue
             if child.tag in _BLOCK:
                 flush()
                 waiting.append(None)
-            if not (templates and child.tag in counted and not child.main and _subtree(source, child) ^ salt in templates):
-                waiting += reversed(child.children)
+            waiting += reversed(child.children)
         flush()
     return "\n\n".join(blocks)
 
 
+def removals(root: Node, templates: set[int] | frozenset[int], salt: int = 0) -> dict[str, int]:
+    """Characters of a page's text that templates delete, then rules of tags and classes, then for being outside the main
+    element, and those kept."""
+    out = {"template": 0, "rule": 0, "outside": 0, "kept": 0}
+    mains, outside = {id(m) for m in _mains(root)}, _outside(root, _holders(root))
+    waiting: list[tuple[Node, bool]] = [(root, not mains)]
+    while waiting:
+        node, inside = waiting.pop()
+        for child in node.children:
+            if isinstance(child, str):
+                out["kept" if inside else "outside"] += sum(map(len, child.split()))
+            elif child.tag in _NO_TEXT:
+                continue
+            elif _recurs(child, bool(mains) and inside, outside, templates, salt):
+                out["template"] += child.size
+            elif child.dropped and not child.main:
+                out["rule"] += child.size
+            else:
+                waiting.append((child, inside or id(child) in mains))
+    return out
+
+
 def host_of(url: str | None) -> str:
     """The host of a URL in lower case without port and user; empty if there is none."""
     m = re.match(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
@@ -214,7 +303,7 @@ def _host_hash(url: str | None) -> int:
 
 
 def _subtrees(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(page, host, subtree, main) hashes, each subtree once a page; a subtree's hash is tied to its host's.
+    """(page, host, subtree, main) hashes of content and shape, each once a page; a subtree's hash is tied to its host's.
 
     The page itself is counted as a subtree with the host's hash.
     """
@@ -227,7 +316,8 @@ def _subtrees(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 root, salt = parse(source), _host_hash(url)
                 main = xxhash.xxh64_intdigest(main_text(source, root, frozenset()))
                 page = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass"), seed=salt)
-                found = {_subtree(source, node) ^ salt for node in _walk(root) if node.tag in _COUNTED and not node.main}
+                outside = _outside(root, _holders(root))
+                found = {node.content ^ salt for node in _walk(root) if node.tag in _COUNTED and not node.main} | {node.shape ^ salt for node in _walk(root) if id(node) in outside}
                 rows += [(page, salt, x, main) for x in found | {salt}]
             table = np.array(rows, np.uint64).reshape(-1, 4).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(4)], ["page", "host", "subtree", "main"])

@@ -108,3 +108,61 @@ def test_quoted_passages_of_articles_kept(spark):
         got = {r.page_id: r.main_text for r in pages.main_texts(df, few=few).collect()}
         assert [got[k] for k in range(40)] == [f"story {k}" + ("\n\nquoted by five" if k < 5 else "") + "\n\npoint one" for k in range(40)]
         assert [got[100 + k] for k in range(20)] == [f"story {k}" for k in range(20)]
+
+
+def test_templates_of_varying_words_go_by_shape(spark):
+    """No article element and no telltale names: what recurs in shape outside the main text goes, at hosts with enough pages."""
+
+    def body(k):
+        menu = "".join(f"<li><a href='/{k}{j}'>go{k}{j}</a></li>" for j in range(3 + k % 4))
+        return f"<body><div><ul>{menu}</ul></div><div><h2>Title {k}</h2><p>{'long story ' * 30}{k}</p><p>end {k}</p></div><div>offer{k} of the day</div></body>"
+
+    rows = [(k, f"http://many.example/{k}", body(k)) for k in range(12)] + [(100, "http://one.example/", body(1))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    story = lambda k: f"Title {k}\n\n{'long story ' * 30}{k}\n\nend {k}"
+    for few in (100, 0):
+        got = {r.page_id: r.main_text for r in pages.main_texts(df, few=few).collect()}
+        assert [got[k] for k in range(12)] == [story(k) for k in range(12)]
+        assert got[100] == f"go10\n\ngo11\n\ngo12\n\ngo13\n\n{story(1)}\n\noffer1 of the day"
+
+
+def test_query_of_pages_against_brute_force(spark):
+    from collections import defaultdict
+
+    from atlasweave.llm import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    trees = {r.page_id: pages.parse(r.html or "") for r in rows}
+    beside, mains = defaultdict(set), defaultdict(set)
+    for r in rows:
+        root, host = trees[r.page_id], pages.host_of(r.url)
+        text = pages.main_text(r.html or "", root, frozenset())
+        mains[host].add(text)
+        outside = pages._outside(root, pages._holders(root))
+        for node in pages._walk(root):
+            if node.tag in pages._COUNTED and not node.main:
+                beside[host, node.content].add(text)
+            if id(node) in outside:
+                beside[host, node.shape].add(text)
+    want, gone = {}, 0
+    for r in rows:
+        host = pages.host_of(r.url)
+        own = {x for (h, x), texts in beside.items() if h == host and len(texts) >= pages.RECURS and len(texts) >= pages.SHARE * len(mains[host])}
+        want[r.page_id] = pages.main_text(r.html or "", trees[r.page_id], own)
+        gone += pages.removals(trees[r.page_id], own)["template"]
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op5_pages(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+    assert gone > 0  # characters that the templates delete, before any rule
+
+
+def test_hashes_take_linear_time():
+    import time
+
+    def seconds(n):
+        source = "<div>" * n + "<p>x</p>" + "</div>" * n + "<a " * n
+        began = time.perf_counter()
+        pages.parse(source)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(16_000) < 40 * max(seconds(2000), 1e-3)  # 8 times the size; quadratic time would be 64 times
