@@ -1,8 +1,10 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 A source's documents have a random order (a hash), cut into BLOCKS equal ranges of it. Its quota counts the block draws
-that reach its target: whole passes over the blocks, then blocks of a further pass up to a cut in the order. A binary
-tree over the output shards splits all quotas at once by the multivariate hypergeometric law, a source after another,
+that reach its target: whole passes over the blocks, then parts of further passes. A part goes along the order up to the
+first document that no longer fits, then along the rest of it with documents no longer than what is left, and so on; where
+a pass has nothing more that fits, the next begins, up to REPEATS. So a long document does not keep its source short. A
+binary tree over the output shards splits all quotas at once by the multivariate hypergeometric law, a source after another,
 and the draws of a source go to the shards in turn as disjoint ranges. In its shard each copy gets a random place.
 """
 
@@ -22,7 +24,12 @@ SHARDS = 16
 REPEATS = 3
 #: Sources up to this number are broadcast; beyond it the join shuffles and splits hot sources.
 FEW_SOURCES = 20_000
-_PLAN = ("passes", "cut1", "cut2", "limit", "extra", "offsets")
+#: Parts of passes that a source is filled by, at most; what each leaves is less than a document that the next may take.
+PARTS = 8
+_PLAN = ("passes", "steps", "extra", "offsets")
+_STEPS = "array<struct<pass: int, most: double, cut: bigint>>"
+#: Passes in which the steps of a source take a document.
+_TAKEN = "size(array_distinct(transform(filter(steps, s -> ord < s.cut and size <= s.most), s -> s.pass)))"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,9 +68,10 @@ def _split_tree(quotas: DataFrame, seed: int, shards: int) -> DataFrame:
     node = quotas.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "quota"))), lambda x: x["quota"]).alias("q")).select(F.lit(1).cast("long").alias("node"), F.coalesce("q", F.expr("array()").cast("array<bigint>")).alias("q"))
     u = f"((shiftrightunsigned(xxhash64({seed}L, node, size(s.out)), 11)) / 9007199254740992D)"
     sums = "aggregate(q, 0L, (a, x) -> a + x)"
-    n = "(half - aggregate(s.out, 0L, (b, y) -> b + y))"  # what is still to be drawn
-    fold = f"""aggregate(q, named_struct('out', cast(array() as array<bigint>), 'rest', total),
-        (s, k) -> named_struct('out', concat(s.out, array({_draw("k", "(s.rest - k)", n, u)})), 'rest', s.rest - k), s -> s.out)"""
+    # out has what was drawn so far; left is still to be drawn, and the last source's draw is taken off it before the next.
+    left = "(s.left - coalesce(try_element_at(s.out, -1), 0L))"
+    fold = f"""aggregate(q, named_struct('out', cast(array() as array<bigint>), 'rest', total, 'left', half),
+        (s, k) -> named_struct('out', concat(s.out, array({_draw("k", "(s.rest - k)", left, u)})), 'rest', s.rest - k, 'left', {left}), s -> s.out)"""
     for _ in range(shards.bit_length() - 1):
         node = node.withColumn("total", F.expr(sums)).withColumn("half", F.expr("total div 2"))
         node = node.withColumn("lower", F.expr(fold))
@@ -103,20 +111,29 @@ def plan(sizes: DataFrame, seed: int = 0, shards: int = SHARDS) -> DataFrame:
     ranked = staged(ranked.select("source", "place", "source_size", "target", "passes", "rest"), "sources")
 
     few = ranked.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
-    placed = _beside(sizes, ranked.select("source", "place")).drop("source")
-    first = _fill(placed, ranked.select("place", "rest"), few).withColumnRenamed("cut", "cut1").withColumnRenamed("rest", "rest1")
-    # The document at the cut may be long: the order goes on with documents no longer than what is left, then one more
-    # document, the nearest in size, closes the gap.
-    shorter = _with(placed, first, few).filter((F.col("ord") >= F.col("cut1")) & (F.col("size") <= F.col("rest1"))).select("place", "size", "ord")
-    second = _fill(shorter, first.select("place", F.col("rest1").alias("rest")), few).withColumnRenamed("cut", "cut2").withColumnRenamed("rest", "rest2")
-    cuts = staged(first.join(second, "place"), "cuts")
-    gap = F.abs(F.col("size") - F.col("rest2"))
-    taken = (F.col("ord") < F.col("cut1")) | (F.col("ord") < F.col("cut2")) & (F.col("size") <= F.col("rest1"))
-    beyond = _with(placed, cuts, few).filter(~taken & (F.col("size") > 0) & (gap < F.col("rest2")))
-    extra = beyond.groupBy("place").agg(F.min(F.struct(gap.alias("gap"), "ord"))["ord"].alias("extra"))
-    ranked = ranked.drop("rest").join(cuts.select("place", "cut1", "cut2", F.col("rest1").alias("limit")), "place").join(extra, "place", "left")
-    last = F.least(F.ceil(F.greatest("cut1", "cut2") / float(1 << 24)), F.lit(BLOCKS)).cast("long")
-    ranked = staged(ranked.withColumn("quota", F.col("passes") * BLOCKS + last), "quotas")
+    placed = _beside(sizes, ranked.select("source", "place")).drop("source").filter("size > 0")
+    least = placed.groupBy("place").agg(F.min("size").alias("least"))
+    state = ranked.join(least, "place", "left").select("place", "passes", "rest", "least", F.lit(0).alias("pass"), F.expr(f"cast(array() as {_STEPS})").alias("steps"))
+    state = staged(state, "filling")
+    for _ in range(PARTS):
+        live = state.filter(F.col("rest") >= F.col("least")).filter(F.col("passes") + F.col("pass") < REPEATS)
+        if live.isEmpty():
+            break
+        free = _with(placed, live.select("place", "rest", "pass", "steps"), few).filter(F.expr("size <= rest and not exists(steps, s -> s.pass = pass and ord < s.cut and size <= s.most)"))
+        part = _fill(free.select("place", "size", "ord"), live.select("place", "rest"), few).select("place", F.col("cut"), F.col("rest").alias("now"))
+        step = F.array(F.struct(F.col("pass"), F.col("rest").alias("most"), F.col("cut")))
+        # A pass whose order ended has nothing more that fits.
+        over = F.col("cut") >= F.lit(1 << 32)
+        filled = state.join(part, "place", "left")
+        state = staged(filled.select("place", "passes", F.coalesce("now", "rest").alias("rest"), "least", F.when(over, F.col("pass") + 1).otherwise(F.col("pass")).alias("pass"), F.when(F.col("cut").isNotNull(), F.concat("steps", step)).otherwise(F.col("steps")).alias("steps")), "filling")
+    # One more document, the nearest in size to what is left, closes the gap.
+    gap = F.abs(F.col("size") - F.col("rest"))
+    spare = _with(placed, state.select("place", "passes", "rest", "steps"), few).filter(F.expr(f"passes + {_TAKEN} < {REPEATS}")).filter(gap < F.col("rest"))
+    extra = spare.groupBy("place").agg(F.min(F.struct(gap.alias("gap"), "ord"))["ord"].alias("extra"))
+    ranked = ranked.drop("rest", "passes").join(state.select("place", "passes", "steps"), "place").join(extra, "place", "left")
+    final = "aggregate(steps, named_struct('pass', -1, 'cut', 0L), (a, s) -> named_struct('pass', s.pass, 'cut', if(s.pass = a.pass, greatest(a.cut, s.cut), s.cut)))"
+    blocks = F.expr(f"({final}).pass * {BLOCKS}L + least({BLOCKS}L, cast(ceil(({final}).cut / {float(1 << 24)}D) as bigint))")
+    ranked = staged(ranked.withColumn("quota", F.col("passes") * BLOCKS + F.when(F.size("steps") > 0, blocks).otherwise(0)), "quotas")
     offsets = _split_tree(ranked.select("place", "quota"), seed, shards)
     return staged(ranked.join(offsets, "place"), "mix-plan")
 
@@ -129,13 +146,16 @@ def _with(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
 def _fill(rows: DataFrame, rest: DataFrame, few: bool) -> DataFrame:
     """(place, cut, rest): how far in the order a source's rows fit into its rest, and what is left then; staged.
 
-    rows has (place, size, ord). The cut is found by 16 bits of the order at a time, from sums over parts of it.
+    rows has (place, size, ord). The cut is found by 10 or 11 bits of the order at a time, from sums over parts of it, so a
+    source brings 2,048 sums at most together.
     """
     rest = rest.withColumn("base", F.lit(0).cast("long"))
+    top = 32
     done = None
     run = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for shift in (16, 0):
-        width = F.lit(1 << (shift + 16)).cast("long")
+    for shift in (22, 11, 0):
+        width = F.lit(1 << top).cast("long")
+        top = shift
         inside = _with(rows, rest.select("place", "base"), few).filter((F.col("ord") >= F.col("base")) & (F.col("ord") < F.col("base") + width))
         parts = inside.groupBy("place", F.shiftright(F.col("ord") - F.col("base"), shift).alias("part")).agg(F.sum("size").alias("words"))
         filled = parts.join(rest, "place").withColumn("upto", F.sum("words").over(run))
@@ -143,7 +163,7 @@ def _fill(rows: DataFrame, rest: DataFrame, few: bool) -> DataFrame:
         found = filled.groupBy("place").agg(fits, F.min(F.when(F.col("upto") > F.col("rest"), F.col("part"))).alias("at"))
         begin = F.when(F.col("at").isNull(), width).otherwise(F.col("at") * F.lit(1 << shift).cast("long"))
         step = staged(rest.join(found, "place", "left").select("place", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"), F.col("at").isNull().alias("all"), (F.col("base") + begin).alias("base")), "cut")
-        ends = step if not shift else step.filter("all")
+        ends = step if not shift else step.filter("all")  # all that there is fits
         ends = ends.select("place", F.col("base").alias("cut"), "rest")
         done = ends if done is None else done.unionByName(ends)
         rest = step.filter(~F.col("all")).select("place", "rest", "base")
@@ -164,8 +184,7 @@ def measured(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 
 def _draws(seed: int) -> tuple[Column, Column]:
     """The copies of a row and their number: an array of (pass, shard, place in the shard); pass p of block b is draw p * BLOCKS + b."""
-    last = (F.col("ord") < F.col("cut1")) | (F.col("ord") < F.col("cut2")) & (F.col("size") <= F.col("limit")) | F.coalesce(F.col("ord") == F.col("extra"), F.lit(False))
-    copies = F.col("passes") + ((F.col("passes") < REPEATS) & last).cast("long")
+    copies = F.col("passes") + F.expr(_TAKEN) + F.coalesce((F.col("ord") == F.col("extra")) & (F.col("passes") + F.expr(_TAKEN) < REPEATS), F.lit(False)).cast("long")
     return F.expr(
         f"transform(if(size > 0 and __copies > 0, sequence(0L, __copies - 1), cast(array() as array<bigint>)), p -> named_struct('pass', p, "
         f"'shard', size(filter(offsets, o -> o <= p * {BLOCKS} + shiftright(ord, 24))) - 1, 'shuffle', xxhash64({seed}L, ord, p)))"

@@ -45,10 +45,8 @@ def test_mix(spark):
     want = targets(sizes)
     for s in sizes:
         assert goal[s] == pytest.approx(want[s])
-        if s == "z":  # its long text overshoots by more than all the others fall short
-            assert taken[s] == sizes[s] - 30_000
-        else:
-            assert abs(taken[s] - want[s]) <= 20, (s, taken[s], want[s])
+        # No source is off by more than its shortest text, 1 word but for é: that of z is reached without its long text.
+        assert abs(taken[s] - want[s]) <= min(r.size for r in got if r.source == s and r.size), (s, taken[s], want[s])
     assert all(r.source_size == sizes[r.source] for r in got)
     shards = Counter(d.shard for r in got for d in r.draws)
     assert set(shards) <= set(range(mixing.SHARDS)) and len(shards) > 10
