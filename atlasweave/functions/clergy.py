@@ -1,66 +1,39 @@
-"""Splitting of lists of persons by their titles: a scalar pandas function, as it scans with look-ahead."""
+"""Lists of clergy as one string for each person, by column expressions.
 
-from __future__ import annotations
+Runs of titles are marked where they begin; marks of runs that name a role of the person before are taken away again, and
+the string is cut at those that are left. The first run of an entry always begins its first person.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import clean
+from .values import CLERGY_NOISE, JAMMED_TITLES, ROLES, TITLES
 
-#: Titles as regular expressions, longer before shorter.
-TITLES = (
-    r"The\s+(?:Very\s+)?Most\s+Reverend", r"The\s+Right\s+Reverend", r"The\s+Reverend", r"Protopresb(?:yter|\.)", "Archimandrite", "Archmandrite",
-    "Archpriest", "Protodeacon", r"Protodn\.", "Archdeacon", r"Archdn\.", "Hierodeacon", "Sub-Deacon", r"Sbdn\.", "Subdeacon", r"Rassophore\s+Monk",
-    "Monk-Subdeacon", "Schemamonk-Reader", "Schemamonk", "Hieromonk", "Hiermonk", "Igumen", "Novice-Reader", r"V\.\s*Rev\.", r"Very\s+Rev(?:erend|\.)",
-    r"Rev\.", "Reverend", r"Rev\b", r"Fr\.", "Father", "Priest", "Deacon", r"Dn\.", "Abb(?:ot|ess)", "Archbishop", "Metropolitan", "Bishop",
-    "Rassophore", "Monk", "Nun", "Novice", "Reader", "Postulant",
-)
-#: Words after which a title is a role of the person before.
-ROLES = {"acting", "senior", "junior", "assistant", "associate", "deputy", "former", "convent", "cathedral"}
-_TITLE = re.compile(r"\b(?:" + "|".join(TITLES) + r")(?=\s|[.;,]|$)", re.IGNORECASE)
-_JAMMED = re.compile(r"(?<=[a-z])(?=(?:Priest|Deacon|Protodeacon|Archpriest|Hieromonk|Igumen|Bishop|Reader|Rev\.|Fr\.|Dn\.))")
-
-
-def persons(entry: str) -> list[str]:
-    """The persons that one entry names: a title begins a person unless it goes on with the title before or names a role."""
-    cuts, end = [], 0
-    for m in _TITLE.finditer(entry):
-        goes_on = bool(cuts) and not entry[end : m.start()].strip()
-        before = entry[: m.start()].split()
-        role = re.match(r"[a-z]", entry[m.end() :].strip()) or before and before[-1].lower() in ROLES
-        if not cuts or not goes_on and not role:
-            cuts.append(m.start())
-            end = m.end()
-        elif goes_on:
-            end = m.end()
-    if len(cuts) < 2:
-        return [entry.strip()] if entry.strip() else []
-    parts = [entry[a:b].strip() for a, b in zip([0, *cuts[1:]], [*cuts[1:], len(entry)], strict=True)]
-    return [p for p in parts if p]
-
-
-def tidy(text: str) -> str:
-    """A cleaned list of persons joined by '; ', without phones, addresses and other matter."""
-    s = text.strip(";, ")
-    s = re.sub(r"(?i)^served\s+by\s*:?\s*", "", s)
-    s = re.sub(r"\(?\d{3}\)?[\s.-]+\d{3}[\s.-]+\d{4}", "", s)
-    s = re.sub(r"[\w.-]+@[\w.-]+\.\w+", "", s)
-    s = re.sub(r"(?i);?\s*(?:mission\s+|church\s+)?ward(?:en|er)(?:[ns])?:?\s*[^;]*", "", s)
-    s = re.sub(r"(?i);?\s*mailing\s+address\s*:.*$", "", s)
-    s = re.sub(r"(?i)currently\s+services?\s+held\s+at\s*[-–]?\s*[^;]*", "", s)
-    s = _JAMMED.sub(" ", re.sub(r"([).])(?=[A-Z])", r"\1 ", s))
-    joined = "; ".join(p for entry in re.split(r";\s*", s) for p in persons(entry))
-    return re.sub(r"\s{2,}", " ", re.sub(r"[.,]\s*(?=;)", "", joined)).strip(";, ")
+_TITLE = rf"(?:{'|'.join(TITLES)})(?=[\s.;,]|$)"
+_RUN = rf"(?i)(?<![A-Za-z0-9_]){_TITLE}(?:\s*(?<![A-Za-z0-9_]){_TITLE})*"
+_MARK = "\x01"
+_ENDS = r"^[;,\s]+|[;,\s]+$"
 
 
-@F.pandas_udf(T.StringType())
-def _tidy(texts: pd.Series) -> pd.Series:
-    return texts.fillna("").map(tidy)
+def persons(entry: Column) -> Column:
+    """The persons that one entry names: a run of titles begins one unless lower case follows or a role's word stands before."""
+    s = F.regexp_replace(entry, _RUN, f"{_MARK}$0")
+    s = F.regexp_replace(s, rf"^([^{_MARK}]*){_MARK}", "$1")
+    s = F.regexp_replace(s, rf"(?i)((?:^|\s)(?:{'|'.join(ROLES)})\s+){_MARK}", "$1")
+    s = F.regexp_replace(s, rf"{_MARK}(?=(?i:{_TITLE})\s*[a-z])", "")
+    return F.filter(F.transform(F.split(s, _MARK), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def clergy(c: Column) -> Column:
-    return _tidy(clean(c))
+    """A cleaned list of persons joined by '; ', without phones, addresses and other matter; '' for none."""
+    s = F.regexp_replace(clean(c), _ENDS, "")
+    for noise in CLERGY_NOISE:
+        s = F.regexp_replace(s, noise, "")
+    s = F.regexp_replace(s, r"([).])(?=[A-Z])", "$1 ")
+    s = F.regexp_replace(s, rf"(?<![A-Za-z0-9_])({'|'.join(JAMMED_TITLES)})(?=[A-Z])", "$1 ")
+    joined = F.array_join(F.flatten(F.transform(F.split(s, r";\s*"), persons)), "; ")
+    joined = F.regexp_replace(F.regexp_replace(joined, r"[.,]\s*(?=;)", ""), r"\s{2,}", " ")
+    return F.regexp_replace(joined, _ENDS, "")

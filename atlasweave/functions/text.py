@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import BASE_URLS, CA_PROVINCES, COUNTRIES, SMALL_WORDS, SOURCE_JURISDICTIONS, US_STATES
+from .values import BASE_URLS, CA_PROVINCES, COLOURS, COUNTRIES, DEFAULT_COLOUR, EUROPEAN_JURISDICTIONS, JURISDICTION_ALIASES, OTHER_EUROPEAN, SMALL_WORDS, SOURCE_JURISDICTIONS, US_STATES
 
 #: White space including no-break and other Unicode spaces, which Java's \s leaves out.
 SPACE = r"[\s   -     　﻿]"
@@ -21,6 +21,16 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"{SPACE}+", " "), "^ | $", "")
 
 
+def trimmed(c: Column) -> Column:
+    """No white space of any kind at the ends; null stays."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def blank(c: Column) -> Column:
+    """Whether a value is missing: null, empty or white space."""
+    return F.coalesce(trimmed(c), F.lit("")) == ""
+
+
 def clean(c: Column) -> Column:
     """Control characters and entities out, line ends and white space to single spaces; null gives ''."""
     c = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\x00-\x09\x0B\x0C\x0E-\x1F\x7F]", "")
@@ -63,13 +73,24 @@ def country_name(c: Column, state: Column) -> Column:
     return F.coalesce(lookup(COUNTRIES, F.lower(s)), F.when(s == "", inferred).otherwise(s))
 
 
-def jurisdiction_name(c: Column, source: Column, aliases: dict[str, str]) -> Column:
+def jurisdiction_name(c: Column, source: Column, aliases: dict[str, str] | None = None) -> Column:
     """A jurisdiction by its aliases, from the source if blank, else as cleaned."""
     s = clean(c)
-    named = lookup(aliases, F.lower(s)) if aliases else F.lit(None).cast("string")
+    named = lookup(JURISDICTION_ALIASES if aliases is None else aliases, F.lower(s)) if aliases != {} else F.lit(None).cast("string")
     return F.coalesce(named, F.when(s == "", F.coalesce(lookup(SOURCE_JURISDICTIONS, source), F.lit(""))).otherwise(s))
 
 
+def european_jurisdiction(source: Column) -> Column:
+    """The jurisdiction of a European source."""
+    return F.coalesce(lookup(EUROPEAN_JURISDICTIONS, source), F.lit(OTHER_EUROPEAN))
+
+
+def colour(jurisdiction: Column) -> Column:
+    """A jurisdiction's colour on maps, as four numbers."""
+    numbers = lambda x: F.array(*[F.lit(v) for v in x])
+    return F.coalesce(F.element_at(F.create_map(*[v for k, x in COLOURS.items() for v in (F.lit(k), numbers(x))]), jurisdiction), numbers(DEFAULT_COLOUR))
+
+
 def phone(c: Column) -> Column:
     """(AAA) MMM-LLLL for North American numbers; + and digits for longer ones; else the characters a number may have."""
     s = clean(c)
@@ -89,14 +110,50 @@ def zip_code(c: Column) -> Column:
 
 
 def website(c: Column, source: Column) -> Column:
-    """An absolute address: relative ones get the source's base, a scheme is added, the host is in lower case."""
+    """An absolute address: relative ones get the source's base, a scheme is added, then as absolute() has it; '' if it has no base."""
     s = clean(c)
     base = lookup(BASE_URLS, source)
     full = F.when(~s.startswith("/"), s).when(base.isNotNull(), F.concat(base, s)).otherwise("")
     full = F.when(full == "", "").when(full.rlike("(?i)^https?://"), full).otherwise(F.concat(F.lit("https://"), full))
-    part = lambda k: F.regexp_extract(full, r"^([a-zA-Z]+://)([^/?#]*)(.*)$", k)
-    rebuilt = F.concat(F.lower(part(1)), F.lower(part(2)), F.when(part(3) == "/", "").otherwise(part(3)))
-    return F.when(full == "", "").otherwise(rebuilt)
+    return F.when(full == "", "").otherwise(absolute(full))
+
+
+def absolute(url: Column) -> Column:
+    """An address as browsers write it: host in lower case, no usual port, blanks escaped, no dot segments, no lone root slash.
+
+    What has no host stays as it is.
+    """
+    part = lambda k: F.regexp_extract(url, r"^([a-zA-Z]+)://([^/?#\\]*)([^?#]*)(.*)$", k)
+    scheme, host = F.lower(part(1)), F.lower(part(2))
+    host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(3), r"\\", "/"), " ", "%20"), r"/\.(?=/|$)", "")
+    for _ in range(4):  # a step up each; addresses with more in a row are left as they are
+        path = F.regexp_replace(path, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
+    path = F.when(path == "", "/").otherwise(path)
+    tail = F.regexp_replace(part(4), " ", "%20")
+    rebuilt = F.concat(scheme, F.lit("://"), host, F.when((path == "/") & (tail == ""), "").otherwise(path), tail)
+    return F.when(host == "", url).otherwise(rebuilt)
+
+
+def resolved(href: Column, base: str) -> Column:
+    """A link made absolute by a page's site."""
+    return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base.rstrip("/")), F.when(href.startswith("/"), href).otherwise(F.concat(F.lit("/"), href))))
+
+
+def same_site(url: Column, site: str) -> Column:
+    """Whether an address leads to a site or a part of it."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]*)", 1))
+    return (host == site) | host.endswith(f".{site}")
+
+
+def city_state(c: Column) -> Column:
+    """struct(city, state) of 'City, ST 12345' or the first such pair in a longer text; '' where missing."""
+    s = clean(c)
+    parts = F.split(s, r"\s*,\s*")
+    found = lambda k: F.regexp_extract(s, r"([A-Z][a-z]+(?:\s[A-Z][a-z]+)*),\s*([A-Z]{2})(?![A-Za-z])", k)
+    listed = F.size(parts) <= 3
+    second = F.coalesce(trimmed(F.regexp_replace(F.try_element_at(parts, F.lit(2)), r"\d{5}.*", "")), F.lit(""))
+    return F.struct(F.when(listed, F.coalesce(parts[0], F.lit(""))).otherwise(found(1)).alias("city"), F.when(listed, second).otherwise(found(2)).alias("state"))
 
 
 def number(c: Column) -> Column:
@@ -147,7 +204,7 @@ def dedup_key(name: Column, city: Column, state: Column) -> Column:
 
 def coord_key(lat: Column, lng: Column) -> Column:
     """Coordinates to 4 decimals; '' if either is missing or zero."""
-    return F.when((F.coalesce(lat, F.lit(0.0)) == 0) | (F.coalesce(lng, F.lit(0.0)) == 0), "").otherwise(F.concat_ws(",", F.format_string("%.4f", lat), F.format_string("%.4f", lng)))
+    return F.when((F.coalesce(lat, F.lit(0.0)) == 0) | (F.coalesce(lng, F.lit(0.0)) == 0), "").otherwise(F.concat_ws("|", F.format_string("%.4f", lat), F.format_string("%.4f", lng)))
 
 
 def importance(name: Column) -> Column:

@@ -1,20 +1,22 @@
-"""Fixed values of the directory's conventions."""
+"""Fixed values of the directory's conventions: results must equal those of other tools, so tables, patterns and their order are given."""
 
 US_STATES = {
     "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT",
-    "delaware": "DE", "district of columbia": "DC", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL",
-    "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME", "maryland": "MD",
-    "massachusetts": "MA", "michigan": "MI", "minnesota": "MN", "mississippi": "MS", "missouri": "MO", "montana": "MT", "nebraska": "NE",
-    "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC",
-    "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA", "rhode island": "RI",
-    "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA",
-    "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
+    "delaware": "DE", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA",
+    "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME", "maryland": "MD", "massachusetts": "MA", "michigan": "MI",
+    "minnesota": "MN", "mississippi": "MS", "missouri": "MO", "montana": "MT", "nebraska": "NE", "nevada": "NV", "new hampshire": "NH",
+    "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH",
+    "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD",
+    "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV",
+    "wisconsin": "WI", "wyoming": "WY",
+    "district of columbia": "DC", "puerto rico": "PR", "guam": "GU", "us virgin islands": "VI", "american samoa": "AS", "northern mariana islands": "MP",
 }
 
 CA_PROVINCES = {
-    "alberta": "AB", "british columbia": "BC", "manitoba": "MB", "new brunswick": "NB", "newfoundland": "NL",
-    "newfoundland and labrador": "NL", "northwest territories": "NT", "nova scotia": "NS", "nunavut": "NU", "ontario": "ON",
-    "prince edward island": "PE", "quebec": "QC", "quebec province": "QC", "saskatchewan": "SK", "yukon": "YT", "yukon territory": "YT",
+    "alberta": "AB", "british columbia": "BC", "manitoba": "MB", "new brunswick": "NB", "newfoundland and labrador": "NL",
+    "newfoundland & labrador": "NL", "newfoundland": "NL", "nova scotia": "NS", "northwest territories": "NT", "nunavut": "NU",
+    "ontario": "ON", "prince edward island": "PE", "quebec": "QC", "quebec province": "QC", "saskatchewan": "SK", "yukon": "YT",
+    "yukon territory": "YT",
 }
 
 COUNTRIES = {
@@ -53,3 +55,126 @@ SOURCE_JURISDICTIONS = {
     "acrod": "American Carpatho-Russian Orthodox Diocese",
     "bulgarian": "Bulgarian Eastern Orthodox Diocese of the USA, Canada, and Australia",
 }
+
+#: ... and for records of the European sources; others get the last value.
+EUROPEAN_JURISDICTIONS = {
+    "romanian-europe": "Romanian Orthodox Church", "serbian-europe": "Serbian Orthodox Church", "ukrainian-europe": "Ukrainian Orthodox Church",
+    "russian-europe": "Russian Orthodox Church", "church-of-greece": "Church of Greece", "warsaw-orthodox": "Polish Orthodox Church",
+    "georgian-orthodox": "Georgian Orthodox Church",
+}
+OTHER_EUROPEAN = "European Orthodox"
+
+#: Usual names of jurisdictions with other names that records use for them, in lower case.
+JURISDICTION_NAMES = {
+    "Russian Orthodox Church Outside of Russia (ROCOR)": (
+        "rocor", "russian orthodox church outside of russia", "russian orthodox church outside russia", "roca", "rocor western american diocese",
+        "diocese of western america rocor",
+    ),
+    "Orthodox Church in America (OCA)": ("oca", "orthodox church in america", "romanian episcopate", "romanian orthodox episcopate of america"),
+    "Ukrainian Orthodox Church of the USA (UOC-USA)": ("uoc-usa", "uoc", "ukrainian orthodox church of the usa", "ukrainian orthodox church"),
+    "Antiochian Orthodox Christian Archdiocese of North America": ("antiochian orthodox christian archdiocese of north america", "aoca", "antiochian"),
+    "Greek Orthodox Archdiocese of America": ("greek orthodox archdiocese of america", "goarch", "goa", "greek orthodox"),
+    "Serbian Orthodox Church in North and South America": (
+        "serbian orthodox church in north and south america", "new gracanica", "new gracanica metropolitanate", "serbian", "serbian orthodox",
+    ),
+    "Romanian Orthodox Archdiocese in the Americas": (
+        "romanian orthodox archdiocese in the americas", "romanian orthodox metropolia", "roea", "romanian orthodox metropolia of the americas", "romanian",
+        "romanian orthodox",
+    ),
+    "Bulgarian Eastern Orthodox Diocese of the USA, Canada, and Australia": (
+        "bulgarian eastern orthodox diocese of the usa, canada, and australia", "bulgarian", "bulgarian orthodox", "bulgarian diocese",
+        "bulgarian eastern orthodox diocese",
+    ),
+    "Georgian Orthodox Church": ("georgian orthodox church", "georgian patriarchal parishes", "georgian"),
+    "American Carpatho-Russian Orthodox Diocese": ("american carpatho-russian orthodox diocese", "acrod", "carpatho-russian"),
+    "Albanian Orthodox Diocese of America": ("albanian orthodox diocese of america", "albanian", "albanian orthodox", "albanian archdiocese"),
+    "Orthodox Church of the Genuinely Orthodox Christians of Greece": ("orthodox church of the genuinely orthodox christians of greece",),
+    "Patriarchal Parishes of the Russian Orthodox Church in the USA": ("mp", "moscow patriarchate", "patriarchal parishes"),
+}
+JURISDICTION_ALIASES = {alias: name for name, aliases in JURISDICTION_NAMES.items() for alias in aliases}
+
+#: Colours of jurisdictions on maps: red, green, blue, opacity.
+COLOURS = {
+    "Russian Orthodox Church Outside of Russia (ROCOR)": (30, 100, 200, 100),
+    "Orthodox Church in America (OCA)": (200, 40, 40, 100),
+    "Greek Orthodox Archdiocese of America": (200, 170, 30, 100),
+    "Antiochian Orthodox Christian Archdiocese of North America": (40, 160, 60, 100),
+    "Serbian Orthodox Church in North and South America": (0, 180, 180, 100),
+    "Romanian Orthodox Archdiocese in the Americas": (140, 50, 180, 100),
+    "Bulgarian Eastern Orthodox Diocese of the USA, Canada, and Australia": (200, 120, 40, 100),
+    "American Carpatho-Russian Orthodox Diocese": (100, 60, 30, 100),
+    "Ukrainian Orthodox Church of the USA (UOC-USA)": (60, 120, 200, 100),
+    "Albanian Orthodox Diocese of America": (180, 80, 100, 100),
+    "Georgian Orthodox Church": (80, 140, 80, 100),
+    "Patriarchal Parishes of the Russian Orthodox Church in the USA": (100, 100, 180, 100),
+    "Romanian Orthodox Church": (140, 50, 180, 100),
+    "Serbian Orthodox Church": (0, 180, 180, 100),
+    "Ukrainian Orthodox Church": (60, 120, 200, 100),
+    "Russian Orthodox Church": (30, 100, 200, 100),
+    "Church of Greece": (200, 170, 30, 100),
+    "Polish Orthodox Church": (180, 140, 60, 100),
+}
+DEFAULT_COLOUR = (128, 128, 128, 100)
+
+#: Files of raw records in the order in which they are read; the name is the source's.
+SOURCE_FILES = (
+    "chicago-rocor", "assembly-of-bishops", "oca", "uoc-usa", "ea-diocese", "goarch", "antiochian", "serbian", "romanian", "acrod", "bulgarian", "orthodox-world",
+)
+
+#: What tells rows of one source apart, the first row of equals staying: fields that are joined, or alternatives of which the first filled one counts.
+LOCAL_KEYS = {
+    "oca": ("detailUrl or name",), "antiochian": ("name",), "serbian": ("name letters",), "uoc-usa": ("name", "city"), "orthodox-world": ("name", "country", "city"),
+    "romanian-europe": ("name", "city"), "serbian-europe": ("name",), "ukrainian-europe": ("name",), "russian-europe": ("name",),
+    "church-of-greece": ("name", "city"), "warsaw-orthodox": ("name", "city"), "georgian-orthodox": ("name",),
+}
+
+#: Fields of records with the names that interfaces use for them, best first.
+FIELD_ALIASES = {
+    "name": ("name", "title", "parishName", "parish_name", "parish"),
+    "diocese": ("metropolis", "diocese", "district"),
+    "city": ("city",),
+    "state": ("state", "stateProvince"),
+    "country": ("country",),
+    "phone": ("phone", "telephone", "phoneNumber"),
+    "lat": ("latitude", "lat"),
+    "lng": ("longitude", "lng"),
+    "website": ("website", "url", "webUrl", "detailUrl"),
+    "address": ("address1", "address"),
+    "clergy": ("clergy", "pastor", "priest"),
+}
+
+#: Titles of clergy as regular expressions, longer before shorter.
+TITLES = (
+    r"The\s+(?:Very\s+)?Most\s+Reverend", r"The\s+Right\s+Reverend", r"The\s+Reverend", r"Protopresb(?:yter|\.)", "Archimandrite", "Archmandrite",
+    "Archpriest", "Protodeacon", r"Protodn\.", "Archdeacon", r"Archdn\.", "Hierodeacon", "Sub-Deacon", r"Sbdn\.", "Subdeacon", r"Rassophore\s+Monk",
+    "Monk-Subdeacon", "Schemamonk-Reader", "Schemamonk", "Hieromonk", "Hiermonk", "Igumen", "Novice-Reader", r"V\.\s*Rev\.", r"Very\s+Rev(?:erend|\.)",
+    r"Rev\.", "Reverend", r"Rev\b", r"Fr\.", "Father", "Priest", "Deacon", r"Dn\.", "Abb(?:ot|ess)", "Archbishop", "Metropolitan", "Bishop",
+    "Rassophore", "Monk", "Nun", "Novice", "Reader", "Postulant",
+)
+#: Titles that are parted from a name written right after them.
+JAMMED_TITLES = (
+    "Priest", "Deacon", "Protodeacon", "Archdeacon", "Archpriest", "Hieromonk", "Hiermonk", "Igumen", "Archimandrite", "Archmandrite", "Bishop", "Archbishop",
+    "Metropolitan", "Abbot", "Abbess", "Monk", "Nun", "Novice", "Reader", "Postulant", "Father", "Rassophore", "Subdeacon",
+)
+#: Words after which a title is a role of the person before.
+ROLES = ("acting", "senior", "junior", "assistant", "associate", "deputy", "former", "convent", "cathedral")
+#: Matter in lists of clergy that names nobody: prefixes, phones, addresses, wardens, places of services.
+CLERGY_NOISE = (
+    r"(?i)^served\s+by\s*:?\s*", r"\(?\d{3}\)?[\s.-]+\d{3}[\s.-]+\d{4}", r"[\w.-]+@[\w.-]+\.\w+", r"(?i);?\s*(?:mission\s+|church\s+)?ward(?:en|er)(?:[ns])?:?\s*[^;]*",
+    r"(?i);?\s*mailing\s+address\s*:.*$", r"(?i)currently\s+services?\s+held\s+at\s*[-–]?\s*[^;]*",
+)
+
+#: Where coordinates stand in pages, best first: latitude, then longitude.
+_N = r"([-\d.]+)"
+COORDINATES = (
+    rf"new_latitude\s*=\s*'([^']+)'(?s:.*?)new_longitude\s*=\s*'([^']+)'", rf"parishLocation\s*=\s*\{{[^}}]*lat:\s*{_N}[^}}]*lng:\s*{_N}", rf"LatLng\(\s*{_N}\s*,\s*{_N}\s*\)",
+    rf"maps\?ll={_N},{_N}", rf"@{_N},{_N}", rf'data-lat="{_N}"[^>]*data-lng="{_N}"',
+)
+
+#: Classes of the blocks that list places, in the order in which they are tried.
+BLOCK_CLASSES = ("parish-listing", "parish-item", "parish-result", "directory-item", "views-row", "card", "parish", "church-item", "location-item")
+#: Names that are navigation and not places, and what runs of other matter hold.
+NAVIGATION = r"(?i)^(home|about|contact|news|events|calendar|links|history)"
+LIST_PAGES = r"(?i)^(parishes|search|diocese|state|select|list)|deanery"
+LIST_TARGETS = ("/search", "/diocese/", "/state/", "/deanery/")
+FOOTERS = r"(?i)powered by|orthodox web solutions|\.shape_div_|SECTION_TITLE"

@@ -43,16 +43,33 @@ def set_null(df: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 
 def with_defaults(keys: DataFrame, table: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
-    """A row for each key: the table's, or defaults."""
-    out = keys.select(key).distinct().join(table, key, "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+    """A row for each key: the table's as it is, nulls included, or, where there is none, one of defaults."""
+    out = keys.select(key).distinct().join(table.withColumn("__there", F.lit(True)), key, "left")
+    return out.withColumns({c: F.when(F.col("__there"), F.col(c)).otherwise(F.lit(v)) for c, v in defaults.items()}).drop("__there")
 
 
-def update(df: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """df with the columns of rows that changes names by key and owner set anew; other rows as they are."""
-    named = changes.select(*keys, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
+def or_default(column: str, default: object) -> Column:
+    """A changed value, or the default where it is null, empty, zero or false."""
+    c = F.col(column)
+    missing = c.isNull() | c.cast("string").isin("", "0", "0.0", "false")
+    return F.when(missing, F.lit(default)).otherwise(c).alias(column)
+
+
+def completion(done: str, at: Column) -> tuple[Column, Column]:
+    """Columns is_completed (false for null) and completed_at: the time given for what is completed, null for what is not."""
+    is_done = F.coalesce(F.col(done).cast("boolean"), F.lit(False))
+    return is_done.alias("is_completed"), F.when(is_done, at).alias("completed_at")
+
+
+def update(df: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], order: Column | None = None) -> DataFrame:
+    """df with the columns of rows that changes names by key and owner set anew; other rows as they are.
+
+    Of several changes of one key the last by order holds, by its values where no order is given.
+    """
+    values = F.struct(*[F.col(c).alias(c) for c in columns])
+    named = changes.groupBy(*keys).agg(F.max_by(values, values if order is None else order).alias("__new")).withColumn("__hit", F.lit(True))
     out = df.join(named, keys, "left")
-    return out.withColumns({c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}).select(df.columns)
+    return out.withColumns({c: F.when(F.col("__hit"), F.col("__new")[c]).otherwise(F.col(c)) for c in columns}).select(df.columns)
 
 
 def append(df: DataFrame, rows: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.clergy import clergy
-from ..shipping import ship
 
 #: What a cleaned record holds, all strings.
 FIELDS = ("name", "jurisdiction", "diocese", "deanery", "city", "state", "zip", "country", "phone", "website", "lat", "lng", "address", "clergy", "source")
@@ -16,17 +15,19 @@ FIELDS = ("name", "jurisdiction", "diocese", "deanery", "city", "state", "zip",
 def clean_record(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """df with all FIELDS cleaned; columns that it lacks and coordinates out of range become '', further columns stay.
 
-    A state or country inside the city moves to its own field. aliases has usual names of jurisdictions by lower-case ones.
+    A state or country inside the city moves to its own field. parish and detailUrl stand in for a missing name and website.
+    aliases has usual names of jurisdictions by lower-case ones, those of the directory unless given.
     """
-    ship(df.sparkSession)
     have = {c.lower() for c in df.columns}
-    raw = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("") for c in FIELDS}
+    given = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c.lower() in have else F.lit(None).cast("string")
+    also = {"name": "parish", "website": "detailUrl"}
+    raw = {c: F.coalesce(given(c), given(also[c]) if c in also else F.lit(None).cast("string"), F.lit("")) for c in FIELDS}
     place = text.city_parts(raw["city"], raw["state"], raw["country"])
     state = text.state_code(place["state"])
     number = lambda c, limit: F.coalesce(text.coordinate(raw[c], limit).cast("string"), F.lit(""))
     made = {
         "name": text.place_name(raw["name"]),
-        "jurisdiction": text.jurisdiction_name(raw["jurisdiction"], raw["source"], aliases or {}),
+        "jurisdiction": text.jurisdiction_name(raw["jurisdiction"], raw["source"], aliases),
         "diocese": text.clean(raw["diocese"]),
         "deanery": text.clean(raw["deanery"]),
         "city": text.clean(place["city"]),

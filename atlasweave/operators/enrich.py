@@ -5,53 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm
+from ..functions.text import blank, norm, trimmed
 
 
 def parent_of(df: DataFrame, hierarchy: DataFrame, child_col: str, out_col: str = "parent") -> DataFrame:
-    """The first parent (by ord) that has a child; 'Unknown' if none has."""
+    """The first parent (by ord) that has a child; 'Unknown' if none has. A column named like the new one gives way."""
+    df = df.drop(out_col)
     first = hierarchy.groupBy(F.col("child").alias("__child")).agg(F.min_by("parent", "ord").alias(out_col))
     return df.join(first, df[child_col] == F.col("__child"), "left").drop("__child").withColumn(out_col, F.coalesce(out_col, F.lit("Unknown")))
 
 
+def _grams(c: Column) -> Column:
+    """The parts of one to three letters of a string, and the empty one: it contains a string only if it has that one's head among them."""
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), at(1), at(2), at(3)))
+
+
 def fuzzy_names(names: DataFrame, registry: DataFrame, name_col: str = "name", fix: bool = False) -> DataFrame:
     """(name, match): the registry entry that equals a name, or whose letters contain or are contained in the name's.
 
     Entries are tried in the registry's order; an exact name comes first. With fix, names without ASCII letters or digits
-    match nothing, where they otherwise match the first entry. Matching is done once for each distinct name; the registry
-    is a reference table, so the comparison is linear in the names.
+    match nothing, where they otherwise match the first entry. Matching is done once for each distinct name, by joins on
+    the first three letters of what is to be contained, so no name meets all entries.
     """
     distinct = names.select(F.col(name_col).alias("name")).distinct().withColumn("n", norm(F.col("name")))
     entries = registry.select(F.col("entry"), F.col("ord").alias("entry_ord"), norm(F.col("entry")).alias("k"))
-    close = (F.col("k") == F.col("n")) | F.expr("contains(k, n)") | F.expr("contains(n, k)")
-    if fix:
-        close = close & (F.length("n") > 0)
-    hits = distinct.join(F.broadcast(entries) if _small(entries) else entries, close | (F.col("entry") == F.col("name")), "inner")
+    asked = distinct.filter(F.length("n") > 0) if fix else distinct
+    head = lambda c: F.substring(c, 1, 3)
+    keep = ("name", "entry", "entry_ord")
+    inside = asked.withColumn("gram", F.explode(_grams(F.col("n")))).join(entries.withColumn("gram", head("k")), "gram").filter(F.expr("contains(n, k)")).select(*keep)
+    around = asked.withColumn("gram", head("n")).join(entries.withColumn("gram", F.explode(_grams(F.col("k")))), "gram").filter(F.expr("contains(k, n)")).select(*keep)
+    exact = distinct.join(entries, distinct["name"] == entries["entry"]).select(*keep)
+    hits = inside.unionByName(around).unionByName(exact)
     best = hits.groupBy("name").agg(F.min_by("entry", F.struct((F.col("entry") != F.col("name")).cast("int"), F.col("entry_ord"))).alias("match"))
     return distinct.select("name").join(best, "name", "left")
 
 
-def _small(df: DataFrame, limit: int = 10_000) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
 def canonical_group(df: DataFrame, registry: DataFrame, group_col: str, parent_col: str, out_col: str = "canonical") -> DataFrame:
-    """The registry's name of a group; else the only entry of its parent; else the group, the parent, or 'Unknown'."""
-    named = fuzzy_names(df.filter(F.trim(F.coalesce(group_col, F.lit(""))) != ""), registry, group_col).withColumnRenamed("name", "__name")
+    """The registry's name of a group; where none matches, the only entry of its parent; else the group, the parent, or 'Unknown'."""
+    named = fuzzy_names(df.filter(~blank(F.col(group_col))), registry, group_col).withColumnRenamed("name", "__name")
     only = registry.groupBy(F.col("parent").alias("__parent")).agg(F.count("*").alias("__n"), F.min("entry").alias("__only")).filter("__n = 1")
-    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    given = lambda c: F.nullif(trimmed(F.col(c)), F.lit(""))
     out = df.join(named, df[group_col] == F.col("__name"), "left").join(only, df[parent_col] == F.col("__parent"), "left")
-    choice = F.coalesce(F.col("match"), F.when(blank(group_col).isNull(), F.col("__only")), blank(group_col), blank(parent_col), F.lit("Unknown"))
+    choice = F.coalesce(F.col("match"), F.col("__only"), given(group_col), given(parent_col), F.lit("Unknown"))
     return out.withColumn(out_col, choice).drop("__name", "match", "__parent", "__n", "__only")
 
 
 def backfill(df: DataFrame, registry: DataFrame, parent_col: str, area_col: str, group_col: str) -> DataFrame:
-    """Blank groups get the registry entry of their parent and area: the longest name, the first of equals."""
+    """Blank groups of rows that have a parent and an area get the registry entry of both: the longest name, the first of equals."""
     areas = registry.select(F.col("parent").alias("__p"), F.explode("areas").alias("__a"), "entry", "ord")
     best = areas.groupBy("__p", "__a").agg(F.max_by("entry", F.struct(F.length("entry"), -F.col("ord"))).alias("__entry"))
     out = df.join(best, (df[parent_col] == F.col("__p")) & (df[area_col] == F.col("__a")), "left")
-    blank = F.trim(F.coalesce(F.col(group_col), F.lit(""))) == ""
-    return out.withColumn(group_col, F.when(blank, F.coalesce("__entry", F.lit(""))).otherwise(F.col(group_col))).drop("__p", "__a", "__entry")
+    lacks = blank(F.col(group_col))
+    fits = ~blank(F.col(parent_col)) & ~blank(F.col(area_col))
+    return out.withColumn(group_col, F.when(lacks, F.coalesce(F.when(fits, F.col("__entry")), F.lit(""))).otherwise(F.col(group_col))).drop("__p", "__a", "__entry")
 
 
 def with_seats(df: DataFrame, seats: DataFrame, city_col: str = "city", state_col: str = "state") -> DataFrame:

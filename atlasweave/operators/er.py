@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import coord_key, dedup_key
+from ..functions.text import coord_key, dedup_key, trimmed
 from ..functions.values import SOURCE_PRIORITY
 
 #: Fields that merge, all strings. zip is left out by the reference rule and merged on request.
@@ -24,15 +24,23 @@ def priority(source: Column) -> Column:
 
 
 def merge_groups(df: DataFrame, keys: list[str], fields: tuple[str, ...], ord_col: str = "ord") -> DataFrame:
-    """One row per key: each field by priority, length and order among non-blank values; sources in order, each once.
+    """One row per key: each field by priority, length and order among its trimmed values that are not blank; sources in order, each once.
 
-    One aggregation with partial results before the shuffle; rows of a group never meet in one list but for their sources.
+    Two aggregations, each with partial results before the shuffle: the best values of each source, then those of the
+    key. So what a key brings together is one row for each of its sources, however many rows it has.
     """
+    value = {c: trimmed(F.col(c)) for c in fields}
+    rows = df.select(*keys, F.coalesce("source", F.lit("")).alias("source"), ord_col, *[v.alias(c) for c, v in value.items()])
+    best = lambda c, rank: F.max(F.when(F.col(c) != "", rank)).alias(c)
+    each = rows.groupBy(*keys, "source").agg(
+        *[best(c, F.struct(F.length(c).alias("length"), (-F.col(ord_col)).alias("ord"), F.col(c).alias("value"))) for c in fields], F.min(ord_col).alias(ord_col), F.count("*").alias("n")
+    )
     pri = priority(F.col("source"))
-    winner = lambda c: F.coalesce(F.max_by(F.when(F.trim(c) != "", F.col(c)), F.when(F.trim(c) != "", F.struct(pri, F.length(F.trim(c)), -F.col(ord_col)))), F.lit("")).alias(c)
-    ordered = F.array_sort(F.collect_set(F.struct(F.col(ord_col), F.col("source"))))
-    sources = F.array_distinct(F.flatten(F.transform(ordered, lambda x: F.split(x["source"], r",\s*"))))
-    return df.groupBy(*keys).agg(*[winner(c) for c in fields], F.array_join(sources, ", ").alias("source"), F.min(ord_col).alias(ord_col), F.count("*").alias("merged_rows"))
+    winner = lambda c: F.coalesce(F.max(F.when(F.col(c).isNotNull(), F.struct(F.col("__pri"), F.col(c))))[c]["value"], F.lit("")).alias(c)
+    listed = F.array_sort(F.collect_list(F.struct(F.col(ord_col), F.col("source"))))  # a row for each source
+    parts = F.flatten(F.transform(listed, lambda x: F.transform(F.split(x["source"], ","), trimmed)))
+    sources = F.array_join(F.array_distinct(F.filter(parts, lambda x: x != "")), ", ")
+    return each.withColumn("__pri", pri).groupBy(*keys).agg(*[winner(c) for c in fields], sources.alias("source"), F.min(ord_col).alias(ord_col), F.sum("n").alias("merged_rows"))
 
 
 def by_name(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -55,13 +63,11 @@ def resolve(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 
 
 def stats(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One row: rows in, rows out, and rows merged away over both passes."""
-    first = by_name(df, fields)
-    second = by_place(first, fields)
-    one = df.agg(F.count("*").alias("total")).withColumn("k", F.lit(1))
-    two = first.agg(F.coalesce(F.sum(F.col("merged_rows") - 1), F.lit(0)).alias("m1")).withColumn("k", F.lit(1))
-    three = second.agg(F.count("*").alias("unique_rows"), F.coalesce(F.sum(F.col("merged_rows") - 1), F.lit(0)).alias("m2")).withColumn("k", F.lit(1))
-    return one.join(two, "k").join(three, "k").select("total", "unique_rows", (F.col("m1") + F.col("m2")).alias("merged"))
+    """One row: rows in, rows out, and rows merged away over both passes, which are those with a name key less those out."""
+    keyed = dedup_key(F.col("name"), F.col("city"), F.col("state")) != ""
+    one = df.agg(F.count("*").alias("total"), F.count_if(keyed).alias("kept")).withColumn("k", F.lit(1))
+    two = resolve(df, fields).agg(F.count("*").alias("unique_rows")).withColumn("k", F.lit(1))
+    return one.join(two, "k").select("total", "unique_rows", (F.col("kept") - F.col("unique_rows")).alias("merged"))
 
 
 def first_wins(df: DataFrame, keys: list[Column], ord_col: str = "ord") -> DataFrame:

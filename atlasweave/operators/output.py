@@ -18,6 +18,12 @@ def polygon(ring: Column) -> Column:
     return F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates"))
 
 
+def multi_polygon(rings: Column) -> Column:
+    """Polygons of one ring each, as one geometry; each is closed if it isn't."""
+    closed = F.transform(rings, lambda r: F.array(F.when(F.try_element_at(r, F.lit(1)) == F.try_element_at(r, F.lit(-1)), r).otherwise(F.concat(r, F.slice(r, 1, 1)))))
+    return F.struct(F.lit("MultiPolygon").alias("type"), closed.alias("coordinates"))
+
+
 def feature(geometry: Column, **properties: Column) -> Column:
     """A GeoJSON feature as text."""
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*[c.alias(k) for k, c in properties.items()]).alias("properties"), geometry.alias("geometry")))
@@ -63,10 +69,3 @@ def member_rows(rows: DataFrame, key: str) -> DataFrame:
     """(key, position, id, name) of all members of each key, numbered from 1 by id."""
     position = F.row_number().over(Window.partitionBy(key).orderBy("id", "name")).cast("long")
     return rows.select(key, position.alias("position"), "id", "name")
-
-
-def members(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """Of each key, how many rows it has and the names of the first, by id, up to limit for display; member_rows has all."""
-    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("id")))
-    names = F.array_sort(F.collect_list(F.when(F.col("__n") <= limit, F.struct("id", "name"))))
-    return numbered.groupBy(key).agg(F.count("*").alias("size"), F.transform(names, lambda x: x["name"]).alias("names"))

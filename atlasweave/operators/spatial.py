@@ -12,8 +12,11 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import MILES, haversine
 from ..stages import staged
+from .components import connected_components
 
 KM_PER_DEGREE = 111.0
+#: Places in a cell from which on it counts as dense.
+CROWD = 64
 
 
 def _cells(df: DataFrame, km: Column, around: bool) -> DataFrame:
@@ -27,33 +30,73 @@ def _cells(df: DataFrame, km: Column, around: bool) -> DataFrame:
     return df.withColumn("col", F.explode(F.expr("array(col - 1, col, col + 1)"))) if around else df
 
 
-def neighbours(points: DataFrame, km_col: str = "eps") -> DataFrame:
-    """(grp, a, b, km) of pairs a <> b of one group within km_col of each other; km_col is the same throughout a group."""
-    left = _cells(points.select("grp", "id", "lat", "lng", km_col), F.col(km_col), True).select("grp", "row", "col", F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.col(km_col).alias("limit"))
-    right = _cells(points.select("grp", "id", "lat", "lng", km_col), F.col(km_col), False).select("grp", "row", "col", F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+def near_pairs(asking: DataFrame, there: DataFrame, km_col: str = "eps") -> DataFrame:
+    """(grp, a, b, km) of a point that asks and another of its group that is there, within km_col, which is the same throughout a group."""
+    left = _cells(asking.select("grp", "id", "lat", "lng", km_col), F.col(km_col), True).select("grp", "row", "col", F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.col(km_col).alias("limit"))
+    right = _cells(there.select("grp", "id", "lat", "lng", km_col), F.col(km_col), False).select("grp", "row", "col", F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
     km = haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
     return left.join(right, ["grp", "row", "col"]).filter("a <> b").withColumn("km", km).filter("km <= limit").select("grp", "a", "b", "km")
 
 
+def neighbours(points: DataFrame, km_col: str = "eps") -> DataFrame:
+    """(grp, a, b, km) of pairs a <> b of one group within km_col of each other; km_col is the same throughout a group."""
+    return near_pairs(points, points, km_col)
+
+
+def links_within(points: DataFrame) -> DataFrame:
+    """(a, b) links that connect the same points as those within eps of each other, without all pairs of a dense place.
+
+    Points of a cell whose diagonal is below eps are linked to the cell's least id; between cells, points are compared
+    that lie at one place only once, and only with cells that reach within eps.
+    """
+    fine = _cells(points.select("grp", "id", "lat", "lng", "eps"), F.col("eps") * 0.5, False)
+    places = fine.groupBy("grp", "row", "col", "lat", "lng", "eps").agg(F.min("id").alias("id"))
+    home = fine.groupBy("grp", "row", "col").agg(F.min("id").alias("home"))
+    inside = fine.join(home, ["grp", "row", "col"]).filter("id <> home").select(F.col("home").alias("a"), F.col("id").alias("b"))
+    least = places.join(home, ["grp", "row", "col"]).select("grp", "id", "lat", "lng", "eps", "home")
+    pairs = near_pairs(least, least).join(least.select(F.col("id").alias("a"), F.col("home").alias("home_a")), "a").join(least.select(F.col("id").alias("b"), F.col("home").alias("home_b")), "b")
+    between = pairs.filter("home_a < home_b").groupBy("home_a", "home_b").count().select(F.col("home_a").alias("a"), F.col("home_b").alias("b"))
+    return inside.unionByName(between)
+
+
+def _first_radius(places: DataFrame) -> DataFrame:
+    """(grp, km): a radius for each group at which its densest cell holds few places."""
+    wide = (F.max("lat") - F.min("lat")) * (F.max("lng") - F.min("lng")) * F.lit(KM_PER_DEGREE**2)
+    start = places.groupBy("grp").agg(F.greatest(F.lit(0.001), F.sqrt(wide / F.count("*"))).alias("km"))
+    for _ in range(12):
+        crowd = _cells(places.join(start, "grp"), F.col("km"), False).groupBy("grp", "row", "col").count().groupBy("grp").agg(F.max("count").alias("most"))
+        tight = start.join(crowd, "grp").select("grp", F.when((F.col("most") > CROWD) & (F.col("km") > 0.001), F.col("km") / 4).otherwise(F.col("km")).alias("km"), (F.col("most") > CROWD).alias("more"))
+        tight = staged(tight, "radius")
+        start = tight.select("grp", "km")
+        if tight.filter("more AND km > 0.001").isEmpty():
+            break
+    return start
+
+
 def nearest_distances(points: DataFrame) -> DataFrame:
     """(grp, id, nn) the distance to the nearest other point of the group, null for one alone.
 
-    Points come to cells of growing size until each has another point within the size of its cell: so a lonely point
-    costs a few more rounds, a dense group none.
+    Points at one place are at distance 0. The other places come to cells of growing size, from one that is small where the
+    group is dense, until each has another place within the size of its cell: a lonely one costs a few more rounds, a
+    dense city none.
     """
-    rest, done, km = points.select("grp", "id", "lat", "lng"), None, 2.0
-    while True:
-        pairs = neighbours(points.select("grp", "id", "lat", "lng").withColumn("eps", F.lit(km)).join(rest.select("grp").distinct(), "grp"))
+    points = staged(points.select("grp", "id", "lat", "lng"), "points")
+    places = staged(points.groupBy("grp", "lat", "lng").agg(F.min("id").alias("id"), F.count("*").alias("n")), "places")
+    start = _first_radius(places)
+    every = places.select("grp", "id", "lat", "lng")
+    rest, done, factor = staged(places.filter("n = 1").join(start, "grp").select("grp", "id", "lat", "lng", "km"), "nearest"), None, 1.0
+    while not rest.isEmpty():
+        asking = rest.select("grp", "id", "lat", "lng", F.least(F.col("km") * factor, F.lit(20_100.0)).alias("eps"))
+        there = every.join(asking.select("grp", "eps").distinct(), "grp")
+        pairs = near_pairs(asking, there)
         found = pairs.groupBy("grp", F.col("a").alias("id")).agg(F.min("km").alias("nn"))
         step = staged(rest.join(found, ["grp", "id"], "left"), "nearest")
-        hit = step.filter("nn is not null").select("grp", "id", "nn")
+        hit = step.filter("nn is not null OR km * %r > 20100" % factor).select("grp", "id", "nn")
         done = hit if done is None else done.unionByName(hit)
-        rest = step.filter("nn is null").drop("nn")
-        if rest.isEmpty():
-            return done
-        if km > 20_100:
-            return done.unionByName(rest.select("grp", "id", F.lit(None).cast("double").alias("nn")))
-        km *= 8
+        rest = step.filter("nn is null AND km * %r <= 20100" % factor).drop("nn")
+        factor *= 4
+    same = points.join(places.filter("n > 1").select("grp", "lat", "lng"), ["grp", "lat", "lng"]).select("grp", "id", F.lit(0.0).alias("nn"))
+    return same if done is None else done.unionByName(same)
 
 
 def adaptive_eps(points: DataFrame, share: float = 0.15, low: float = 0.5, high: float = 50.0, small: float = 8.0) -> DataFrame:
@@ -67,29 +110,15 @@ def adaptive_eps(points: DataFrame, share: float = 0.15, low: float = 0.5, high:
     return n.join(at, "grp", "left").select("grp", "n", F.when(F.col("n") < 3, small).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), F.col("eps0")))).alias("eps"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(grp, id, component) of nodes that edges (grp, a, b) connect: the least id, by least neighbours and shortcuts until nothing changes."""
-    edges = staged(edges.select("grp", "a", "b"), "edges")
-    labels = staged(edges.groupBy("grp", F.col("a").alias("id")).agg(F.min("b").alias("m")).select("grp", "id", F.least("id", "m").alias("component")), "labels")
-    while True:
-        other = labels.select("grp", F.col("id").alias("b"), F.col("component").alias("c"))
-        least = edges.join(other, ["grp", "b"]).groupBy("grp", F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        jump = labels.select("grp", F.col("id").alias("component"), F.col("component").alias("up"))
-        new = labels.join(least, ["grp", "id"]).join(jump, ["grp", "component"], "left")
-        new = staged(new.select("grp", "id", F.least("component", "m", F.coalesce("up", "component")).alias("component"), F.col("component").alias("was")), "labels")
-        if new.filter("component <> was").isEmpty():
-            return new.drop("was")
-        labels = new.drop("was")
-
-
 def clusters(points: DataFrame) -> DataFrame:
     """(id, grp, cluster): density clusters with at least two points, by the group's own radius; noise and groups of up to two points have none.
 
     With two points for a core there are no border points, so clusters are the components of the neighbour graph.
     """
     eps = adaptive_eps(points)
-    near = neighbours(points.join(eps.filter("n > 2").select("grp", "eps"), "grp"))
-    return points.select("id", "grp").join(components(near).select("grp", "id", F.col("component").alias("cluster")), ["grp", "id"], "left")
+    near = links_within(points.join(eps.filter("n > 2").select("grp", "eps"), "grp"))
+    named = connected_components(near).select("id", F.col("component").alias("cluster"))
+    return points.select("id", "grp").join(named, "id", "left")
 
 
 def summary(points: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -100,6 +129,13 @@ def summary(points: DataFrame, labelled: DataFrame) -> DataFrame:
     return centre.join(far, "cluster").select("cluster", "grp", "centroid_lat", "centroid_lng", "radius", F.col("n").alias("point_count"))
 
 
+def representatives(points: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(key, grp, lat, lng): the centroid of each cluster as c-id, and each point outside one as p-id."""
+    groups = summary(points, labelled).select(F.concat(F.lit("c-"), "cluster").alias("key"), "grp", F.col("centroid_lat").alias("lat"), F.col("centroid_lng").alias("lng"))
+    alone = points.join(labelled.filter("cluster is null").select("id"), "id").select(F.concat(F.lit("p-"), "id").alias("key"), "grp", "lat", "lng")
+    return groups.unionByName(alone)
+
+
 def nearest_of(points: DataFrame, sites: DataFrame) -> DataFrame:
     """Each point with the key of the nearest site of its part, the first of equals: sites (part, key, ord, lat, lng) are few for each part."""
     s = sites.select("part", "key", "ord", F.col("lat").alias("slat"), F.col("lng").alias("slng"))
@@ -107,6 +143,30 @@ def nearest_of(points: DataFrame, sites: DataFrame) -> DataFrame:
     return points.join(s, "part").groupBy("id").agg(F.min_by("key", F.struct(km, F.col("ord"))).alias("nearest"), F.round(F.min(km), 6).alias("km"))
 
 
+def nearest_in_plane(points: DataFrame, sites: DataFrame, first: float = 0.25) -> DataFrame:
+    """(id, key) of the nearest site (key, x, y) of each point (id, x, y), distances to 9 decimals, ties to the least key.
+
+    Points and sites meet in square cells of growing side, so no point meets all sites; a site within the side is the nearest.
+    """
+    wide = sites.agg(F.max("x"), F.min("x"), F.max("y"), F.min("y")).union(points.agg(F.max("x"), F.min("x"), F.max("y"), F.min("y"))).collect()  # two rows
+    spans = [[v for row in wide for v in row[k : k + 2] if v is not None] for k in (0, 2)]
+    reach = sum(max(v) - min(v) for v in spans) if all(spans) else 0.0
+    rest, done, side = points.select("id", "x", "y"), None, first
+    while True:
+        at = lambda c, side=side: F.floor(F.col(c) / side)
+        asks = rest.withColumn("i", F.explode(F.array(at("x") - 1, at("x"), at("x") + 1))).withColumn("j", F.explode(F.array(at("y") - 1, at("y"), at("y") + 1)))
+        there = sites.select("key", F.col("x").alias("sx"), F.col("y").alias("sy"), at("x").alias("i"), at("y").alias("j"))
+        d = F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)
+        found = asks.join(there, ["i", "j"]).filter(d <= side**2).groupBy("id").agg(F.min_by("key", F.struct(F.round(d, 9), F.col("key"))).alias("key"))
+        step = staged(rest.join(found, "id", "left"), "nearest")
+        hit = step.filter("key is not null").select("id", "key")
+        done = hit if done is None else done.unionByName(hit)
+        rest = step.filter("key is null").drop("key")
+        if side > reach or rest.isEmpty():
+            return done
+        side *= 4
+
+
 def redistribute(rows: DataFrame) -> DataFrame:
     """rows (id, grp, jurisdiction, lat, lng, ...) with the rows of catch-all groups moved to the nearest real group.
 

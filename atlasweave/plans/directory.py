@@ -93,12 +93,6 @@ def missing_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(lacks).alias("missing"), F.count_if(lacks & ((F.col("address") != "") | (F.col("city") != ""))).alias("lookup"))
 
 
-def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of each diocese, and of each jurisdiction those without one."""
-    r = rec(spark, sf_dir)
-    return r.groupBy(F.when(F.col("diocese") != "", F.col("diocese")).otherwise(F.col("jurisdiction")).alias("key")).agg(F.count("*").alias("n"))
-
-
 def hierarchy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree region, nation, suppliers, nested and in order; flat columns beside it."""
     n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
@@ -130,9 +124,9 @@ def profile_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def goals_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of the list over a tenth of the users: open ones first, then the newest. goals_order has all."""
-    a = act(spark, sf_dir).filter("user_id % 10 = 0").withColumn("done", F.col("place_id") % 2)
-    return a.orderBy("done", F.desc("ts"), "event_id").limit(100).select("event_id", "user_id", "done")
+    """Every user's goals in order: open ones first, then the newest."""
+    a = act(spark, sf_dir).withColumn("done", F.col("place_id") % 2)
+    return a.orderBy("user_id", "done", F.desc("ts"), "event_id").select("event_id", "user_id", "done")
 
 
 def goals_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,14 +157,18 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def default_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = act(spark, sf_dir)
-    kept = a.filter("user_id % 2 = 0").groupBy("user_id").agg(F.max("place_id").alias("theme"))
+    kept = a.filter("user_id % 2 = 0").groupBy("user_id").agg(F.max("place_id").alias("theme")).withColumn("theme", F.when(F.col("user_id") % 4 != 0, F.col("theme")))
     return activity.with_defaults(a, kept, "user_id", {"theme": -1})
 
 
 def owner_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = act(spark, sf_dir).select("event_id", "user_id", "place_id", "event_type")
-    changes = a.filter("event_id % 4 = 0").select("event_id", "user_id", F.concat(F.coalesce(F.nullif("event_type", F.lit("")), F.lit("none")), F.lit("!")).alias("event_type"))
-    return activity.update(a, changes, ["event_id", "user_id"], ["event_type"])
+    """Goals changed by their owners: empty types get the default, completed ones the time; of two changes the later holds."""
+    a = act(spark, sf_dir).select("event_id", "user_id", "event_type", F.lit(False).alias("is_completed"), F.lit(None).cast("timestamp").alias("completed_at"), "ts")
+    asked = a.filter("event_id % 4 = 0").select("event_id", "user_id", F.when(F.col("event_id") % 8 == 0, "").otherwise(F.concat("event_type", F.lit("!"))).alias("event_type"), (F.col("event_id") % 3 == 0).alias("done"), "ts", F.lit(2).alias("n"))
+    asked = asked.unionByName(asked.withColumns({"event_type": F.lit("first"), "n": F.lit(1)}))
+    done, at = activity.completion("done", F.col("ts"))
+    changes = asked.select("event_id", "user_id", activity.or_default("event_type", "other"), done, at, "n")
+    return activity.update(a, changes, ["event_id", "user_id"], ["event_type", "is_completed", "completed_at"], F.col("n")).drop("ts")
 
 
 def plain_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +209,7 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    parent_lookup, fuzzy_lookup, fuzzy_lookup_fixed, canonical_group, state_backfill, seat_enrich, stats_by_level, distinct_pairs, coverage_pct, topn_states, missing_coordinates, group_counts, hierarchy_tree,
+    parent_lookup, fuzzy_lookup, fuzzy_lookup_fixed, canonical_group, state_backfill, seat_enrich, stats_by_level, distinct_pairs, coverage_pct, topn_states, missing_coordinates, hierarchy_tree,
     visit_join, journal_left_join, profile_join, goals_sort, goals_order, visit_upsert, saved_insert_ignore, owner_delete, cascade_delete, default_row, owner_update, plain_insert,
     links, title_extract, carry_forward, first_strategy, script_json, table_scan,
 )}
@@ -229,7 +227,7 @@ ORACLES = {
     "canonical_group": f"""WITH all_reg AS ({_REGISTRY}), registry AS (SELECT * FROM all_reg WHERE parent <> 'ASIA' OR ord = (SELECT min(ord) FROM all_reg WHERE parent = 'ASIA')),
         g AS ({_GROUPS}), names AS (SELECT DISTINCT grp AS name FROM g WHERE trim(grp) <> ''), m AS ({_MATCH}),
         lone AS (SELECT parent AS p, min(entry) AS e FROM registry GROUP BY parent HAVING count(*) = 1)
-        SELECT s_suppkey, grp, parent, coalesce(match, CASE WHEN trim(grp) = '' THEN e END, nullif(trim(grp), ''), nullif(trim(parent), ''), 'Unknown') AS canonical
+        SELECT s_suppkey, grp, parent, coalesce(match, e, nullif(trim(grp), ''), nullif(trim(parent), ''), 'Unknown') AS canonical
         FROM g LEFT JOIN m ON name = grp LEFT JOIN lone ON p = parent""",
     "state_backfill": f"""WITH r AS (SELECT parent AS p, unnest(areas) AS a, entry, ord FROM ({_REGISTRY})), b AS (SELECT p, a, arg_max(entry, (length(entry), -ord)) AS e FROM r GROUP BY p, a)
         SELECT s_suppkey, parent, area, CASE WHEN trim(grp) = '' THEN coalesce(e, '') ELSE grp END AS grp FROM ({_BACKFILL}) LEFT JOIN b ON p = parent AND a = area""",
@@ -242,7 +240,6 @@ ORACLES = {
         FROM ({REC}) GROUP BY 1""",
     "topn_states": f"SELECT state, count(*) AS n FROM ({REC}) WHERE country = 'USA' AND state <> '' GROUP BY 1 ORDER BY n DESC, state LIMIT 10",
     "missing_coordinates": f"SELECT count(*) AS n, count(*) FILTER (lat = '' AND lng = '') AS missing, count(*) FILTER (lat = '' AND lng = '' AND (address <> '' OR city <> '')) AS lookup FROM ({REC})",
-    "group_counts": f"SELECT CASE WHEN diocese <> '' THEN diocese ELSE jurisdiction END AS key, count(*) AS n FROM ({REC}) GROUP BY 1",
     "hierarchy_tree": """WITH c AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)
         SELECT r_name, count(*) AS child_count, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total, string_agg(n_name, ',' ORDER BY n_nationkey) AS names
         FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN c ON s_nationkey = n_nationkey GROUP BY r_name""",
@@ -250,15 +247,16 @@ ORACLES = {
     "journal_left_join": f"SELECT event_id, user_id, name AS place_name FROM ({ACT}) LEFT JOIN (SELECT * FROM ({REC}) WHERE ord % 2 = 0) ON place_id = ord",
     "profile_join": f"""WITH u AS (SELECT user_id, min(place_id) AS a, max(place_id) AS b FROM ({ACT}) GROUP BY 1), p AS ({REC})
         SELECT user_id, x.name AS first_name, y.name AS last_name FROM u LEFT JOIN p x ON a = x.ord LEFT JOIN p y ON b = y.ord""",
-    "goals_sort": f"SELECT event_id, user_id, place_id % 2 AS done FROM ({ACT}) WHERE user_id % 10 = 0 ORDER BY done, ts DESC, event_id LIMIT 100",
+    "goals_sort": f"SELECT event_id, user_id, place_id % 2 AS done FROM ({ACT})",
     "goals_order": f"""SELECT event_id, user_id, place_id % 2 AS done, row_number() OVER (PARTITION BY user_id ORDER BY place_id % 2 NULLS FIRST, ts DESC NULLS LAST, event_id NULLS FIRST) AS position
         FROM ({ACT})""",
     "visit_upsert": _PICK("DESC"),
     "saved_insert_ignore": _PICK("ASC"),
     "owner_delete": f"WITH a AS ({ACT}) SELECT event_id, user_id FROM a WHERE NOT EXISTS (SELECT 1 FROM a d WHERE d.event_type = 'click' AND d.user_id = a.user_id AND d.place_id = a.place_id)",
     "cascade_delete": f"SELECT event_id, user_id, CASE WHEN place_id % 2 = 0 AND place_id IN (SELECT p_partkey FROM part) THEN place_id END AS place_id FROM ({ACT}) WHERE user_id % 3 <> 0",
-    "default_row": f"SELECT user_id, CASE WHEN user_id % 2 = 0 THEN max(place_id) ELSE -1 END AS theme FROM ({ACT}) GROUP BY user_id",
-    "owner_update": f"SELECT event_id, user_id, place_id, CASE WHEN event_id % 4 = 0 THEN coalesce(nullif(event_type, ''), 'none') || '!' ELSE event_type END AS event_type FROM ({ACT})",
+    "default_row": f"SELECT user_id, CASE WHEN user_id % 4 = 0 THEN NULL WHEN user_id % 2 = 0 THEN max(place_id) ELSE -1 END AS theme FROM ({ACT}) GROUP BY user_id",
+    "owner_update": f"""SELECT event_id, user_id, CASE WHEN event_id % 8 = 0 THEN 'other' WHEN event_id % 4 = 0 THEN event_type || '!' ELSE event_type END AS event_type,
+        event_id % 12 = 0 AS is_completed, CASE WHEN event_id % 12 = 0 THEN ts END AS completed_at FROM ({ACT})""",
     "plain_insert": f"SELECT event_id, user_id, event_type FROM ({ACT}) UNION ALL SELECT event_id + 1000000, user_id, NULL FROM ({ACT}) WHERE event_id < 10",
     "links": r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS t FROM pages),
         e AS (SELECT page_id, h, t, unnest(range(len(h))) AS pos FROM l)

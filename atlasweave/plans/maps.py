@@ -41,16 +41,14 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point for each cluster and each point outside one."""
     points = geo(spark, sf_dir)
-    labelled = spatial.clusters(points)
-    groups = spatial.summary(points, labelled).select(F.concat(F.lit("c-"), "cluster").alias("key"), "grp", "centroid_lat", "centroid_lng")
-    alone = points.join(labelled.filter("cluster is null").select("id"), "id").select(F.concat(F.lit("p-"), "id").alias("key"), "grp", F.col("lat").alias("centroid_lat"), F.col("lng").alias("centroid_lng"))
-    return groups.unionByName(alone).select("key", "grp", F.round("centroid_lat", 6).alias("lat"), F.round("centroid_lng", 6).alias("lng"))
+    return spatial.representatives(points, spatial.clusters(points)).select("key", "grp", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = geo(spark, sf_dir)
-    sites = points.groupBy("grp").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng")).select(F.lit(1).alias("part"), F.col("grp").alias("key"), F.col("grp").alias("ord"), "lat", "lng")
-    return spatial.nearest_of(points.withColumn("part", F.lit(1)), sites)
+    """The nearest group centroid of each point's jurisdiction."""
+    points = geo(spark, sf_dir).withColumn("part", F.col("grp") % 3)
+    sites = points.groupBy("part", F.col("grp").alias("key")).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng")).select("part", "key", F.col("key").alias("ord"), "lat", "lng")
+    return spatial.nearest_of(points, sites)
 
 
 def redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +72,9 @@ def knn_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def voronoi_dominance_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest group centroid, in the plane of degrees, for each point of a grid."""
-    sites = geo(spark, sf_dir).groupBy("grp").agg(F.avg("lat").alias("slat"), F.avg("lng").alias("slng"))
-    grid = spark.range(61 * 41).select((44 + (F.col("id") % 41) * 0.05).alias("glat"), (-97 + F.floor(F.col("id") / 41) * 0.05).alias("glng"), F.col("id").alias("cell"))
-    d = F.pow(F.col("glat") - F.col("slat"), 2) + F.pow(F.col("glng") - F.col("slng"), 2)
-    return grid.withColumn("k", F.lit(1)).join(sites.withColumn("k", F.lit(1)), "k").groupBy("cell").agg(F.min_by("grp", F.struct(F.round(d, 9), F.col("grp"))).alias("grp"))
+    sites = geo(spark, sf_dir).groupBy(F.col("grp").alias("key")).agg(F.avg("lng").alias("x"), F.avg("lat").alias("y"))
+    grid = spark.range(61 * 41).select("id", (44 + (F.col("id") % 41) * 0.05).alias("y"), (-97 + F.floor(F.col("id") / 41) * 0.05).alias("x"))
+    return spatial.nearest_in_plane(grid, sites).select(F.col("id").alias("cell"), F.col("key").alias("grp"))
 
 
 def convex_hull_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +91,15 @@ def concave_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voronoi_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polygons.voronoi(geo(spark, sf_dir), BOX)
+    """One diagram over all representatives: a cell for each."""
+    points = geo(spark, sf_dir)
+    sites = spatial.representatives(points, spatial.clusters(points))
+    return polygons.voronoi(sites.select(F.col("key").alias("id"), "lat", "lng"), BOX)
+
+
+def group_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concave outlines of groups, grown by 30 km."""
+    return polygons.outlines(geo(spark, sf_dir))
 
 
 def geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +117,7 @@ def map_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k").drop("k")
 
 
-QUERIES = {f.__name__: f for f in (nn_distance, eps_percentile, dbscan_clusters, cluster_summary, representatives, nearest_centroid, redistribute, knn_top10, knn_fallback, voronoi_dominance_grid, convex_hull_vertices, buffer_hull, concave_hull, voronoi_cells, geojson_points, map_meta)}
+QUERIES = {f.__name__: f for f in (nn_distance, eps_percentile, dbscan_clusters, cluster_summary, representatives, nearest_centroid, redistribute, knn_top10, knn_fallback, voronoi_dominance_grid, convex_hull_vertices, buffer_hull, concave_hull, voronoi_cells, group_outlines, geojson_points, map_meta)}
 
 _MILES = f"SELECT *, {_DIST('CAST(45 AS DOUBLE)', 'CAST(-95 AS DOUBLE)', 'lat', 'lng', MILES)} AS m FROM ({GEO_DUCK})"
 _SUMMARY = f"""{_COMP}, rows AS (SELECT pts.*, cluster FROM pts JOIN comp USING (id)), c AS (SELECT cluster, min(grp) AS grp, avg(lat) AS clat, avg(lng) AS clng, count(*) AS n FROM rows GROUP BY 1)"""
@@ -124,7 +129,7 @@ ORACLES = {
         FROM rows JOIN c USING (cluster) GROUP BY cluster, c.grp, clat, clng, n""",
     "representatives": f"""WITH RECURSIVE {_SUMMARY} SELECT 'c-' || cluster AS key, grp, round(clat, 6) AS lat, round(clng, 6) AS lng FROM c
         UNION ALL SELECT 'p-' || id, grp, round(lat, 6), round(lng, 6) FROM pts WHERE id NOT IN (SELECT id FROM comp)""",
-    "nearest_centroid": f"""WITH pts AS ({GEO_DUCK}), s AS (SELECT grp AS key, avg(lat) AS slat, avg(lng) AS slng FROM pts GROUP BY 1), d AS (SELECT id, key, {_DIST("lat", "lng", "slat", "slng")} AS km FROM pts, s)
+    "nearest_centroid": f"""WITH pts AS ({GEO_DUCK}), s AS (SELECT grp AS key, avg(lat) AS slat, avg(lng) AS slng FROM pts GROUP BY 1), d AS (SELECT id, key, {_DIST("lat", "lng", "slat", "slng")} AS km FROM pts JOIN s ON pts.grp % 3 = s.key % 3)
         SELECT id, arg_min(key, (km, key)) AS nearest, round(min(km), 6) AS km FROM d GROUP BY id""",
     "redistribute": f"""WITH r AS (SELECT ord AS id, coalesce(nullif(diocese, ''), jurisdiction) AS grp, jurisdiction, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng FROM ({REC}) WHERE lat <> '' AND lng <> ''),
         g AS (SELECT grp AS key, arg_min(jurisdiction, id) AS j, min(id) AS o, avg(lat) AS slat, avg(lng) AS slng FROM r GROUP BY 1), s AS (SELECT * FROM g WHERE key <> j AND key NOT IN (SELECT j FROM g WHERE key <> j)),

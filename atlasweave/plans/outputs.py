@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import output
 from ..sources import files, html
-from ..stages import LOCAL
+from ..stages import shared_folder
 from .carriers import GEO_DUCK, REC, geo, rec, table, view
 
 
@@ -23,8 +25,9 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A preview: the size of each group and its first five names."""
-    return output.members(_members(spark, sf_dir), "key", limit=5).select("key", "size", F.array_join("names", ",").alias("names"))
+    """The size of each group and its names in order, all of them."""
+    rows = output.member_rows(_members(spark, sf_dir), "key")
+    return rows.groupBy("key").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]), ",").alias("names"))
 
 
 def member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,16 +77,15 @@ def region_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot written to the shared folder; its manifest."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL
     tables = {"records": rec(spark, sf_dir), "nations": table(spark, sf_dir, "nation")}
-    return output.snapshot(spark, tables, f"{base.rstrip('/')}/snapshot", "1").select("name", "rows")
+    return output.snapshot(spark, tables, f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}", "1").select("name", "rows")
 
 
 QUERIES = {f.__name__: f for f in (manifest, members, member_rows, geocode_fill, migrate_columns, error_class, coordinate_extract, line_kinds, region_props, snapshot_files)}
 _PLACE = "concat_ws(', ', nullif(trim(address), ''), nullif(trim(city), ''), nullif(trim(state), ''), coalesce(nullif(trim(country), ''), 'USA'))"
 ORACLES = {
     "manifest": f"SELECT 'records' AS name, count(*) AS rows FROM ({REC}) UNION ALL SELECT 'points', count(*) FROM ({GEO_DUCK}) UNION ALL SELECT 'nations', count(*) FROM nation",
-    "members": """SELECT s_nationkey AS key, count(*) AS size, array_to_string(list(s_name ORDER BY s_suppkey)[1:5], ',') AS names FROM supplier GROUP BY 1""",
+    "members": """SELECT s_nationkey AS key, count(*) AS size, array_to_string(list(s_name ORDER BY s_suppkey), ',') AS names FROM supplier GROUP BY 1""",
     "member_rows": "SELECT s_nationkey AS key, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_name) AS position, s_suppkey AS id, s_name AS name FROM supplier",
     "geocode_fill": f"""WITH r AS (SELECT ord, address, city, state, country, TRY_CAST(lat AS DOUBLE) AS la, TRY_CAST(lng AS DOUBLE) AS ln FROM ({REC})),
         k AS (SELECT {_PLACE} AS place, min(CAST(ord % 90 AS DOUBLE)) AS kla FROM r WHERE ord % 14 = 0 GROUP BY 1)

@@ -5,13 +5,19 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, er
+from ..operators import cleaning, enrich, er, output, polygons, served, spatial
+from ..sources import files
+from ..stages import staged
 
-Stage = Callable[[DataFrame], DataFrame]
+Tables = dict[str, DataFrame]
+Stage = Callable[[Any], Any]
+#: Where cells end: west, south, east, north.
+WORLD = (-180.0, -85.0, 180.0, 85.0)
 
 
 @dataclass
@@ -34,8 +40,8 @@ class Pipeline:
         names = names[names.index(start) if start else 0 :]
         return [n for n in names if n not in (skip or ()) and n not in self.asked_only]
 
-    def run(self, df: DataFrame, chosen: list[str], dry: bool = False) -> DataFrame:
-        """Run the chosen stages; the first failure ends the run, and the error tells where to resume."""
+    def run(self, df: Any, chosen: list[str], dry: bool = False) -> Any:
+        """Run the chosen stages on a table or on tables by name; the first failure ends the run, and the error tells where to resume."""
         for name in chosen:
             began = time.monotonic()
             if dry:
@@ -61,9 +67,66 @@ def duration(seconds: Column) -> Column:
     return F.when(seconds < 1, F.concat(F.round(seconds * 1000).cast("int"), F.lit("ms"))).when(seconds < 60, F.concat(F.round(seconds, 1), F.lit("s"))).otherwise(minutes)
 
 
-def directory_pipeline() -> Pipeline:
-    """Clean records, merge by name, merge by place: records in, resolved records out.
+@dataclass
+class Lookups:
+    """The reference tables of a build."""
+
+    hierarchy: DataFrame  # parent, child, ord
+    registry: DataFrame  # entry, ord, parent, region, areas, bishop
+    seats: DataFrame  # seat, diocese, type, ord
+    gazetteer: DataFrame  # place, lat, lng
 
-    Enrichment, redistribution, clusters, outlines and snapshots take more tables than one, and are no stages here.
-    """
-    return Pipeline({"clean": cleaning.clean_record, "by_name": er.by_name, "by_place": er.by_place, "serve": lambda df: df})
+
+def directory_pipeline() -> Pipeline:
+    """Clean records, merge by name, merge by place: records in, resolved records out."""
+    return Pipeline({"clean": cleaning.clean_record, "by_name": er.by_name, "by_place": er.by_place}, frozenset())
+
+
+def directory_build(spark: SparkSession, folder: str, lookups: Lookups, out: str, version: str = "1", box: tuple[float, float, float, float] = WORLD) -> Pipeline:
+    """The whole build over tables by name, from raw files in folder to a snapshot under out: read and clean all sources, merge,
+    enrich by reference tables, fill coordinates, make the table of records, compute clusters and shapes, write, serve."""
+
+    def scrape(t: Tables) -> Tables:
+        return t | {"records": staged(cleaning.clean_record(files.read_sources(spark, folder)), "scraped")}
+
+    def dedup(t: Tables) -> Tables:
+        return t | {"records": staged(er.resolve(t["records"]), "merged")}
+
+    def enriched(t: Tables) -> Tables:
+        rows = enrich.backfill(t["records"], lookups.registry, "jurisdiction", "state", "diocese")
+        return t | {"records": enrich.with_seats(enrich.parent_of(rows, lookups.hierarchy, "jurisdiction", "patriarchate"), lookups.seats)}
+
+    def geocode(t: Tables) -> Tables:
+        number = {c: F.nullif(F.col(c).try_cast("double"), F.lit(0.0)) for c in ("lat", "lng")}
+        return t | {"records": output.fill_coordinates(t["records"].withColumns(number), lookups.gazetteer)}
+
+    def import_(t: Tables) -> Tables:
+        return t | {"records": staged(t["records"].withColumnRenamed("ord", "id"), "records")}
+
+    def compute(t: Tables) -> Tables:
+        placed = t["records"].filter("lat IS NOT NULL AND lng IS NOT NULL")
+        named = enrich.canonical_group(placed, lookups.registry, "diocese", "jurisdiction", "grp").select("id", "grp", "jurisdiction", "lat", "lng", "name")
+        points = staged(spatial.redistribute(named), "points")
+        labelled = staged(spatial.clusters(points), "clusters")
+        groups = spatial.summary(points, labelled)
+        of = points.groupBy("grp").agg(F.min_by("jurisdiction", "id").alias("jurisdiction"))
+        sites = spatial.representatives(points, labelled)
+        named_sites = sites.select(F.col("key").alias("id"), "grp", "lat", "lng")
+        cells = polygons.voronoi(named_sites, box).join(named_sites.select("id", "grp"), "id").select("id", "grp", F.array("ring").alias("rings"), F.lit(2).alias("tier"))
+        outlines = polygons.outlines(points).select(F.col("grp").alias("id"), "grp", "rings", F.lit(1).alias("tier"))
+        shapes = cells.unionByName(outlines).join(of, "grp")
+        kind = F.when(F.col("tier") == 1, "diocese").otherwise("parish")
+        shapes = shapes.select(kind.alias("entity_type"), F.col("id").alias("entity_id"), F.col("grp").alias("diocese"), "jurisdiction", "tier", F.to_json(output.multi_polygon(F.col("rings"))).alias("geojson"))
+        members = output.member_rows(points.join(labelled.select("id", "cluster"), "id").withColumn("key", F.coalesce(F.concat(F.lit("c-"), "cluster"), F.concat(F.lit("p-"), "id"))), "key")
+        return t | {"clusters": groups, "polygons": staged(shapes, "polygons"), "members": members}
+
+    def snapshot(t: Tables) -> Tables:
+        return t | {"manifest": output.snapshot(spark, {k: t[k] for k in ("records", "clusters", "polygons", "members")}, out, version)}
+
+    def serve(t: Tables) -> Tables:
+        records, shapes = (spark.read.parquet(f"{out}/{k}") for k in ("records", "polygons"))
+        plain = records.drop("seat_list", "patriarchate", "region", "bishop")
+        found = {"points": served.map_points(plain, lookups.registry, lookups.hierarchy, lookups.seats), "groups": served.map_groups(shapes, records, lookups.registry, lookups.hierarchy), "cells": served.map_cells(shapes)}
+        return t | found
+
+    return Pipeline({"scrape": scrape, "dedup": dedup, "enrich": enriched, "geocode": geocode, "import": import_, "compute": compute, "snapshot": snapshot, "serve": serve})

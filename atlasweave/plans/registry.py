@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import directory, maps, outputs, resolution
+from . import directory, endpoints, extraction, maps, outputs, resolution
 
-_PARTS = (resolution, directory, maps, outputs)
+_PARTS = (resolution, directory, maps, outputs, endpoints, extraction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

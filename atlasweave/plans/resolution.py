@@ -6,33 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.clergy import clergy
-from ..functions.values import SMALL_WORDS, SOURCE_PRIORITY
+from ..functions.values import CA_PROVINCES, COUNTRIES, SMALL_WORDS, SOURCE_PRIORITY, US_STATES
 from ..operators import er
-from ..shipping import ship
 from .carriers import REC, rec, table
 
 _PRIORITY = "CASE source " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in SOURCE_PRIORITY.items()) + " ELSE 0 END"
 _NORM = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
 _NAME = lambda c: f"regexp_replace({_NORM(c)}, '(orthodox|russian|rocor|oca|www)$', '')"
 _KEY = f"CASE WHEN {_NAME('name')} = '' THEN '' WHEN {_NORM('city')} <> '' THEN {_NAME('name')} || '|' || {_NORM('city')} ELSE {_NAME('name')} || '||' || {_NORM('state')} END"
-_COORD = "CASE WHEN coalesce(TRY_CAST(lat AS DOUBLE), 0) = 0 OR coalesce(TRY_CAST(lng AS DOUBLE), 0) = 0 THEN '' ELSE printf('%.4f', TRY_CAST(lat AS DOUBLE)) || ',' || printf('%.4f', TRY_CAST(lng AS DOUBLE)) END"
+_COORD = "CASE WHEN coalesce(TRY_CAST(lat AS DOUBLE), 0) = 0 OR coalesce(TRY_CAST(lng AS DOUBLE), 0) = 0 THEN '' ELSE printf('%.4f', TRY_CAST(lat AS DOUBLE)) || '|' || printf('%.4f', TRY_CAST(lng AS DOUBLE)) END"
+
+
+_SPACE = r"[\s\x{00A0}]"
+_TRIM = lambda c: f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
 def _merged(rows: str, key: str) -> str:
-    fields = ", ".join(f"coalesce(arg_max({c}, (p, length(trim({c})), -ord)) FILTER (WHERE trim({c}) <> ''), '') AS {c}" for c in er.FIELDS)
-    return f"""SELECT {key}, {fields}, min(ord) AS ord, count(*) AS merged_rows,
-        list(source ORDER BY ord) AS sources FROM (SELECT *, {_PRIORITY} AS p FROM {rows}) GROUP BY {key}"""
+    """A group's fields, each from the source trusted most, then the longest without white space at its ends, then the first; and its sources."""
+    fields = ", ".join(f"coalesce(arg_max({_TRIM(c)}, (p, length({_TRIM(c)}), -ord)) FILTER (WHERE {_TRIM(c)} <> ''), '') AS {c}" for c in er.FIELDS)
+    parts = "list_filter(list_transform(flatten(list_transform(list(coalesce(source, '') ORDER BY ord), lambda s: string_split(s, ','))), lambda s: trim(s)), lambda s: s <> '')"
+    return f"""SELECT {key}, {fields}, min(ord) AS ord, count(*) AS merged_rows, {parts} AS x FROM (SELECT *, {_PRIORITY} AS p FROM {rows}) GROUP BY {key}"""
 
 
-_JOIN = "array_to_string(list_transform(list_sort(list_transform(list_distinct(x), lambda v: {'p': list_position(x, v), 'v': v})), lambda s: s.v), ', ')"
+_JOIN = "array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ', ')"
 _PASS1 = f"""rec AS ({REC}), keyed AS (SELECT *, {_KEY} AS dedup_key FROM rec),
     m1 AS ({_merged("(SELECT * FROM keyed WHERE dedup_key <> '')", "dedup_key")}),
-    p1 AS (SELECT m1.* EXCLUDE (sources), {_JOIN.replace("(x)", "(sources)").replace("(x, v)", "(sources, v)")} AS source FROM m1)"""
+    p1 AS (SELECT * EXCLUDE (x), {_JOIN} AS source FROM m1)"""
 _PASS2 = f"""{_PASS1}, placed AS (SELECT * EXCLUDE (merged_rows), {_COORD} AS coord_key FROM p1),
     m2 AS ({_merged("(SELECT * FROM placed WHERE coord_key <> '')", "coord_key")}),
-    flat AS (SELECT m2.* EXCLUDE (sources), string_split(array_to_string(sources, ', '), ', ') AS x FROM m2),
-    p2 AS (SELECT coord_key, {", ".join(er.FIELDS)}, {_JOIN} AS source, ord, merged_rows FROM flat
+    p2 AS (SELECT coord_key, {", ".join(er.FIELDS)}, {_JOIN} AS source, ord, merged_rows FROM m2
            UNION ALL SELECT coord_key, {", ".join(er.FIELDS)}, source, ord, 1 FROM placed WHERE coord_key = '')"""
 
 
@@ -86,17 +88,19 @@ def zip_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.zip_code(raw).alias("zip"))
 
 
-_STATE_RAW = "CASE CAST(s_suppkey % 5 AS INT) WHEN 0 THEN 'n.y.' WHEN 1 THEN 'new york' WHEN 2 THEN 'Ontario' WHEN 3 THEN 'tx' ELSE 'province of ' || lower(s_name) END"
+_STATE_RAW = "CASE CAST(s_suppkey % 9 AS INT) WHEN 0 THEN 'n.y.' WHEN 1 THEN 'new york' WHEN 2 THEN 'Ontario' WHEN 3 THEN 'tx' WHEN 4 THEN 'Puerto Rico' WHEN 5 THEN 'Newfoundland & Labrador' WHEN 6 THEN 'GU' WHEN 7 THEN '' ELSE 'province of ' || lower(s_name) END"
 _COUNTRY_RAW = "CASE CAST(s_suppkey % 4 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'u.s.' WHEN 2 THEN 'Romania' ELSE 'united states of america' END"
 
 
+_COUNTRY_STATE = "CASE CAST(s_suppkey % 5 AS INT) WHEN 0 THEN 'ON' WHEN 1 THEN 'ny' WHEN 2 THEN 'PR' WHEN 3 THEN 'VI' ELSE 'zz' END"
+
+
 def state_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.state_code(F.expr(_STATE_RAW)).alias("state"))
 
 
 def country_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = F.expr("CASE CAST(s_suppkey % 3 AS INT) WHEN 0 THEN 'ON' WHEN 1 THEN 'ny' ELSE 'zz' END")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", text.country_name(F.expr(_COUNTRY_RAW), state).alias("country"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.country_name(F.expr(_COUNTRY_RAW), F.expr(_COUNTRY_STATE)).alias("country"))
 
 
 def url_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,19 +134,17 @@ def colour_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *[colour[k].cast("long").alias(c) for k, c in enumerate(("r", "g", "b", "a"))])
 
 
-def clergy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.expr("CASE CAST(s_suppkey % 3 AS INT) WHEN 0 THEN 'V. Rev. John ' || s_name || ' Fr. Paul Jones' WHEN 1 THEN 'Fr. Paul ' || s_name || ', Priest in Charge' ELSE 'Rev. ' || s_name || ' (312) 555-0147 a@b.org' END")
-    ship(spark)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", clergy(raw).alias("clergy"))
-
-
-QUERIES = {f.__name__: f for f in (er_merge, er_pass1, er_coord, er_stats, er_first_wins, clean_text, title_case, norm_key, name_norm, phone_norm, zip_norm, state_norm, country_norm, url_norm, city_split, parse_float, importance, colour_jitter, clergy_split)}
+QUERIES = {f.__name__: f for f in (er_merge, er_pass1, er_coord, er_stats, er_first_wins, clean_text, title_case, norm_key, name_norm, phone_norm, zip_norm, state_norm, country_norm, url_norm, city_split, parse_float, importance, colour_jitter)}
 
 _F = ", ".join(er.FIELDS)
 _SMALL = ", ".join(f"'{w}'" for w in SMALL_WORDS)
 _TITLE = lambda c: f"""array_to_string(list_transform(string_split_regex({c}, '\\s+'), lambda w, i: CASE WHEN i > 1 AND lower(w) IN ({_SMALL}) THEN lower(w)
     WHEN regexp_full_match(w, '[A-Z]{{2,3}}') THEN w ELSE upper(lower(w)[1]) || lower(w)[2:] END), ' ')"""
 
+_VALUES = lambda table: ", ".join(f"('{k}', '{v}')" for k, v in table.items())
+_IN = lambda table: ", ".join(sorted({f"'{v}'" for v in table.values()}))
+_NAMED = f"{_VALUES(US_STATES)}, {_VALUES(CA_PROVINCES)}"
+_CODES = ", ".join(f"({c})" for c in f"{_IN(US_STATES)}, {_IN(CA_PROVINCES)}".split(", "))
 ORACLES = {
     "er_pass1": f"WITH {_PASS1} SELECT dedup_key, {_F}, source, ord FROM p1",
     "er_coord": "WITH " + _PASS2.replace(_PASS1, f"p1 AS (SELECT *, 1 AS merged_rows FROM ({REC}))") + f" SELECT coord_key, {_F}, source, ord FROM p2",
@@ -160,10 +162,10 @@ ORACLES = {
         WHEN 5 THEN '' ELSE '(312) 555-' || (1000 + c_custkey % 9000) END AS phone FROM customer""",
     "zip_norm": """SELECT c_custkey, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN '' || (10000 + c_custkey) WHEN 1 THEN (10000 + c_custkey) || '-' || (1000 + c_custkey % 9000)
         WHEN 2 THEN 'M' || (c_custkey % 10) || 'V 2T' || (c_custkey % 7) ELSE (10000 + c_custkey) || ' 1234' END AS zip FROM customer""",
-    "state_norm": f"""SELECT s_suppkey, CASE CAST(s_suppkey % 5 AS INT) WHEN 0 THEN 'NY' WHEN 1 THEN 'NY' WHEN 2 THEN 'ON' WHEN 3 THEN 'TX'
-        ELSE {_TITLE("'province of ' || lower(s_name)")} END AS state FROM supplier""",
-    "country_norm": """SELECT s_suppkey, CASE CAST(s_suppkey % 4 AS INT) WHEN 1 THEN 'USA' WHEN 2 THEN 'Romania' WHEN 3 THEN 'USA'
-        ELSE CASE CAST(s_suppkey % 3 AS INT) WHEN 0 THEN 'Canada' WHEN 1 THEN 'USA' ELSE '' END END AS country FROM supplier""",
+    "state_norm": f"""WITH r AS (SELECT s_suppkey, {_STATE_RAW} AS s FROM supplier), code(c) AS (VALUES {_CODES}), named(n, c) AS (VALUES {_NAMED})
+        SELECT s_suppkey, coalesce(a.c, b.c, named.c, {_TITLE("s")}) AS state FROM r LEFT JOIN code a ON a.c = upper(s) LEFT JOIN code b ON b.c = regexp_replace(upper(s), '[^A-Z]', '', 'g') LEFT JOIN named ON n = lower(s)""",
+    "country_norm": f"""WITH r AS (SELECT s_suppkey, {_COUNTRY_RAW} AS s, upper({_COUNTRY_STATE}) AS st FROM supplier), named(n, c) AS (VALUES {_VALUES(COUNTRIES)})
+        SELECT s_suppkey, coalesce(c, CASE WHEN s <> '' THEN s WHEN st IN ({_IN(US_STATES)}) THEN 'USA' WHEN st IN ({_IN(CA_PROVINCES)}) THEN 'Canada' ELSE '' END) AS country FROM r LEFT JOIN named ON n = lower(s)""",
     "url_norm": r"""WITH w AS (SELECT page_id, CASE CAST(page_id % 3 AS INT) WHEN 0 THEN regexp_replace(url, '^https?', 'https') WHEN 1 THEN
         CASE CAST(page_id % 2 AS INT) WHEN 0 THEN 'https://www.goarch.org/p/' || page_id ELSE '' END ELSE regexp_replace(url, '^https?://', 'https://') END AS u FROM pages)
         SELECT page_id, lower(regexp_extract(u, '^([a-zA-Z]+://[^/?#]*)(.*)$', 1)) || CASE regexp_extract(u, '^([a-zA-Z]+://[^/?#]*)(.*)$', 2) WHEN '/' THEN ''

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import collapse
+from ..functions.text import city_state, collapse, trimmed
+from ..functions.values import BLOCK_CLASSES, COORDINATES, FOOTERS, LIST_PAGES, LIST_TARGETS, NAVIGATION
 
 _LINK = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 
@@ -60,12 +61,87 @@ def first_strategy(rows: DataFrame, part: str, strategy: str, least: int) -> Dat
 
 def coordinates(html: Column) -> Column:
     """'lat,lng' by the first pattern that matches of those that map scripts and links use; '' if none does."""
-    number = r"(-?\d+\.\d+)"
-    patterns = (rf"LatLng\(\s*{number}\s*,\s*{number}", rf"maps\?ll={number},{number}", rf"@{number},{number}", rf'data-lat="{number}"[^>]*data-lng="{number}"')
-    found = [F.nullif(F.concat_ws(",", F.regexp_extract(html, p, 1), F.regexp_extract(html, p, 2)), F.lit(",")) for p in patterns]
+    found = [F.nullif(F.concat_ws(",", F.regexp_extract(html, p, 1), F.regexp_extract(html, p, 2)), F.lit(",")) for p in COORDINATES]
     return F.coalesce(*found, F.lit(""))
 
 
+def is_place_name(name: Column) -> Column:
+    """Whether a label can name a place: of 4 to 200 characters, no navigation, no footer, no header cell."""
+    return F.length(name).between(4, 200) & ~name.rlike(NAVIGATION) & ~name.rlike(FOOTERS) & ~name.rlike("(?i)^parish$")
+
+
+def in_countries(country: Column, countries: tuple[str, ...] = ("USA", "Canada")) -> Column:
+    return country.isin(*countries)
+
+
+def place_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """links() that lead to places: with a label, and not to lists, searches, regions or the page of all."""
+    label, href = F.col("label"), F.col("href")
+    navigation = (F.length(label) < 4) | label.rlike(LIST_PAGES) | (href == "/parishes")
+    for target in LIST_TARGETS:
+        navigation = navigation | href.contains(target)
+    return links(pages, html_col).filter(~navigation)
+
+
+def blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Places in repeated blocks: rows of the first class of blocks that a page has, with their fields, '' where missing."""
+
+    def of(name: str) -> Column:
+        return F.regexp_extract_all(html_col, F.lit(rf'(?is)(<(div|li|tr|section|article)\b[^>]*class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>.*?</\2>)'), 1)
+
+    tried = F.array(*[F.struct(F.lit(name).alias("kind"), of(name).alias("found")) for name in BLOCK_CLASSES])
+    chosen = F.try_element_at(F.filter(tried, lambda x: F.size(x["found"]) > 0), F.lit(1))
+    rows = pages.withColumn("__b", chosen).select("page_id", F.col("__b.kind").alias("kind"), F.posexplode("__b.found").alias("pos", "block"))
+    inner = lambda name: strip_tags(F.regexp_extract("block", rf'(?is)class="(?:[^"]*\s)?(?:{name})(?:\s[^"]*)?"[^>]*>(.*?)</', 1))
+    name = F.coalesce(*[F.nullif(strip_tags(F.regexp_extract("block", p, 1)), F.lit("")) for p in (r"(?is)<h[2-5][^>]*>(.*?)</h[2-5]>", r'(?is)class="(?:title|name|parish-name)"[^>]*>(.*?)</', r"(?is)<a\b[^>]*>(.*?)</a>", r"(?is)<td[^>]*>(.*?)</td>")], F.lit(""))
+    place = city_state(inner("location|city-state|address"))
+    href = F.regexp_extract("block", r'(?i)href="(http[^"]*)"', 1)
+    at = lambda c: F.regexp_extract("block", rf'data-{c}="([^"]*)"', 1)
+    made = rows.select("page_id", "pos", "kind", name.alias("name"), place.alias("place"), inner("phone").alias("phone"), href.alias("website"), inner("address|street").alias("address"), at("lat").alias("lat"), at("lng").alias("lng"))
+    return made.filter(is_place_name(F.col("name"))).select("page_id", "pos", "kind", "name", "place.city", "place.state", "phone", "website", "address", "lat", "lng")
+
+
+def details(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(url, phone, address, clergy, lat, lng) that a place's own page tells, '' where it doesn't."""
+    html, plain = F.col(html_col), strip_tags(F.col(html_col))
+    phone = trimmed(F.regexp_extract(plain, r"(?:Office|Phone|Tel|Telephone):\s*([\d(][\d\s\-().+]{6,})", 1))
+    under = F.regexp_extract(html, r"(?is)<h2[^>]*>\s*(?:mailing\s+)?address\s*</h2>.*?<p[^>]*>(.*?)</p>", 1)
+    lines_ = F.filter(F.transform(F.split(under, r"(?i)<br\s*/?>"), strip_tags), lambda x: (x != "") & ~x.rlike("(?i)^(US|USA)$"))
+    told = trimmed(F.regexp_replace(F.regexp_extract(plain, r"(?i)Mailing address:\s*(.*?)(?:Parish Contacts|$)", 1), r"(?i)\s*(US|USA)\s*$", ""))
+    names = F.regexp_extract_all(html, F.lit(r'(?is)class="contact"[^>]*>.*?class="name"[^>]*>(.*?)</'), 1)
+    at = F.split(coordinates(html), ",")
+    part = lambda k: F.coalesce(F.try_element_at(at, F.lit(k)), F.lit(""))
+    return pages.select(
+        F.col(url_col).alias("url"), phone.alias("phone"), F.coalesce(F.nullif(F.array_join(lines_, ", "), F.lit("")), told).alias("address"),
+        F.array_join(F.filter(F.transform(names, strip_tags), lambda x: x != ""), "; ").alias("clergy"), part(1).alias("lat"), part(2).alias("lng"),
+    )
+
+
+def with_details(records: DataFrame, pages: DataFrame, url_col: str = "detailUrl") -> DataFrame:
+    """Records with what they lack filled from their own pages, joined by address; a page met twice counts once."""
+    fields = ("phone", "address", "clergy", "lat", "lng")
+    told = details(pages).groupBy("url").agg(*[F.max(c).alias(f"__{c}") for c in fields])
+    out = records.join(told, records[url_col] == told["url"], "left")
+    return out.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__{c}"), F.lit("")) for c in fields}).select(records.columns)
+
+
+def line_records(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """A record of each page's lines: the first is the name, others are phone, clergy, city with state and ZIP, or address."""
+    all_lines = F.filter(F.transform(F.split(html_col, r"(?i)<br\s*/?>"), strip_tags), lambda x: x != "")
+    rows = pages.select("page_id", all_lines.alias("l")).select("page_id", F.coalesce(F.try_element_at("l", F.lit(1)), F.lit("")).alias("name"), F.expr("slice(l, 2, greatest(size(l) - 1, 0))").alias("l"))
+    phone_, clergy_, city_ = r"^\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}$", r"(?i)^clergy:\s*", r"^([A-Za-z\s.]+),\s*([A-Z]{2})\s*(\d{5}(?:-\d{4})?)?$"
+    is_phone = lambda x: F.regexp_replace(x, r"\s", "").rlike(phone_)
+    is_clergy = lambda x: ~is_phone(x) & x.rlike(clergy_)
+    is_city = lambda x: ~is_phone(x) & ~x.rlike(clergy_) & x.rlike(city_)
+    of = lambda test: F.filter("l", test)
+    last = lambda test: F.coalesce(F.try_element_at(of(test), F.lit(-1)), F.lit(""))
+    city = lambda k: trimmed(F.regexp_extract(last(is_city), city_, k))
+    zip_ = F.coalesce(F.try_element_at(F.filter(F.transform(of(is_city), lambda x: F.regexp_extract(x, city_, 3)), lambda x: x != ""), F.lit(-1)), F.lit(""))
+    clergy = F.array_join(F.transform(of(is_clergy), lambda x: F.regexp_replace(x, clergy_, "")), "; ")
+    address = F.array_join(of(lambda x: ~is_phone(x) & ~x.rlike(clergy_) & ~x.rlike(city_)), ", ")
+    return rows.select("page_id", "name", last(is_phone).alias("phone"), clergy.alias("clergy"), city(1).alias("city"), city(2).alias("state"), zip_.alias("zip"), address.alias("address"))
+
+
 def lines(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Lines between breaks with their kind: phone, clergy, city (ending in a state code and ZIP), or address."""
     parts = F.transform(F.split(html_col, r"(?i)<br\s*/?>"), strip_tags)

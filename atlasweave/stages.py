@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Where tables go when a session on one machine names no folder.
 LOCAL = "/tmp/checkpoints"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a cluster must name one, as a machine's own folder would lose rows there."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL
+    return base.rstrip("/")
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df and read it again, which cuts its lineage."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stage_path = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing will read again."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,20 +11,22 @@ COLUMNS = ["ord", "source", *er.FIELDS]
 
 
 def merged(rows):
-    """One group by hand: rows in order of trust, each field replaced by a more trusted or a longer value."""
-    out = {}
-    for field in er.FIELDS:
-        best = max(((SOURCE_PRIORITY.get(r["source"], 0), len(r[field].strip()), -r["ord"], r[field]) for r in rows if r[field].strip()), default=None)
-        out[field] = best[3] if best else ""
+    """One group by the rule: in order of trust, a field takes the trimmed value of a more trusted source, or a longer one of an equal; sources each once."""
+    out, trust = dict.fromkeys(er.FIELDS, ""), dict.fromkeys(er.FIELDS, -1)
+    for r in sorted(rows, key=lambda r: (SOURCE_PRIORITY.get(r["source"], 0), r["ord"])):
+        for f in er.FIELDS:
+            value, mine = (r[f] or "").strip(), SOURCE_PRIORITY.get(r["source"], 0)
+            if value and (not out[f] or mine > trust[f] or len(value) > len(out[f])):
+                out[f], trust[f] = value, mine
     sources = []
     for r in sorted(rows, key=lambda r: r["ord"]):
-        sources += [s for s in r["source"].split(", ") if s not in sources]
-    return out | {"source": ", ".join(sources)}
+        sources += [s for s in ((r["source"] or "").split(",")) if s.strip() and s.strip() not in [x.strip() for x in sources]]
+    return out | {"source": ", ".join(s.strip() for s in sources)}
 
 
 def test_winner_rule_against_brute_force(spark):
     rng = random.Random(4)
-    rows = [{"ord": k, "source": rng.choice([*SOURCE_PRIORITY, "other"])} | {f: rng.choice(["", " ", "a", "bb", "ccc", "dd"]) for f in er.FIELDS} | {"g": rng.randrange(80)} for k in range(800)]
+    rows = [{"ord": k, "source": rng.choice([*SOURCE_PRIORITY, "other", None, "", " ", "oca ,acrod"])} | {f: rng.choice(["", " ", None, "a", " bb\u00a0", "ccc", "dd", "  St. A  "]) for f in er.FIELDS} | {"g": rng.randrange(80)} for k in range(800)]
     df = spark.createDataFrame([(*[r[c] for c in COLUMNS], r["g"]) for r in rows], ", ".join(f"{c} {'long' if c == 'ord' else 'string'}" for c in COLUMNS) + ", g long")
     got = {r.g: r.asDict() for r in er.merge_groups(df, ["g"], er.FIELDS).collect()}
     for g in got:

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from atlasweave.operators import output
-from atlasweave.plans.pipeline import Pipeline, directory_pipeline, duration
+from atlasweave.plans.pipeline import Lookups, Pipeline, directory_build, directory_pipeline, duration
 from atlasweave.sources import files
 from atlasweave.streaming import visits
 
@@ -59,6 +61,60 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 2
 
 
+def test_sources_pages_and_references(spark, tmp_path):
+    (tmp_path / "oca.json").write_text('[{"name": "A", "detailUrl": "/1"}, {"name": "Z", "detailUrl": "/1"}, {"title": "B"}]')
+    (tmp_path / "goarch.json").write_text('[{"parish_name": "C", "telephone": "1", "latitude": "2", "address1": "x", "address2": "y", "stateProvince": "NY"}]')
+    (tmp_path / "acrod.json").write_text("[{broken")
+    (tmp_path / "all-parishes.json").write_text("[]")
+    rows = files.read_sources(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r.name, r.source, r.phone, r.lat, r.address, r.state) for r in rows] == [("A", "oca", None, None, None, None), ("B", "oca", None, None, None, None), ("C", "goarch", "1", "2", "x, y", "NY")]
+    assert files.read_sources(spark, str(tmp_path / "none")).count() == 0
+    assert sorted(r.source for r in files.listing(spark, str(tmp_path)).collect()) == ["acrod", "goarch", "oca"]
+    assert [r.name for r in files.inline(spark, [{"name": "K"}, {"parish": "L"}], "s").collect()] == ["K", "L"]
+    assert files.merged_if_several({"a": spark.range(1)}) is None and files.merged_if_several({"a": spark.range(1), "b": spark.range(2)}).count() == 3
+    assert [r.id for r in files.capped(spark.range(9), "id", 2).collect()] == [0, 1]
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    (pages / "p.html").write_text("<p>a</p>\n<p>b</p>")
+    (page,) = files.read_pages(spark, str(pages)).collect()
+    assert page.url.endswith("/p.html") and page.html == "<p>a</p>\n<p>b</p>"
+    for k, body in enumerate(('[{"name": "A"}]', '{"data": [{"name": "B"}]}', '{"results": [{"name": "C"}]}', "{}", "x")):
+        (tmp_path / f"e{k}").write_text(body)
+        assert [r.name for r in files.read_enveloped(spark, str(tmp_path / f"e{k}"), "s").collect()] == list("ABC")[k : k + 1]
+    (tmp_path / "h").write_text('{"P": ["a", "b"], "Q": ["a"]}')
+    assert [(r.parent, r.child) for r in files.read_hierarchy(spark, str(tmp_path / "h")).orderBy("ord").collect()] == [("P", "a"), ("P", "b"), ("Q", "a")]
+    (tmp_path / "r").write_text('{"D": {"jurisdiction": "J", "region": "R", "states": ["NY"], "bishop": "B"}, "E": {"jurisdiction": "J", "states": []}}')
+    assert [(r.entry, r.parent, r.areas, r.bishop) for r in files.read_registry(spark, str(tmp_path / "r")).orderBy("ord").collect()] == [("D", "J", ["NY"], "B"), ("E", "J", [], None)]
+    (tmp_path / "s").write_text('{"bishopLocations": {"D": {"seat": "Town, NY", "type": "see"}}}')
+    assert [(r.diocese, r.seat, r.type) for r in files.read_seats(spark, str(tmp_path / "s")).collect()] == [("D", "Town, NY", "see")]
+
+
+def test_whole_build(spark, tmp_path):
+    goa = [{"name": f"St. {k}", "city": "Town", "state": "NY", "lat": str(40 + k * 0.01), "lng": "-74", "jurisdiction": "goa"} for k in range(1, 7)]
+    (tmp_path / "goarch.json").write_text(json.dumps([*goa, {"name": "No Place", "city": "Far", "state": "NY", "address": "1 Main"}]))
+    (tmp_path / "assembly-of-bishops.json").write_text(json.dumps([{"name": "St. 1", "city": "Town", "phone": "3125550147", "jurisdiction": "Greek Orthodox"}, {"name": "Lone", "lat": "30", "lng": "-90", "jurisdiction": "x"}]))
+    lookups = Lookups(
+        spark.createDataFrame([("P", "Greek Orthodox Archdiocese of America", 0)], "parent string, child string, ord int"),
+        spark.createDataFrame([("Metropolis", 0, "Greek Orthodox Archdiocese of America", "R", ["NY"], "Bishop B")], "entry string, ord int, parent string, region string, areas array<string>, bishop string"),
+        spark.createDataFrame([("Town, NY", "Metropolis", "see", 0)], "seat string, diocese string, type string, ord int"),
+        spark.createDataFrame([("1 Main, Far, NY, USA", 41.0, -75.0)], "place string, lat double, lng double"),
+    )
+    out = str(tmp_path / "out")
+    build = directory_build(spark, str(tmp_path), lookups, out, box=(-100.0, 20.0, -60.0, 50.0))
+    assert list(build.stages) == ["scrape", "dedup", "enrich", "geocode", "import", "compute", "snapshot", "serve"]
+    tables = build.run({}, [*build.choose(), "serve"])
+    records = {r.name: r for r in tables["records"].collect()}
+    assert len(records) == 8 and records["St. 1"].phone == "(312) 555-0147" and records["St. 1"].source == "assembly-of-bishops, goarch"
+    assert (records["No Place"].lat, records["No Place"].lng) == (41.0, -75.0) and {r.diocese for r in records.values()} == {"Metropolis", ""}
+    kinds = {(r.tier, r.diocese) for r in tables["polygons"].collect()}
+    assert (1, "Metropolis") in kinds and (1, "x") in kinds
+    points = {r.name: r for r in tables["points"].collect()}
+    assert points["St. 2"].bishop == "Bishop B" and points["St. 2"].patriarchate == "P" and points["St. 2"].seat_list[0].diocese == "Metropolis" and points["Lone"].region == "North America"
+    assert {r.name: r.rows for r in tables["manifest"].collect()}["records"] == 8
+    assert tables["groups"].filter("diocese = 'Metropolis'").first().n == 7
+    assert tables["cells"].count() == tables["polygons"].filter("tier = 2").count() > 0
+
+
 def test_geometry_text(spark):
     ring = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0))])
     row = spark.range(1).select(output.geometry_of(output.feature(output.polygon(ring), id=F.col("id"))).alias("g"), output.geometry_of(F.to_json(output.point(F.lit(1.0), F.lit(2.0)))).alias("p")).first()

@@ -71,11 +71,62 @@ def test_hulls_and_cells(spark):
     for r in polygons.hulls(df, buffer_km=30).collect():
         assert all(inside(r.ring, at[x[0]]) for x in rows if x[1] == r.grp)
     some = df.filter("grp < 3")
-    cells = polygons.voronoi(some, box).collect()
-    rings = {r.id: r.ring for r in cells}
-    assert all(inside(rings[i], at[i]) for i in rings)
-    for g in range(3):
-        total = sum(polygons.area([r.ring for r in cells if r.grp == g]))
-        assert abs(total - 900) < 1e-6
     for r in polygons.concave_hulls(some, 1.0).collect():
         assert 0 < polygons.area([r.ring])[0] <= polygons.area([polygons._ring(polygons.convex_hull(np.array([at[x[0]] for x in rows if x[1] == r.grp])))])[0] + 1e-9
+
+
+def test_one_diagram_tiles_the_box(spark):
+    """Cells of a dense city, of lonely sites and of one at a city's place."""
+    rng = random.Random(3)
+    at = {k: (rng.random() * 30, 50 + rng.random() * 30) for k in range(60)} | {100 + k: (10 + rng.random() * 0.01, 60 + rng.random() * 0.01) for k in range(60)}
+    at[500] = at[100]
+    df = spark.createDataFrame([(k, y, x) for k, (x, y) in at.items()], "id long, lat double, lng double")
+    box = (0.0, 50.0, 30.0, 80.0)
+    rings = {r.id: r.ring for r in polygons.voronoi(df, box).collect()}
+    assert set(rings) == set(at)
+    twin = rings.pop(500)  # a disc of half a kilometre
+    assert len(twin) == 32 and all(abs(km(p, at[500]) - 0.5) < 0.01 for p in twin)
+    assert all(inside(r, at[k]) for k, r in rings.items())
+    assert abs(sum(polygons.area(list(rings.values()))) - 900) < 1e-6
+    every = np.array([at[k] for k in rings])
+    for k, r in rings.items():
+        want = polygons.cell(np.array(at[k]), every, box)
+        assert abs(polygons.area([r])[0] - polygons.area([polygons._ring(want)])[0]) < 1e-9
+    one = polygons.voronoi(df.filter("id = 3"), box).first().ring
+    assert polygons.area([one])[0] == 900
+
+
+def test_outlines_cover_their_points(spark):
+    rows, df = table(spark)
+    more = spark.createDataFrame([(1000 + k, 9, 40.0, 10.0 + k / 10) for k in range(5)], "id long, grp long, lat double, lng double")  # in a line
+    at = {r[0]: (r[3], r[2], r[1]) for r in rows} | {1000 + k: (10.0 + k / 10, 40.0, 9) for k in range(5)}
+    found = {r.grp: r.rings for r in polygons.outlines(df.unionByName(more), longest_km=120.0).collect()}
+    assert set(found) == {0, 1, 2, 7, 8, 9} and len(found[7]) == len(found[8]) == len(found[9]) == 1 and len(found[0]) > 1
+    for x, y, g in at.values():
+        bands = [r for r in found[g][1:] or found[g]]
+        ring = np.array(found[g][0])
+        crossings = sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, np.roll(ring, -1, axis=0), strict=True))
+        assert crossings % 2 or any(inside(b, (x, y)) for b in bands)
+
+
+def test_nearest_in_plane_against_all(spark):
+    rng = random.Random(6)
+    sites = [(k, rng.random() * 40, rng.random() * 3) for k in range(30)]
+    points = [(k, rng.random() * 50 - 5, rng.random() * 9 - 3) for k in range(200)]
+    want = {i: min((round((x - a) ** 2 + (y - b) ** 2, 9), k) for k, a, b in sites)[1] for i, x, y in points}
+    got = spatial.nearest_in_plane(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(sites, "key long, x double, y double"))
+    assert {r.id: r.key for r in got.collect()} == want
+    assert spatial.nearest_in_plane(got.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), spark.createDataFrame([], "key long, x double, y double")).count() == 0
+
+
+def test_dense_places(spark):
+    """Many points at one place and in one city: distances and clusters as by hand."""
+    rng = random.Random(7)
+    rows = [(k, 0, 40.0, 10.0) for k in range(200)] + [(200 + k, 0, 40 + rng.random() * 0.002, 10 + rng.random() * 0.002) for k in range(200)] + [(900, 0, 41.0, 10.0), (901, 0, 60.0, 100.0)]
+    df = spark.createDataFrame(rows, "id long, grp long, lat double, lng double")
+    got = {r.id: r.nn for r in spatial.nearest_distances(df).collect()}
+    at = {r[0]: (r[3], r[2]) for r in rows}
+    for k in (0, 5, 200, 333, 900, 901):
+        assert abs(got[k] - min(km(at[k], at[j]) for j in at if j != k)) < 1e-9
+    labels = {r.id: r.cluster for r in spatial.clusters(df).collect()}
+    assert {labels[k] for k in range(400)} == {0} and labels[900] is None and labels[901] is None
