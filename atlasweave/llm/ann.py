@@ -2,8 +2,10 @@
 
 Vectors are taken relative to the nearest of a few centroids, rotated at random and kept as sign bits with two numbers:
 the length of the residual and its inner product with its own code. From these an inner product with a query is estimated
-with an error bound; vectors whose least possible distance is within the best so far are ranked again on the original
-vectors. Queries come in blocks of bounded size, each sent to all tasks, which read every code.
+with an error bound: a query has a table of partial sums for each byte of a code, and the packed bytes look them up. Vectors
+whose least possible distance is within the best so far are ranked again on the original vectors. Queries come in blocks of
+bounded size, each sent to all tasks; a task leaves out the codes of a centroid for queries that the triangle inequality
+keeps farther from them than what they have found.
 """
 
 from __future__ import annotations
@@ -109,16 +111,18 @@ def _search(batch: pa.RecordBatch, model: Rotation, queries: np.ndarray, query_i
     codes = np.frombuffer(b"".join(get("code").to_pylist()), np.uint8).reshape(len(ids), -1)
     for c in np.unique(near):
         rows = np.flatnonzero(near == c)
+        rows = rows[np.argsort(length[rows], kind="stable")]  # a tile's residuals are alike in length, so that its bound is tight
         rotated = (queries - model.centroids[c]) @ model.matrix.T
-        far2 = (rotated**2).sum(1)
+        far = np.sqrt((rotated**2).sum(1))
         for i in range(0, len(rows), TILE):
             tile = rows[i : i + TILE]
-            signs = np.unpackbits(codes[tile], axis=1, count=dim).astype(np.float32) * 2 - 1
+            away = np.maximum(far - length[tile].max(), length[tile].min() - far)
+            live = np.flatnonzero(away <= best.score[:, -1] * (1 + 1e-6) + 1e-9)
             slack = np.sqrt(np.maximum(1 - fit_[tile] ** 2, 0)) / fit_[tile] * WIDTH / np.sqrt(max(dim - 1, 1))
-            for j in range(0, len(queries), QUERY_TILE):
-                part = slice(j, j + QUERY_TILE)
-                inner = (signs @ rotated[part].astype(np.float32).T) / (root * fit_[tile])[:, None]
-                plain = (length[tile] ** 2)[:, None] + far2[part]
+            for j in range(0, len(live), QUERY_TILE):
+                part = live[j : j + QUERY_TILE]
+                inner = code_products(codes[tile], rotated[part]) / (root * fit_[tile])[:, None]
+                plain = (length[tile] ** 2)[:, None] + far[part] ** 2
                 own = ids[tile][:, None] == query_ids[part]
                 estimate = np.where(own, np.inf, plain - 2 * length[tile][:, None] * inner)
                 k = min(best.k, len(tile))
@@ -127,7 +131,7 @@ def _search(batch: pa.RecordBatch, model: Rotation, queries: np.ndarray, query_i
                 for step in (0, 1):
                     if step:
                         reach = best.score[part, -1] ** 2
-                        bound = estimate - 2 * length[tile][:, None] * slack[:, None] * np.sqrt(far2[part])
+                        bound = estimate - 2 * length[tile][:, None] * slack[:, None] * far[part]
                         wanted = (bound <= reach * (1 + 1e-6) + 1e-9) & ~seen & ~own
                     else:
                         wanted = np.zeros(estimate.shape, bool)
@@ -136,8 +140,24 @@ def _search(batch: pa.RecordBatch, model: Rotation, queries: np.ndarray, query_i
                         seen = wanted
                     a, b = np.nonzero(wanted)
                     for s in range(0, len(a), 100_000):
-                        x, y = a[s : s + 100_000], b[s : s + 100_000]
-                        best.add(y + j, distances(vectors[tile[x]], queries[y + j]), ids[tile[x]])
+                        x, y = a[s : s + 100_000], part[b[s : s + 100_000]]
+                        best.add(y, distances(vectors[tile[x]], queries[y]), ids[tile[x]])
+
+
+#: The signs that each byte's bits stand for.
+_SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
+
+
+def code_products(codes: np.ndarray, rotated: np.ndarray) -> np.ndarray:
+    """Inner products of codes (rows of packed sign bits) with rotated queries: a sum of one looked-up number for each byte."""
+    width = codes.shape[1]
+    padded = np.zeros((width * 8, len(rotated)), np.float32)
+    padded[: rotated.shape[1]] = rotated.T
+    total = np.zeros((len(codes), len(rotated)), np.float32)
+    for byte in range(width):
+        table = _SIGNS @ padded[byte * 8 : byte * 8 + 8]  # the products of all 256 bytes with eight coordinates of each query
+        total += table[codes[:, byte]]
+    return total
 
 
 def index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, Rotation]:

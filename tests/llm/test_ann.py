@@ -54,3 +54,11 @@ def test_codes_estimate_within_bounds():
     estimate = length * (signs * rotated).sum(1) / 8 / fits
     slack = length * np.sqrt(1 - fits**2) / fits * ann.WIDTH / np.sqrt(63) * np.sqrt((rotated**2).sum(1))
     assert (np.abs(estimate - true) <= slack).mean() > 0.995
+
+
+def test_products_from_packed_bits():
+    rng = np.random.default_rng(4)
+    for dim in (1, 7, 8, 13, 64):
+        x, q = rng.normal(size=(300, dim)), rng.normal(size=(5, dim))
+        got = ann.code_products(np.packbits(x > 0, axis=1), q)
+        assert np.allclose(got, np.where(x > 0, 1.0, -1.0) @ q.T, atol=1e-4)
