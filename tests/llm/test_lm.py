@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from atlasweave.llm import lm
@@ -59,19 +60,50 @@ def test_counts_and_scores(spark, monkeypatch, head):
     assert len(table) == len({i for i, _ in data})
 
 
-def test_class_shares_add_up(spark):
+def test_cell_shares_add_up(spark):
     df = spark.createDataFrame(rows(), "doc_id long, text string")
     model, vocab = lm.fit(df)
-    p = lm._softmax(model.prior.astype(np.float32), model.weights, [np.arange(50, dtype=np.uint16)] * 3)
-    assert p.sum(1) == pytest.approx(1, abs=1e-5)
+    buckets = [np.arange(50, dtype=np.uint16)] * 4
+    p, q, many = model.chances(np.full(50, lm.CELLS - 1), buckets, buckets[:2])
+    assert p.sum(1) == pytest.approx(1, abs=1e-5) and q.sum(1) == pytest.approx(1, abs=1e-5) and len(many) == 50
     table = vocab.toPandas()
-    kind = model.head.classes(table.h.to_numpy().view(np.uint64), table.ending.to_numpy().astype(np.int64))
-    inside = 10 ** model.inside(table.c.to_numpy(), kind)
-    for k in range(lm.CLASSES):
+    h, ending = table.h.to_numpy().view(np.uint64), table.ending.to_numpy().astype(np.int64)
+    cell, _ = model.head.cells(lm.Tokens(h, ending, np.array([0, len(h)])))
+    inside = 10 ** model.inside(table.c.to_numpy(), cell)
+    for k in range(lm.CELLS):
         if model.mass[k]:
-            seen = inside[kind == k].sum()
+            seen = inside[cell == k].sum()
             assert seen <= 1 + 1e-9
-            assert k < lm.SINGLE or seen == pytest.approx(1 - lm.DISCOUNT * (kind == k).sum() / model.mass[k])
+            assert k < lm.SINGLE * lm.SUBS or seen == pytest.approx(1 - lm.DISCOUNT * (cell == k).sum() / model.mass[k])
+    assert len(model.progress) == lm.ROUNDS and model.progress[-1] > model.progress[0]  # on texts new to the model at each step
+
+
+def test_query_scores_are_direct_sums(spark):
+    """The registered query against a token by token sum of class, subclass and share in the cell."""
+    from atlasweave.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model, vocab = lm.fit(docs)
+    counts = {np.uint64(np.int64(r.h).view(np.uint64)): r.c for r in vocab.collect()}
+    got = {r.doc_id: r for r in queries.op10_lm_scores(spark, sf).collect()}
+    data = {r.doc_id: r.text for r in docs.collect()}
+    check(got.values(), list(data.items()))
+    for i, text in data.items():
+        t = lm.tokens(pa.array([text], pa.string()))
+        cell, rank = model.head.cells(t)
+        features, subs = lm.contexts(t, rank)
+        total = 0.0
+        for k in range(len(cell)):
+            logit = model.prior.astype(float) + sum(model.weights[f[k]].astype(float) for f in features)
+            kind, sub = divmod(int(cell[k]), lm.SUBS)
+            total += (logit[kind] - math.log(sum(math.exp(x) for x in logit))) / math.log(10)
+            if kind >= lm.SINGLE:
+                logit = model.sub_prior[kind].astype(float) + sum(model.sub_weights[f[k], kind].astype(float) for f in subs)
+                total += (logit[sub] - math.log(sum(math.exp(x) for x in logit))) / math.log(10)
+            c = counts.get(t.hash[k])
+            total += math.log10((c - model.discount[cell[k]]) / model.mass[cell[k]]) if c else model.unseen[cell[k]]
+        assert got[i].score == pytest.approx(total, rel=1e-4), i
 
 
 def test_empty(spark):
