@@ -7,6 +7,7 @@ pattern's rules become comparisons of neighbouring classes.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -188,7 +189,7 @@ def pretokens(points: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Holds the vocabulary; encode_batch() turns texts into ids, decode_batch() ids into bytes."""
+    """Holds the vocabulary; encode_batch() turns texts into ids."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
@@ -229,6 +230,10 @@ class Encoder:
             out[np.repeat(place[:-1][missing], size) + inner] = flat[np.repeat(begin[which], size) + inner]
         return out, place[np.searchsorted(start, offsets)]
 
+    def forget(self) -> None:
+        """Give up the pieces kept."""
+        self.young, self.old = {}, {}
+
     def _merged(self, raw: bytes, starts: list[int], stops: list[int]) -> list[bytes]:
         """The ids of each piece as packed 32-bit numbers; pieces seen lately are kept in two generations."""
         out, young, old = [], self.young, self.old
@@ -248,35 +253,54 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[bytes, Encoder] = {}
 
 
 def _encoder(tokens: list[bytes]) -> Encoder:
-    """One encoder for a vocabulary in each worker."""
-    key = hash(tuple(tokens[-50:])) ^ len(tokens)
+    """One encoder for a vocabulary in each worker, the latest one."""
+    key = hashlib.sha256(b"".join(len(t).to_bytes(4, "little") + t for t in tokens)).digest()
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = Encoder(tokens)
     return _encoders[key]
 
 
-def encode(df: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
+def _id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def encode(df: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
     """Add out_col, the ids of the whole text, by the rank file at vocabulary; no special tokens, null counts as empty.
 
-    An empty text gives an empty array. Other columns pass; one that is named like out_col gives way. No shuffle: each batch is
-    encoded where it is read, a few MB at a time, so long texts need no more than their own size.
+    With decoded_col, also add what decode() makes of the ids, in the same pass. An empty text gives an empty array. Other
+    columns pass; those named like the new ones give way. No shuffle: each batch is encoded where it is read, a few MB at a
+    time, so long texts need no more than their own size.
     """
-    df = df.drop(out_col)
+    df = df.drop(out_col, *[c for c in [decoded_col] if c])
     held = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value)
         for batch in slices(batches, text_col, 1_000_000):
             ids, offsets = encoder.encode_batch(batch.column(batch.schema.get_field_index(text_col)))
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out_col])
+            made, names = [_id_lists(ids, offsets)], [out_col]
+            if decoded_col:
+                made, names = [*made, decode_batch(held.value, ids, np.diff(offsets))], [*names, decoded_col]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+        encoder.forget()  # workers live on after a task
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), True))])
-    return map_arrow(df, run, schema)
+    fields = [T.StructField(out_col, T.ArrayType(T.IntegerType(), True)), *[T.StructField(c, T.BinaryType(), True) for c in [decoded_col] if c]]
+    return map_arrow(df, run, T.StructType([*df.schema.fields, *fields]))
+
+
+def decode_batch(tokens: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of consecutive lists of ids, of the given sizes."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
+        raise ValueError("an id is outside the vocabulary")
+    parts = [tokens[k] for k in ids.tolist()]
+    length = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(parts))]).cast(pa.binary())
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -285,19 +309,12 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col:
     held = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = held.value
-        length = np.array([len(t) for t in tokens], np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 column = part.column(part.schema.get_field_index(ids_col))
-                ids = column.flatten().to_numpy(zero_copy_only=False)
                 sizes = np.where(column.is_null(), 0, column.value_lengths().fill_null(0)).astype(np.int64)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
-                    raise ValueError("an id is outside the vocabulary")
-                data = b"".join(map(tokens.__getitem__, ids.tolist()))
-                ends = np.concatenate([[0], np.cumsum(length[ids])])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
-                made = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+                made = decode_batch(held.value, column.flatten().to_numpy(zero_copy_only=False), sizes)
                 if column.null_count:
                     made = pa.compute.if_else(column.is_null(), pa.scalar(None, pa.binary()), made)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out_col])

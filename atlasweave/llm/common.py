@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,8 +14,11 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 
-#: Where stages go when the session names no shared folder (tests on one machine).
+#: Where stages go when a session on one machine names no folder.
 LOCAL_STAGE = "/tmp/checkpoints"
+#: Bytes in a batch that goes to Python, about, unless the session sets its own limit.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -22,8 +26,12 @@ _MULT2 = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_STAGE
+    """A new folder under spark.checkpoint.dir, which driver and executors share. A cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL_STAGE
     return f"{base.rstrip('/')}/stage-{label}-{uuid.uuid4().hex}"
 
 
@@ -43,10 +51,32 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _prepare(spark: SparkSession) -> None:
+    """Send the package to the executors, and keep batches small: a worker then holds a few MB beside its longest text."""
+    ship(spark)
+    if not spark.conf.get(_BATCH_CONF, None):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow with a function of this package, which is sent to the executors first."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    """df.mapInArrow with a function of this package; what Arrow holds in reserve is given back when a task ends."""
+    _prepare(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+def arrow_column(df: DataFrame, function: Callable[[pa.Array], pa.Array], kind: str, column: str) -> Column:
+    """A column that function makes of another: only that one goes to Python, and only the result comes back."""
+    _prepare(df.sparkSession)
+
+    def run(values: pa.Array) -> pa.Array:
+        return function(values)
+
+    return F.arrow_udf(run, kind)(F.col(column))
 
 
 def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:

@@ -124,8 +124,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         runs.filter(F.col("__edge_text").isNotNull())
         .select("__part", "__run", F.max("__max").over(same).alias("__all_max"), F.sum("__size").over(same).alias("__all_size"), F.max(F.struct("__part", "__run")).over(same).alias("__end"))
     )
-    # Two rows of four numbers for each partition at most: small whatever the input, so it may be broadcast.
-    joined = runs.join(F.broadcast(edges), ["__part", "__run"], "left")
+    # Two rows of five numbers for each partition; staged, so that Spark knows their size when it chooses the join.
+    joined = runs.join(staged(edges, "edges"), ["__part", "__run"], "left")
     keep = F.when(F.col("__edge"), F.col("__all_max")).otherwise(F.col("__max"))
     holds = F.col("__last") & F.when(F.col("__edge"), F.when(keep.isNull(), F.col("__end") == F.struct("__part", "__run")).otherwise(F.col(id_at) == keep)).otherwise(True)
     if keep_only:

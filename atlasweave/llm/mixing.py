@@ -25,7 +25,7 @@ REPEATS = 3
 #: Sources up to this number are broadcast; beyond it the join shuffles and splits hot sources.
 FEW_SOURCES = 20_000
 #: Parts of passes that a source is filled by, at most; what each leaves is less than a document that the next may take.
-PARTS = 8
+PARTS = 4
 _PLAN = ("passes", "steps", "extra", "offsets")
 _STEPS = "array<struct<pass: int, most: double, cut: bigint>>"
 #: Passes in which the steps of a source take a document.
@@ -115,16 +115,16 @@ def plan(sizes: DataFrame, seed: int = 0, shards: int = SHARDS) -> DataFrame:
     least = placed.groupBy("place").agg(F.min("size").alias("least"))
     state = ranked.join(least, "place", "left").select("place", "passes", "rest", "least", F.lit(0).alias("pass"), F.expr(f"cast(array() as {_STEPS})").alias("steps"))
     state = staged(state, "filling")
-    for _ in range(PARTS):
+    for part in range(PARTS):
         live = state.filter(F.col("rest") >= F.col("least")).filter(F.col("passes") + F.col("pass") < REPEATS)
-        if live.isEmpty():
+        if part and live.isEmpty():
             break
         free = _with(placed, live.select("place", "rest", "pass", "steps"), few).filter(F.expr("size <= rest and not exists(steps, s -> s.pass = pass and ord < s.cut and size <= s.most)"))
-        part = _fill(free.select("place", "size", "ord"), live.select("place", "rest"), few).select("place", F.col("cut"), F.col("rest").alias("now"))
+        found = _fill(free.select("place", "size", "ord"), live.select("place", "rest"), few).select("place", F.col("cut"), F.col("rest").alias("now"))
         step = F.array(F.struct(F.col("pass"), F.col("rest").alias("most"), F.col("cut")))
         # A pass whose order ended has nothing more that fits.
         over = F.col("cut") >= F.lit(1 << 32)
-        filled = state.join(part, "place", "left")
+        filled = state.join(found, "place", "left")
         state = staged(filled.select("place", "passes", F.coalesce("now", "rest").alias("rest"), "least", F.when(over, F.col("pass") + 1).otherwise(F.col("pass")).alias("pass"), F.when(F.col("cut").isNotNull(), F.concat("steps", step)).otherwise(F.col("steps")).alias("steps")), "filling")
     # One more document, the nearest in size to what is left, closes the gap.
     gap = F.abs(F.col("size") - F.col("rest"))
@@ -144,16 +144,16 @@ def _with(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
 
 
 def _fill(rows: DataFrame, rest: DataFrame, few: bool) -> DataFrame:
-    """(place, cut, rest): how far in the order a source's rows fit into its rest, and what is left then; staged.
+    """(place, cut, rest): how far in the order a source's rows fit into its rest, and what is left then.
 
-    rows has (place, size, ord). The cut is found by 10 or 11 bits of the order at a time, from sums over parts of it, so a
-    source brings 2,048 sums at most together.
+    rows has (place, size, ord). The cut is found by 12 bits of the order, from sums over 4,096 parts of it, then by the other
+    20 among the rows of one part.
     """
     rest = rest.withColumn("base", F.lit(0).cast("long"))
     top = 32
     done = None
     run = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for shift in (22, 11, 0):
+    for shift in (20, 0):
         width = F.lit(1 << top).cast("long")
         top = shift
         inside = _with(rows, rest.select("place", "base"), few).filter((F.col("ord") >= F.col("base")) & (F.col("ord") < F.col("base") + width))
@@ -167,7 +167,7 @@ def _fill(rows: DataFrame, rest: DataFrame, few: bool) -> DataFrame:
         ends = ends.select("place", F.col("base").alias("cut"), "rest")
         done = ends if done is None else done.unionByName(ends)
         rest = step.filter(~F.col("all")).select("place", "rest", "base")
-    return staged(done, "filled")
+    return done
 
 
 def _beside(rows: DataFrame, per_source: DataFrame) -> DataFrame:

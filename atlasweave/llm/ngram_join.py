@@ -11,8 +11,10 @@ only by sets with more than z empty ranges: their partners have as many.) Equal
 
 Buckets give a spanning forest of likely pairs first; the links found join points to components, and only buckets whose
 points are still apart are searched in full, points outside the bucket's largest component against all others, in
-bounded slices. So a large group of near copies is never expanded into all its pairs. As a pair may meet in many buckets,
-that search bounds what the tree has found once more, by counts in more groups, before it gives a pair.
+bounded slices. So a large group of near copies is never expanded into all its pairs. What a tree finds is bounded once
+more, by counts in groups whose number grows with the set, before it makes a pair: so sets are fetched for few pairs that fail.
+
+A document is named by a number made of its id and its text, so rows of one id with different texts are different points.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_arrow, mix, slices, span_hash, staged, utf8, words
+from .common import discard, fresh, map_arrow, mix, slices, span_hash, staged, utf8, words
 from .components import connected_components
 
-#: Groups of the count vectors that the trees index, and those of the finer vectors that bound what a tree has found again.
-GROUPS, FINE = 64, 256
+#: Groups of the count vectors that the trees index, and members of a set for each group of the finer vectors.
+GROUPS, SHARE = 64, 4
 #: Points in a chunk of a bucket; buckets up to SMALL give all their pairs at once.
 CHUNK, SMALL, LEAF = 256, 3, 8
 _SIZES = 1.4  # ratio of the ends of a size class
@@ -69,8 +71,11 @@ def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(8)
-def size_classes(num: int, den: int, most: int = 1 << 26) -> tuple[tuple[int, int, int, int], ...]:
-    """(least size, ranges, spare ranges z, greatest size) of each class of set sizes, for similarity num / den."""
+def size_classes(num: int, den: int, most: int = 1 << 31) -> tuple[tuple[int, int, int, int], ...]:
+    """(least size, ranges, spare ranges z, greatest size) of each class of set sizes, for similarity num / den.
+
+    No string that Spark can hold has more words than the greatest class.
+    """
     out, low = [], 1
     while low <= most:
         high = max(low, int(low * _SIZES))
@@ -81,7 +86,7 @@ def size_classes(num: int, den: int, most: int = 1 << 26) -> tuple[tuple[int, in
             empty = math.exp(-low / ranges)
             if spare > 2 * differ + 8 or ranges * empty + 3.5 * math.sqrt(ranges * empty) <= spare + 0.2:
                 break
-            spare += 1
+            spare += max(1, spare >> 6)
         out.append((low, differ + 1 + spare if differ else 0, spare, high))
         low = high + 1
     return tuple(out)
@@ -155,15 +160,61 @@ class CountTree:
         return self.order[at], bound
 
 
-def likely_pairs(n: np.ndarray, counts: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """All pairs of a small bucket that may link; of a larger one a spanning forest of them, closest first."""
+class FineCounts:
+    """Count vectors of sets in 64 groups or more, the more the larger a set; two are compared in the fewer groups of both."""
+
+    def __init__(self, column: pa.Array):
+        rows = column.to_pylist()
+        self.of = np.array([(len(r) - 1) // r[0] for r in rows], np.int64)
+        self.at = np.zeros(len(rows), np.int64)
+        self.tables: dict[int, np.ndarray] = {}
+        for groups in np.unique(self.of).tolist():
+            own = np.flatnonzero(self.of == groups)
+            self.at[own] = np.arange(len(own))
+            self.tables[groups] = np.stack([np.frombuffer(rows[k], f"<u{rows[k][0]}", offset=1).astype(np.int32) for k in own])
+
+    def take(self, k: int) -> np.ndarray:
+        return self.tables[int(self.of[k])][self.at[k]]
+
+    def coarse(self) -> np.ndarray:
+        """All of them in GROUPS groups."""
+        out = np.empty((len(self.of), GROUPS), np.int64)
+        for groups, table in self.tables.items():
+            out[self.of == groups] = _folded(table, GROUPS)
+        return out
+
+    def pair(self, i: int, j: int) -> int:
+        """At most so many members do two sets share."""
+        a, b = self.take(i), self.take(j)
+        if len(a) != len(b):
+            least = min(len(a), len(b))
+            a, b = _folded(a, least), _folded(b, least)
+        return int(np.minimum(a, b).sum())
+
+    def overlap(self, k: int, others: np.ndarray) -> np.ndarray:
+        """At most so many members does set k share with each of the others."""
+        mine, out = self.take(k), np.zeros(len(others), np.int64)
+        for groups in np.unique(self.of[others]).tolist():
+            own, least = self.of[others] == groups, min(groups, len(mine))
+            out[own] = np.minimum(_folded(self.tables[groups][self.at[others[own]]], least), _folded(mine, least)).sum(axis=1)
+        return out
+
+
+def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(*counts.shape[:-1], -1, groups).sum(axis=-2)
+
+
+def likely_pairs(n: np.ndarray, fine: FineCounts, num: int, den: int) -> tuple[list[tuple[int, int]], bool]:
+    """All pairs of a small bucket that may link; of a larger one a spanning forest of them, closest first.
+
+    Also whether the forest passed over pairs whose points it had joined by others: if not, the bucket is done with.
+    """
+    counts = fine.coarse()
     tree, edges = CountTree(n, counts), []
     for i in range(len(n)):
         at, bound = tree.near(n[i], counts[i], num, den)
         later = at > i
         edges += zip((n[i] + n[at[later]] - 2 * bound[later]).tolist(), [i] * int(later.sum()), at[later].tolist(), strict=True)
-    if len(n) <= SMALL:
-        return [(i, j) for _, i, j in edges]
     parent = list(range(len(n)))
 
     def root(x: int) -> int:
@@ -172,21 +223,23 @@ def likely_pairs(n: np.ndarray, counts: np.ndarray, num: int, den: int) -> list[
             x = parent[x]
         return x
 
-    out = []
+    out, passed_over = [], False
     for _, i, j in sorted(edges):
         a, b = root(i), root(j)
-        if a != b:
+        if a == b and len(n) > SMALL:
+            passed_over = True
+        elif fine.pair(i, j) * (den + num) >= num * (n[i] + n[j]):
             parent[b] = a
             out.append((i, j))
-    return out
+    return out, passed_over
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n_shingles, h1, h2) of each row, staged: h1 and h2 name the set."""
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, p, n_shingles, h1, h2) of each row, staged: h1 and h2 name the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
-            h, offsets = shingles(batch.column(1), width)
+            h, offsets = shingles(batch.column(2), width)
             some = np.diff(offsets) > 0
             names = []
             for seed in (1, 2):
@@ -194,17 +247,22 @@ def _sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 if some.any():
                     total[some] = np.add.reduceat(mix(h ^ np.uint64(seed * 0xD1342543DE82EF95 & (1 << 64) - 1)), offsets[:-1][some])
                 names.append(pa.array(total.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), *names], ["id", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), *names], ["id", "p", "n_shingles", "h1", "h2"])
+
+    return staged(map_arrow(texts, run, "id long, p long, n_shingles long, h1 long, h2 long"), "sets")
 
-    return staged(map_arrow(_texts(df, id_col, text_col), run, "id long, n_shingles long, h1 long, h2 long"), "sets")
 
+def _number(id_col: str, text_col: str, seed: int) -> Column:
+    """A row's number. Rows alike in id and text share it."""
+    return F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+def _numbered(df: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), _number(id_col, text_col, seed).alias("p"), F.col(text_col).alias("text"))
 
 
 def _signed(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(sig, id) of each row (id, text)."""
+    """(sig, id) of each row (p, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
@@ -213,7 +271,7 @@ def _signed(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
             for i in range(0, len(sig), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + 100_000].view(np.int64)), pa.array(ids[i : i + 100_000])], ["sig", "id"])
 
-    return map_arrow(rows, run, "sig long, id long")
+    return map_arrow(rows.select("p", "text"), run, "sig long, id long")
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
@@ -258,39 +316,28 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return staged(map_arrow(rows, run, "sig long, members array<long>, large boolean"), "buckets")
 
 
-def _point_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, counts, fine, members) of the wanted ids, from their texts; staged."""
-    rows = _texts(df, id_col, text_col).join(wanted, "id")
+def _point_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, n, fine, members) of the wanted numbers, from their texts; staged."""
+    rows = texts.select("p", "text").join(wanted, texts["p"] == wanted["id"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
             h, offsets = shingles(batch.column(1), width)
-            counts, fine, sets = [], [], []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                own = np.bincount((h[a:b] & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
-                counts.append(_packed(own.reshape(-1, GROUPS).sum(axis=0)))
-                fine.append(_packed(own))
+            fine, sets = [], []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                groups = max(GROUPS, 1 << max((b - a) // SHARE, 1).bit_length() - 1)
+                fine.append(_packed(np.bincount((h[a:b] & np.uint64(groups - 1)).astype(np.int64), minlength=groups)))
                 sets.append(h[a:b].tobytes())
-            made = [pa.array(x, pa.binary()) for x in (counts, fine, sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), *made], ["id", "n", "counts", "fine", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(fine, pa.binary()), pa.array(sets, pa.binary())], ["id", "n", "fine", "members"])
 
-    return staged(map_arrow(rows, run, "id long, n long, counts binary, fine binary, members binary"), "points")
+    return staged(map_arrow(rows, run, "id long, n long, fine binary, members binary"), "points")
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts in as many bytes each as the greatest needs: one in almost every set."""
-    most = counts.max()
-    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
-
-
-def _unpacked(column: pa.Array, groups: int) -> np.ndarray:
-    rows = column.to_pylist()
-    width = np.array([len(x) for x in rows], np.int64) // groups
-    out = np.empty((len(rows), groups), np.int64)
-    for w in np.unique(width).tolist():
-        own = np.flatnonzero(width == w)
-        out[own] = np.frombuffer(b"".join([rows[k] for k in own]), f"<u{w}").reshape(-1, groups)
-    return out
+    """Counts in as many bytes each as the greatest needs, one in almost every set; that number comes first."""
+    most = counts.max(initial=0)
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -298,25 +345,36 @@ def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], ["a", "b"])
 
 
-def _forest_pairs(buckets: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+def _forest_pairs(buckets: DataFrame, points: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of the buckets' forests, members of the buckets in which a forest passed over pairs, and the staged table of both."""
     lists = buckets.select("members").distinct().withColumn("group", F.xxhash64("members"))
-    rows = lists.select("group", F.explode("members").alias("id")).join(points.select("id", "n", "counts"), "id")
-    groups = rows.groupBy("group").agg(F.collect_list(F.struct("id", "n", "counts")).alias("p"))
+    rows = lists.select("group", F.explode("members").alias("id")).join(points.select("id", "n", "fine"), "id")
+    groups = rows.groupBy("group").agg(F.collect_list(F.struct("id", "n", "fine")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found: list[tuple[int, int]] = []
+            more: list[list[int]] = []
             for k in range(batch.num_rows):
                 p = batch.column(0)[k].values
-                ids, n, counts = p.field("id").to_numpy(), p.field("n").to_numpy(), _unpacked(p.field("counts"), GROUPS)
-                found += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in likely_pairs(n, counts, num, den) if ids[i] != ids[j]]
-            yield _pair_batch(found)
+                ids, n = p.field("id").to_numpy(), p.field("n").to_numpy()
+                pairs, passed_over = likely_pairs(n, FineCounts(p.field("fine")), num, den)
+                found += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in pairs if ids[i] != ids[j]]
+                more += [sorted(ids.tolist())] if passed_over else []
+            table = np.array(found, np.int64).reshape(-1, 2)
+            pad = [None] * len(more)
+            columns = [pa.concat_arrays([pa.array(table[:, c]), pa.array(pad, pa.int64())]) for c in (0, 1)]
+            members = pa.array([None] * len(found) + more, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, members], ["a", "b", "members"])
 
-    return staged(map_arrow(groups.select("p"), run, "a long, b long").distinct(), "forest")
+    made = staged(map_arrow(groups.select("p"), run, "a long, b long, members array<long>"), "forest")
+    return made.filter("a is not null").select("a", "b").distinct(), made.filter("members is not null").select("members").distinct(), made
 
 
 def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are as similar as asked."""
+    """The pairs whose sets are as similar as asked. Only sets that are in a pair are dealt out."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    points = points.join(asked, "id", "left_semi")
     left = points.select(F.col("id").alias("a"), F.col("members").alias("x"))
     right = points.select(F.col("id").alias("b"), F.col("members").alias("y"))
 
@@ -333,9 +391,12 @@ def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
     return staged(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long").distinct(), "links")
 
 
-def _cross_pairs(buckets: DataFrame, points: DataFrame, labels: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that may link points of one bucket that are in different components, all that were not tried."""
-    small = buckets.filter(~F.col("large") & (F.size("members") > SMALL)).select("members").distinct().select(F.xxhash64("members").alias("group"), F.explode("members").alias("id"))
+def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that may link points of one bucket that are in different components, all that were not tried.
+
+    Of buckets in one piece, those that their forests left open.
+    """
+    small = open_.select(F.xxhash64("members").alias("group"), F.explode("members").alias("id"))
     rows = small.unionByName(buckets.filter("large").select(F.col("sig").alias("group"), F.explode("members").alias("id")))
     labelled = staged(rows.join(labels, "id", "left").select("group", "id", F.coalesce("component", "id").alias("component")), "labelled")
     per = labelled.groupBy("group", "component").count()
@@ -354,50 +415,82 @@ def _cross_pairs(buckets: DataFrame, points: DataFrame, labels: DataFrame, tried
             for k in range(batch.num_rows):
                 p = batch.column(0)[k].values
                 ids, n, part = (p.field(c).to_numpy() for c in ("id", "n", "component"))
-                asking, fine = p.field("asks").to_numpy(zero_copy_only=False), _unpacked(p.field("fine"), FINE)
-                counts = fine.reshape(len(fine), -1, GROUPS).sum(axis=1)
+                asking, fine = p.field("asks").to_numpy(zero_copy_only=False), FineCounts(p.field("fine"))
+                counts = fine.coarse()
                 there = np.flatnonzero(~asking)
                 tree = CountTree(n[there], counts[there])
                 for q in np.flatnonzero(asking):
                     near = there[tree.near(n[q], counts[q], num, den)[0]]
                     near = near[part[near] != part[q]]
-                    near = near[np.minimum(fine[near], fine[q]).sum(axis=1) * (den + num) >= num * (n[near] + n[q])]
+                    near = near[fine.overlap(q, near) * (den + num) >= num * (n[near] + n[q])] if len(near) else near
                     found |= {(int(min(ids[q], ids[t])), int(max(ids[q], ids[t]))) for t in near}
             yield _pair_batch(sorted(found))
 
     return staged(map_arrow(groups.select("p"), run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "cross")
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id) of every row: the least id reachable by links of similarity num / den or more.
+def _resolved(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, int]:
+    """(id, p, n_shingles, component_id, keeper) of every row, and the seed of p, the row's number.
 
-    Null and empty texts have no n-grams and link with nothing; a text of fewer words than width is one n-gram. Rows of
-    one id but different texts are separate; a null id has a null component unless its text is that of another row.
+    keeper is the number of the row that stands for the component: of the least id, null last, then of the least number.
     """
-    sets = _sets(df, id_col, text_col, width)
     names = ["h1", "h2", "n_shingles"]
-    groups = staged(sets.filter("n_shingles > 0").groupBy(*names).agg(F.min("id").alias("least")), "groups")
-    # A set's point is its least id; texts of the other ids are left out by a list that Spark broadcasts while it is short.
-    copies = staged(sets.filter("n_shingles > 0 AND id IS NOT NULL").join(groups, names).filter("id <> least").select("id").distinct().join(groups.select(F.col("least").alias("id")), "id", "left_anti"), "copies")
-    buckets = _buckets(_signed(_texts(df, id_col, text_col).filter("id IS NOT NULL").join(copies, "id", "left_anti"), width, num, den))
+    for seed in range(64):
+        texts = _numbered(df, id_col, text_col, seed)
+        sets = _sets(texts, width)
+        of = F.struct("id", *names)
+        numbers = sets.groupBy("p").agg(F.count("*").alias("n"), F.min(of).alias("x"), F.max(of).alias("y"))
+        check = numbers.agg(F.max("n").alias("most"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("shared")).first()
+        if not check["shared"]:
+            break
+        discard(sets)  # two rows that differ have one number, which is so rare that numbering anew costs nothing
+    if (check["most"] or 0) > 1:
+        texts = texts.dropDuplicates(["p"])
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "p")
+    groups = staged(sets.filter("n_shingles > 0").groupBy(*names).agg(F.min(first).alias("first")).select(*names, F.col("first.id").alias("least"), F.col("first.p").alias("point")), "groups")
+    # The texts of other rows of a set are left out by a list that Spark broadcasts while it is short.
+    copies = staged(sets.filter("n_shingles > 0").join(groups, names).filter("p <> point").select("p").distinct(), "copies")
+    buckets = _buckets(_signed(texts.join(copies, "p", "left_anti"), width, num, den))
     wanted = staged(buckets.select(F.explode("members").alias("id")).distinct(), "wanted")
-    point_sets = _point_sets(df, wanted, id_col, text_col, width)
-    tried = _forest_pairs(buckets, point_sets, num, den)
+    point_sets = _point_sets(texts, wanted, width)
+    tried, open_, forest = _forest_pairs(buckets, point_sets, num, den)
     links = _verified(tried, point_sets, num, den)
     labels = staged(connected_components(links), "labels")
-    cross = _cross_pairs(buckets, point_sets, labels, tried, num, den)
+    cross = _cross_pairs(buckets, open_, point_sets, labels, tried, num, den)
     more = _verified(cross, point_sets, num, den)
     if not more.isEmpty():
+        discard(labels)
         labels = staged(connected_components(links.unionByName(more)), "labels")
-    named = staged(groups.join(labels, groups["least"] == labels["id"], "left").select(*names, F.coalesce("component", "least").alias("component")), "named")
-    discard(copies, buckets, wanted, point_sets, tried, links, cross, more, groups)
-    rows = sets.select("id", *names)
+    discard(copies, buckets, wanted, point_sets, forest, links, cross, more)
+    linked = staged(labels.join(groups, labels["id"] == groups["point"]).select("component", "least", "point"), "linked")
+    first = F.struct(F.col("least").isNull().alias("none"), "least", "point")
+    each = linked.groupBy("component").agg(F.min(first).alias("first")).select("component", F.col("first.least").alias("component_id"), F.col("first.point").alias("keeper"))
+    named = linked.join(each, "component").select(F.col("point").alias("at"), "component_id", "keeper")
+    known = groups.join(named, groups["point"] == named["at"], "left")
+    known = staged(known.select(*names, F.when(F.col("at").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("keeper", "point").alias("keeper")), "named")
+    discard(groups, labels, linked)
     # Staged on both sides, so that Spark can split the rows of a very large group of copies.
-    return rows.join(named, names, "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    found = sets.join(known, names, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
+    return found.select("id", "p", "n_shingles", "component_id", "keeper"), seed
+
+
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(id, n_shingles, component_id) of every row: the least id reachable by links of similarity num / den or more.
+
+    Null and empty texts have no n-grams and link with nothing; a text of fewer words than width is one n-gram. Rows of
+    one id but different texts are separate documents; a null id has the component of what its text links with, null if
+    that is nothing. An empty table gives an empty result; other columns play no part.
+    """
+    return _resolved(df, id_col, text_col, width, num, den)[0].select("id", "n_shingles", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """df with one row of each component, the one of the least id; rows without words stay, as do rows of a null id."""
-    found = components(df, id_col, text_col, width, num, den)
-    loses = staged(found.filter((F.col("component_id") != F.col("id")) & (F.col("n_shingles") > 0)).select("id").distinct(), "losers")
-    return df.join(loses, df[id_col] == loses["id"], "left_anti").select(df.columns)
+    """df with one document of each component, the one of the least id, a null one last; all its columns.
+
+    Texts without words stay. Rows of one id with different texts are different documents, rows alike in both are one,
+    and stay or go together.
+    """
+    found, seed = _resolved(df, id_col, text_col, width, num, den)
+    loses = staged(found.filter(F.col("p") != F.col("keeper")).select("p").distinct(), "losers")
+    number = fresh(df, "p")
+    return df.withColumn(number, _number(id_col, text_col, seed)).join(loses.withColumnRenamed("p", f"{number}_"), F.col(number) == F.col(f"{number}_"), "left_anti").select(df.columns)

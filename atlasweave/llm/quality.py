@@ -6,7 +6,7 @@ labelled rows and flattened into arrays; scoring walks all rows of a batch down
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, hash_sample, map_arrow, slices, span_hash, staged, utf8, words
+from .common import arrow_column, crc_mod, hash_sample, map_arrow, slices, span_hash, staged, utf8, words
 
 #: Labelled rows that the trees are grown on, at most: those of least hash.
 MAX_LABELS = 30_000
@@ -171,36 +171,37 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df without its text, with statistics (in place of a column of that name): FEATURES numbers of each whole text; staged."""
-    return staged(_measured(df.drop("statistics"), text_col, None, "statistics", False), "statistics")
+    df = df.drop("statistics")
 
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(_in_parts(texts, statistics).ravel()), FEATURES).cast(pa.list_(pa.float32()))
 
-def _measured(df: DataFrame, text_col: str, trees: Trees | None, out_col: str, keep_text: bool) -> DataFrame:
-    kept = [f for f in df.schema.fields if keep_text or f.name != text_col]
-    names = [f.name for f in kept]
+    return staged(df.withColumn("statistics", arrow_column(df, run, "array<float>", text_col)).drop(text_col), "statistics")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            x = statistics(batch.column(batch.schema.get_field_index(text_col)))
-            made = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float32())) if trees is None else pa.array(trees.score(x))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], made], [*names, out_col])
 
-    field = T.StructField(out_col, T.ArrayType(T.FloatType()) if trees is None else T.DoubleType())
-    return map_arrow(df, run, T.StructType([*kept, field]))
+def _in_parts(texts: pa.Array, function: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
+    """function of a few MB of texts at a time."""
+    parts = [function(b.column(0)) for b in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", 1_000_000)]
+    return np.concatenate(parts) if parts else function(texts)
 
 
 def label_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labels: int = MAX_LABELS) -> DataFrame:
-    """(__id, __y): the labels learned from, all but those whose crc32 of the id leaves 2 modulo 4, max_labels at most."""
+    """(__id, __y): the labels learned from, all but those whose crc32 of the id leaves 2 modulo 4, max_labels at most.
+
+    An id that is labelled more than once counts once, by its greatest label; null ids and other labels than 0 and 1 do not count.
+    """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(id_col, 4) != 2)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y"))
-    return hash_sample(usable, "__id", max_labels)
+    return hash_sample(usable.groupBy("__id").agg(F.max("__y").alias("__y")), "__id", max_labels)
 
 
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labels: int = MAX_LABELS) -> Trees:
-    """Grow trees on the measured rows that the sample of labels names."""
+    """Grow trees on the measured rows that the sample of labels names; of several rows of one id, the one of the greatest statistics."""
     sample = label_sample(labels, id_col, label_col, max_labels)  # bounded, so it may be broadcast
-    rows = stats.select(F.col(id_col).alias("__doc"), "statistics").join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("statistics", "__y").limit(2 * max_labels).toArrow()
+    rows = stats.select(F.col(id_col).alias("__doc"), "statistics").join(F.broadcast(sample), F.col("__doc") == F.col("__id")).groupBy("__id").agg(F.max(F.struct("statistics", "__y")).alias("r")).select("r.*").toArrow()
     x = rows.column("statistics").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
-    order = np.lexsort(x.T)  # the rows' order differs from run to run
-    return grow(x[order], rows.column("__y").to_numpy().astype(float)[order])
+    y = rows.column("__y").to_numpy().astype(float)
+    order = np.lexsort([y, *x.T])  # the rows' order differs from run to run
+    return grow(x[order], y[order])
 
 
 def scores(stats: DataFrame, trees: Trees) -> DataFrame:
@@ -219,4 +220,10 @@ def scores(stats: DataFrame, trees: Trees) -> DataFrame:
 
 def scored(df: DataFrame, trees: Trees, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """df, texts included, with out_col, which displaces a column of that name; null and empty texts are scored like any other."""
-    return _measured(df.drop(out_col), text_col, trees, out_col, True)
+    df = df.drop(out_col)
+    held = df.sparkSession.sparkContext.broadcast(trees)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(_in_parts(texts, lambda part: held.value.score(statistics(part))))
+
+    return df.withColumn(out_col, arrow_column(df, run, "double", text_col))

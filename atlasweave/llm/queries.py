@@ -16,8 +16,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and give digests of both."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = bpe.encode(docs, path).drop("text")
-    return bpe.decode(ids, path).select(
+    return bpe.encode(docs, path, decoded_col="decoded").select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

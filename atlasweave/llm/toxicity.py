@@ -91,9 +91,12 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS) -> Linear:
-    """Learn from labelled rows, all but those whose crc32 of the id leaves 0 modulo 5. With no or one class: a constant."""
+    """Learn from labelled rows, all but those whose crc32 of the id leaves 0 modulo 5. With no or one class: a constant.
+
+    An id that is labelled more than once has its greatest label; each text of such an id counts.
+    """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(id_col, 5) != 0)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
-    chosen = hash_sample(usable, "__id", max_labels)  # bounded, so it may be broadcast
+    chosen = hash_sample(usable.groupBy("__id").agg(F.max("y").alias("y")), "__id", max_labels)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
     sample = staged(rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("text", "y"), "toxic-sample")
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}

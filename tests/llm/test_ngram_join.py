@@ -69,7 +69,7 @@ def test_drop_and_odd_tables(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string, id int")
     kept = ngram_join.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted(r.id for r in kept.collect()) == [1, 3, 4, 5, 6]
+    assert sorted(r.id for r in kept.collect()) == [1, 4, 5, 6]  # the row of a null id is a copy of the first
     assert ngram_join.components(df.limit(0)).count() == 0
     assert ngram_join.components(df.filter("doc_id IS NULL")).first().component_id is None
 
@@ -103,12 +103,43 @@ def test_tree_finds_what_the_bound_allows():
         assert (bound == every[at]).all()
 
 
+def test_fine_counts_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 3, 60, 300, 301, 5000, 6000, 40_000)]
+    sets.append(np.concatenate([sets[5], sets[4]]))
+    packed = []
+    for h in sets:
+        groups = max(ngram_join.GROUPS, 1 << max(len(h) // ngram_join.SHARE, 1).bit_length() - 1)
+        packed.append(ngram_join._packed(np.bincount((h % groups).astype(np.int64), minlength=groups)))
+    fine = ngram_join.FineCounts(pa.array(packed, pa.binary()))
+    assert (fine.coarse() == np.array([np.bincount((h % ngram_join.GROUPS).astype(np.int64), minlength=ngram_join.GROUPS) for h in sets])).all()
+    for k, h in enumerate(sets):
+        bound = fine.overlap(k, np.arange(len(sets)))
+        assert all(b >= len(np.intersect1d(h, other)) for b, other in zip(bound, sets, strict=True))
+        assert bound[k] == len(h) and bound.tolist() == [fine.pair(k, j) for j in range(len(sets))]
+    assert fine.overlap(5, np.array([6]))[0] < 0.85 * 5000  # sets that share nothing look unlike
+
+
 def test_counts_of_any_size_pack():
-    counts = [np.arange(ngram_join.GROUPS) * k for k in (0, 1, 4, 5, 1040, 1041, 100_000)]
-    packed = pa.array([ngram_join._packed(c) for c in counts], pa.binary())
-    assert [len(x) // ngram_join.GROUPS for x in packed.to_pylist()] == [1, 1, 1, 2, 2, 4, 4]
-    assert (ngram_join._unpacked(packed, ngram_join.GROUPS) == np.array(counts)).all()
-    assert ngram_join._unpacked(packed[:0], ngram_join.GROUPS).shape == (0, ngram_join.GROUPS)
+    for most, width in ((0, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4)):
+        packed = ngram_join._packed(np.array([most] + [1] * (ngram_join.GROUPS - 1)))
+        assert len(packed) == 1 + width * ngram_join.GROUPS
+        assert ngram_join.FineCounts(pa.array([packed], pa.binary())).take(0)[0] == most
+
+
+def test_rows_of_one_id(spark):
+    x, y = "a b c d e f g h", "p q r s t u v w"
+    df = spark.createDataFrame([(2, x, "k"), (7, x, "k"), (7, y, "k"), (9, y + " z", "k"), (9, y, "k"), (9, y, "k")], "doc_id long, text string, p string")
+    assert sorted((r.id, r.component_id) for r in ngram_join.components(df, num=80).collect()) == [(2, 2), (7, 2), (7, 7), (9, 7), (9, 7), (9, 7)]
+    kept = ngram_join.drop_near_duplicates(df, width=3)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, x), (7, y)]
+
+
+def test_size_classes_cover_all_strings():
+    table = ngram_join.size_classes(80, 100)
+    assert table[0][0] == 1 and all(a[3] + 1 == b[0] for a, b in zip(table, table[1:], strict=False))
+    assert table[-1][3] >= 1 << 30
 
 
 def test_words_of_odd_texts():
