@@ -9,9 +9,10 @@ hash space is cut into D + 1 + z ranges, z + 1 of them at least hold the same me
 signature of its members, and points that share a signature come to one bucket. (Signatures of empty ranges are given
 only by sets with more than z empty ranges: their partners have as many.) Equal sets are one point from the start.
 
-Buckets give a spanning forest of likely pairs first; the links found join points to components, and only buckets whose
-points are still apart are searched in full, points outside the bucket's largest component against all others, in
-bounded slices. So a large group of near copies is never expanded into all its pairs. What a tree finds is bounded once
+A share of the buckets gives a spanning forest of likely pairs first, and the links found join points to components; of the
+other buckets only those whose points are still apart give one, between the components. Then buckets that are apart even so
+and whose forests passed over pairs are searched in full, points outside the bucket's largest component against all others,
+in bounded slices. So a large group of near copies is never expanded into all its pairs. What a tree finds is bounded once
 more, by counts in groups whose number grows with the set, before it makes a pair: so sets are fetched for few pairs that fail.
 
 A document is named by a number made of its id and its text, so rows of one id with different texts are different points.
@@ -32,8 +33,10 @@ from pyspark.sql import types as T
 from .common import discard, fresh, map_arrow, mix, slices, span_hash, staged, utf8, words
 from .components import connected_components
 
-#: Groups of the count vectors that the trees index, and members of a set for each group of the finer vectors.
-GROUPS, SHARE = 64, 4
+#: Groups of the count vectors that the trees index, and groups of the finer vectors for each member of a set, about.
+GROUPS, FINE = 64, 1
+#: One bucket in so many is searched first.
+FIRST = 8
 #: Points in a chunk of a bucket; buckets up to SMALL give all their pairs at once.
 CHUNK, SMALL, LEAF = 256, 3, 8
 _SIZES = 1.4  # ratio of the ends of a size class
@@ -165,13 +168,13 @@ class FineCounts:
 
     def __init__(self, column: pa.Array):
         rows = column.to_pylist()
-        self.of = np.array([(len(r) - 1) // r[0] for r in rows], np.int64)
+        self.of = np.array([(len(r) - 1) * 2 if not r[0] else (len(r) - 1) // r[0] for r in rows], np.int64)
         self.at = np.zeros(len(rows), np.int64)
         self.tables: dict[int, np.ndarray] = {}
         for groups in np.unique(self.of).tolist():
             own = np.flatnonzero(self.of == groups)
             self.at[own] = np.arange(len(own))
-            self.tables[groups] = np.stack([np.frombuffer(rows[k], f"<u{rows[k][0]}", offset=1).astype(np.int32) for k in own])
+            self.tables[groups] = np.stack([_unpacked(rows[k]) for k in own])
 
     def take(self, k: int) -> np.ndarray:
         return self.tables[int(self.of[k])][self.at[k]]
@@ -204,18 +207,21 @@ def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts.reshape(*counts.shape[:-1], -1, groups).sum(axis=-2)
 
 
-def likely_pairs(n: np.ndarray, fine: FineCounts, num: int, den: int) -> tuple[list[tuple[int, int]], bool]:
+def likely_pairs(n: np.ndarray, fine: FineCounts, num: int, den: int, part: np.ndarray | None = None) -> tuple[list[tuple[int, int]], bool]:
     """All pairs of a small bucket that may link; of a larger one a spanning forest of them, closest first.
 
-    Also whether the forest passed over pairs whose points it had joined by others: if not, the bucket is done with.
+    Pairs inside a part are left out, and parts are joined from the start. Also whether the forest passed over pairs whose
+    points it had joined by others: if not, the bucket is done with.
     """
     counts = fine.coarse()
     tree, edges = CountTree(n, counts), []
+    part = np.arange(len(n)) if part is None else part
     for i in range(len(n)):
         at, bound = tree.near(n[i], counts[i], num, den)
-        later = at > i
+        later = (at > i) & (part[at] != part[i])
         edges += zip((n[i] + n[at[later]] - 2 * bound[later]).tolist(), [i] * int(later.sum()), at[later].tolist(), strict=True)
-    parent = list(range(len(n)))
+    _, parent = np.unique(part, return_inverse=True)
+    of, parent = parent.tolist(), list(range(int(parent.max(initial=-1)) + 1))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -225,7 +231,7 @@ def likely_pairs(n: np.ndarray, fine: FineCounts, num: int, den: int) -> tuple[l
 
     out, passed_over = [], False
     for _, i, j in sorted(edges):
-        a, b = root(i), root(j)
+        a, b = root(of[i]), root(of[j])
         if a == b and len(n) > SMALL:
             passed_over = True
         elif fine.pair(i, j) * (den + num) >= num * (n[i] + n[j]):
@@ -325,31 +331,54 @@ def _point_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             h, offsets = shingles(batch.column(1), width)
             fine, sets = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                groups = max(GROUPS, 1 << max((b - a) // SHARE, 1).bit_length() - 1)
-                fine.append(_packed(np.bincount((h[a:b] & np.uint64(groups - 1)).astype(np.int64), minlength=groups)))
+                fine.append(fine_counts(h[a:b]))
                 sets.append(h[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(fine, pa.binary()), pa.array(sets, pa.binary())], ["id", "n", "fine", "members"])
 
     return staged(map_arrow(rows, run, "id long, n long, fine binary, members binary"), "points")
 
 
+def fine_counts(members: np.ndarray) -> bytes:
+    """A set's count vector in as many groups as FINE asks, a power of two, packed."""
+    groups = max(GROUPS, 1 << max(FINE * len(members), 1).bit_length() - 1)
+    return _packed(np.bincount((members & np.uint64(groups - 1)).astype(np.int64), minlength=groups))
+
+
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts in as many bytes each as the greatest needs, one in almost every set; that number comes first."""
+    """Counts in half a byte each, or as many bytes as the greatest needs; that number, 0 for half a byte, comes first."""
     most = counts.max(initial=0)
+    if most < 16:
+        return b"\0" + (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
     width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
+def _unpacked(packed: bytes) -> np.ndarray:
+    if packed[0]:
+        return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int32)
+    both = np.frombuffer(packed, np.uint8, offset=1)
+    return np.column_stack([both & 15, both >> 4]).ravel().astype(np.int32)
+
+
 def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     table = np.array(pairs, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], ["a", "b"])
 
 
-def _forest_pairs(buckets: DataFrame, points: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a, b) of the buckets' forests, members of the buckets in which a forest passed over pairs, and the staged table of both."""
+def _forest_pairs(buckets: DataFrame, points: DataFrame, num: int, den: int, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of the buckets' forests, members of the buckets in which a forest passed over pairs, and the staged table of both.
+
+    With labels (id, component), only buckets whose points are in several components are searched, between those.
+    """
     lists = buckets.select("members").distinct().withColumn("group", F.xxhash64("members"))
-    rows = lists.select("group", F.explode("members").alias("id")).join(points.select("id", "n", "fine"), "id")
-    groups = rows.groupBy("group").agg(F.collect_list(F.struct("id", "n", "fine")).alias("p"))
+    rows = lists.select("group", F.explode("members").alias("id"))
+    if labels is None:
+        rows = rows.withColumn("part", F.col("id"))
+    else:
+        rows = staged(rows.join(labels, "id", "left").select("group", "id", F.coalesce("component", "id").alias("part")), "parts")
+        rows = rows.join(rows.groupBy("group").agg((F.min("part") < F.max("part")).alias("apart")).filter("apart"), "group", "left_semi")
+    rows = rows.join(points.select("id", "n", "fine"), "id")
+    groups = rows.groupBy("group").agg(F.collect_list(F.struct("id", "n", "fine", "part")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,7 +387,7 @@ def _forest_pairs(buckets: DataFrame, points: DataFrame, num: int, den: int) ->
             for k in range(batch.num_rows):
                 p = batch.column(0)[k].values
                 ids, n = p.field("id").to_numpy(), p.field("n").to_numpy()
-                pairs, passed_over = likely_pairs(n, FineCounts(p.field("fine")), num, den)
+                pairs, passed_over = likely_pairs(n, FineCounts(p.field("fine")), num, den, p.field("part").to_numpy())
                 found += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in pairs if ids[i] != ids[j]]
                 more += [sorted(ids.tolist())] if passed_over else []
             table = np.array(found, np.int64).reshape(-1, 2)
@@ -453,15 +482,23 @@ def _resolved(df: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     buckets = _buckets(_signed(texts.join(copies, "p", "left_anti"), width, num, den))
     wanted = staged(buckets.select(F.explode("members").alias("id")).distinct(), "wanted")
     point_sets = _point_sets(texts, wanted, width)
-    tried, open_, forest = _forest_pairs(buckets, point_sets, num, den)
+    early = F.pmod("sig", F.lit(FIRST)) == 0
+    tried, open_, forest = _forest_pairs(buckets.filter(early), point_sets, num, den)
     links = _verified(tried, point_sets, num, den)
     labels = staged(connected_components(links), "labels")
-    cross = _cross_pairs(buckets, open_, point_sets, labels, tried, num, den)
+    tried2, open2, forest2 = _forest_pairs(buckets.filter(~early), point_sets, num, den, labels)
+    tried2 = tried2.join(tried, ["a", "b"], "left_anti")
+    links2 = _verified(tried2, point_sets, num, den)
+    tried, open_, every = tried.unionByName(tried2), open_.unionByName(open2).distinct(), links.unionByName(links2)
+    labels2 = staged(connected_components(every), "labels")
+    cross = _cross_pairs(buckets, open_, point_sets, labels2, tried, num, den)
     more = _verified(cross, point_sets, num, den)
+    discard(labels)
+    labels = labels2
     if not more.isEmpty():
         discard(labels)
-        labels = staged(connected_components(links.unionByName(more)), "labels")
-    discard(copies, buckets, wanted, point_sets, forest, links, cross, more)
+        labels = staged(connected_components(every.unionByName(more)), "labels")
+    discard(copies, buckets, wanted, point_sets, forest, forest2, links, links2, cross, more)
     linked = staged(labels.join(groups, labels["id"] == groups["point"]).select("component", "least", "point"), "linked")
     first = F.struct(F.col("least").isNull().alias("none"), "least", "point")
     each = linked.groupBy("component").agg(F.min(first).alias("first")).select("component", F.col("first.least").alias("component_id"), F.col("first.point").alias("keeper"))

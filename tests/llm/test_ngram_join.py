@@ -107,11 +107,7 @@ def test_fine_counts_bound_the_overlap():
     rng = np.random.default_rng(3)
     sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 3, 60, 300, 301, 5000, 6000, 40_000)]
     sets.append(np.concatenate([sets[5], sets[4]]))
-    packed = []
-    for h in sets:
-        groups = max(ngram_join.GROUPS, 1 << max(len(h) // ngram_join.SHARE, 1).bit_length() - 1)
-        packed.append(ngram_join._packed(np.bincount((h % groups).astype(np.int64), minlength=groups)))
-    fine = ngram_join.FineCounts(pa.array(packed, pa.binary()))
+    fine = ngram_join.FineCounts(pa.array([ngram_join.fine_counts(h) for h in sets], pa.binary()))
     assert (fine.coarse() == np.array([np.bincount((h % ngram_join.GROUPS).astype(np.int64), minlength=ngram_join.GROUPS) for h in sets])).all()
     for k, h in enumerate(sets):
         bound = fine.overlap(k, np.arange(len(sets)))
@@ -121,10 +117,11 @@ def test_fine_counts_bound_the_overlap():
 
 
 def test_counts_of_any_size_pack():
-    for most, width in ((0, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4)):
-        packed = ngram_join._packed(np.array([most] + [1] * (ngram_join.GROUPS - 1)))
+    for most, width in ((0, 0.5), (15, 0.5), (16, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4)):
+        counts = np.array([most, *np.arange(ngram_join.GROUPS - 1) % 3])
+        packed = ngram_join._packed(counts)
         assert len(packed) == 1 + width * ngram_join.GROUPS
-        assert ngram_join.FineCounts(pa.array([packed], pa.binary())).take(0)[0] == most
+        assert (ngram_join.FineCounts(pa.array([packed], pa.binary())).take(0) == counts).all()
 
 
 def test_rows_of_one_id(spark):
