@@ -11,6 +11,11 @@ from .values import BASE_URLS, CA_PROVINCES, COLOURS, COUNTRIES, DEFAULT_COLOUR,
 SPACE = r"[\s   -     　﻿]"
 
 
+#: ... one by one, with line ends; and control characters other than those.
+_SPACES = "\n\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_CONTROLS = "".join(map(chr, [*range(10), 11, 12, *range(14, 32), 127]))
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The value of a key in a small fixed table, null if absent."""
     return F.element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), key)
@@ -32,11 +37,14 @@ def blank(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """Control characters and entities out, line ends and white space to single spaces; null gives ''."""
-    c = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\x00-\x09\x0B\x0C\x0E-\x1F\x7F]", "")
-    c = F.regexp_replace(c, r"\r?\n", " ")
-    c = F.regexp_replace(F.regexp_replace(c, "(?i)&amp;", "&"), "(?i)&nbsp;", " ")
-    return collapse(F.regexp_replace(c, r"&#?\w+;", ""))
+    """Control characters and entities out, line ends and white space to single spaces; null gives ''.
+
+    Single characters are translated in one pass; patterns run only where a text has something for them.
+    """
+    c = F.translate(F.coalesce(c.cast("string"), F.lit("")), _SPACES + _CONTROLS, " " * len(_SPACES))
+    plain = F.regexp_replace(F.regexp_replace(c, "(?i)&amp;", "&"), "(?i)&nbsp;", " ")
+    c = F.when(c.contains("&"), F.regexp_replace(plain, r"&#?\w+;", "")).otherwise(c)
+    return F.trim(F.when(c.contains("  "), F.regexp_replace(c, " {2,}", " ")).otherwise(c))
 
 
 def title_case(c: Column) -> Column:
