@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 from .common import discard, fresh, map_arrow, mix, slices, span_hash, staged, utf8, words
 from .components import connected_components
 
-#: Groups of the count vectors that the trees index, and groups of the finer vectors for each member of a set, about.
-GROUPS, FINE = 64, 1
+#: Groups of the count vectors that the trees index, and members of a set for each group of the finer vectors that buckets hold;
+#: the finest, which bound pairs before sets are fetched, have so many groups for each member.
+GROUPS, FINE, FINEST = 64, 4, 2
 #: One bucket in so many is searched first.
 FIRST = 8
 #: Points in a chunk of a bucket; buckets up to SMALL give all their pairs at once.
@@ -323,24 +324,26 @@ def _buckets(signed: DataFrame) -> DataFrame:
 
 
 def _point_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, n, fine, members) of the wanted numbers, from their texts; staged."""
+    """(id, n, fine, finest, members) of the wanted numbers, from their texts; staged."""
     rows = texts.select("p", "text").join(wanted, texts["p"] == wanted["id"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
             h, offsets = shingles(batch.column(1), width)
-            fine, sets = [], []
+            fine, finest, sets = [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                fine.append(fine_counts(h[a:b]))
+                fine.append(fine_counts(h[a:b], (b - a) // FINE))
+                finest.append(fine_counts(h[a:b], (b - a) * FINEST))
                 sets.append(h[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(fine, pa.binary()), pa.array(sets, pa.binary())], ["id", "n", "fine", "members"])
+            made = [pa.array(x, pa.binary()) for x in (fine, finest, sets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), *made], ["id", "n", "fine", "finest", "members"])
 
-    return staged(map_arrow(rows, run, "id long, n long, fine binary, members binary"), "points")
+    return staged(map_arrow(rows, run, "id long, n long, fine binary, finest binary, members binary"), "points")
 
 
-def fine_counts(members: np.ndarray) -> bytes:
-    """A set's count vector in as many groups as FINE asks, a power of two, packed."""
-    groups = max(GROUPS, 1 << max(FINE * len(members), 1).bit_length() - 1)
+def fine_counts(members: np.ndarray, size: int) -> bytes:
+    """A set's count vector, packed, in as many groups as size but rounded down to a power of two, GROUPS at least."""
+    groups = max(GROUPS, 1 << max(size, 1).bit_length() - 1)
     return _packed(np.bincount((members & np.uint64(groups - 1)).astype(np.int64), minlength=groups))
 
 
@@ -400,9 +403,31 @@ def _forest_pairs(buckets: DataFrame, points: DataFrame, num: int, den: int, lab
     return made.filter("a is not null").select("a", "b").distinct(), made.filter("members is not null").select("members").distinct(), made
 
 
-def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are as similar as asked. Only sets that are in a pair are dealt out."""
+def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that the finest counts allow to be as similar as asked; staged."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    points = points.select("id", "n", "finest").join(asked, "id", "left_semi")
+    left = points.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("finest").alias("x"))
+    right = points.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("finest").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n1, n2 = (batch.column(k).to_numpy() for k in range(4))
+            found = []
+            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = _unpacked(x), _unpacked(y)
+                least = min(len(x), len(y))
+                if int(np.minimum(_folded(x, least), _folded(y, least)).sum()) * (den + num) >= num * int(n1[k] + n2[k]):
+                    found.append((int(a[k]), int(b[k])))
+            yield _pair_batch(found)
+
+    return staged(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "x", "y"), run, "a long, b long"), "bounded")
+
+
+def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets are as similar as asked. Only sets that are in a pair which the finest counts allow are dealt out."""
+    allowed = _bounded(pairs, points, num, den)
+    asked = allowed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     points = points.join(asked, "id", "left_semi")
     left = points.select(F.col("id").alias("a"), F.col("members").alias("x"))
     right = points.select(F.col("id").alias("b"), F.col("members").alias("y"))
@@ -417,7 +442,9 @@ def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
                     found.append((a, b))
             yield _pair_batch(found)
 
-    return staged(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long").distinct(), "links")
+    links = staged(map_arrow(allowed.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long").distinct(), "links")
+    discard(allowed)
+    return links
 
 
 def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:

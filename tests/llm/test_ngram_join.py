@@ -107,7 +107,7 @@ def test_fine_counts_bound_the_overlap():
     rng = np.random.default_rng(3)
     sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 3, 60, 300, 301, 5000, 6000, 40_000)]
     sets.append(np.concatenate([sets[5], sets[4]]))
-    fine = ngram_join.FineCounts(pa.array([ngram_join.fine_counts(h) for h in sets], pa.binary()))
+    fine = ngram_join.FineCounts(pa.array([ngram_join.fine_counts(h, len(h) * ngram_join.FINEST) for h in sets], pa.binary()))
     assert (fine.coarse() == np.array([np.bincount((h % ngram_join.GROUPS).astype(np.int64), minlength=ngram_join.GROUPS) for h in sets])).all()
     for k, h in enumerate(sets):
         bound = fine.overlap(k, np.arange(len(sets)))
