@@ -18,7 +18,13 @@ _CONTROLS = "".join(map(chr, [*range(10), 11, 12, *range(14, 32), 127]))
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The value of a key in a small fixed table, null if absent."""
-    return F.element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), key)
+    return F.element_at(fixed_map(table), key)
+
+
+def fixed_map(table: dict[str, str | bool]) -> Column:
+    """A small table as one map, which is parsed once and not made a literal at a time."""
+    shown = lambda x: str(x).lower() if isinstance(x, bool) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"map({', '.join(shown(x) for item in table.items() for x in item)})")
 
 
 def collapse(c: Column) -> Column:
@@ -59,14 +65,23 @@ def title_case(c: Column) -> Column:
 
 def place_name(c: Column) -> Column:
     """A cleaned name without '(www)' and outer quotes, with 'St.' and 'Sts.' in usual case at its start."""
-    c = F.regexp_replace(clean(c), rf"(?i){SPACE}*\(www\){SPACE}*", "")
+    return clean(unquoted(clean(c)))
+
+
+def unquoted(s: Column) -> Column:
+    """place_name() of a cleaned value, but for a last clean()."""
+    c = F.regexp_replace(s, rf"(?i){SPACE}*\(www\){SPACE}*", "")
     c = F.regexp_replace(F.regexp_replace(c, '^"(.*)"$', "$1"), "^'(.*)'$", "$1")
-    return clean(F.regexp_replace(F.regexp_replace(c, rf"^[sS][tT]\.{SPACE}*", "St. "), rf"^[sS][tT][sS]\.{SPACE}*", "Sts. "))
+    return F.regexp_replace(F.regexp_replace(c, rf"^[sS][tT]\.{SPACE}*", "St. "), rf"^[sS][tT][sS]\.{SPACE}*", "Sts. ")
 
 
 def state_code(c: Column) -> Column:
     """The code of a US state or Canadian province by code, dotted code or name; else the name in title case."""
-    s = clean(c)
+    return state_of(clean(c))
+
+
+def state_of(s: Column) -> Column:
+    """state_code() of a cleaned value."""
     codes = sorted({*US_STATES.values(), *CA_PROVINCES.values()})
     upper = F.upper(s)
     bare = F.regexp_replace(upper, "[^A-Z]", "")
@@ -76,14 +91,23 @@ def state_code(c: Column) -> Column:
 
 def country_name(c: Column, state: Column) -> Column:
     """The usual name of a country; from a state's code if blank."""
-    s, code = clean(c), F.upper(F.coalesce(state, F.lit("")))
+    return country_of(clean(c), state)
+
+
+def country_of(s: Column, state: Column) -> Column:
+    """country_name() of a cleaned value."""
+    code = F.upper(F.coalesce(state, F.lit("")))
     inferred = F.when(code.isin(*sorted(US_STATES.values())), "USA").when(code.isin(*sorted(set(CA_PROVINCES.values()))), "Canada").otherwise("")
     return F.coalesce(lookup(COUNTRIES, F.lower(s)), F.when(s == "", inferred).otherwise(s))
 
 
 def jurisdiction_name(c: Column, source: Column, aliases: dict[str, str] | None = None) -> Column:
     """A jurisdiction by its aliases, from the source if blank, else as cleaned."""
-    s = clean(c)
+    return jurisdiction_of(clean(c), source, aliases)
+
+
+def jurisdiction_of(s: Column, source: Column, aliases: dict[str, str] | None = None) -> Column:
+    """jurisdiction_name() of a cleaned value."""
     named = lookup(JURISDICTION_ALIASES if aliases is None else aliases, F.lower(s)) if aliases != {} else F.lit(None).cast("string")
     return F.coalesce(named, F.when(s == "", F.coalesce(lookup(SOURCE_JURISDICTIONS, source), F.lit(""))).otherwise(s))
 
@@ -101,7 +125,11 @@ def colour(jurisdiction: Column) -> Column:
 
 def phone(c: Column) -> Column:
     """(AAA) MMM-LLLL for North American numbers; + and digits for longer ones; else the characters a number may have."""
-    s = clean(c)
+    return phone_of(clean(c))
+
+
+def phone_of(s: Column) -> Column:
+    """phone() of a cleaned value."""
     digits = F.regexp_replace(s, r"\D", "")
     local = F.regexp_extract(digits, r"^(?:011)?1?(\d{10})$", 1)
     shown = F.concat(F.lit("("), F.substring(local, 1, 3), F.lit(") "), F.substring(local, 4, 3), F.lit("-"), F.substring(local, 7, 4))
@@ -112,18 +140,25 @@ def phone(c: Column) -> Column:
 
 def zip_code(c: Column) -> Column:
     """US ZIP or ZIP+4 as is, Canadian codes as 'A1A 1A1', anything else as cleaned."""
-    s = clean(c)
+    return zip_of(clean(c))
+
+
+def zip_of(s: Column) -> Column:
+    """zip_code() of a cleaned value."""
     bare = F.upper(F.regexp_replace(s, SPACE, ""))
     return F.when(s.rlike(r"^\d{5}(-\d{4})?$"), s).when(bare.rlike(r"^[A-Z]\d[A-Z]\d[A-Z]\d$"), F.concat_ws(" ", F.substring(bare, 1, 3), F.substring(bare, 4, 3))).otherwise(s)
 
 
 def website(c: Column, source: Column) -> Column:
     """An absolute address: relative ones get the source's base, a scheme is added, then as absolute() has it; '' if it has no base."""
-    s = clean(c)
+    return absolute(with_scheme(clean(c), source))
+
+
+def with_scheme(s: Column, source: Column) -> Column:
+    """A cleaned address with the source's base if relative, and with a scheme; '' without a base."""
     base = lookup(BASE_URLS, source)
-    full = F.when(~s.startswith("/"), s).when(base.isNotNull(), F.concat(base, s)).otherwise("")
-    full = F.when(full == "", "").when(full.rlike("(?i)^https?://"), full).otherwise(F.concat(F.lit("https://"), full))
-    return F.when(full == "", "").otherwise(absolute(full))
+    based = F.when(~s.startswith("/"), s).otherwise(F.coalesce(F.concat(base, s), F.lit("")))
+    return F.regexp_replace(based, "^(?!(?i:https?://)|$)", "https://")
 
 
 def absolute(url: Column) -> Column:
@@ -131,16 +166,33 @@ def absolute(url: Column) -> Column:
 
     What has no host stays as it is.
     """
+    return rebuilt(url, url_parts(url))
+
+
+def url_parts(url: Column) -> Column:
+    """array(scheme, host, path, rest) of an address with a scheme, '' for what is missing: names in lower case, no usual port, slashes forward, blanks escaped."""
     part = lambda k: F.regexp_extract(url, r"^([a-zA-Z]+)://([^/?#\\]*)([^?#]*)(.*)$", k)
-    scheme, host = F.lower(part(1)), F.lower(part(2))
-    host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
-    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(3), r"\\", "/"), " ", "%20"), r"/\.(?=/|$)", "")
-    for _ in range(4):  # a step up each; addresses with more in a row are left as they are
-        path = F.regexp_replace(path, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
-    path = F.when(path == "", "/").otherwise(path)
-    tail = F.regexp_replace(part(4), " ", "%20")
-    rebuilt = F.concat(scheme, F.lit("://"), host, F.when((path == "/") & (tail == ""), "").otherwise(path), tail)
-    return F.when(host == "", url).otherwise(rebuilt)
+    origin = F.regexp_replace(F.lower(F.concat(part(1), F.lit("://"), part(2))), "^(https://.*):443$|^(http://.*):80$", "$1$2")
+    named = F.split(origin, "://", 2)
+    return F.concat(named, F.array(F.regexp_replace(F.translate(part(3), "\\", "/"), " ", "%20"), F.regexp_replace(part(4), " ", "%20")))
+
+
+def rebuilt(url: Column, parts: Column) -> Column:
+    """The address of url_parts(), its dot segments resolved; url itself where it has no host."""
+    host, rest = F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(4))
+    path = F.regexp_replace(stepped(F.try_element_at(parts, F.lit(3))), "^$", "/")
+    tail = F.regexp_replace(F.concat(path, rest), "^/$", "")
+    return F.when(host == "", url).otherwise(F.concat(F.try_element_at(parts, F.lit(1)), F.lit("://"), host, tail))
+
+
+def stepped(path: Column) -> Column:
+    """A path without dot segments, however many: '.' goes, '..' goes with the segment before it, at an end they leave a slash."""
+    there = lambda x, k: x.rlike((r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$")[k])
+    go = lambda acc, x: F.when(there(x, 1), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(there(x, 0), acc).otherwise(F.concat(acc, F.array(x)))
+    shown = lambda acc: F.array_join(F.concat(F.array(F.lit("")), acc), "/")
+    closed = F.regexp_replace(path, r"(?i)(/(?:\.|%2e){1,2})$", "$1/")
+    walked = F.aggregate(F.slice(F.split(closed, "/"), 2, 1 << 20), F.array().cast("array<string>"), go, shown)
+    return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), walked).otherwise(path)
 
 
 def resolved(href: Column, base: str) -> Column:
@@ -178,9 +230,18 @@ def coordinate(c: Column, limit: float) -> Column:
 def city_parts(city: Column, state: Column, country: Column) -> Column:
     """struct(city, state, country) with a state and country that a comma-separated city holds split off."""
     s = clean(city)
-    parts = F.filter(F.transform(F.split(s, ","), collapse), lambda x: x != "")
-    known = F.create_map(*[F.lit(x) for k in {**US_STATES, **CA_PROVINCES} for x in (k, True)], *[F.lit(x) for k in sorted({*US_STATES.values(), *CA_PROVINCES.values()}) for x in (k.lower(), True)])
-    is_state = lambda x: F.coalesce(F.element_at(known, F.lower(x)), F.lit(False))
+    return places_of(s, comma_parts(s), state, country)
+
+
+def comma_parts(s: Column) -> Column:
+    """The filled parts of a list with commas."""
+    return F.filter(F.transform(F.split(s, ","), collapse), lambda x: x != "")
+
+
+def places_of(s: Column, parts: Column, state: Column, country: Column) -> Column:
+    """city_parts() of a cleaned city and its comma_parts()."""
+    known = {x.lower() for table in (US_STATES, CA_PROVINCES) for item in table.items() for x in item}
+    is_state = lambda x: F.coalesce(F.lower(x).isin(*sorted(known)), F.lit(False))
     n, last = F.size(parts), F.try_element_at(parts, F.lit(-1))
     ends_country = (n >= 2) & F.coalesce(lookup(COUNTRIES, F.lower(last)).isNotNull(), F.lit(False))
     place = F.when(ends_country & (n >= 3), F.try_element_at(parts, F.lit(-2))).when(~ends_country & (n == 2), last)

@@ -64,34 +64,60 @@ EUROPEAN_JURISDICTIONS = {
 }
 OTHER_EUROPEAN = "European Orthodox"
 
-#: Usual names of jurisdictions with other names that records use for them, in lower case.
-JURISDICTION_NAMES = {
-    "Russian Orthodox Church Outside of Russia (ROCOR)": (
-        "rocor", "russian orthodox church outside of russia", "russian orthodox church outside russia", "roca", "rocor western american diocese",
-        "diocese of western america rocor",
-    ),
-    "Orthodox Church in America (OCA)": ("oca", "orthodox church in america", "romanian episcopate", "romanian orthodox episcopate of america"),
-    "Ukrainian Orthodox Church of the USA (UOC-USA)": ("uoc-usa", "uoc", "ukrainian orthodox church of the usa", "ukrainian orthodox church"),
-    "Antiochian Orthodox Christian Archdiocese of North America": ("antiochian orthodox christian archdiocese of north america", "aoca", "antiochian"),
-    "Greek Orthodox Archdiocese of America": ("greek orthodox archdiocese of america", "goarch", "goa", "greek orthodox"),
-    "Serbian Orthodox Church in North and South America": (
-        "serbian orthodox church in north and south america", "new gracanica", "new gracanica metropolitanate", "serbian", "serbian orthodox",
-    ),
-    "Romanian Orthodox Archdiocese in the Americas": (
-        "romanian orthodox archdiocese in the americas", "romanian orthodox metropolia", "roea", "romanian orthodox metropolia of the americas", "romanian",
-        "romanian orthodox",
-    ),
-    "Bulgarian Eastern Orthodox Diocese of the USA, Canada, and Australia": (
-        "bulgarian eastern orthodox diocese of the usa, canada, and australia", "bulgarian", "bulgarian orthodox", "bulgarian diocese",
-        "bulgarian eastern orthodox diocese",
-    ),
-    "Georgian Orthodox Church": ("georgian orthodox church", "georgian patriarchal parishes", "georgian"),
-    "American Carpatho-Russian Orthodox Diocese": ("american carpatho-russian orthodox diocese", "acrod", "carpatho-russian"),
-    "Albanian Orthodox Diocese of America": ("albanian orthodox diocese of america", "albanian", "albanian orthodox", "albanian archdiocese"),
-    "Orthodox Church of the Genuinely Orthodox Christians of Greece": ("orthodox church of the genuinely orthodox christians of greece",),
-    "Patriarchal Parishes of the Russian Orthodox Church in the USA": ("mp", "moscow patriarchate", "patriarchal parishes"),
-}
-JURISDICTION_ALIASES = {alias: name for name, aliases in JURISDICTION_NAMES.items() for alias in aliases}
+#: Usual names of jurisdictions by other names that records use for them, in lower case.
+JURISDICTION_ALIASES = {
+    "rocor": "Russian Orthodox Church Outside of Russia (ROCOR)",
+    "russian orthodox church outside of russia": "Russian Orthodox Church Outside of Russia (ROCOR)",
+    "russian orthodox church outside russia": "Russian Orthodox Church Outside of Russia (ROCOR)",
+    "roca": "Russian Orthodox Church Outside of Russia (ROCOR)",
+    "rocor western american diocese": "Russian Orthodox Church Outside of Russia (ROCOR)",
+    "diocese of western america rocor": "Russian Orthodox Church Outside of Russia (ROCOR)",
+    "oca": "Orthodox Church in America (OCA)",
+    "orthodox church in america": "Orthodox Church in America (OCA)",
+    "uoc-usa": "Ukrainian Orthodox Church of the USA (UOC-USA)",
+    "uoc": "Ukrainian Orthodox Church of the USA (UOC-USA)",
+    "ukrainian orthodox church of the usa": "Ukrainian Orthodox Church of the USA (UOC-USA)",
+    "ukrainian orthodox church": "Ukrainian Orthodox Church of the USA (UOC-USA)",
+    "antiochian orthodox christian archdiocese of north america": "Antiochian Orthodox Christian Archdiocese of North America",
+    "greek orthodox archdiocese of america": "Greek Orthodox Archdiocese of America",
+    "serbian orthodox church in north and south america": "Serbian Orthodox Church in North and South America",
+    "new gracanica": "Serbian Orthodox Church in North and South America",
+    "new gracanica metropolitanate": "Serbian Orthodox Church in North and South America",
+    "romanian orthodox archdiocese in the americas": "Romanian Orthodox Archdiocese in the Americas",
+    "romanian orthodox metropolia": "Romanian Orthodox Archdiocese in the Americas",
+    "roea": "Romanian Orthodox Archdiocese in the Americas",
+    "romanian episcopate": "Orthodox Church in America (OCA)",
+    "romanian orthodox episcopate of america": "Orthodox Church in America (OCA)",
+    "bulgarian eastern orthodox diocese of the usa, canada, and australia": "Bulgarian Eastern Orthodox Diocese of the USA, Canada, and Australia",
+    "georgian orthodox church": "Georgian Orthodox Church",
+    "georgian patriarchal parishes": "Georgian Orthodox Church",
+    "romanian orthodox metropolia of the americas": "Romanian Orthodox Archdiocese in the Americas",
+    "american carpatho-russian orthodox diocese": "American Carpatho-Russian Orthodox Diocese",
+    "albanian orthodox diocese of america": "Albanian Orthodox Diocese of America",
+    "orthodox church of the genuinely orthodox christians of greece": "Orthodox Church of the Genuinely Orthodox Christians of Greece",
+    "goarch": "Greek Orthodox Archdiocese of America",
+    "goa": "Greek Orthodox Archdiocese of America",
+    "greek orthodox": "Greek Orthodox Archdiocese of America",
+    "aoca": "Antiochian Orthodox Christian Archdiocese of North America",
+    "antiochian": "Antiochian Orthodox Christian Archdiocese of North America",
+    "acrod": "American Carpatho-Russian Orthodox Diocese",
+    "carpatho-russian": "American Carpatho-Russian Orthodox Diocese",
+    "serbian": "Serbian Orthodox Church in North and South America",
+    "serbian orthodox": "Serbian Orthodox Church in North and South America",
+    "romanian": "Romanian Orthodox Archdiocese in the Americas",
+    "romanian orthodox": "Romanian Orthodox Archdiocese in the Americas",
+    "bulgarian": "Bulgarian Eastern Orthodox Diocese of the USA, Canada, and Australia",
+    "bulgarian orthodox": "Bulgarian Eastern Orthodox Diocese of the USA, Canada, and Australia",
+    "bulgarian diocese": "Bulgarian Eastern Orthodox Diocese of the USA, Canada, and Australia",
+    "bulgarian eastern orthodox diocese": "Bulgarian Eastern Orthodox Diocese of the USA, Canada, and Australia",
+    "albanian": "Albanian Orthodox Diocese of America",
+    "albanian orthodox": "Albanian Orthodox Diocese of America",
+    "albanian archdiocese": "Albanian Orthodox Diocese of America",
+    "mp": "Patriarchal Parishes of the Russian Orthodox Church in the USA",
+    "moscow patriarchate": "Patriarchal Parishes of the Russian Orthodox Church in the USA",
+    "patriarchal parishes": "Patriarchal Parishes of the Russian Orthodox Church in the USA",
+    "georgian": "Georgian Orthodox Church",
+}
 
 #: Colours of jurisdictions on maps: red, green, blue, opacity.
 COLOURS = {
@@ -175,6 +201,8 @@ COORDINATES = (
 BLOCK_CLASSES = ("parish-listing", "parish-item", "parish-result", "directory-item", "views-row", "card", "parish", "church-item", "location-item")
 #: Names that are navigation and not places, and what runs of other matter hold.
 NAVIGATION = r"(?i)^(home|about|contact|news|events|calendar|links|history)"
-LIST_PAGES = r"(?i)^(parishes|search|diocese|state|select|list)|deanery"
-LIST_TARGETS = ("/search", "/diocese/", "/state/", "/deanery/")
+#: Labels and targets of links that lead to lists and not to places.
+NAVIGATION_LABELS = (r"(?i)^(parishes|search|diocese|state|select|list)", r"(?i)deanery")
+NAVIGATION_TARGET = "/parishes"
+NAVIGATION_PARTS = ("/search", "/diocese/", "/state/", "/deanery/")
 FOOTERS = r"(?i)powered by|orthodox web solutions|\.shape_div_|SECTION_TITLE"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import city_state, collapse, trimmed
-from ..functions.values import BLOCK_CLASSES, COORDINATES, FOOTERS, LIST_PAGES, LIST_TARGETS, NAVIGATION
+from ..functions.values import BLOCK_CLASSES, COORDINATES, FOOTERS, NAVIGATION, NAVIGATION_LABELS, NAVIGATION_PARTS, NAVIGATION_TARGET
 
 _LINK = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 
@@ -77,9 +77,11 @@ def in_countries(country: Column, countries: tuple[str, ...] = ("USA", "Canada")
 def place_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """links() that lead to places: with a label, and not to lists, searches, regions or the page of all."""
     label, href = F.col("label"), F.col("href")
-    navigation = (F.length(label) < 4) | label.rlike(LIST_PAGES) | (href == "/parishes")
-    for target in LIST_TARGETS:
-        navigation = navigation | href.contains(target)
+    navigation = (F.length(label) < 4) | (href == NAVIGATION_TARGET)
+    for pattern in NAVIGATION_LABELS:
+        navigation = navigation | label.rlike(pattern)
+    for part in NAVIGATION_PARTS:
+        navigation = navigation | href.contains(part)
     return links(pages, html_col).filter(~navigation)
 
 

@@ -46,6 +46,10 @@ def cases():
         (text.website(L("/parish/1"), L("goarch")), "https://www.goarch.org/parish/1"),
         (text.website(L("/x"), L("oca")), ""),
         (text.website(L("WWW.Foo.ORG/"), L("")), "https://www.foo.org"),
+        (text.website(L("http://Foo.org:80/a/../../b/./../c/../../d?x=1 2#y"), L("")), "http://foo.org/d?x=1%202#y"),
+        (text.website(L("https://Foo.org:443/a/b/%2E%2e/.."), L("")), "https://foo.org"),
+        (text.website(L("foo.org\\a/b/.."), L("")), "https://foo.org/a/"),
+        (text.website(L("foo.org:80/1/2/3/4/5/6/../../../../../x"), L("")), "https://foo.org:80/1/x"),
         (text.coordinate(L("41.881832199"), 90.0), 41.8818322),
         (text.coordinate(L("91"), 90.0), None),
         (text.coordinate(L("12.5abc"), 180.0), 12.5),
@@ -67,6 +71,8 @@ def cases():
         (clergy.clergy(L("V. Rev. John Smith Fr. Paul Jones")), "V. Rev. John Smith; Fr. Paul Jones"),
         (clergy.clergy(L("Fr. Paul Jones, Priest in Charge")), "Fr. Paul Jones, Priest in Charge"),
         (clergy.clergy(L("Rev. A (312) 555-0147 a@b.org")), "Rev. A"),
+        (clergy.clergy(L("Served by: Fr. Priest Paul Jones; Warden: X Y; acting Rector Deacon B (emeritus)Protodeacon C")), "Fr. Priest Paul Jones; acting Rector Deacon B (emeritus); Protodeacon C"),
+        (clergy.clergy(L("Very Rev. A, acting Priest B, PriestGeorge, Bishop of X")), "Very Rev. A, acting Priest B; Priest George, Bishop of X"),
         (F.round(haversine(L(0.0), L(0.0), L(0.0), L(90.0)), 3), 10007.543),
     ]
 

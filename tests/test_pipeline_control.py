@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from atlasweave.operators import output
+from atlasweave.operators import cleaning, output
 from atlasweave.plans.pipeline import Lookups, Pipeline, directory_build, directory_pipeline, duration
 from atlasweave.sources import files
 from atlasweave.streaming import visits
@@ -50,6 +50,24 @@ def test_records_are_cleaned_before_they_merge(spark):
     assert [(r.name, r.city, r.phone) for r in rows] == [("St. Mark", "Palm Coast", "(312) 555-0147")]
 
 
+def test_the_plan_of_a_clean_record_stays_small(spark):
+    def leaves(e):
+        below = [e.children().apply(i) for i in range(e.children().size())]
+        return sum(map(leaves, below)) if below else 1
+
+    df = spark.createDataFrame([("A", "1")], "name string, extra string")
+    rows = cleaning.clean_record(df).filter("name <> '' AND city = 'x' AND state = 'NY'")
+    node, total = rows._jdf.queryExecution().optimizedPlan(), 0
+    while True:
+        made = node.expressions()
+        total += sum(leaves(made.apply(i)) for i in range(made.size()))
+        if not node.children().size():
+            break
+        node = node.children().apply(0)
+    assert total < 3000
+    assert cleaning.clean_record(df).first().asDict()["extra"] == "1"
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"parish": "A", "lat": 1.5, "detailUrl": "/x", "extra": 3}, {"name": "B", "source": "oca"}]')
     rows = files.read_json(spark, str(tmp_path / "a.json"), "goarch", 0).orderBy("name").collect()
