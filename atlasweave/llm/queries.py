@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, dedup, lm, mixing, ngram_join, pages, quality, secrets, toxicity
-from .common import crc_mod
+from . import ann, bpe, dedup, lm, mixing, ngram_join, pages, quality, secrets, toxicity, warc
+from .common import crc_mod, stage_path
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +93,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(docs, model, vocab).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, and read the archives back."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.page_roles(rows, stage_path(spark, "archives"), least=0).withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_quality, op4_secrets, op5_pages, op6_toxicity, op7_mixing, op8_nearest, op9_ngram_join, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_quality, op4_secrets, op5_pages, op6_toxicity, op7_mixing, op8_nearest, op9_ngram_join, op10_lm_scores, op13_warc)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,4 +121,13 @@ def oracle_sql() -> dict[str, str]:
                   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
             SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""",
+        "op13_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS body, lower(sha1(coalesce(html, ''))) AS hex FROM pages),
+            f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+            SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+                   array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       (('0x' || substr(hex, (k // 4)::INT * 5 + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::INT)::INT % 32 + 1, 1)), '') AS payload_digest,
+                   CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+            FROM f""",
     }
