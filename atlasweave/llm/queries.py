@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, dedup, lm, mixing, ngram_join, pages, quality, secrets, toxicity, warc
+from . import ann, bpe, codes, dedup, lm, mixing, ngram_join, pages, quality, secrets, toxicity, warc
 from .common import crc_mod, stage_path
 
 
@@ -93,6 +93,13 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(docs, model, vocab).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, with its error and its label's."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+    rows, books = codes.compressed(vectors, "vec_id", "embedding")
+    return codes.label_errors(rows, "label").select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, and read the archives back."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
@@ -100,14 +107,34 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_quality, op4_secrets, op5_pages, op6_toxicity, op7_mixing, op8_nearest, op9_ngram_join, op10_lm_scores, op13_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_quality, op4_secrets, op5_pages, op6_toxicity, op7_mixing, op8_nearest, op9_ngram_join, op10_lm_scores, op11_codes, op13_warc)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _codes_sql(rounds: int = 4) -> str:
+    """Plain rounds over all pairs of parts and entries."""
+    nearest = "SELECT vec_id, label, k, any_value(p.x) AS x, min(list_sum(list_transform(list_zip(p.x, c.x), lambda q: (q[1] - q[2]) * (q[1] - q[2])))::BIGINT * 256 + j) AS m FROM p JOIN c{r} c USING (k) GROUP BY vec_id, label, k"
+    moved = "SELECT k, m % 256 AS j, pos, sum(x[pos])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 17) t(pos) GROUP BY ALL"
+    entries = "SELECT c.k, c.j, coalesce(any_value(n.x), any_value(c.x)) AS x FROM c{r} c LEFT JOIN (SELECT k, j, list((s - (s % n + n) % n) // n ORDER BY pos) AS x FROM s{r} GROUP BY k, j) n USING (k, j) GROUP BY c.k, c.j"
+    steps = [f"a{r} AS MATERIALIZED ({nearest.format(r=r)}), s{r} AS MATERIALIZED ({moved.format(r=r)}), c{r + 1} AS MATERIALIZED ({entries.format(r=r)})" for r in range(rounds)]
+    return f"""
+        WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, label, k, e[k * 16 + 1 : k * 16 + 16] AS x FROM v, range(4) t(k)),
+        c0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS j, x FROM p QUALIFY j < 256),
+        {", ".join(steps)},
+        f AS MATERIALIZED ({nearest.format(r=rounds)}),
+        r AS (SELECT vec_id, label, string_agg(printf('%02x', (m % 256)::INT), '' ORDER BY k) AS code, sum(m // 256)::BIGINT AS error FROM f GROUP BY vec_id, label)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, j)) FROM c{rounds}) AS codebooks_sha256
+        FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_codes": _codes_sql(),
         "op2_exact_dedup": f"""
             WITH n AS (SELECT doc_id, {_NORM} AS norm FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
