@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, codes, dedup, lm, mixing, ngram_join, pages, quality, secrets, toxicity, warc
+from . import align, ann, bpe, codes, dedup, lm, mixing, ngram_join, pages, quality, secrets, toxicity, warc
 from .common import crc_mod, stage_path
 
 
@@ -100,6 +100,13 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.label_errors(rows, "label").select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of a byte-level vocabulary and of one of pieces end together in every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = align.Alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.per_text().withColumnRenamed("id", "doc_id")
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, and read the archives back."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
@@ -107,7 +114,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_quality, op4_secrets, op5_pages, op6_toxicity, op7_mixing, op8_nearest, op9_ngram_join, op10_lm_scores, op11_codes, op13_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_quality, op4_secrets, op5_pages, op6_toxicity, op7_mixing, op8_nearest, op9_ngram_join, op10_lm_scores, op11_codes, op12_alignment, op13_warc)}
 
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
