@@ -158,8 +158,8 @@ class Alignment:
         bad = known.filter("NOT same").select("segment")
         if not bad.isEmpty():  # texts that can't be aligned are left out of all counts
             texts = full.withColumn("segment", F.explode(pieces(F.col("text"), self.cuts)))
-            spoilt = texts.join(bad, "segment", "left_semi").select("id", F.md5("text").alias("text_key")).distinct()
-            sound = full.withColumn("text_key", F.md5("text")).join(spoilt, (full["id"].eqNullSafe(spoilt["id"])) & (F.col("text_key") == spoilt["text_key"]), "left_anti")
+            spoilt = texts.join(bad, "segment", "left_semi").select(F.col("id").alias("bad_id"), F.md5("text").alias("bad_key")).distinct()
+            sound = full.join(spoilt, F.col("id").eqNullSafe(F.col("bad_id")) & (F.md5("text") == F.col("bad_key")), "left_anti")
             counts = sound.select(F.explode(pieces(F.col("text"), self.cuts)).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
             recounted = staged(known.drop("n").join(counts, "segment", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), "segments")
             discard(known)
