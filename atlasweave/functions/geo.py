@@ -12,4 +12,4 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: fl
     """The great-circle distance of two points given in degrees."""
     half_lat, half_lng = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     a = F.pow(F.sin(half_lat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lng), 2)
-    return radius * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+    return radius * 2 * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a)))

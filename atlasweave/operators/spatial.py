@@ -1,7 +1,8 @@
 """Nearest neighbours, density clusters and dominance regions over points (id, grp, lat, lng).
 
-Self joins are kept narrow by cells: a point meets only points of its own and the eight adjacent cells, whose sides are as
-long as the radius.
+Self joins are kept narrow by cells: points are taken as vectors in space and dealt to cubes whose side is the chord of the
+radius, so a point meets only points of its own and the adjacent cubes that the sphere passes through. Cubes have no seam at
+180 degrees and no poles.
 """
 
 from __future__ import annotations
@@ -10,32 +11,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import MILES, haversine
+from ..functions.geo import KM, MILES, haversine
 from ..stages import staged
 from .components import connected_components
 
 KM_PER_DEGREE = 111.0
-#: Places in a cell from which on it counts as dense.
-CROWD = 64
+#: Places in a cell from which on it counts as dense, and bins of a round that looks for an order statistic.
+CROWD, BINS = 64, 4096
+CELL = ["cx", "cy", "cz"]
 
 
-def _cells(df: DataFrame, km: Column, around: bool) -> DataFrame:
-    """Cells of a side of km: latitude rows, and longitude columns as wide in degrees as the row's poleward edge asks."""
-    row = F.floor(F.col("lat") * KM_PER_DEGREE / km)
-    df = df.withColumn("row", row)
-    if around:
-        df = df.withColumn("row", F.explode(F.expr("array(row - 1, row, row + 1)")))
-    edge = F.least(F.lit(89.0), (F.abs(F.col("row") + 0.5) + 2.5) * km / KM_PER_DEGREE)
-    df = df.withColumn("col", F.floor(F.col("lng") * KM_PER_DEGREE * F.cos(F.radians(edge)) / km))
-    return df.withColumn("col", F.explode(F.expr("array(col - 1, col, col + 1)"))) if around else df
+def _chord(km: Column) -> Column:
+    """The straight distance of points that are km apart on the sphere."""
+    return 2 * KM * F.sin(F.least(km / (2 * KM), F.lit(1.5707963267948966)))
 
 
-def near_pairs(asking: DataFrame, there: DataFrame, km_col: str = "eps") -> DataFrame:
-    """(grp, a, b, km) of a point that asks and another of its group that is there, within km_col, which is the same throughout a group."""
-    left = _cells(asking.select("grp", "id", "lat", "lng", km_col), F.col(km_col), True).select("grp", "row", "col", F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.col(km_col).alias("limit"))
-    right = _cells(there.select("grp", "id", "lat", "lng", km_col), F.col(km_col), False).select("grp", "row", "col", F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+def _cells(df: DataFrame, side: Column, around: bool) -> DataFrame:
+    """Cubes of a side in km; around gives those too that are adjacent and reach the sphere."""
+    lat, lng = F.radians("lat"), F.radians("lng")
+    vector = {"cx": KM * F.cos(lat) * F.cos(lng), "cy": KM * F.cos(lat) * F.sin(lng), "cz": KM * F.sin(lat)}
+    df = df.withColumns({c: F.floor(x / side) for c, x in vector.items()})
+    if not around:
+        return df
+    for c in CELL:
+        df = df.withColumn(c, F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)])))
+    edges = [(F.col(c) * side, (F.col(c) + 1) * side) for c in CELL]
+    least = sum((F.when((lo <= 0) & (hi >= 0), 0.0).otherwise(F.least(lo * lo, hi * hi)) for lo, hi in edges), F.lit(0.0))
+    most = sum((F.greatest(lo * lo, hi * hi) for lo, hi in edges), F.lit(0.0))
+    return df.filter((least <= KM**2 * (1 + 1e-9)) & (most >= KM**2 * (1 - 1e-9)))
+
+
+def near_pairs(asking: DataFrame, there: DataFrame, km_col: str = "eps", others: bool = True) -> DataFrame:
+    """(grp, a, b, km) of a point that asks and one of its group that is there, within km_col, which is the same throughout a group.
+
+    With others, a point is not near to itself, that is, to its id.
+    """
+    side = _chord(F.col(km_col)) * (1 + 1e-9) + 1e-9
+    left = _cells(asking.select("grp", "id", "lat", "lng", km_col), side, True).select("grp", *CELL, F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.col(km_col).alias("limit"))
+    right = _cells(there.select("grp", "id", "lat", "lng", km_col), side, False).select("grp", *CELL, F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
     km = haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
-    return left.join(right, ["grp", "row", "col"]).filter("a <> b").withColumn("km", km).filter("km <= limit").select("grp", "a", "b", "km")
+    met = left.join(right, ["grp", *CELL])
+    return (met.filter("a <> b") if others else met).withColumn("km", km).filter("km <= limit").select("grp", "a", "b", "km")
 
 
 def neighbours(points: DataFrame, km_col: str = "eps") -> DataFrame:
@@ -49,11 +65,11 @@ def links_within(points: DataFrame) -> DataFrame:
     Points of a cell whose diagonal is below eps are linked to the cell's least id; between cells, points are compared
     that lie at one place only once, and only with cells that reach within eps.
     """
-    fine = _cells(points.select("grp", "id", "lat", "lng", "eps"), F.col("eps") * 0.5, False)
-    places = fine.groupBy("grp", "row", "col", "lat", "lng", "eps").agg(F.min("id").alias("id"))
-    home = fine.groupBy("grp", "row", "col").agg(F.min("id").alias("home"))
-    inside = fine.join(home, ["grp", "row", "col"]).filter("id <> home").select(F.col("home").alias("a"), F.col("id").alias("b"))
-    least = places.join(home, ["grp", "row", "col"]).select("grp", "id", "lat", "lng", "eps", "home")
+    fine = _cells(points.select("grp", "id", "lat", "lng", "eps"), _chord(F.col("eps")) * 0.5 + 1e-9, False)
+    places = fine.groupBy("grp", *CELL, "lat", "lng", "eps").agg(F.min("id").alias("id"))
+    home = fine.groupBy("grp", *CELL).agg(F.min("id").alias("home"))
+    inside = fine.join(home, ["grp", *CELL]).filter("id <> home").select(F.col("home").alias("a"), F.col("id").alias("b"))
+    least = places.join(home, ["grp", *CELL]).select("grp", "id", "lat", "lng", "eps", "home")
     pairs = near_pairs(least, least).join(least.select(F.col("id").alias("a"), F.col("home").alias("home_a")), "a").join(least.select(F.col("id").alias("b"), F.col("home").alias("home_b")), "b")
     between = pairs.filter("home_a < home_b").groupBy("home_a", "home_b").count().select(F.col("home_a").alias("a"), F.col("home_b").alias("b"))
     return inside.unionByName(between)
@@ -64,7 +80,7 @@ def _first_radius(places: DataFrame) -> DataFrame:
     wide = (F.max("lat") - F.min("lat")) * (F.max("lng") - F.min("lng")) * F.lit(KM_PER_DEGREE**2)
     start = places.groupBy("grp").agg(F.greatest(F.lit(0.001), F.sqrt(wide / F.count("*"))).alias("km"))
     for _ in range(12):
-        crowd = _cells(places.join(start, "grp"), F.col("km"), False).groupBy("grp", "row", "col").count().groupBy("grp").agg(F.max("count").alias("most"))
+        crowd = _cells(places.join(start, "grp"), _chord(F.col("km")), False).groupBy("grp", *CELL).count().groupBy("grp").agg(F.max("count").alias("most"))
         tight = start.join(crowd, "grp").select("grp", F.when((F.col("most") > CROWD) & (F.col("km") > 0.001), F.col("km") / 4).otherwise(F.col("km")).alias("km"), (F.col("most") > CROWD).alias("more"))
         tight = staged(tight, "radius")
         start = tight.select("grp", "km")
@@ -100,16 +116,37 @@ def nearest_distances(points: DataFrame) -> DataFrame:
 
 
 def adaptive_eps(points: DataFrame, share: float = 0.15, low: float = 0.5, high: float = 50.0, small: float = 8.0) -> DataFrame:
-    """(grp, n, eps): the nearest-neighbour distance at place floor(n * share) of the sorted ones, within low and high; small for fewer than 3 points.
-
-    Order statistics by a window, so a large group is sorted on disk and not held as a list.
-    """
+    """(grp, n, eps): the nearest-neighbour distance at place floor(n * share) of the sorted ones, within low and high; small for fewer than 3 points."""
     n = points.groupBy("grp").agg(F.count("*").alias("n"))
-    ranked = nearest_distances(points).withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("nn", "id")) - 1)
-    at = ranked.join(n, "grp").filter(F.col("place") == F.floor(F.col("n") * share)).select("grp", F.col("nn").alias("eps0"))
+    near = staged(nearest_distances(points).filter("nn is not null").select("grp", "nn"), "distances")
+    at = order_statistic(near, "nn", n.filter("n > 2").select("grp", F.floor(F.col("n") * share).alias("place"))).withColumnRenamed("value", "eps0")
     return n.join(at, "grp", "left").select("grp", "n", F.when(F.col("n") < 3, small).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), F.col("eps0")))).alias("eps"))
 
 
+def order_statistic(rows: DataFrame, column: str, places: DataFrame) -> DataFrame:
+    """(grp, value): the value of rows (grp, column) at a place of each group's sorted ones, from 0; places are (grp, place).
+
+    No group is sorted: values are counted in bins between a group's least and greatest, the bin that holds the place is
+    divided again, until it holds one value. A round shuffles BINS counts a group at most from each task. Groups whose place
+    lies beyond their values give no row.
+    """
+    rows = rows.select("grp", F.col(column).cast("double").alias("value"))
+    ranges = rows.groupBy("grp").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("size"))
+    open_, done = staged(ranges.join(places, "grp").filter("place < size").select("grp", "lo", "hi", "place"), "ranges"), None
+    while True:
+        hit = open_.filter("lo = hi").select("grp", F.col("lo").alias("value"))
+        done = hit if done is None else done.unionByName(hit)
+        wide = open_.filter("lo < hi")
+        if wide.isEmpty():
+            return done
+        share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        bins = rows.join(wide, "grp").filter("value BETWEEN lo AND hi").withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+        counts = bins.groupBy("grp", "bin").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("size"), F.first("place").alias("place"))
+        upto = F.sum("size").over(Window.partitionBy("grp").orderBy("bin"))  # BINS rows at most
+        holds = counts.withColumn("before", upto - F.col("size")).filter("place >= before AND place < before + size")
+        open_ = staged(holds.select("grp", "lo", "hi", (F.col("place") - F.col("before")).alias("place")), "ranges")
+
+
 def clusters(points: DataFrame) -> DataFrame:
     """(id, grp, cluster): density clusters with at least two points, by the group's own radius; noise and groups of up to two points have none.
 
@@ -137,10 +174,26 @@ def representatives(points: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def nearest_of(points: DataFrame, sites: DataFrame) -> DataFrame:
-    """Each point with the key of the nearest site of its part, the first of equals: sites (part, key, ord, lat, lng) are few for each part."""
-    s = sites.select("part", "key", "ord", F.col("lat").alias("slat"), F.col("lng").alias("slng"))
-    km = haversine(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
-    return points.join(s, "part").groupBy("id").agg(F.min_by("key", F.struct(km, F.col("ord"))).alias("nearest"), F.round(F.min(km), 6).alias("km"))
+    """(id, nearest, km): each point with the key of the nearest site (part, key, ord, lat, lng) of its part, the first by ord of equals.
+
+    Sites come to cells of growing size, from one at which the part's densest cell holds few of them, so no point meets all
+    sites of its part. Points of parts without sites give no row.
+    """
+    sites = staged(sites.select(F.col("part").alias("grp"), F.struct("ord", "key").alias("id"), "lat", "lng").filter("lat is not null and lng is not null"), "sites")
+    start = _first_radius(sites)
+    rest = staged(points.select("id", F.col("part").alias("grp"), "lat", "lng").join(start, "grp").filter("lat is not null and lng is not null"), "nearest")
+    done, factor = None, 4.0
+    while True:
+        asking = rest.select("grp", "id", "lat", "lng", F.least(F.col("km") * factor, F.lit(20_100.0)).alias("eps"))
+        pairs = near_pairs(asking, sites.join(asking.select("grp", "eps").distinct(), "grp"), others=False)
+        best = F.min(F.struct("km", "b")).alias("best")
+        step = staged(rest.join(pairs.groupBy("grp", F.col("a").alias("id")).agg(best), ["grp", "id"], "left"), "nearest")
+        hit = step.filter("best is not null").select("id", F.col("best.b.key").alias("nearest"), F.round("best.km", 6).alias("km"))
+        done = hit if done is None else done.unionByName(hit)
+        rest = step.filter("best is null").drop("best")
+        if rest.isEmpty():
+            return done
+        factor *= 4
 
 
 def nearest_in_plane(points: DataFrame, sites: DataFrame, first: float = 0.25) -> DataFrame:

@@ -45,6 +45,58 @@ def test_clusters_against_brute_force(spark):
     assert any(v is not None for v in want.values())
 
 
+def test_whole_sphere_against_brute_force(spark):
+    """Points on both sides of 180 degrees, at the poles, antipodes, and across the globe."""
+    rng = random.Random(4)
+    rows = [(k, 0, (rng.random() - 0.5) * 20, (180 + (rng.random() - 0.5) * 4 + 180) % 360 - 180) for k in range(80)]
+    rows += [(100 + k, 1, 89.9 + rng.random() * 0.1, rng.random() * 360 - 180) for k in range(80)] + [(190, 1, 90.0, 0.0), (191, 1, -90.0, 0.0), (192, 1, -89.99, 120.0)]
+    rows += [(200, 2, 0.0, 179.999), (201, 2, 0.0, -179.999), (202, 2, 0.0, 179.0), (203, 2, 0.0, -178.0), (300, 3, 10.0, 20.0), (301, 3, -10.0, -160.0)]
+    df = spark.createDataFrame(rows, "id long, grp long, lat double, lng double")
+    own = lambda r: [(km((r[3], r[2]), (x[3], x[2])), x[0]) for x in rows if x[1] == r[1] and x[0] != r[0]]
+    got = {r.id: r.nn for r in spatial.nearest_distances(df).collect()}
+    assert all(abs(got[r[0]] - min(own(r))[0]) < 1e-6 for r in rows) and len(got) == len(rows)
+    for eps in (0.3, 30.0, 400.0, 12_000.0, 20_015.0):
+        pairs = {(r.a, r.b) for r in spatial.neighbours(df.withColumn("eps", F.lit(eps))).collect()}
+        assert pairs == {(r[0], k) for r in rows for d, k in own(r) if d <= eps}
+        label = {r[0]: r[0] for r in rows}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in pairs:
+                if label[b] < label[a]:
+                    label[a], changed = label[b], True
+        links = spatial.links_within(df.withColumn("eps", F.lit(eps))).collect()
+        parent = {r[0]: r[0] for r in rows}
+        changed = True
+        while changed:
+            changed = False
+            for x in links:
+                low = min(parent[x.a], parent[x.b])
+                if parent[x.a] != low or parent[x.b] != low:
+                    parent[x.a] = parent[x.b] = low
+                    changed = True
+        assert parent == label
+
+
+def test_order_statistics(spark):
+    rng = random.Random(5)
+    values = {0: [rng.random() ** 9 * 1e6 for _ in range(500)], 1: [1.0] * 300 + [2.0], 2: [0.0, 5e-324, 1e308], 3: [rng.choice([0.1, 0.1 + 1e-16, 0.1 + 2e-16, 7.0]) for _ in range(99)]}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "grp long, v double")
+    places = [(0, 75), (1, 300), (2, 1), (3, 50), (9, 0)]
+    got = spatial.order_statistic(rows, "v", spark.createDataFrame(places, "grp long, place long")).collect()
+    assert {r.grp: r.value for r in got} == {g: sorted(values[g])[k] for g, k in places if g in values} and len(got) == 4
+
+
+def test_nearest_sites_against_all(spark):
+    rng = random.Random(8)
+    sites = [(rng.choice("ab"), f"s{k}", k, (rng.random() - 0.5) * 179, (rng.random() - 0.5) * 360) for k in range(60)] + [("a", "twin", -1, 3.0, 180.0), ("a", "also", 99, 3.0, -180.0)]
+    sites += [("b", f"d{k}", 100 + k, 50 + rng.random() * 0.01, rng.random() * 0.01) for k in range(150)]
+    points = [(k, rng.choice("abc"), (rng.random() - 0.5) * 180, (rng.random() - 0.5) * 360) for k in range(150)] + [(500, "a", 3.0, 179.99), (501, "b", None, 1.0)]
+    got = spatial.nearest_of(spark.createDataFrame(points, "id long, part string, lat double, lng double"), spark.createDataFrame(sites, "part string, key string, ord long, lat double, lng double")).collect()
+    want = {i: min((km((lng, lat), (y, x)), o, k) for p, k, o, x, y in sites if p == part)[2] for i, part, lat, lng in points if part != "c" and lat is not None}
+    assert {r.id: r.nearest for r in got} == want and want[500] == "twin" and len(got) == len(want)
+
+
 def test_closest_falls_back(spark):
     _, df = table(spark)
     assert [r.filtered for r in spatial.closest(df, 64.0, 15.0, 3, F.col("grp") == 1).collect()] == [True] * 3
