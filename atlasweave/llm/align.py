@@ -34,7 +34,7 @@ from .common import discard, map_arrow, slices, staged
 HOT, LONG = 131_072, 256
 #: White space of any tokenizer, and what is not surely something else; a text is cut between another character and a space.
 _SPACES = r"\s\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯▁　﻿"
-CUT = f"(?<=[^{_SPACES}])(?= )"
+CUT = f"(?= )(?<=[^{_SPACES}])"
 #: Bytes of texts in a partition where texts are dealt by id.
 DEALT = 4 << 20
 
@@ -191,22 +191,21 @@ class Alignment:
         what = [*ZERO, "groups", "bad"]
         hot = F.broadcast(self.segments.filter(frequent).select("segment", *what))
         rare = self.segments.filter(~frequent).select("segment", *what)
-        keyed = self.docs.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
-        listed = lambda rows: rows.select("id", "key", F.posexplode(pieces(F.col("text"), self.cuts)).alias("pos", "segment"))
-        summed = [*[F.sum(c).alias(c) for c in ZERO], F.max("bad").alias("bad"), F.collect_list(F.struct("pos", "groups")).alias("found")]
-        others = listed(keyed.filter("text <> ''")).join(hot, "segment", "left_anti")
-        tails = staged(others.join(rare, "segment").groupBy("id", "key").agg(*summed), "tails")  # a row's copies are in it more than once
+        named = F.coalesce(F.concat(F.lit("id:"), F.col("id").cast("string")), F.lit("null"))
+        keyed = self.docs.withColumn("key", F.md5(F.concat_ws("\n", named, "text")))
+        summed = [*[F.sum(c).alias(c) for c in ZERO], F.max("bad").alias("bad"), F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("pos", "groups"))).alias("found")]
+        words = F.posexplode(pieces(F.col("text"), self.cuts)).alias("pos", "segment")
+        others = keyed.filter("text <> ''").select("key", words).join(hot, "segment", "left_anti")
+        tails = staged(others.join(rare, "segment").groupBy("key").agg(*summed), "tails")  # a row's copies are in it more than once
         bytes_ = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        texts = keyed.repartition(int(bytes_ // DEALT) + 1, "id", "key").groupBy("id", "key").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-        heads = listed(texts.filter("text <> ''")).join(hot, "segment").groupBy("id", "key").agg(*summed)
-        joined = texts.select("id", "key", "copies").alias("t")
-        for name, rows in (("h", heads), ("r", tails)):
-            of = rows.select(F.col("id").alias(f"{name}_id"), F.col("key").alias(f"{name}_key"), *[F.col(c).alias(f"{name}_{c}") for c in (*ZERO, "bad", "found")])
-            joined = joined.join(of, F.col("t.id").eqNullSafe(F.col(f"{name}_id")) & (F.col("t.key") == F.col(f"{name}_key")), "left")
-        number = lambda c: F.coalesce(F.col(f"h_{c}"), F.lit(0)) + F.floor(F.coalesce(F.col(f"r_{c}"), F.lit(0)) / F.col("copies"))
-        bad = F.coalesce(F.col("h_bad"), F.lit(False)) | F.coalesce(F.col("r_bad"), F.lit(False))
+        texts = keyed.repartition(int(bytes_ // DEALT) + 1, "key").groupBy("key").agg(F.first("id").alias("id"), F.count("*").alias("copies"), F.first("text").alias("text"))
+        listed = texts.select("key", "id", "copies", F.posexplode_outer(F.when(F.col("text") != "", pieces(F.col("text"), self.cuts))).alias("pos", "segment"))
+        heads = listed.join(hot, "segment", "left").groupBy("key").agg(F.first("id").alias("id"), F.first("copies").alias("copies"), *summed)  # by the dealt key: no shuffle
+        joined = heads.join(tails.select("key", *[F.col(c).alias(f"r_{c}") for c in (*ZERO, "bad", "found")]), "key", "left")
+        number = lambda c: F.coalesce(F.col(c), F.lit(0)) + F.floor(F.coalesce(F.col(f"r_{c}"), F.lit(0)) / F.col("copies"))
+        bad = F.coalesce(F.col("bad"), F.lit(False)) | F.coalesce(F.col("r_bad"), F.lit(False))
         none = F.array().cast("array<struct<pos:int,groups:string>>")
-        ordered = F.array_sort(F.array_distinct(F.concat(F.coalesce("h_found", none), F.coalesce("r_found", none))))
+        ordered = F.array_sort(F.array_distinct(F.concat(F.coalesce("found", none), F.coalesce("r_found", none))))
         text = F.array_join(F.transform(ordered, lambda x: x["groups"]), ";")
-        shown = joined.select("t.id", "copies", bad.alias("bad"), *[F.when(bad, 0).otherwise(number(c)).cast("long").alias(c) for c in ZERO], F.when(bad | (F.size(ordered) == 0), "").otherwise(F.sha2(text, 256)).alias("groups_sha256"))
+        shown = joined.select("id", "copies", bad.alias("spoilt"), *[F.when(bad, 0).otherwise(number(c)).cast("long").alias(c) for c in ZERO], F.when(bad | (F.size(ordered) == 0), "").otherwise(F.sha2(text, 256)).alias("groups_sha256"))
         return shown.select("id", *ZERO, "groups_sha256", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
