@@ -4,8 +4,10 @@ Each element of a page is hashed twice from its leaves up: by content (tags and
 of like children taken as one), so that a menu, footer or advert whose words change is still the same shape. Spark counts,
 for each host, the distinct main texts beside which a container occurs; containers that recur beside many, and beside a
 share of all of the host, are deleted, first of all from the page's root down: by content wherever they are, by shape only
-outside the element that holds the main text. Then elements go whose tag, role or class says that they are no article, which
-is all that can be told on hosts with few pages; last, where a page has articles or a main element, what is outside them.
+outside the element that holds the main text. The tags and classes of containers outside it are counted alike: where they
+recur, counting has judged them, and what it leaves of them stays. Rules (tags, roles and classes that say that they are no
+article, and lying outside the articles or the main element) are for the rest: hosts with few pages, chrome that is rare at
+its host, and what is inside an article.
 
 Counting main texts instead of pages keeps copies of one page from making its content a template; the share keeps what a
 few articles of a large host quote. Lists, tables and figures inside an article are its text like paragraphs, and never
@@ -235,8 +237,16 @@ def _recurs(node: Node, inside: bool, outside: set[int], templates: set[int] | f
     return not (inside and node.tag in _PASSAGES) and node.content ^ salt in templates or id(node) in outside and node.shape ^ salt in templates
 
 
-def main_text(source: str, root: Node, templates: set[int] | frozenset[int], salt: int = 0) -> str:
-    """Blocks of the main element joined by empty lines, without template subtrees and dropped elements."""
+def _form_hash(node: Node) -> int:
+    return xxhash.xxh64_intdigest(node.form.encode("utf-8", "surrogatepass"), seed=3)
+
+
+def main_text(root: Node, templates: set[int] | frozenset[int], salt: int = 0) -> str:
+    """The page's blocks joined by empty lines, in one walk from its root.
+
+    Template subtrees go first. Of what is left, containers outside the main text whose form recurs at the host stay, as
+    counting has judged them; others go if they lie outside the articles or if their tag, role or class tells.
+    """
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -246,52 +256,32 @@ def main_text(source: str, root: Node, templates: set[int] | frozenset[int], sal
         if text:
             blocks.append(text)
 
-    mains = _mains(root)
+    mains = {id(m) for m in _mains(root)}
     outside = _outside(root, _holders(root)) if templates else set()
-    for start in mains or [root]:
-        waiting: list[Node | str | None] = start.children[::-1]  # None: a block ends
-        while waiting:
-            child = waiting.pop()
-            if child is None:
-                flush()
-                continue
-            if isinstance(child, str):
+    waiting: list[tuple[Node | str | None, bool, bool]] = [(c, False, not mains) for c in reversed(root.children)]  # None: a block ends
+    while waiting:
+        child, inside, kept = waiting.pop()
+        if child is None:
+            flush()
+            continue
+        if isinstance(child, str):
+            if kept:
                 parts.append(child)
-                continue
-            gone = _recurs(child, start is not root, outside, templates, salt) or child.dropped and not child.main
-            if gone or child.tag == "br":
-                parts.append(" ") if child.tag not in _BLOCK else flush()
-                continue
-            if child.tag in _BLOCK:
-                flush()
-                waiting.append(None)
-            waiting += reversed(child.children)
-        flush()
+            continue
+        judged = id(child) in outside and _form_hash(child) ^ salt in templates
+        told = child.dropped and not child.main and (child.tag in _NO_TEXT or not judged)
+        if _recurs(child, inside, outside, templates, salt) or told or child.tag == "br":
+            parts.append(" ") if child.tag not in _BLOCK else flush()
+            continue
+        if child.tag in _BLOCK:
+            flush()
+            waiting.append((None, inside, kept))
+        inside, kept = inside or id(child) in mains, kept or judged or id(child) in mains
+        waiting += [(c, inside, kept) for c in reversed(child.children)]
+    flush()
     return "\n\n".join(blocks)
 
 
-def removals(root: Node, templates: set[int] | frozenset[int], salt: int = 0) -> dict[str, int]:
-    """Characters of a page's text that templates delete, then rules of tags and classes, then for being outside the main
-    element, and those kept."""
-    out = {"template": 0, "rule": 0, "outside": 0, "kept": 0}
-    mains, outside = {id(m) for m in _mains(root)}, _outside(root, _holders(root))
-    waiting: list[tuple[Node, bool]] = [(root, not mains)]
-    while waiting:
-        node, inside = waiting.pop()
-        for child in node.children:
-            if isinstance(child, str):
-                out["kept" if inside else "outside"] += sum(map(len, child.split()))
-            elif child.tag in _NO_TEXT:
-                continue
-            elif _recurs(child, bool(mains) and inside, outside, templates, salt):
-                out["template"] += child.size
-            elif child.dropped and not child.main:
-                out["rule"] += child.size
-            else:
-                waiting.append((child, inside or id(child) in mains))
-    return out
-
-
 def host_of(url: str | None) -> str:
     """The host of a URL in lower case without port and user; empty if there is none."""
     m = re.match(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
@@ -314,10 +304,10 @@ def _subtrees(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
             for url, source in zip(batch.column(batch.schema.get_field_index(url_col)).to_pylist(), batch.column(batch.schema.get_field_index(html_col)).to_pylist(), strict=True):
                 source = source or ""
                 root, salt = parse(source), _host_hash(url)
-                main = xxhash.xxh64_intdigest(main_text(source, root, frozenset()))
+                main = xxhash.xxh64_intdigest(main_text(root, frozenset()))
                 page = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass"), seed=salt)
                 outside = _outside(root, _holders(root))
-                found = {node.content ^ salt for node in _walk(root) if node.tag in _COUNTED and not node.main} | {node.shape ^ salt for node in _walk(root) if id(node) in outside}
+                found = {node.content ^ salt for node in _walk(root) if node.tag in _COUNTED and not node.main} | {x ^ salt for node in _walk(root) if id(node) in outside for x in (node.shape, _form_hash(node))}
                 rows += [(page, salt, x, main) for x in found | {salt}]
             table = np.array(rows, np.uint64).reshape(-1, 4).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(4)], ["page", "host", "subtree", "main"])
@@ -355,7 +345,7 @@ def main_texts(df: DataFrame, url_col: str = "url", html_col: str = "html", out_
             texts = []
             for url, source, mine in zip(get(url_col), get(html_col), own, strict=True):
                 templates = held.value if held is not None else frozenset(x & (1 << 64) - 1 for x in mine or ())
-                texts.append(main_text(source or "", parse(source or ""), templates, _host_hash(url)))
+                texts.append(main_text(parse(source or ""), templates, _host_hash(url)))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in names], pa.array(texts, pa.string())], [*names, out_col])
 
     schema = T.StructType([*kept, T.StructField(out_col, T.StringType())])
