@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..stages import delete, listed
+
+_VERSION = re.compile(r"\d{8,}-[0-9a-f]{8}")
+_MANIFEST = "_manifest"
+
 
 def point(lng: Column, lat: Column) -> Column:
     return F.struct(F.lit("Point").alias("type"), F.array(lng, lat).alias("coordinates"))
@@ -36,16 +44,48 @@ def geometry_of(text: Column) -> Column:
 
 
 def snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str, version: str) -> DataFrame:
-    """Write each table under path and a manifest of their names and row counts beside them; the manifest is returned."""
+    """Write the tables to a folder of their own under path, and last their manifest (version, name, rows), which is returned.
+
+    A snapshot is current once its manifest is whole, so a failure on the way leaves the one before as it was, and readers
+    of that one keep their files. Nothing is renamed, which object stores can't do in one step.
+    """
+    numbers = [int(name.split("-")[0]) for name, is_folder, *_ in listed(spark, path) if is_folder and _VERSION.fullmatch(name)]
+    folder = f"{path}/{max(numbers, default=0) + 1:08d}-{uuid.uuid4().hex[:8]}"
     rows = []
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        rows.append((version, name, spark.read.parquet(f"{path}/{name}").count()))
+        df.write.parquet(f"{folder}/{name}")
+        rows.append((version, name, spark.read.parquet(f"{folder}/{name}").count()))
     manifest = spark.createDataFrame(rows, "version string, name string, rows long").coalesce(1)
-    manifest.write.mode("overwrite").json(f"{path}/manifest")
+    manifest.write.json(f"{folder}/{_MANIFEST}")
     return manifest
 
 
+def snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Folders of whole snapshots under path, the latest last."""
+    folders = [f"{path}/{name}" for name, is_folder, *_ in listed(spark, path) if is_folder and _VERSION.fullmatch(name)]
+    return [f for f in folders if any(name == "_SUCCESS" for name, *_ in listed(spark, f"{f}/{_MANIFEST}"))]
+
+
+def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the current snapshot by name; without one an error."""
+    whole = snapshots(spark, path)
+    if not whole:
+        raise FileNotFoundError(f"no whole snapshot under {path}")
+    names = spark.read.schema("version string, name string, rows long").json(f"{whole[-1]}/{_MANIFEST}").select("name")
+    return {r.name: spark.read.parquet(f"{whole[-1]}/{r.name}") for r in names.collect()}  # a row for each table
+
+
+def prune_snapshots(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete all but the latest whole snapshots, and what failed before the first of those; the folders deleted are returned."""
+    whole = snapshots(spark, path)
+    kept = whole[-max(keep, 1) :]
+    folders = [f"{path}/{name}" for name, is_folder, *_ in listed(spark, path) if is_folder and _VERSION.fullmatch(name)]
+    gone = [f for f in folders if kept and f < kept[0]]
+    for folder in gone:
+        delete(spark, folder)
+    return gone
+
+
 def with_columns_of(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df with columns that the schema has and df lacks, as nulls of their types, in the schema's order."""
     have = {c.lower() for c in df.columns}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, enrich, er, output, polygons, served, spatial
 from ..sources import files
-from ..stages import staged
+from ..stages import discard, listed, staged
 
 Tables = dict[str, DataFrame]
 Stage = Callable[[Any], Any]
@@ -20,13 +21,68 @@ Stage = Callable[[Any], Any]
 WORLD = (-180.0, -85.0, 180.0, 85.0)
 
 
+def table_fingerprint(df: DataFrame) -> str:
+    """A digest of a table's columns and of its rows in any order, repeated ones counted: one pass, summed in the tasks first."""
+    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    sums = [F.sum(F.xxhash64(F.lit(seed), rows).cast("decimal(38,0)")) for seed in (1, 2)]
+    return hashlib.sha256(repr((df.schema.simpleString(), tuple(df.agg(F.count(F.lit(1)), *sums).first()))).encode()).hexdigest()
+
+
+def folder_fingerprint(spark: SparkSession, folder: str) -> str:
+    """A digest of names, lengths and times of change of a folder's files; the files themselves are not read."""
+    found, waiting = [], [folder.rstrip("/")]
+    while waiting:
+        at = waiting.pop()
+        for name, is_folder, length, changed in listed(spark, at):
+            if is_folder:
+                waiting.append(f"{at}/{name}")
+            else:
+                found.append((f"{at}/{name}", length, changed))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
+@dataclass
+class Store:
+    """Outputs of stages, kept under a digest of all that they depend on: the inputs, and the stages with their parameters
+    up to them. The inputs' digest comes from table_fingerprint and folder_fingerprint.
+
+    An output counts once it is whole. Tables that a stage hands on unchanged are not written again.
+    """
+
+    spark: SparkSession
+    folder: str
+    inputs: str
+
+    def key(self, before: str, stage: str, parameters: Any) -> str:
+        return hashlib.sha256(repr((before, stage, parameters)).encode()).hexdigest()[:32]
+
+    def get(self, key: str) -> Tables | None:
+        path = f"{self.folder}/{key}"
+        return output.read_snapshot(self.spark, path) if output.snapshots(self.spark, path) else None
+
+    def put(self, key: str, tables: Tables) -> Tables:
+        output.snapshot(self.spark, tables, f"{self.folder}/{key}", key)
+        for df in tables.values():
+            if hasattr(df, "stage_path"):
+                discard(df)
+        return output.read_snapshot(self.spark, f"{self.folder}/{key}")
+
+
 @dataclass
 class Pipeline:
-    """Named stages; serving is left out unless it is asked for."""
+    """Named stages; serving is left out unless it is asked for.
+
+    With a store, a stage whose output is kept is read and not run, unless it acts on something outside (always). Outputs
+    are told apart by the pipeline's name, the inputs' digest, and the names and parameters of the stages up to theirs, in
+    the order run; code is not looked at, so a stage that computes something else now needs another parameter.
+    """
 
     stages: dict[str, Stage]
     asked_only: frozenset[str] = frozenset({"serve"})
     log: list[tuple[str, str, float, str]] = field(default_factory=list)
+    always: frozenset[str] = frozenset({"snapshot", "serve"})
+    parameters: dict[str, Any] = field(default_factory=dict)
+    name: str = ""
 
     def choose(self, only: str | None = None, stages: list[str] | None = None, start: str | None = None, skip: list[str] | None = None) -> list[str]:
         """The stages to run, in order; an unknown name is an error."""
@@ -40,21 +96,37 @@ class Pipeline:
         names = names[names.index(start) if start else 0 :]
         return [n for n in names if n not in (skip or ()) and n not in self.asked_only]
 
-    def run(self, df: Any, chosen: list[str], dry: bool = False) -> Any:
+    def run(self, df: Any, chosen: list[str], dry: bool = False, store: Store | None = None) -> Any:
         """Run the chosen stages on a table or on tables by name; the first failure ends the run, and the error tells where to resume."""
+        key = store.key(store.inputs, "", self.name) if store else ""
         for name in chosen:
             began = time.monotonic()
             if dry:
                 self.log.append((name, "listed", 0.0, ""))
                 continue
+            status = "done"
             try:
-                df = self.stages[name](df)
+                if store is None or name in self.always:
+                    df = self.stages[name](df)
+                else:
+                    key = store.key(key, name, self.parameters.get(name))
+                    df, status = self._kept(df, name, key, store)
             except Exception as error:
                 self.log.append((name, "failed", time.monotonic() - began, str(error)[:200]))
                 raise RuntimeError(f"stage {name} failed; resume with start={name!r}") from error
-            self.log.append((name, "done", time.monotonic() - began, ""))
+            self.log.append((name, status, time.monotonic() - began, ""))
         return df
 
+    def _kept(self, df: Any, name: str, key: str, store: Store) -> tuple[Any, str]:
+        """The stage's output from the store, made and put there if it is missing."""
+        several, found = isinstance(df, dict), store.get(key)
+        status = "done" if found is None else "kept"
+        if found is None:
+            made = self.stages[name](df)
+            changed = {k: v for k, v in made.items() if v is not df.get(k)} if several else {"table": made}
+            found = store.put(key, changed)
+        return (df | found if several else found["table"]), status
+
     def report(self, spark: SparkSession) -> DataFrame:
         """The log with durations as read by people."""
         rows = spark.createDataFrame(self.log, "stage string, status string, seconds double, error string")
@@ -79,7 +151,7 @@ class Lookups:
 
 def directory_pipeline() -> Pipeline:
     """Clean records, merge by name, merge by place: records in, resolved records out."""
-    return Pipeline({"clean": cleaning.clean_record, "by_name": er.by_name, "by_place": er.by_place}, frozenset())
+    return Pipeline({"clean": cleaning.clean_record, "by_name": er.by_name, "by_place": er.by_place}, frozenset(), name="records")
 
 
 def directory_build(spark: SparkSession, folder: str, lookups: Lookups, out: str, version: str = "1", box: tuple[float, float, float, float] = WORLD) -> Pipeline:
@@ -124,9 +196,10 @@ def directory_build(spark: SparkSession, folder: str, lookups: Lookups, out: str
         return t | {"manifest": output.snapshot(spark, {k: t[k] for k in ("records", "clusters", "polygons", "members")}, out, version)}
 
     def serve(t: Tables) -> Tables:
-        records, shapes = (spark.read.parquet(f"{out}/{k}") for k in ("records", "polygons"))
+        current = output.read_snapshot(spark, out)
+        records, shapes = current["records"], current["polygons"]
         plain = records.drop("seat_list", "patriarchate", "region", "bishop")
         found = {"points": served.map_points(plain, lookups.registry, lookups.hierarchy, lookups.seats), "groups": served.map_groups(shapes, records, lookups.registry, lookups.hierarchy), "cells": served.map_cells(shapes)}
         return t | found
 
-    return Pipeline({"scrape": scrape, "dedup": dedup, "enrich": enriched, "geocode": geocode, "import": import_, "compute": compute, "snapshot": snapshot, "serve": serve})
+    return Pipeline({"scrape": scrape, "dedup": dedup, "enrich": enriched, "geocode": geocode, "import": import_, "compute": compute, "snapshot": snapshot, "serve": serve}, parameters={"scrape": folder, "compute": box}, name="directory")

@@ -31,8 +31,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return found
 
 
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, bool, int, int]]:
+    """(name, whether a folder, length, time of change) of what lies in a folder, by name; nothing if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    return sorted((f.getPath().getName(), f.isDirectory(), f.getLen(), f.getModificationTime()) for f in system.listStatus(path))
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the folders of staged tables that nothing will read again."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stage_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stage_path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlasweave.operators import cleaning, output
-from atlasweave.plans.pipeline import Lookups, Pipeline, directory_build, directory_pipeline, duration
+from atlasweave.plans.pipeline import Lookups, Pipeline, Store, directory_build, directory_pipeline, duration, folder_fingerprint, table_fingerprint
 from atlasweave.sources import files
 from atlasweave.streaming import visits
 
@@ -133,6 +133,70 @@ def test_whole_build(spark, tmp_path):
     assert tables["cells"].count() == tables["polygons"].filter("tier = 2").count() > 0
 
 
+def test_failed_snapshots_leave_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "s")
+    with pytest.raises(FileNotFoundError):
+        output.read_snapshot(spark, path)
+    output.snapshot(spark, {"a": spark.range(3), "b": spark.range(1)}, path, "1")
+    before = output.read_snapshot(spark, path)
+    broken = spark.range(4).select(F.raise_error(F.lit("third table")).alias("id"))
+    with pytest.raises(Exception, match="third table"):
+        output.snapshot(spark, {"a": spark.range(9), "b": spark.range(9), "c": broken}, path, "2")
+    assert {k: v.count() for k, v in output.read_snapshot(spark, path).items()} == {"a": 3, "b": 1}
+    assert output.snapshot(spark, {"a": spark.range(5)}, path, "3").first().rows == 5
+    assert {k: v.count() for k, v in output.read_snapshot(spark, path).items()} == {"a": 5}
+    assert before["a"].count() == 3  # whoever reads the old one still can
+    assert len(output.snapshots(spark, path)) == 2
+    assert len(output.prune_snapshots(spark, path, 1)) == 2 and len(output.snapshots(spark, path)) == 1
+
+
+def test_stages_that_are_kept_are_read_again(spark, tmp_path):
+    ran, fails = [], [True]
+
+    def a(t):
+        ran.append("a")
+        return t | {"x": t["in"].withColumn("a", F.col("id") + 1)}
+
+    def b(t):
+        ran.append("b")
+        if fails[0]:
+            raise ValueError("no")
+        return t | {"y": t["x"].withColumn("b", F.col("a") * 2)}
+
+    def p(factor=1):
+        return Pipeline({"a": a, "b": b}, parameters={"b": factor})
+
+    rows = spark.range(3)
+    store = Store(spark, str(tmp_path / "kept"), table_fingerprint(rows))
+    with pytest.raises(RuntimeError, match="stage b failed"):
+        p().run({"in": rows}, ["a", "b"], store=store)
+    fails[0] = False
+    second = p()
+    out = second.run({"in": rows}, ["a", "b"], store=store)
+    assert ran == ["a", "b", "b"] and [x[1] for x in second.log] == ["kept", "done"]
+    assert sorted(r.b for r in out["y"].collect()) == [2, 4, 6] and set(out) == {"in", "x", "y"}
+    p().run({"in": rows}, ["a", "b"], store=store)
+    assert ran == ["a", "b", "b"]
+    p(2).run({"in": rows}, ["a", "b"], store=store)  # another parameter: its stage only
+    assert ran == ["a", "b", "b", "b"]
+    other = spark.range(4)
+    p().run({"in": other}, ["a", "b"], store=Store(spark, store.folder, table_fingerprint(other)))
+    assert ran == ["a", "b", "b", "b", "a", "b"]
+    one = Pipeline({"a": lambda d: d.withColumn("a", F.lit(1))}, name="one")
+    assert [one.run(rows, ["a"], store=store).columns for _ in range(2)] == [["id", "a"]] * 2 and [x[1] for x in one.log] == ["done", "kept"]
+
+
+def test_fingerprints(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", [1.5]), (2, None, None), (1, "a", [1.5])], "id long, `a.b` string, v array<double>")
+    same = table_fingerprint(rows.orderBy(F.desc("id")).repartition(3))
+    assert table_fingerprint(rows) == same != table_fingerprint(rows.distinct())
+    assert table_fingerprint(rows.limit(0)) != table_fingerprint(rows.limit(0).drop("v"))
+    (tmp_path / "d").mkdir()
+    first = folder_fingerprint(spark, str(tmp_path))
+    (tmp_path / "d" / "x").write_text("1")
+    assert first != folder_fingerprint(spark, str(tmp_path)) == folder_fingerprint(spark, f"{tmp_path}/")
+
+
 def test_geometry_text(spark):
     ring = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0))])
     row = spark.range(1).select(output.geometry_of(output.feature(output.polygon(ring), id=F.col("id"))).alias("g"), output.geometry_of(F.to_json(output.point(F.lit(1.0), F.lit(2.0)))).alias("p")).first()
