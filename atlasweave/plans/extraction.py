@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.clergy import clergy
 from ..functions.values import EUROPEAN_JURISDICTIONS, JURISDICTION_ALIASES, OTHER_EUROPEAN, SOURCE_JURISDICTIONS
 from ..operators import cleaning
-from ..sources import files, html
+from ..sources import files, html, tree
 from .carriers import table, view
 
 
@@ -35,6 +35,11 @@ def block_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.blocks(_sql(spark, sf_dir, _BLOCKS)).withColumn("pos", F.col("pos").cast("long"))
 
 
+def menu_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All list items of all pages with their place, the item around them and their text, by a scan of the elements."""
+    return tree.elements(table(spark, sf_dir, "pages"), "li").select("page_id", "pos", "up", "text")
+
+
 _DETAILS = """SELECT 'https://x.example/' || s_suppkey AS url, CASE CAST(s_suppkey % 3 AS INT)
     WHEN 0 THEN '<h2>Address</h2><p>' || s_suppkey || ' Main St<br>Town, OH<br/>USA</p><p>Phone: (312) 555-0147</p><script>new_latitude = ''41.5''; new_longitude = ''-87''</script>'
     WHEN 1 THEN 'Mailing address: Box ' || s_suppkey || ' US Parish Contacts <div class="contact"><b class="name">Fr. ' || s_name || '</b></div><script>parishLocation = { lat: 42, lng: -71.25 }</script>'
@@ -131,7 +136,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.run_summary(log)
 
 
-QUERIES = {f.__name__: f for f in (place_links, block_scan, detail_enrichment, line_fields, place_filter, city_state, jurisdiction_norm, url_absolute, clergy_split, record_clean, run_summary)}
+QUERIES = {f.__name__: f for f in (place_links, block_scan, menu_items, detail_enrichment, line_fields, place_filter, city_state, jurisdiction_norm, url_absolute, clergy_split, record_clean, run_summary)}
 
 _CASE = lambda key, table, other: f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {other} END"
 ORACLES = {
@@ -140,6 +145,8 @@ ORACLES = {
         r AS (SELECT page_id, pos, h[pos + 1] AS href, trim(regexp_replace(regexp_replace(t[pos + 1], '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS label FROM e)
         SELECT * FROM r WHERE length(label) >= 4 AND NOT regexp_matches(label, '(?i)^(parishes|search|diocese|state|select|list)|deanery') AND href <> '/parishes'
         AND NOT (contains(href, '/search') OR contains(href, '/diocese/') OR contains(href, '/state/') OR contains(href, '/deanery/'))""",
+    "menu_items": r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS t FROM pages), e AS (SELECT page_id, t, unnest(range(len(t))) AS pos FROM l)
+        SELECT page_id, pos, CAST(-1 AS BIGINT) AS up, trim(regexp_replace(regexp_replace(t[pos + 1], '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text FROM e""",
     "block_scan": """SELECT s_suppkey AS page_id, CAST(0 AS BIGINT) AS pos, CASE s_suppkey % 4 WHEN 0 THEN 'views-row' WHEN 1 THEN 'church-item' ELSE 'card' END AS kind, s_name AS name,
         CASE s_suppkey % 4 WHEN 0 THEN 'Town' WHEN 1 THEN '1 Main St' ELSE 'Kiev' END AS city, CASE s_suppkey % 4 WHEN 0 THEN 'OH' WHEN 1 THEN '' ELSE 'Podil' END AS state,
         CASE s_suppkey % 4 WHEN 0 THEN '555' ELSE '' END AS phone, CASE s_suppkey % 4 WHEN 0 THEN 'https://x.example/' || s_suppkey ELSE '' END AS website, CASE s_suppkey % 4 WHEN 1 THEN '1 Main St' ELSE '' END AS address,

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import city_state, collapse, trimmed
 from ..functions.values import BLOCK_CLASSES, COORDINATES, FOOTERS, NAVIGATION, NAVIGATION_LABELS, NAVIGATION_PARTS, NAVIGATION_TARGET
+from . import tree
 
 _LINK = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 
@@ -36,13 +37,8 @@ def embedded_json(pages: DataFrame, schema: str, html_col: str = "html") -> Data
 
 
 def table_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(page_id, row, field, value) of table cells, named by the header row."""
-    rows = F.regexp_extract_all(html_col, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
-    cells = lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), strip_tags)
-    parsed = pages.select("page_id", F.transform(rows, cells).alias("rows")).filter(F.size("rows") > 1)
-    body = parsed.select("page_id", F.element_at("rows", 1).alias("header"), F.posexplode(F.expr("slice(rows, 2, size(rows) - 1)")).alias("row", "cells"))
-    each = body.select("page_id", "row", F.explode(F.arrays_zip("header", "cells")).alias("c"))
-    return each.select("page_id", "row", F.col("c.header").alias("field"), F.coalesce("c.cells", F.lit("")).alias("value")).filter("field is not null")
+    """(page_id, table, row, field, value) of table cells, named by the header row of their table."""
+    return tree.tables(pages, html_col)
 
 
 def carry_forward(rows: DataFrame, part: str, pos: str, value: Column, out_col: str) -> DataFrame:
@@ -85,21 +81,21 @@ def place_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links(pages, html_col).filter(~navigation)
 
 
+#: Fields of a block by tags and classes; a name is the first of the first four that is there.
+_FIELDS = {
+    "heading": ("h2", "h3", "h4", "h5"), "title": (".title", ".name", ".parish-name"), "link": ("a",), "cell": ("td",),
+    "place": (".location", ".city-state", ".address"), "phone": (".phone",), "address": (".address", ".street"),
+}
+
+
 def blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Places in repeated blocks: rows of the first class of blocks that a page has, with their fields, '' where missing."""
-
-    def of(name: str) -> Column:
-        return F.regexp_extract_all(html_col, F.lit(rf'(?is)(<(div|li|tr|section|article)\b[^>]*class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>.*?</\2>)'), 1)
-
-    tried = F.array(*[F.struct(F.lit(name).alias("kind"), of(name).alias("found")) for name in BLOCK_CLASSES])
-    chosen = F.try_element_at(F.filter(tried, lambda x: F.size(x["found"]) > 0), F.lit(1))
-    rows = pages.withColumn("__b", chosen).select("page_id", F.col("__b.kind").alias("kind"), F.posexplode("__b.found").alias("pos", "block"))
-    inner = lambda name: strip_tags(F.regexp_extract("block", rf'(?is)class="(?:[^"]*\s)?(?:{name})(?:\s[^"]*)?"[^>]*>(.*?)</', 1))
-    name = F.coalesce(*[F.nullif(strip_tags(F.regexp_extract("block", p, 1)), F.lit("")) for p in (r"(?is)<h[2-5][^>]*>(.*?)</h[2-5]>", r'(?is)class="(?:title|name|parish-name)"[^>]*>(.*?)</', r"(?is)<a\b[^>]*>(.*?)</a>", r"(?is)<td[^>]*>(.*?)</td>")], F.lit(""))
-    place = city_state(inner("location|city-state|address"))
-    href = F.regexp_extract("block", r'(?i)href="(http[^"]*)"', 1)
-    at = lambda c: F.regexp_extract("block", rf'data-{c}="([^"]*)"', 1)
-    made = rows.select("page_id", "pos", "kind", name.alias("name"), place.alias("place"), inner("phone").alias("phone"), href.alias("website"), inner("address|street").alias("address"), at("lat").alias("lat"), at("lng").alias("lng"))
+    of = lambda name: F.coalesce(F.col("fields")[name], F.lit(""))
+    name = F.coalesce(*[F.nullif(of(x), F.lit("")) for x in ("heading", "title", "link", "cell")], F.lit(""))
+    made = tree.blocks(pages, BLOCK_CLASSES, _FIELDS, html_col).select(
+        "page_id", "pos", "kind", name.alias("name"), city_state(of("place")).alias("place"), of("phone").alias("phone"), F.col("href").alias("website"),
+        of("address").alias("address"), of("@lat").alias("lat"), of("@lng").alias("lng"),
+    )
     return made.filter(is_place_name(F.col("name"))).select("page_id", "pos", "kind", "name", "place.city", "place.state", "phone", "website", "address", "lat", "lng")
 
 
