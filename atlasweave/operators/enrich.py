@@ -15,30 +15,59 @@ def parent_of(df: DataFrame, hierarchy: DataFrame, child_col: str, out_col: str
     return df.join(first, df[child_col] == F.col("__child"), "left").drop("__child").withColumn(out_col, F.coalesce(out_col, F.lit("Unknown")))
 
 
-def _grams(c: Column) -> Column:
-    """The parts of one to three letters of a string, and the empty one: it contains a string only if it has that one's head among them."""
-    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
-    return F.array_distinct(F.concat(F.array(F.lit("")), at(1), at(2), at(3)))
+#: Lengths of the parts by which strings are looked up in others.
+_LENGTHS = (1, 2, 3, 6, 12, 24)
+
+
+def _parts(c: Column, lengths: Column) -> Column:
+    """Digests of all parts of a string that have one of the lengths."""
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.xxhash64(F.substring(c, i, k)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda k: k <= F.length(c)), at)))
+
+
+def containment_candidates(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """(needle, hay) of those that share the needle's rarest part of about half its length; all pairs contained are among them.
+
+    Both are tables of distinct, non-empty strings in a column of that name. How often a part occurs is counted over all
+    hays, so words that most strings have, such as a common beginning, bring no two together.
+    """
+    every = F.array(*[F.lit(k) for k in _LENGTHS])
+    longest = F.array(F.array_max(F.filter(every, lambda k: k <= F.length("needle"))))
+    held = hays.select("hay", F.explode(_parts(F.col("hay"), every)).alias("part"))
+    counts = held.groupBy("part").agg(F.count("*").alias("times"))
+    asked = needles.select("needle", F.explode(_parts(F.col("needle"), longest)).alias("part")).join(counts, "part", "left")
+    rarest = asked.groupBy("needle").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "part")).alias("rarest"))
+    return rarest.filter("rarest.times > 0").select("needle", F.col("rarest.part").alias("part")).join(held, "part").select("needle", "hay")
+
+
+def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """(needle, hay) of distinct, non-empty strings of which one contains the other."""
+    return containment_candidates(needles, hays).filter(F.expr("contains(hay, needle)"))
 
 
 def fuzzy_names(names: DataFrame, registry: DataFrame, name_col: str = "name", fix: bool = False) -> DataFrame:
     """(name, match): the registry entry that equals a name, or whose letters contain or are contained in the name's.
 
-    Entries are tried in the registry's order; an exact name comes first. With fix, names without ASCII letters or digits
-    match nothing, where they otherwise match the first entry. Matching is done once for each distinct name, by joins on
-    the first three letters of what is to be contained, so no name meets all entries.
+    Entries are tried in the registry's order; an exact name comes first; a null name matches nothing. With fix, names without ASCII letters or digits
+    match nothing, where they otherwise match the first entry. Matching is done once for each distinct row of letters, of
+    names as of entries.
     """
     distinct = names.select(F.col(name_col).alias("name")).distinct().withColumn("n", norm(F.col("name")))
-    entries = registry.select(F.col("entry"), F.col("ord").alias("entry_ord"), norm(F.col("entry")).alias("k"))
-    asked = distinct.filter(F.length("n") > 0) if fix else distinct
-    head = lambda c: F.substring(c, 1, 3)
-    keep = ("name", "entry", "entry_ord")
-    inside = asked.withColumn("gram", F.explode(_grams(F.col("n")))).join(entries.withColumn("gram", head("k")), "gram").filter(F.expr("contains(n, k)")).select(*keep)
-    around = asked.withColumn("gram", head("n")).join(entries.withColumn("gram", F.explode(_grams(F.col("k")))), "gram").filter(F.expr("contains(k, n)")).select(*keep)
-    exact = distinct.join(entries, distinct["name"] == entries["entry"]).select(*keep)
-    hits = inside.unionByName(around).unionByName(exact)
-    best = hits.groupBy("name").agg(F.min_by("entry", F.struct((F.col("entry") != F.col("name")).cast("int"), F.col("entry_ord"))).alias("match"))
-    return distinct.select("name").join(best, "name", "left")
+    ranked = registry.filter("entry IS NOT NULL").select(norm(F.col("entry")).alias("k"), F.struct("ord", "entry").alias("at"))
+    entries = ranked.groupBy("k").agg(F.min("at").alias("at"))
+    letters, keys = distinct.filter("n <> ''").select("n").distinct(), entries.filter("k <> ''").select("k")
+    pairs = contained(keys.withColumnRenamed("k", "needle"), letters.withColumnRenamed("n", "hay")).select(F.col("hay").alias("n"), F.col("needle").alias("k"))
+    pairs = pairs.unionByName(contained(letters.withColumnRenamed("n", "needle"), keys.withColumnRenamed("k", "hay")).select(F.col("needle").alias("n"), F.col("hay").alias("k")))
+    met = pairs.join(entries, "k").groupBy("n").agg(F.min("at").alias("met"))
+    # Entries without letters are in every name; names without letters are in every entry. Of either, one row at most.
+    blank_entry = entries.filter("k = ''").select(F.lit(1).alias("one"), F.col("at").alias("empty"))
+    first_entry = entries.agg(F.min("at").alias("first")).select(F.lit("").alias("n"), "first")
+    exact = registry.filter("entry IS NOT NULL").groupBy(F.col("entry").alias("name")).count().select("name", F.col("name").alias("same"))
+    out = distinct.withColumn("one", F.when(F.col("n") != "", 1)).join(met, "n", "left").join(F.broadcast(blank_entry), "one", "left").join(exact, "name", "left")
+    if not fix:
+        out = out.join(F.broadcast(first_entry), "n", "left")
+    first = F.when(F.col("name").isNotNull(), F.col("first.entry")) if not fix else F.lit(None).cast("string")
+    return out.select("name", F.coalesce("same", F.least("met", "empty")["entry"], first).alias("match"))
 
 
 def canonical_group(df: DataFrame, registry: DataFrame, group_col: str, parent_col: str, out_col: str = "canonical") -> DataFrame:
