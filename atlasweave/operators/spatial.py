@@ -177,22 +177,24 @@ def nearest_of(points: DataFrame, sites: DataFrame) -> DataFrame:
     """(id, nearest, km): each point with the key of the nearest site (part, key, ord, lat, lng) of its part, the first by ord of equals.
 
     Sites come to cells of growing size, from one at which the part's densest cell holds few of them, so no point meets all
-    sites of its part. Points of parts without sites give no row.
+    sites of its part. Points that lie at one place ask once. Points of parts without sites give no row.
     """
     sites = staged(sites.select(F.col("part").alias("grp"), F.struct("ord", "key").alias("id"), "lat", "lng").filter("lat is not null and lng is not null"), "sites")
     start = _first_radius(sites)
-    rest = staged(points.select("id", F.col("part").alias("grp"), "lat", "lng").join(start, "grp").filter("lat is not null and lng is not null"), "nearest")
+    points = points.select("id", F.col("part").alias("grp"), "lat", "lng").filter("lat is not null and lng is not null")
+    places = points.groupBy("grp", "lat", "lng").count().select("grp", F.struct("lat", "lng").alias("id"), "lat", "lng")
+    rest = staged(places.join(start, "grp"), "nearest")
     done, factor = None, 4.0
     while True:
         asking = rest.select("grp", "id", "lat", "lng", F.least(F.col("km") * factor, F.lit(20_100.0)).alias("eps"))
         pairs = near_pairs(asking, sites.join(asking.select("grp", "eps").distinct(), "grp"), others=False)
         best = F.min(F.struct("km", "b")).alias("best")
         step = staged(rest.join(pairs.groupBy("grp", F.col("a").alias("id")).agg(best), ["grp", "id"], "left"), "nearest")
-        hit = step.filter("best is not null").select("id", F.col("best.b.key").alias("nearest"), F.round("best.km", 6).alias("km"))
+        hit = step.filter("best is not null").select("grp", "lat", "lng", F.col("best.b.key").alias("nearest"), F.round("best.km", 6).alias("km"))
         done = hit if done is None else done.unionByName(hit)
         rest = step.filter("best is null").drop("best")
         if rest.isEmpty():
-            return done
+            return points.join(done, ["grp", "lat", "lng"]).select("id", "nearest", "km")
         factor *= 4
 
 

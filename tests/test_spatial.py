@@ -182,3 +182,14 @@ def test_dense_places(spark):
         assert abs(got[k] - min(km(at[k], at[j]) for j in at if j != k)) < 1e-9
     labels = {r.id: r.cluster for r in spatial.clusters(df).collect()}
     assert {labels[k] for k in range(400)} == {0} and labels[900] is None and labels[901] is None
+
+
+def test_points_at_one_place_ask_once(spark, monkeypatch):
+    asked, near_pairs = [], spatial.near_pairs
+    monkeypatch.setattr(spatial, "near_pairs", lambda asking, *more, **named: asked.append(asking.count()) or near_pairs(asking, *more, **named))
+    points = spark.range(300).select("id", F.lit("p").alias("part"), (F.col("id") % 3).cast("double").alias("lat"), F.lit(5.0).alias("lng"))
+    points = points.unionByName(spark.createDataFrame([(900, "p", None, 1.0), (901, "q", 0.0, 0.0)], "id long, part string, lat double, lng double"))
+    sites = spark.createDataFrame([("p", "a", 2, 0.1, 5.0), ("p", "b", 1, 1.9, 5.0)], "part string, key string, ord long, lat double, lng double")
+    got = {r.id: r.nearest for r in spatial.nearest_of(points, sites).collect()}
+    assert got == {k: "ab"[(k % 3) > 0] if k % 3 != 1 else "b" for k in range(300)}  # the middle is as far from both: the first by ord
+    assert max(asked) <= 3
