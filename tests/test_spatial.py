@@ -193,3 +193,19 @@ def test_points_at_one_place_ask_once(spark, monkeypatch):
     got = {r.id: r.nearest for r in spatial.nearest_of(points, sites).collect()}
     assert got == {k: "ab"[(k % 3) > 0] if k % 3 != 1 else "b" for k in range(300)}  # the middle is as far from both: the first by ord
     assert max(asked) <= 3
+
+
+def test_outlines_call_python_once_for_many_cells(spark):
+    points = spark.range(3000).select("id", (F.col("id") % 2).alias("grp"), F.rand(1).alias("lat"), F.rand(2).alias("lng"))
+    made = polygons.outlines(points)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    rows = spark.range(3000).select((F.col("id") % 2).alias("grp"), (F.col("id") % 5).alias("i"), F.rand(1).alias("lat"), F.rand(2).alias("lng"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a run goes on over many batches
+    try:
+        got = sorted(map(tuple, polygons._corners(rows, "i").select("grp", "i", "lng", "lat").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cells = {}
+    for r in rows.collect():
+        cells.setdefault((r.grp, r.i), []).append((r.lng, r.lat))
+    assert got == sorted((*k, *map(float, p)) for k, v in cells.items() for p in polygons.convex_hull(np.array(v)))
