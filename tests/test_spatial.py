@@ -209,3 +209,11 @@ def test_outlines_call_python_once_for_many_cells(spark):
     for r in rows.collect():
         cells.setdefault((r.grp, r.i), []).append((r.lng, r.lat))
     assert got == sorted((*k, *map(float, p)) for k, v in cells.items() for p in polygons.convex_hull(np.array(v)))
+
+
+def test_first_side_of_crowded_sites(spark):
+    sites = spark.range(400).select("id", F.when(F.col("id") < 300, F.rand(3) / 50).otherwise(F.rand(3) * 9).alias("lng"), F.when(F.col("id") < 300, F.rand(4) / 50).otherwise(F.rand(4) * 9).alias("lat"))
+    side = polygons._first_side(sites)
+    assert sites.groupBy(F.floor(F.col("lng") / side), F.floor(F.col("lat") / side)).count().agg(F.max("count")).first()[0] <= polygons.CROWD
+    cells = {r.id: r.ring for r in polygons.voronoi(sites, (0.0, 0.0, 9.0, 9.0)).collect()}
+    assert len(cells) == 400 and abs(sum(polygons.area([r])[0] for r in cells.values()) - 81) < 1e-6
