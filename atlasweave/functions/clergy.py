@@ -25,7 +25,7 @@ _STRAY = r"[;,\s]"
 def matter(s: Column) -> Column:
     """A cleaned list without what names nobody, jammed words parted."""
     bare = F.regexp_replace(s, rf"^{_STRAY}+|{_STRAY}+$", "")
-    kept = F.array_join(F.filter(F.split(bare, "|".join(f"(?:{x})" for x in CLERGY_NOISE)), lambda x: x != ""), "")
+    kept = F.regexp_replace(bare, "|".join(f"(?:{x})" for x in CLERGY_NOISE), "")  # its pattern is compiled once, that of a split for each row
     return F.regexp_replace(kept, _JAMMED, " ")
 
 
@@ -51,9 +51,9 @@ def _named(segments: Column) -> Column:
 
 def listed(s: Column) -> Column:
     """The persons of matter(), joined by '; ', no stray marks before a joint, at the ends, or more than one blank."""
-    people = F.filter(F.flatten(F.transform(F.split(s, r";\s*"), persons)), lambda x: x != "")
-    count = F.size(people)
-    tidy = F.transform(people, lambda x, i: F.regexp_replace(F.when(i < count - 1, F.regexp_replace(x, r"[.,]\s*$", "")).otherwise(x), r"\s{2,}", " "))
+    people = F.filter(F.flatten(F.transform(F.split(F.regexp_replace(s, r";\s*", ";"), ";"), persons)), lambda x: x != "")
+    tidied = lambda p: F.transform(p, lambda x, i: F.regexp_replace(F.when(i < F.size(p) - 1, F.regexp_replace(x, r"[.,]\s*$", "")).otherwise(x), r"\s{2,}", " "))
+    tidy = F.flatten(F.transform(F.array(people), tidied))  # a list of one, so that the persons are found once and not once for each
     return F.regexp_replace(F.array_join(tidy, "; "), rf"^{_STRAY}+|{_STRAY}+$", "")
 
 

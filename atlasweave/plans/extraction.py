@@ -10,6 +10,7 @@ from ..functions.clergy import clergy
 from ..functions.values import EUROPEAN_JURISDICTIONS, JURISDICTION_ALIASES, OTHER_EUROPEAN, SOURCE_JURISDICTIONS
 from ..operators import cleaning
 from ..sources import files, html, tree
+from ..stages import spread
 from .carriers import table, view
 
 
@@ -117,7 +118,7 @@ CLERGY = (
 def clergy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = F.array(*[F.lit(raw) for raw, _ in CLERGY])
     raw = F.element_at(cases, (F.col("c_custkey") % len(CLERGY)).cast("int") + 1)
-    return table(spark, sf_dir, "customer").select("c_custkey", clergy(raw).alias("clergy"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", clergy(raw).alias("clergy"))
 
 
 _RECORDS = """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '"St.  ' || c_name || ' (www)"' END AS name, 'Parish ' || c_custkey AS parish, 'goa' AS jurisdiction, ' d&amp;e ' AS diocese, CAST(NULL AS STRING) AS deanery,

@@ -31,6 +31,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to as many tasks as a shuffle has, for costly work on rows: a file of few row groups is read by few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def listed(spark: SparkSession, folder: str) -> list[tuple[str, bool, int, int]]:
     """(name, whether a folder, length, time of change) of what lies in a folder, by name; nothing if there is no such folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
