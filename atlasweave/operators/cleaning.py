@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.clergy import listed, matter
+from ..stages import spread
 
 #: What a cleaned record holds, all strings.
 FIELDS = ("name", "jurisdiction", "diocese", "deanery", "city", "state", "zip", "country", "phone", "website", "lat", "lng", "address", "clergy", "source")
@@ -38,7 +39,7 @@ def clean_record(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFr
         return rows.select(*[F.col(f"`{c}`") for c in rest], F.inline_outer(F.array(F.struct(fields.alias(inner)))))
 
     numbers = {"lat": 90.0, "lng": 180.0}
-    rows = step(df, **{c: number(c, numbers[c]) if c in numbers else raw(c) if c in as_is else text.clean(raw(c)) for c in FIELDS})
+    rows = step(spread(df), **{c: number(c, numbers[c]) if c in numbers else raw(c) if c in as_is else text.clean(raw(c)) for c in FIELDS})
     rows = step(rows, parts=text.comma_parts(of("city")), website=text.with_scheme(of("website"), of("source")), clergy=matter(of("clergy")), name=text.unquoted(of("name")))
     rows = step(rows, place=text.places_of(of("city"), of("parts"), of("state"), of("country")), url=text.url_parts(of("website")))
     rows = step(rows, city=text.clean(of("place.city")), state=text.clean(of("place.state")), country=text.clean(of("place.country")), name=text.clean(of("name")))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from atlasweave.functions.clergy import clergy
 from atlasweave.operators import cleaning, output
 from atlasweave.plans.pipeline import Lookups, Pipeline, Store, directory_build, directory_pipeline, duration, folder_fingerprint, table_fingerprint
 from atlasweave.sources import files
@@ -217,3 +218,10 @@ def test_stream(spark, tmp_path):
     hours.processAllAvailable()
     hours.stop()
     assert spark.table("hourly").count() == 3
+
+
+def test_costly_cleaning_is_dealt_out(spark):
+    one = spark.range(20).select(F.concat(F.lit("Fr. "), "id").alias("clergy")).coalesce(1)
+    assert cleaning.clean_record(one).select("clergy").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = one.select(clergy(F.col("clergy")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert listed.count("regexp_extract_all") == 1  # persons are found once, and noise goes without a split by its pattern
