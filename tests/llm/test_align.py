@@ -81,3 +81,11 @@ def test_op12(spark):
     got = queries.op12_alignment(spark, SF)
     assert got.columns == ["doc_id", *align.ZERO, "groups_sha256"]
     assert sorted(map(tuple, got.collect())) == sorted(expected(rows))
+
+
+def test_segments_of_a_text_are_not_compared_with_each_other(spark, monkeypatch):
+    monkeypatch.setattr(align, "HOT", 3)
+    rows = [(k // 2, " ".join(f"w{j % 40}" for j in range(400))) for k in range(4)]
+    made = align.Alignment(spark.createDataFrame(rows, "doc_id long, text string"), A, B).per_text()
+    assert sorted(map(tuple, made.collect())) == sorted(expected(rows))
+    assert "array_distinct" not in made._jdf.queryExecution().analyzed().toString()
