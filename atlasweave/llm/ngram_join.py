@@ -13,7 +13,10 @@ A share of the buckets gives a spanning forest of likely pairs first, and the li
 other buckets only those whose points are still apart give one, between the components. Then buckets that are apart even so
 and whose forests passed over pairs are searched in full, points outside the bucket's largest component against all others,
 in bounded slices. So a large group of near copies is never expanded into all its pairs. What a tree finds is bounded once
-more, by counts in groups whose number grows with the set, before it makes a pair: so sets are fetched for few pairs that fail.
+more before it makes a pair: in forests by counts in groups whose number grows with the set, in slices by 16 or 20 bits of
+each member, which is nearly the overlap itself. There a pair is given only if no pair given before joins its components. A
+pair that then turns out to be no link may have hidden others: so if there is any, the slices are searched again, and all
+pairs are given that such bits allow between what is still apart.
 
 A document is named by a number made of its id and its text, so rows of one id with different texts are different points.
 """
@@ -40,6 +43,8 @@ GROUPS, FINE, FINEST = 64, 4, 2
 FIRST = 8
 #: Points in a chunk of a bucket; buckets up to SMALL give all their pairs at once.
 CHUNK, SMALL, LEAF = 256, 3, 8
+#: Points in a slice of the search between components; sets up to NARROW members are compared there by 16 bits of each, others by 20.
+SLICE, NARROW, WIDE_BITS = 512, 1024, 20
 _SIZES = 1.4  # ratio of the ends of a size class
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -324,21 +329,52 @@ def _buckets(signed: DataFrame) -> DataFrame:
 
 
 def _point_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, n, fine, finest, members) of the wanted numbers, from their texts; staged."""
+    """(id, n, fine, finest, digests, members) of the wanted numbers, from their texts; staged."""
     rows = texts.select("p", "text").join(wanted, texts["p"] == wanted["id"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
             h, offsets = shingles(batch.column(1), width)
-            fine, finest, sets = [], [], []
+            fine, finest, bits, sets = [], [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 fine.append(fine_counts(h[a:b], (b - a) // FINE))
                 finest.append(fine_counts(h[a:b], (b - a) * FINEST))
+                bits.append(digests(h[a:b]))
                 sets.append(h[a:b].tobytes())
-            made = [pa.array(x, pa.binary()) for x in (fine, finest, sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), *made], ["id", "n", "fine", "finest", "members"])
+            made = [pa.array(x, pa.binary()) for x in (fine, finest, bits, sets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), *made], ["id", "n", "fine", "finest", "digests", "members"])
 
-    return staged(map_arrow(rows, run, "id long, n long, fine binary, finest binary, members binary"), "points")
+    return staged(map_arrow(rows, run, "id long, n long, fine binary, finest binary, digests binary, members binary"), "points")
+
+
+def digests(members: np.ndarray) -> bytes:
+    """Some bits of each member of a set: two bytes each, or four of a set over NARROW."""
+    return members.astype("<u2" if len(members) <= NARROW else "<u4").tobytes()  # the low bits
+
+
+class Digests:
+    """The digests of many sets, to bound the overlaps of one with others."""
+
+    def __init__(self, column: pa.Array, n: np.ndarray):
+        self.n = n.astype(np.int64)
+        self.of = [np.frombuffer(x.as_buffer(), "<u2" if k <= NARROW else "<u4") for x, k in zip(column, self.n.tolist(), strict=True)]
+
+    def coarse(self) -> np.ndarray:
+        """Count vectors in GROUPS groups."""
+        return np.stack([np.bincount((x & (GROUPS - 1)).astype(np.int64), minlength=GROUPS) for x in self.of]) if self.of else np.zeros((0, GROUPS), np.int64)
+
+    def overlap(self, k: int, others: np.ndarray) -> np.ndarray:
+        """At most so many members does set k share with each of the others: so many of theirs have bits that one of its own has."""
+        out = np.zeros(len(others), np.int64)
+        for wide in (False, True):
+            own = np.flatnonzero((np.minimum(self.n[others], self.n[k]) > NARROW) == wide)
+            if len(own):
+                mask = (1 << WIDE_BITS if wide else 1 << 16) - 1
+                has = np.zeros(mask + 1, bool)
+                has[self.of[k] & mask] = True
+                at = np.concatenate([[0], np.cumsum(self.n[others[own]])[:-1]])
+                out[own] = np.add.reduceat(has[np.concatenate([self.of[t] & mask for t in others[own].tolist()])], at, dtype=np.int64)
+        return out
 
 
 def fine_counts(members: np.ndarray, size: int) -> bytes:
@@ -447,23 +483,24 @@ def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
     return links
 
 
-def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that may link points of one bucket that are in different components, all that were not tried.
+def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Pairs that may link points of one bucket that are in different components.
 
-    Of buckets in one piece, those that their forests left open.
+    Of buckets in one piece, those that their forests left open. With every, all such pairs; else a slice leaves out those
+    whose components its pairs have joined: if all pairs that it gives link, nothing is missing.
     """
     small = open_.select(F.xxhash64("members").alias("group"), F.explode("members").alias("id"))
     rows = small.unionByName(buckets.filter("large").select(F.col("sig").alias("group"), F.explode("members").alias("id")))
     labelled = staged(rows.join(labels, "id", "left").select("group", "id", F.coalesce("component", "id").alias("component")), "labelled")
     per = labelled.groupBy("group", "component").count()
     main = per.groupBy("group").agg(F.sum("count").alias("size"), F.max(F.struct("count", F.col("component").alias("main"))).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    main = staged(main.select("group", F.col("top.main").alias("main"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"), F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("top.count")) / CHUNK)).cast("int").alias("parts")), "apart")
+    main = staged(main.select("group", F.col("top.main").alias("main"), F.ceil(F.col("size") / SLICE).cast("int").alias("chunks"), F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("top.count")) / SLICE)).cast("int").alias("parts")), "apart")
     apart = labelled.join(main, "group").withColumn("h", F.xxhash64("id", "group"))
     keep = ("group", "id", "component")
     targets = apart.select(*keep, F.pmod("h", F.col("chunks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(False).alias("asks"))
     asks = apart.filter("component <> main").select(*keep, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.pmod("h", F.col("parts")).alias("j"), F.lit(True).alias("asks"))
-    rows = targets.unionByName(asks.select(targets.columns)).join(points.select("id", "n", "fine"), "id")
-    groups = rows.groupBy("group", "i", "j").agg(F.collect_list(F.struct("id", "n", "fine", "component", "asks")).alias("p"))
+    rows = targets.unionByName(asks.select(targets.columns)).join(points.select("id", "n", "digests"), "id")
+    groups = rows.groupBy("group", "i", "j").agg(F.collect_list(F.struct("id", "n", "digests", "component", "asks")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -471,18 +508,22 @@ def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels
             for k in range(batch.num_rows):
                 p = batch.column(0)[k].values
                 ids, n, part = (p.field(c).to_numpy() for c in ("id", "n", "component"))
-                asking, fine = p.field("asks").to_numpy(zero_copy_only=False), FineCounts(p.field("fine"))
-                counts = fine.coarse()
+                asking, bits = p.field("asks").to_numpy(zero_copy_only=False), Digests(p.field("digests"), n)
+                counts, (_, part) = bits.coarse(), np.unique(part, return_inverse=True)
                 there = np.flatnonzero(~asking)
                 tree = CountTree(n[there], counts[there])
                 for q in np.flatnonzero(asking):
                     near = there[tree.near(n[q], counts[q], num, den)[0]]
                     near = near[part[near] != part[q]]
-                    near = near[fine.overlap(q, near) * (den + num) >= num * (n[near] + n[q])] if len(near) else near
-                    found |= {(int(min(ids[q], ids[t])), int(max(ids[q], ids[t]))) for t in near}
+                    near = near[bits.overlap(q, near) * (den + num) >= num * (n[near] + n[q])] if len(near) else near
+                    for t in near.tolist():
+                        if every or part[t] != part[q]:
+                            found.add((int(min(ids[q], ids[t])), int(max(ids[q], ids[t]))))
+                        if not every:
+                            part[part == part[t]] = part[q]
             yield _pair_batch(sorted(found))
 
-    return staged(map_arrow(groups.select("p"), run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "cross")
+    return staged(map_arrow(groups.select("p"), run, "a long, b long").distinct(), "cross")
 
 
 def _resolved(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, int]:
@@ -517,15 +558,21 @@ def _resolved(df: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     tried2 = tried2.join(tried, ["a", "b"], "left_anti")
     links2 = _verified(tried2, point_sets, num, den)
     tried, open_, every = tried.unionByName(tried2), open_.unionByName(open2).distinct(), links.unionByName(links2)
-    labels2 = staged(connected_components(every), "labels")
-    cross = _cross_pairs(buckets, open_, point_sets, labels2, tried, num, den)
-    more = _verified(cross, point_sets, num, den)
     discard(labels)
-    labels = labels2
-    if not more.isEmpty():
-        discard(labels)
-        labels = staged(connected_components(every.unionByName(more)), "labels")
-    discard(copies, buckets, wanted, point_sets, forest, forest2, links, links2, cross, more)
+    labels, crossed = staged(connected_components(every), "labels"), []
+    for all_pairs in (False, True):
+        cross = _cross_pairs(buckets, open_, point_sets, labels, num, den, all_pairs)
+        more = _verified(cross.join(tried, ["a", "b"], "left_anti"), point_sets, num, den)  # what was tried in vain counts as given
+        crossed += [cross, more]
+        given, linking = cross.count(), more.count()
+        if linking:
+            every = every.unionByName(more)
+            discard(labels)
+            labels = staged(connected_components(every), "labels")
+        if linking == given:
+            break
+        tried = tried.unionByName(cross)
+    discard(copies, buckets, wanted, point_sets, forest, forest2, links, links2, *crossed)
     linked = staged(labels.join(groups, labels["id"] == groups["point"]).select("component", "least", "point"), "linked")
     first = F.struct(F.col("least").isNull().alias("none"), "least", "point")
     each = linked.groupBy("component").agg(F.min(first).alias("first")).select("component", F.col("first.least").alias("component_id"), F.col("first.point").alias("keeper"))

@@ -150,3 +150,38 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 130)}, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_digests_bound_the_overlap():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 1400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:k], rng.integers(0, 1 << 63, more, dtype=np.uint64)])) for k, more in ((300, 0), (290, 20), (1000, 24), (1000, 30), (1300, 90), (1400, 0), (0, 1200))]
+    n = np.array([len(h) for h in sets])
+    bits = ngram_join.Digests(pa.array([ngram_join.digests(h) for h in sets], pa.binary()), n)
+    assert (bits.coarse() == np.array([np.bincount((h % ngram_join.GROUPS).astype(np.int64), minlength=ngram_join.GROUPS) for h in sets])).all()
+    for k, h in enumerate(sets):
+        same = np.array([len(np.intersect1d(h, other)) for other in sets])
+        over = bits.overlap(k, np.arange(len(sets))) - same
+        assert (over >= 0).all() and over.max() < 40
+
+
+def test_a_group_a_little_less_similar_gives_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(5000)]
+    base, rows = rng.choices(vocab, k=200), []
+    for k in range(500):  # three in four differ from all others by a little too much
+        copy = list(base)
+        for _ in range(rng.randint(0, 2) if k % 4 == 0 else rng.randint(4, 7)):
+            copy[rng.randrange(200)] = rng.choice(vocab)
+        rows.append((k, " ".join(copy)))
+    given, cross_pairs = [], ngram_join._cross_pairs
+
+    def counted(*args):
+        pairs = cross_pairs(*args)
+        given.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_cross_pairs", counted)
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 90, 100)
+    assert sum(given) <= 2 * len(rows), given
