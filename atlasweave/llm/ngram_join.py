@@ -13,10 +13,10 @@ A share of the buckets gives a spanning forest of likely pairs first, and the li
 other buckets only those whose points are still apart give one, between the components. Then buckets that are apart even so
 and whose forests passed over pairs are searched in full, points outside the bucket's largest component against all others,
 in bounded slices. So a large group of near copies is never expanded into all its pairs. What a tree finds is bounded once
-more before it makes a pair: in forests by counts in groups whose number grows with the set, in slices by 16 or 20 bits of
+more before it makes a pair: in forests by counts in groups whose number grows with the set, in slices by some low bits of
 each member, which is nearly the overlap itself. There a pair is given only if no pair given before joins its components. A
-pair that then turns out to be no link may have hidden others: so if there is any, the slices are searched again, and all
-pairs are given that such bits allow between what is still apart.
+pair that then turns out to be no link may have hidden others of its bucket: so buckets that gave such a pair, and no others,
+are searched again, and all their pairs are given that such bits allow between what is still apart.
 
 A document is named by a number made of its id and its text, so rows of one id with different texts are different points.
 """
@@ -43,8 +43,9 @@ GROUPS, FINE, FINEST = 64, 4, 2
 FIRST = 8
 #: Points in a chunk of a bucket; buckets up to SMALL give all their pairs at once.
 CHUNK, SMALL, LEAF = 256, 3, 8
-#: Points in a slice of the search between components; sets up to NARROW members are compared there by 16 bits of each, others by 20.
-SLICE, NARROW, WIDE_BITS = 512, 1024, 20
+#: Points in a slice of the search between components, where sets are compared by some low bits of each member: so many values
+#: of such bits for each member at least, but FEW_BITS and no more than MANY_BITS.
+SLICE, SPREAD, FEW_BITS, MANY_BITS = 512, 64, 8, 24
 _SIZES = 1.4  # ratio of the ends of a size class
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -347,9 +348,19 @@ def _point_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return staged(map_arrow(rows, run, "id long, n long, fine binary, finest binary, digests binary, members binary"), "points")
 
 
+def digest_bits(n: int) -> int:
+    """How many low bits of its members a set of n is compared by."""
+    return min(max((n * SPREAD - 1).bit_length(), FEW_BITS), MANY_BITS)
+
+
 def digests(members: np.ndarray) -> bytes:
-    """Some bits of each member of a set: two bytes each, or four of a set over NARROW."""
-    return members.astype("<u2" if len(members) <= NARROW else "<u4").tobytes()  # the low bits
+    """The low bits of each member of a set in ascending order, as gaps: a byte for the rest of a gap, after one of 255 for each 255 in it."""
+    low = np.sort(members & np.uint64((1 << digest_bits(len(members))) - 1)).astype(np.int64)
+    gaps = np.diff(low, prepend=0)
+    whole = gaps // 255
+    out = np.full(len(gaps) + int(whole.sum()), 255, np.uint8)
+    out[np.cumsum(whole + 1) - 1] = gaps % 255
+    return out.tobytes()
 
 
 class Digests:
@@ -357,23 +368,26 @@ class Digests:
 
     def __init__(self, column: pa.Array, n: np.ndarray):
         self.n = n.astype(np.int64)
-        self.of = [np.frombuffer(x.as_buffer(), "<u2" if k <= NARROW else "<u4") for x, k in zip(column, self.n.tolist(), strict=True)]
+        self.bits = np.array([digest_bits(k) for k in self.n.tolist()], np.int64)
+        self.of = []
+        for x in column:
+            gaps = np.frombuffer(x.as_buffer(), np.uint8)
+            self.of.append(np.cumsum(gaps, dtype=np.int32)[gaps < 255])
 
     def coarse(self) -> np.ndarray:
         """Count vectors in GROUPS groups."""
-        return np.stack([np.bincount((x & (GROUPS - 1)).astype(np.int64), minlength=GROUPS) for x in self.of]) if self.of else np.zeros((0, GROUPS), np.int64)
+        return np.stack([np.bincount(x & (GROUPS - 1), minlength=GROUPS) for x in self.of]) if self.of else np.zeros((0, GROUPS), np.int64)
 
     def overlap(self, k: int, others: np.ndarray) -> np.ndarray:
         """At most so many members does set k share with each of the others: so many of theirs have bits that one of its own has."""
         out = np.zeros(len(others), np.int64)
-        for wide in (False, True):
-            own = np.flatnonzero((np.minimum(self.n[others], self.n[k]) > NARROW) == wide)
-            if len(own):
-                mask = (1 << WIDE_BITS if wide else 1 << 16) - 1
-                has = np.zeros(mask + 1, bool)
-                has[self.of[k] & mask] = True
-                at = np.concatenate([[0], np.cumsum(self.n[others[own]])[:-1]])
-                out[own] = np.add.reduceat(has[np.concatenate([self.of[t] & mask for t in others[own].tolist()])], at, dtype=np.int64)
+        bits = np.minimum(self.bits[others], self.bits[k])
+        for few in np.unique(bits).tolist():
+            own, mask = np.flatnonzero(bits == few), (1 << few) - 1
+            has = np.zeros(mask + 1, bool)
+            has[self.of[k] & mask] = True
+            at = np.concatenate([[0], np.cumsum(self.n[others[own]])[:-1]])
+            out[own] = np.add.reduceat(has[np.concatenate([self.of[t] for t in others[own].tolist()]) & mask], at, dtype=np.int64)
         return out
 
 
@@ -461,7 +475,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
 
 
 def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are as similar as asked. Only sets that are in a pair which the finest counts allow are dealt out."""
+    """The pairs, each given once, whose sets are as similar as asked. Only sets that are in a pair which the finest counts allow are dealt out."""
     allowed = _bounded(pairs, points, num, den)
     asked = allowed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     points = points.join(asked, "id", "left_semi")
@@ -478,19 +492,20 @@ def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
                     found.append((a, b))
             yield _pair_batch(found)
 
-    links = staged(map_arrow(allowed.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long").distinct(), "links")
+    links = staged(map_arrow(allowed.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long"), "links")
     discard(allowed)
     return links
 
 
-def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """Pairs that may link points of one bucket that are in different components.
+def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels: DataFrame, num: int, den: int, within: DataFrame | None = None) -> DataFrame:
+    """(a, b, groups): pairs that may link points of one bucket that are in different components, and the buckets that gave them.
 
-    Of buckets in one piece, those that their forests left open. With every, all such pairs; else a slice leaves out those
-    whose components its pairs have joined: if all pairs that it gives link, nothing is missing.
+    Of buckets in one piece, those that their forests left open. A slice leaves out pairs whose components its pairs have
+    joined: if all pairs that a bucket gives link, nothing of it is missing. Within some buckets (group), all such pairs.
     """
-    small = open_.select(F.xxhash64("members").alias("group"), F.explode("members").alias("id"))
-    rows = small.unionByName(buckets.filter("large").select(F.col("sig").alias("group"), F.explode("members").alias("id")))
+    lists = open_.select(F.xxhash64("members").alias("group"), "members").unionByName(buckets.filter("large").select(F.col("sig").alias("group"), "members"))
+    lists = lists if within is None else lists.join(within, "group", "left_semi")
+    rows = lists.select("group", F.explode("members").alias("id"))
     labelled = staged(rows.join(labels, "id", "left").select("group", "id", F.coalesce("component", "id").alias("component")), "labelled")
     per = labelled.groupBy("group", "component").count()
     main = per.groupBy("group").agg(F.sum("count").alias("size"), F.max(F.struct("count", F.col("component").alias("main"))).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
@@ -500,13 +515,14 @@ def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels
     targets = apart.select(*keep, F.pmod("h", F.col("chunks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(False).alias("asks"))
     asks = apart.filter("component <> main").select(*keep, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.pmod("h", F.col("parts")).alias("j"), F.lit(True).alias("asks"))
     rows = targets.unionByName(asks.select(targets.columns)).join(points.select("id", "n", "digests"), "id")
-    groups = rows.groupBy("group", "i", "j").agg(F.collect_list(F.struct("id", "n", "digests", "component", "asks")).alias("p"))
+    slices_ = rows.groupBy("group", "i", "j").agg(F.collect_list(F.struct("id", "n", "digests", "component", "asks")).alias("p"))
+    every = within is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            found: set[tuple[int, int, int]] = set()
             for k in range(batch.num_rows):
-                p = batch.column(0)[k].values
+                group, p = batch.column(0)[k].as_py(), batch.column(1)[k].values
                 ids, n, part = (p.field(c).to_numpy() for c in ("id", "n", "component"))
                 asking, bits = p.field("asks").to_numpy(zero_copy_only=False), Digests(p.field("digests"), n)
                 counts, (_, part) = bits.coarse(), np.unique(part, return_inverse=True)
@@ -518,12 +534,16 @@ def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels
                     near = near[bits.overlap(q, near) * (den + num) >= num * (n[near] + n[q])] if len(near) else near
                     for t in near.tolist():
                         if every or part[t] != part[q]:
-                            found.add((int(min(ids[q], ids[t])), int(max(ids[q], ids[t]))))
+                            found.add((int(min(ids[q], ids[t])), int(max(ids[q], ids[t])), group))
                         if not every:
                             part[part == part[t]] = part[q]
-            yield _pair_batch(sorted(found))
+            table = np.array(sorted(found), np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, c]) for c in range(3)], ["a", "b", "group"])
 
-    return staged(map_arrow(groups.select("p"), run, "a long, b long").distinct(), "cross")
+    found = map_arrow(slices_.select("group", "p"), run, "a long, b long, group long")
+    cross = staged(found.groupBy("a", "b").agg(F.collect_set("group").alias("groups")), "cross")
+    discard(labelled, main)
+    return cross
 
 
 def _resolved(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, int]:
@@ -553,25 +573,26 @@ def _resolved(df: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     early = F.pmod("sig", F.lit(FIRST)) == 0
     tried, open_, forest = _forest_pairs(buckets.filter(early), point_sets, num, den)
     links = _verified(tried, point_sets, num, den)
-    labels = staged(connected_components(links), "labels")
+    labels = connected_components(links)
     tried2, open2, forest2 = _forest_pairs(buckets.filter(~early), point_sets, num, den, labels)
     tried2 = tried2.join(tried, ["a", "b"], "left_anti")
     links2 = _verified(tried2, point_sets, num, den)
     tried, open_, every = tried.unionByName(tried2), open_.unionByName(open2).distinct(), links.unionByName(links2)
     discard(labels)
-    labels, crossed = staged(connected_components(every), "labels"), []
-    for all_pairs in (False, True):
-        cross = _cross_pairs(buckets, open_, point_sets, labels, num, den, all_pairs)
-        more = _verified(cross.join(tried, ["a", "b"], "left_anti"), point_sets, num, den)  # what was tried in vain counts as given
+    labels, crossed, within = connected_components(every), [], None
+    while True:
+        cross = _cross_pairs(buckets, open_, point_sets, labels, num, den, within)
+        more = _verified(cross.select("a", "b").join(tried, ["a", "b"], "left_anti"), point_sets, num, den)  # what was tried in vain was no link
         crossed += [cross, more]
         given, linking = cross.count(), more.count()
         if linking:
             every = every.unionByName(more)
             discard(labels)
-            labels = staged(connected_components(every), "labels")
-        if linking == given:
+            labels = connected_components(every)
+        if linking == given or within is not None:
             break
-        tried = tried.unionByName(cross)
+        within = cross.join(more, ["a", "b"], "left_anti").select(F.explode("groups").alias("group")).distinct()
+        tried = tried.unionByName(cross.select("a", "b"))
     discard(copies, buckets, wanted, point_sets, forest, forest2, links, links2, *crossed)
     linked = staged(labels.join(groups, labels["id"] == groups["point"]).select("component", "least", "point"), "linked")
     first = F.struct(F.col("least").isNull().alias("none"), "least", "point")

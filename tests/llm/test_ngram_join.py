@@ -185,3 +185,52 @@ def test_a_group_a_little_less_similar_gives_few_pairs(spark, monkeypatch):
     got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows, 3, 90, 100)
     assert sum(given) <= 2 * len(rows), given
+
+
+def test_digests_take_a_byte_for_a_member():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 100, 1000, 3000, 40_000):
+        h = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        packed = ngram_join.digests(h)
+        assert len(packed) <= 1.25 * n + 4
+        low = np.sort(h & np.uint64((1 << ngram_join.digest_bits(n)) - 1))
+        assert (ngram_join.Digests(pa.array([packed], pa.binary()), np.array([n])).of[0] == low).all()
+
+
+def test_only_buckets_that_gave_no_link_are_searched_again(spark, monkeypatch):
+    """Two far groups of near copies: in one, pairs that some bits allow are no links; the other is done with after the first search."""
+    rng = random.Random(9)
+    vocab, rows = [f"w{k}" for k in range(5000)], []
+    for base in (rng.choices(vocab, k=200), rng.choices(vocab, k=200)):
+        for _ in range(120):
+            copy = list(base)
+            for _ in range(rng.randint(2, 6)):
+                copy[rng.randrange(200)] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(copy)))
+    searched, cross_pairs = [], ngram_join._cross_pairs
+
+    def watched(*args):
+        searched.append(args[-1] if len(args) == 7 else None)
+        return cross_pairs(*args)
+
+    monkeypatch.setattr(ngram_join, "_cross_pairs", watched)
+    monkeypatch.setattr(ngram_join, "SPREAD", 2)  # few bits, so that they allow what is no link
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 90, 100)
+    assert searched[0] is None and len(searched) <= 2 and all(x is not None for x in searched[1:])
+
+
+@pytest.mark.parametrize("part", [1 << 18, 4, 1])
+def test_components_of_one_task_and_of_many(spark, monkeypatch, part):
+    from atlasweave.llm import components
+
+    monkeypatch.setattr(components, "PART", part)
+    rng = random.Random(10)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(50)] + [(k, k + 1) for k in range(200, 230)]
+    parent = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+    for _ in parent:
+        for a, b in links:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == parent
