@@ -89,3 +89,13 @@ def test_segments_of_a_text_are_not_compared_with_each_other(spark, monkeypatch)
     made = align.Alignment(spark.createDataFrame(rows, "doc_id long, text string"), A, B).per_text()
     assert sorted(map(tuple, made.collect())) == sorted(expected(rows))
     assert "array_distinct" not in made._jdf.queryExecution().analyzed().toString()
+
+
+def test_tokens_are_dealt_out_as_one_number(spark):
+    rows = spark.createDataFrame([(" the",), (" żółw",), (" \n",)], "segment string").withColumn("n", F.lit(1).cast("long"))
+    made = align.encoded(rows, A, B)
+    assert dict(made.dtypes)["a"] == dict(made.dtypes)["b"] == "array<int>"
+    both = align.Tokenizers.get(A, B)
+    for r in made.collect():
+        for got, ids, table in ((r.a, both.encode_a([r.segment])[0], both.a_bytes), (r.b, both.encode_b([r.segment])[0], both.b_bytes)):
+            assert [(x >> align.SIZE_BITS, x & (1 << align.SIZE_BITS) - 1) for x in got] == [(t, len(table[t])) for t in ids]
