@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 import re
+import time
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -234,3 +236,58 @@ def test_components_of_one_task_and_of_many(spark, monkeypatch, part):
                 parent[a] = parent[b] = min(parent[a], parent[b])
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == parent
+
+
+def test_two_points_meet_in_one_slice(spark, monkeypatch):
+    """Each point goes to one slice for each block it is to meet, not to two; points of the main component don't meet each other."""
+    monkeypatch.setattr(ngram_join, "SLICE", 8)
+    labelled = spark.createDataFrame([(1, k, 0 if k < 20 else k) for k in range(70)], "group long, id long, component long")
+    main = spark.createDataFrame([(1, 0, 7, 3)], "group long, main long, blocks int, mains int")
+    slices = {}
+    for r in ngram_join._slices(labelled, main).collect():
+        slices.setdefault((r.i, r.j), []).append((r.id, r.asks))
+    met = Counter()
+    for (i, j), rows in slices.items():
+        asking, there = [k for k, asks in rows if asks], [k for k, asks in rows if not asks]
+        met.update(combinations(sorted(asking), 2) if i == j else ((min(a, b), max(a, b)) for a in asking for b in there))
+        assert i < 7 and i <= j and (not there or i < j)
+    assert met == Counter(p for p in combinations(range(70), 2) if p[1] >= 20)
+    assert sum(map(len, slices.values())) == 50 * (7 + 3) + 20 * 7
+
+
+def test_slices_in_rounds(spark, monkeypatch):
+    """Where slices send points too often for one round, rounds find what one does."""
+    rng = random.Random(11)
+    vocab, base, rows = [f"w{k}" for k in range(5000)], None, []
+    base = rng.choices(vocab, k=200)
+    for k in range(200):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(200)] = rng.choice(vocab)
+        rows.append((k, " ".join(copy)))
+    stages, staged = [], ngram_join.staged
+    monkeypatch.setattr(ngram_join, "staged", lambda df, label: stages.append(label) or staged(df, label))
+    monkeypatch.setattr(ngram_join, "SLICE", 32)
+    monkeypatch.setattr(ngram_join, "ROUND", 2)
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 90, 100)
+    assert stages.count("searched") > 2 * stages.count("cross")
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        names = blocks.getAllBlocks().mkString("\n").split("\n")
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before = shuffled()
+    kept = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    df = ngram_join.staged(spark.range(1000).groupBy((ngram_join.F.col("id") % 7).alias("k")).count(), "probe")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert df.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == kept
