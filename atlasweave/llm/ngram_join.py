@@ -47,7 +47,7 @@ CHUNK, SMALL, LEAF = 256, 3, 8
 #: of such bits for each member at least, but FEW_BITS and no more than MANY_BITS.
 SLICE, SPREAD, FEW_BITS, MANY_BITS = 512, 64, 8, 24
 #: How often a round of that search sends each point, on average.
-ROUND = 4
+ROUND = 8
 _SIZES = 1.4  # ratio of the ends of a size class
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -500,34 +500,37 @@ def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
 
 
 def _slices(labelled: DataFrame, main: DataFrame) -> DataFrame:
-    """(group, id, component, i, j, asks): the points of each slice (i, j), i <= j, of a bucket.
+    """(group, id, component, i, j, asks, inner): the points of each slice (i, j), i < j, of a group of buckets.
 
-    A bucket's points outside its main component are dealt to its first blocks, the others to `mains` more. A slice is two
-    blocks, of which the first is one of those that ask; or one such block with itself. So two points meet once.
+    A group's points outside its main component are dealt to its first blocks, the others to `mains` more. A slice is two
+    blocks, the first of them one that asks; in the slice with the first of the others (inner) it asks itself, too. So two
+    points meet once, and a group of two blocks is sent once.
     """
     apart = labelled.join(main, "group").withColumn("h", F.xxhash64("id", "group")).withColumn("other", F.col("component") != F.col("main"))
     block = F.when(F.col("other"), F.pmod("h", F.col("blocks"))).otherwise(F.col("blocks") + F.pmod("h", F.col("mains")))
     meets = F.when(F.col("other"), F.col("blocks") + F.col("mains")).otherwise(F.col("blocks"))
-    rows = apart.select("group", "id", "component", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), meets.cast("int") - 1)).alias("k"))
-    return rows.select("group", "id", "component", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), (F.col("block") <= F.col("k")).alias("asks"))
+    rows = apart.select("group", "id", "component", "blocks", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), meets.cast("int") - 1)).alias("k")).filter("block <> k")
+    return rows.select("group", "id", "component", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), (F.col("block") < F.col("k")).alias("asks"), (F.greatest("block", "k") == F.col("blocks")).alias("inner"))
 
 
 def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels: DataFrame, num: int, den: int, within: DataFrame | None = None) -> DataFrame:
-    """(a, b, groups): pairs that may link points of one bucket that are in different components, and the buckets that gave them.
+    """(a, b, groups): pairs that may link points of one bucket that are in different components, and the groups that gave them.
 
-    Of buckets in one piece, those that their forests left open. A slice leaves out pairs whose components its pairs have
-    joined: if all pairs that a bucket gives link, nothing of it is missing. Within some buckets (group), all such pairs.
+    Of buckets in one piece, those that their forests left open; as near copies share most of many buckets, buckets whose
+    members have the same least hash are one group, and send a point once. A slice leaves out pairs whose components its pairs have
+    joined: if all pairs that a group gives link, nothing of it is missing. Within some groups, all such pairs.
     Slices are searched in rounds, each of which sends every point ROUND times on average, so disk does not follow their number.
     """
-    lists = open_.select(F.xxhash64("members").alias("group"), "members").unionByName(buckets.filter("large").select(F.col("sig").alias("group"), "members"))
+    least = F.array_min(F.transform("members", lambda m: F.xxhash64(m)))
+    lists = open_.select(least.alias("group"), "members").unionByName(buckets.filter("large").select(F.col("sig").alias("group"), "members"))
     lists = lists if within is None else lists.join(within, "group", "left_semi")
-    rows = lists.select("group", F.explode("members").alias("id"))
+    rows = lists.select("group", F.explode("members").alias("id")).distinct()
     labelled = staged(rows.join(labels, "id", "left").select("group", "id", F.coalesce("component", "id").alias("component")), "labelled")
     per = labelled.groupBy("group", "component").count()
     main = per.groupBy("group").agg(F.sum("count").alias("size"), F.max(F.struct("count", F.col("component").alias("main"))).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     blocks = lambda n: F.ceil(n / SLICE).cast("int")
     main = staged(main.select("group", F.col("top.main").alias("main"), F.col("size") - F.col("top.count"), "top.count").toDF("group", "main", "others", "own").withColumns({"blocks": blocks(F.col("others")), "mains": blocks(F.col("own"))}), "apart")
-    sent = main.agg(F.sum(F.col("others") * (F.col("blocks") + F.col("mains")) + F.col("own") * F.col("blocks"))).first()[0] or 0
+    sent = main.agg(F.sum(F.col("others") * (F.col("blocks") + F.col("mains") - 1) + F.col("own") * F.col("blocks"))).first()[0] or 0
     rounds = int(sent // (ROUND * max(points.count(), 1))) + 1
     dealt = _slices(labelled, main.select("group", "main", "blocks", "mains"))
     every = within is not None
@@ -536,15 +539,15 @@ def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels
         for batch in batches:
             found: set[tuple[int, int, int]] = set()
             for k in range(batch.num_rows):
-                group, itself, p = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values
+                group, inner, p = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values
                 ids, n, part = (p.field(c).to_numpy() for c in ("id", "n", "component"))
                 asking, bits = p.field("asks").to_numpy(zero_copy_only=False), Digests(p.field("digests"), n)
                 counts, (_, part) = bits.coarse(), np.unique(part, return_inverse=True)
-                there = np.arange(len(n)) if itself else np.flatnonzero(~asking)
+                there = np.arange(len(n)) if inner else np.flatnonzero(~asking)
                 tree = CountTree(n[there], counts[there])
                 for q in np.flatnonzero(asking):
                     near = there[tree.near(n[q], counts[q], num, den)[0]]
-                    near = near[(part[near] != part[q]) & ((near > q) | (not itself))]
+                    near = near[(part[near] != part[q]) & ((near > q) | ~asking[near])]
                     near = near[bits.overlap(q, near) * (den + num) >= num * (n[near] + n[q])] if len(near) else near
                     for t in near.tolist():
                         if every or part[t] != part[q]:
@@ -557,8 +560,8 @@ def _cross_pairs(buckets: DataFrame, open_: DataFrame, points: DataFrame, labels
     searched = []
     for r in range(rounds):
         rows = dealt.filter(F.pmod(F.xxhash64("group", "i", "j"), F.lit(rounds)) == r).join(points.select("id", "n", "digests"), "id")
-        slices_ = rows.groupBy("group", "i", "j").agg(F.collect_list(F.struct("id", "n", "digests", "component", "asks")).alias("p"))
-        searched.append(staged(map_arrow(slices_.select("group", F.col("i") == F.col("j"), "p"), run, "a long, b long, group long"), "searched"))
+        slices_ = rows.groupBy("group", "i", "j", "inner").agg(F.collect_list(F.struct("id", "n", "digests", "component", "asks")).alias("p"))
+        searched.append(staged(map_arrow(slices_.select("group", "inner", "p"), run, "a long, b long, group long"), "searched"))
     cross = staged(reduce(DataFrame.unionByName, searched).groupBy("a", "b").agg(F.collect_set("group").alias("groups")), "cross")
     discard(labelled, main, *searched)
     return cross

@@ -245,14 +245,15 @@ def test_two_points_meet_in_one_slice(spark, monkeypatch):
     main = spark.createDataFrame([(1, 0, 7, 3)], "group long, main long, blocks int, mains int")
     slices = {}
     for r in ngram_join._slices(labelled, main).collect():
-        slices.setdefault((r.i, r.j), []).append((r.id, r.asks))
+        slices.setdefault((r.i, r.j, r.inner), []).append((r.id, r.asks))
     met = Counter()
-    for (i, j), rows in slices.items():
+    for (i, j, inner), rows in slices.items():
         asking, there = [k for k, asks in rows if asks], [k for k, asks in rows if not asks]
-        met.update(combinations(sorted(asking), 2) if i == j else ((min(a, b), max(a, b)) for a in asking for b in there))
-        assert i < 7 and i <= j and (not there or i < j)
+        met.update((min(a, b), max(a, b)) for a in asking for b in there)
+        met.update(combinations(sorted(asking), 2) if inner else ())
+        assert i < 7 and i < j and inner == (j == 7)
     assert met == Counter(p for p in combinations(range(70), 2) if p[1] >= 20)
-    assert sum(map(len, slices.values())) == 50 * (7 + 3) + 20 * 7
+    assert sum(map(len, slices.values())) == 50 * (7 + 3 - 1) + 20 * 7
 
 
 def test_slices_in_rounds(spark, monkeypatch):
@@ -267,8 +268,8 @@ def test_slices_in_rounds(spark, monkeypatch):
         rows.append((k, " ".join(copy)))
     stages, staged = [], ngram_join.staged
     monkeypatch.setattr(ngram_join, "staged", lambda df, label: stages.append(label) or staged(df, label))
-    monkeypatch.setattr(ngram_join, "SLICE", 32)
-    monkeypatch.setattr(ngram_join, "ROUND", 2)
+    monkeypatch.setattr(ngram_join, "SLICE", 16)
+    monkeypatch.setattr(ngram_join, "ROUND", 1)
     got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows, 3, 90, 100)
     assert stages.count("searched") > 2 * stages.count("cross")
