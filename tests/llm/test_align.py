@@ -99,3 +99,14 @@ def test_tokens_are_dealt_out_as_one_number(spark):
     for r in made.collect():
         for got, ids, table in ((r.a, both.encode_a([r.segment])[0], both.a_bytes), (r.b, both.encode_b([r.segment])[0], both.b_bytes)):
             assert [(x >> align.SIZE_BITS, x & (1 << align.SIZE_BITS) - 1) for x in got] == [(t, len(table[t])) for t in ids]
+
+
+def test_rows_that_share_a_number_are_told_apart(spark, monkeypatch):
+    """Numbers of eight bytes name texts in shuffles; where two texts share one, the next seed is taken."""
+    number = align._number
+    monkeypatch.setattr(align, "_number", lambda seed, *columns: F.lit(7).cast("long") if seed == 0 else number(seed, *columns))
+    rows = [(1, "the word"), (2, "a word"), (2, "a word"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = align.Alignment(df, A, B)
+    assert dict(made._keyed()[0].dtypes)["key"] == "bigint"
+    assert sorted((tuple(r) for r in made.per_text().collect()), key=str) == sorted(expected(rows), key=str)
