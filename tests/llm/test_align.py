@@ -110,3 +110,11 @@ def test_rows_that_share_a_number_are_told_apart(spark, monkeypatch):
     made = align.Alignment(df, A, B)
     assert dict(made._keyed()[0].dtypes)["key"] == "bigint"
     assert sorted((tuple(r) for r in made.per_text().collect()), key=str) == sorted(expected(rows), key=str)
+
+
+def test_small_numbers_travel_as_one(spark):
+    rows = [(3, 2, 1, 1, 0, 9, "x"), (4095, 0, 7, 4095, 4095, 1 << 40, "y"), (4096, 1, 1, 5, 2, 0, "z")]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in align.ZERO) + ", groups string")
+    packed = align._packed(df)
+    assert sorted((r.groups, r.small is None, r.n_a) for r in packed.collect()) == [("x", False, None), ("y", False, None), ("z", True, 4096)]
+    assert sorted(map(tuple, align._unpacked(packed).select(df.columns).collect())) == sorted(rows)
