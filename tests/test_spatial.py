@@ -217,3 +217,66 @@ def test_first_side_of_crowded_sites(spark):
     assert sites.groupBy(F.floor(F.col("lng") / side), F.floor(F.col("lat") / side)).count().agg(F.max("count")).first()[0] <= polygons.CROWD
     cells = {r.id: r.ring for r in polygons.voronoi(sites, (0.0, 0.0, 9.0, 9.0)).collect()}
     assert len(cells) == 400 and abs(sum(polygons.area([r])[0] for r in cells.values()) - 81) < 1e-6
+
+
+def turn(a, b, c):
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
+def dug(points, ring, longest):
+    """The ring that concave_ring digs, by trying all points and edges; exact for whole numbers."""
+    on = lambda p, u, v: turn(u, v, p) == 0 and (p[0] - u[0]) * (p[0] - v[0]) + (p[1] - u[1]) * (p[1] - v[1]) < 0
+    sides = lambda u, v, p, q: turn(u, v, p) < 0 < turn(u, v, q) or turn(u, v, q) < 0 < turn(u, v, p)
+    meet = lambda a, b, c, d: sides(a, b, c, d) and sides(c, d, a, b) or on(a, c, d) or on(b, c, d) or on(c, a, b) or on(d, a, b)
+    i = 0
+    while i < len(ring):
+        a, b = ring[i], ring[(i + 1) % len(ring)]
+        others = [(c, d) for c, d in zip(ring, ring[1:] + ring[:1], strict=True) if (c, d) != (a, b)]
+        far = {p: max(math.dist(a, p), math.dist(p, b)) for p in points if p not in ring}
+        able = [p for p in far if turn(a, b, p) >= 0 and math.dist(a, b) > max(far[p], longest)]
+        able = [p for p in able if turn(a, b, p) == 0 or not any(min(turn(a, b, q), turn(b, p, q), turn(p, a, q)) >= 0 for q in points - {a, b, p})]
+        able = [p for p in able if not any(meet(a, p, c, d) or meet(p, b, c, d) for c, d in others)]
+        if able:
+            ring = [*ring[: i + 1], min(able, key=lambda p: (far[p], p)), *ring[i + 1 :]]
+        else:
+            i += 1
+    return ring
+
+
+def test_outlines_take_in_a_point_behind_many_nearer_ones(spark):
+    """The only point that an edge can take in is the ninety-first by distance: each triangle with a nearer one holds it."""
+    places = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (1.0, 0.01)] + [(4.5 + x / 9, 3 + y / 9) for x in range(9) for y in range(10)]
+    df = spark.createDataFrame([(k, 1, y, x) for k, (x, y) in enumerate(places)], "id long, grp long, lat double, lng double")
+    for ring in (polygons.outlines(df).first().rings[0], polygons.concave_hulls(df, 300 / 111).first().ring):
+        k = ring.index([0.0, 0.0])
+        assert [*ring, *ring][k + 1] == [1.0, 0.01] and [4.5 + 8 / 9, 3.0] in ring
+
+
+def test_concave_rings_against_all_points():
+    """Points on a grid, so that many lie in a line; of half of the sets a bay is left empty."""
+    rng, more = random.Random(11), 0
+    for k in range(150):
+        wide = rng.choice([4, 9, 40])
+        points = {(rng.randrange(wide), rng.randrange(wide)) for _ in range(rng.choice([8, 30, 90]))}
+        points = {p for p in points if k % 2 or not (wide * 0.3 < p[0] < wide * 0.7 and p[1] > wide * 0.3)}
+        hull = [(int(x), int(y)) for x, y in polygons.convex_hull(np.array(sorted(points), float))]
+        longest = rng.choice([0.5, 1.5, wide / 4])
+        got = [tuple(p) for p in polygons.concave_ring(np.array(sorted(points), float), longest).tolist()]
+        assert got == dug(points, hull, longest)
+        more += len(got) > len(hull)
+    assert more > 100
+
+
+def test_concave_rings_leave_no_point_outside():
+    """Points that are in a line but for rounding."""
+    rng = random.Random(12)
+    for k in range(60):
+        step, turned = rng.choice([0.1, 1 / 111, 0.7]), rng.choice([0.0, 0.3, 1.0])
+        at = np.array([(rng.randrange(15) * step, rng.randrange(15) * step) for _ in range(90)])
+        at = at @ np.array([[math.cos(turned), math.sin(turned)], [-math.sin(turned), math.cos(turned)]]) + (-95, 45)
+        a = polygons.concave_ring(at, step * (k % 6 + 0.5))
+        b = np.roll(a, -1, axis=0)
+        for x, y in at:
+            crossings = sum(((a[:, 1] > y) != (b[:, 1] > y)) & (x < (b - a)[:, 0] * (y - a[:, 1]) / np.where(b[:, 1] == a[:, 1], 1, b[:, 1] - a[:, 1]) + a[:, 0]))
+            t = np.clip((((x, y) - a) * (b - a)).sum(1) / ((b - a) ** 2).sum(1), 0, 1)
+            assert crossings % 2 or np.hypot(*(a + t[:, None] * (b - a) - (x, y)).T).min() < 1e-9
